@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewise.llm import language_id, mixing, secret_scan
+from tidewise.llm import fingerprint, language_id, mixing, packing, quality_rules, secret_scan
 from tidewise.llm.common import documents
 
 
@@ -14,6 +14,18 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(documents(spark, sf_dir))
 
 
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_report(documents(spark, sf_dir))
+
+
+def op4_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_report(documents(spark, sf_dir))
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_report(documents(spark, sf_dir))
 
@@ -24,6 +36,9 @@ def op9_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op3_order_minhash": op3_order_minhash,
+    "op4_quality_divergence": op4_quality_divergence,
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op6_language_id": op6_language_id,
     "op9_systematic_mix": op9_systematic_mix,
 }
