@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewise.llm import fingerprint, language_id, mixing, packing, quality_rules, secret_scan
-from tidewise.llm.common import documents
+from tidewise.llm import fingerprint, language_id, mixing, packing, quality_rules, resampling, secret_scan, toxicity
+from tidewise.llm.common import documents, labels
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(documents(spark, sf_dir))
 
 
+def op2_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample_report(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_report(documents(spark, sf_dir))
 
@@ -30,16 +34,22 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_report(documents(spark, sf_dir))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op9_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_importance_resampling": op2_importance_resampling,
     "op3_order_minhash": op3_order_minhash,
     "op4_quality_divergence": op4_quality_divergence,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_language_id": op6_language_id,
+    "op8_toxicity": op8_toxicity,
     "op9_systematic_mix": op9_systematic_mix,
 }
 
