@@ -86,3 +86,16 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     ranked = ranked.drop("_source", "source_size", "target", "_rate", "_draws").join(spark.createDataFrame(chosen, schema), F.col("source").eqNullSafe(F.col("_source")))
     out = ranked.withColumn("copies", copies(F.col("_draws")[0]))
     return out.select(F.col("doc_id").alias(id_col), "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def repeat_by_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
+    """The rows of `df`, each as often as `mix_sources` has it; columns stay.
+
+    Copies are numbered by id, so rows that share an id, or have none, take the mean of their numbers, rounded up or down by
+    a hash of the row.
+    """
+    names = df.columns
+    found = mix_sources(df, id_col, text_col, source_col, seed).groupBy(F.col(id_col).alias("_id")).agg(F.avg("copies").alias("_mean"))
+    unit = F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 20)) / float(1 << 20)
+    out = df.join(found, F.col(id_col).eqNullSafe(F.col("_id"))).withColumn("_copies", F.floor(F.col("_mean") + unit).cast("int"))
+    return out.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(names)

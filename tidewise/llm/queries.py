@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewise.llm import fingerprint, language_id, mixing, packing, quality_rules, resampling, secret_scan, toxicity
+from tidewise.llm import fingerprint, language_id, mixing, near_join, packing, quality_rules, resampling, secret_scan, toxicity
 from tidewise.llm.common import documents, labels
 
 
@@ -42,6 +42,16 @@ def op9_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join.near_join(documents(spark, sf_dir))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_importance_resampling": op2_importance_resampling,
@@ -51,6 +61,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_id": op6_language_id,
     "op8_toxicity": op8_toxicity,
     "op9_systematic_mix": op9_systematic_mix,
+    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "pipeline": pipeline,
 }
 
 #: DuckDB SQL for queries that SQL can express.
