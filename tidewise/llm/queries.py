@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewise.llm import fingerprint, language_id, mixing, near_join, packing, quality_rules, resampling, secret_scan, toxicity
+from tidewise.llm import fingerprint, language_id, lm_scoring, mixing, near_join, packing, quality_rules, resampling, secret_scan, toxicity
 from tidewise.llm.common import documents, labels
 
 
@@ -34,6 +34,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_report(documents(spark, sf_dir))
 
 
+def op7_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_report(documents(spark, sf_dir))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_divergence": op4_quality_divergence,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_language_id": op6_language_id,
+    "op7_deleted_interpolation": op7_deleted_interpolation,
     "op8_toxicity": op8_toxicity,
     "op9_systematic_mix": op9_systematic_mix,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
