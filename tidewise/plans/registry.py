@@ -176,9 +176,8 @@ def _columns(p: DataFrame, found: dict[str, Column]) -> DataFrame:
     return numbered.select("unique_id", "ds", *(c.alias(n) for n, c in found.items()))
 
 
-_W = frames.series_window()
 panel_query(
-    "lag_features", "events_daily", lambda p: _columns(p, ft.lag_features("y", (7, 2, 1), _W) | ft.seasonal_features("y", _W, (7,), (7,))),
+    "lag_features", "events_daily", lambda p: _columns(p, ft.lag_features("y", (7, 2, 1), frames.series_window()) | ft.seasonal_features("y", frames.series_window(), (7,), (7,))),
     "SELECT unique_id, ds, " + ", ".join(r(f"lag(y, {k}) OVER w", f"lag_{k}") for k in (7, 2, 1)) + ", " + r("lag(y, 7) OVER w", "season_lag_7") + ", " + r("lag(y, 1) OVER w - lag(y, 8) OVER w", "season_diff_7") + " FROM p WINDOW w AS (PARTITION BY unique_id ORDER BY ds)",
 )
 _ROLL = {
@@ -188,7 +187,7 @@ _ROLL = {
 _MAD_SQL = "list_median(list_transform(v, lambda x: abs(x - list_median(v))))"
 _SKEW_SQL = "list_avg(list_transform(v, lambda x: pow(x - list_avg(v), 3))) / pow(list_avg(list_transform(v, lambda x: pow(x - list_avg(v), 2))), 1.5)"
 panel_query(
-    "rolling_features", "ship_monthly", lambda p: _columns(p, ft.derived_features("y", _W, (7,), ft.ROLLING, (1,))),
+    "rolling_features", "ship_monthly", lambda p: _columns(p, ft.derived_features("y", frames.series_window(), (7,), ft.ROLLING, (1,))),
     ", n AS (SELECT *, row_number() OVER (PARTITION BY unique_id ORDER BY ds) AS rn FROM p), o AS (SELECT unique_id, ds, count(y) OVER f AS c, " + ", ".join(f"{e} AS {n}" for n, e in _ROLL.items() if n != "mad")
     + ", list(y) OVER f AS v, lag(y, 1) OVER w - lag(y, 2) OVER w AS d FROM n WINDOW f AS (PARTITION BY unique_id ORDER BY ds ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), w AS (PARTITION BY unique_id ORDER BY ds)) SELECT unique_id, ds, "
     + ", ".join(r(f"CASE WHEN c = 7 THEN {_MAD_SQL if s == 'mad' else _SKEW_SQL if s == 'skew' else s} END", f"roll_{s}_7") for s in ft.ROLLING) + ", " + r("d", "diff_1") + " FROM o",
