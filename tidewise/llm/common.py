@@ -101,9 +101,9 @@ def _arrow(schema: str | T.StructType) -> pa.Schema:
 def hashed_sample(df: DataFrame, key: Column, group: str, per_group: int, salt: int) -> DataFrame:
     """A repeatable sample of about `per_group` rows of each non-null `group`, by hash of `key`; narrow but for the counts.
 
-    Rows are at most twice what was asked for over all groups.
+    The 64 largest groups are sampled; rows are at most twice what was asked for over all groups.
     """
-    counts = df.where(F.col(group).isNotNull()).groupBy(group).count().orderBy(F.desc("count"), group).limit(256).collect()
+    counts = df.where(F.col(group).isNotNull()).groupBy(group).count().orderBy(F.desc("count"), group).limit(64).collect()
     if not counts:
         return df.limit(0)
     share = F.create_map(*(F.lit(x) for r in counts for x in (r[0], min(1.0, per_group / r[1]))))

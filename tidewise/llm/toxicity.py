@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tidewise.llm.common import fold, map_columns
 
 #: Bounds of the labelled sample: rows of each class, and characters of a text that may be in it.
-SAMPLE, LONGEST = 4_000, 200_000
+SAMPLE, LONGEST = 4_000, 50_000
 #: Seed words and phrases that hold one of them harmlessly.
 SEEDS = "idiot moron stupid worthless scum trash loser pathetic disgusting imbecile dumb jerk hate bastard crap".split()
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "take out the trash", "hate to say", "pond scum", "sore loser rule", "shut up shop")
