@@ -147,3 +147,22 @@ def test_panel_model_beats_the_mean(spark, panel):
     out = backtest.cross_validation(panel(series), "ridge-step-lag-global", 2, 3, 30, {"lags": 4, "add_time_features": False}, n_windows=1)
     assert out.count() == 8
     assert max(abs(r["y"] - r["yhat"]) for r in out.collect()) < 0.5
+
+
+@pytest.mark.parametrize("kind", ["ridge", "bayesian-ridge", "ard", "omp", "quantile", "passive-aggressive"])
+def test_models_from_sums_match_models_on_rows(spark, kind):
+    from tidewise.models import gram
+
+    x = RNG.normal(size=(200, 3))
+    y = 1 + x @ [2.0, 0.0, -1.0] + RNG.normal(0, 0.1, 200)
+    df = spark.createDataFrame([(*map(float, r), float(t)) for r, t in zip(x, y, strict=True)], "a double, b double, c double, t double")
+    p = {"alpha": 1.0 if kind == "ridge" else 0.0, "quantile": 0.5, "c": 1.0, "epsilon": 0.1, "max_iter": 100}
+    found = gram.fit(kind, df, ["a", "b", "c"], "t", p)
+    on_rows = {"ridge": lambda: regressors.ridge(x, y, 1.0), "bayesian-ridge": lambda: regressors.bayesian_ridge(x, y), "ard": lambda: regressors.ard(x, y), "omp": lambda: regressors.omp(x, y), "quantile": lambda: regressors.quantile(x, y, 0.5), "passive-aggressive": lambda: regressors.passive_aggressive(x, y)}[kind]()
+    assert found[0] + x @ found[1:] == pytest.approx(on_rows(x), abs=0.5 if kind == "passive-aggressive" else 0.05 if kind == "quantile" else 1e-3)
+
+
+def test_registry_validation(spark, panel):
+    rows = {r["model"]: r for r in registry.validate_registry(panel(SERIES), 2, ["mean", "ar-ols", "gamma-lag"]).collect()}
+    assert rows["mean"]["n_failed"] == 0 and rows["ar-ols"]["n_not_finite"] == 0
+    assert rows["gamma-lag"]["n_failed"] == 1 and "ValueError" in rows["gamma-lag"]["error"]

@@ -1,6 +1,7 @@
 """Panel models: one regression for all series and steps, fitted by Spark's ML library on panel windows.
 
-Training rows are the windows whose target is known at the cutoff. The estimators stand in for those of other libraries under the
+Training rows are the windows whose target is known at the cutoff. Linear models with a closed form come from sums over rows, see
+`gram`; the estimators stand in for those of other libraries under the
 same names of losses and trees; results agree in kind, not to the digit.
 """
 
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewise.models import gram
 from tidewise.models.registry import get_spec
 from tidewise.operators import windows
 
@@ -23,13 +25,13 @@ KEYS = ["unique_id", "cutoff_ds", "origin", "step", "target_ds", "y_target"]
 TREE_DEPTH, TREE_LIMIT = 10, 100
 
 
-def estimator(key: str, p: dict[str, Any], n: int):  # noqa: ANN201
-    """The ML estimator of a key; penalties are per row in this library, so a ridge penalty is divided by the rows."""
+def estimator(key: str, p: dict[str, Any]):  # noqa: ANN201
+    """The ML estimator of a key."""
     own = {"featuresCol": "x", "labelCol": "y_target", "predictionCol": "yhat"}
     linear = lambda reg, mix, **more: LinearRegression(regParam=reg, elasticNetParam=mix, standardization=False, maxIter=200, **own, **more)
     kind = key.removesuffix("-step-lag-global")
-    if kind in ("ridge", "sgd"):
-        return linear(p["alpha"] / n if kind == "ridge" else p["alpha"], 0.0)
+    if kind == "sgd":
+        return linear(p["alpha"], 0.0)
     if kind in ("lasso", "elasticnet"):
         return linear(p["alpha"], p.get("l1_ratio", 1.0))
     if kind == "huber":
@@ -66,10 +68,13 @@ def panel_predict(df: DataFrame, model: str, cutoff, horizon: int, params: dict[
     """`unique_id, step, yhat` from a model fitted on what is known at the cutoff."""
     p = get_spec(model).parameters(params)
     train, ahead, features = _windows(df, horizon, p, cutoff)
-    n = train.count()
-    if not n:
+    if train.isEmpty():
         raise ValueError("no series is long enough to train on")
-    fitted = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="x"), estimator(model, p, n)]).fit(train)
+    if (kind := model.removesuffix("-step-lag-global")) in gram.KINDS:
+        weights = gram.fit(kind, train, features, "y_target", p)
+        line = reduce(lambda a, b: a + b, (F.col(c) * float(w) for c, w in zip(features, weights[1:], strict=True)), F.lit(float(weights[0])))
+        return ahead.select("unique_id", "step", line.alias("yhat"))
+    fitted = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="x"), estimator(model, p)]).fit(train)
     return fitted.transform(ahead).select("unique_id", "step", "yhat")
 
 

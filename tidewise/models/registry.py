@@ -90,7 +90,7 @@ for _key, _defaults in (("pipeline", {"base": "naive-last", "transforms": ()}),
 #: Families that need a library: a pattern of keys, the library, and the interface by the key's ending.
 GATED = (
     (re.compile(r"(torch|hf)-[a-z0-9-]+"), "torch"), (re.compile(r"(chronos(-bolt)?|lag-llama|timesfm|moirai|moment|time-moe|timer-s1)"), "torch"), (re.compile(r"xgb(rf)?-[a-z-]+"), "xgboost"),
-    (re.compile(r"lgbm-[a-z-]+"), "lightgbm"), (re.compile(r"catboost-[a-z-]+"), "catboost"), (re.compile(r"(adaboost|svr|linear-svr|mlp)-(step-lag-global|lag)"), "sklearn"),
+    (re.compile(r"lgbm-[a-z-]+"), "lightgbm"), (re.compile(r"catboost-[a-z-]+"), "catboost"), (re.compile(r"(adaboost|svr|linear-svr|mlp)-(step-lag-global|lag)|(knn|kernel-ridge)-step-lag-global"), "sklearn"),
     (re.compile(r"(auto-)?arima|sarimax|uc-[a-z-]+|(stl|mstl|fourier|tbats-lite)(-[a-z-]+)?"), "statsmodels"),
 )
 
@@ -124,6 +124,21 @@ def models_frame(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "key string, tier string, interface string, stability string, requires string, description string, params string")
 
 
+def validate_registry(df: DataFrame, horizon: int = 2, keys: list[str] | None = None, params: dict[str, dict[str, Any]] | None = None) -> DataFrame:
+    """Run every local model (or those named) on a panel, as one job: `model, n_series, n_failed, error, n_not_finite`."""
+    from functools import reduce
+
+    from pyspark.sql import functions as F
+
+    from tidewise.frames import series_arrays
+    from tidewise.operators.backtest import _forecasts
+
+    rows = series_arrays(df.where(F.col("y").isNotNull())).withColumn("train_start", F.lit(0)).withColumn("train_end", F.size("y"))
+    parts = [_forecasts(rows, k, horizon, (params or {}).get(k)).select(F.lit(k).alias("model"), "yhat", "error") for k in keys or list_models(interface="local")]
+    odd = F.exists("yhat", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    return reduce(DataFrame.unionByName, parts).groupBy("model").agg(F.count("*").alias("n_series"), F.sum(F.col("yhat").isNull().cast("long")).alias("n_failed"), F.max("error").alias("error"), F.sum(F.coalesce(odd, F.lit(False)).cast("long")).alias("n_not_finite"))
+
+
 def search_models(spark: SparkSession, query: str) -> DataFrame:
     """Models whose key or description holds every token, best first: a full key counts most, then its start, then within."""
     from pyspark.sql import functions as F

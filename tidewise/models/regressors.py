@@ -292,7 +292,8 @@ LOCAL = (
 
 #: Panel models by key, and the parameters that their estimators take.
 PANEL = {
-    "ridge-step-lag-global": {"alpha": 1.0}, "lasso-step-lag-global": {"alpha": 0.001}, "elasticnet-step-lag-global": {"alpha": 0.001, "l1_ratio": 0.5}, "huber-step-lag-global": {"epsilon": 1.35, "alpha": 0.0001},
+    "ridge-step-lag-global": {"alpha": 1.0}, "bayesian-ridge-step-lag-global": {}, "ard-step-lag-global": {}, "omp-step-lag-global": {}, "quantile-step-lag-global": {"quantile": 0.5, "alpha": 0.0},
+    "passive-aggressive-step-lag-global": {"c": 1.0, "epsilon": 0.1, "max_iter": 1000}, "lasso-step-lag-global": {"alpha": 0.001}, "elasticnet-step-lag-global": {"alpha": 0.001, "l1_ratio": 0.5}, "huber-step-lag-global": {"epsilon": 1.35, "alpha": 0.0001},
     "sgd-step-lag-global": {"alpha": 0.0001}, "poisson-step-lag-global": {"alpha": 1.0}, "gamma-step-lag-global": {"alpha": 1.0}, "tweedie-step-lag-global": {"alpha": 1.0, "power": 1.5},
     "decision-tree-step-lag-global": {"max_depth": 5}, "rf-step-lag-global": {"n_estimators": 200}, "extra-trees-step-lag-global": {"n_estimators": 300}, "bagging-step-lag-global": {"n_estimators": 200},
     "gbrt-step-lag-global": {"n_estimators": 200, "learning_rate": 0.05, "max_depth": 3}, "hgb-step-lag-global": {"n_estimators": 300, "learning_rate": 0.05, "max_depth": 3},

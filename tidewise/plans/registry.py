@@ -443,7 +443,8 @@ panel_query(
     "ensemble_rows", "events_daily", lambda p: leaderboard.ensemble([_cv(p), _cv(p, "naive-last")], weights=[1, 3]).drop("model"),
     _cv_sql("(t[n - 7 + (k - 1) % 7 + 1] + 3 * t[n]) / 4") + f" SELECT unique_id, ds, cutoff, step, {r('y', 'y')}, {r('yhat', 'yhat')} FROM v",
 )
-for _model in ("ridge-step-lag-global", "gbrt-step-lag-global"):
-    panel_query(f"panel_{_model.split('-')[0]}", "ship_monthly", lambda p, m=_model: backtest.forecast(p, m, 3, {"lags": 12} | ({"n_estimators": 5} if "gbrt" in m else {})).select("unique_id", "step", "yhat"), None, 2)
+for _model in ("ridge-step-lag-global", "gbrt-step-lag-global", "lasso-step-lag-global", "ard-step-lag-global", "omp-step-lag-global", "quantile-step-lag-global", "rf-step-lag-global"):
+    panel_query(f"panel_{_model.split('-')[0]}", "ship_monthly", lambda p, m=_model: backtest.forecast(p, m, 3, {"lags": 12} | ({"n_estimators": 5} if m[:2] in ("gb", "rf") else {})).select("unique_id", "step", "yhat"), None, 2)
 panel_query("multivariate_var", "events_daily", lambda p: mt.evaluate(backtest.multivariate_cross_validation(frames.long_to_wide(p), ["event_type=click", "event_type=view"], 2, 4, 15), by=["target"]), None)
+panel_query("validate_registry", "ship_monthly", lambda p: models.validate_registry(p, 2, ["naive-last", "theta", "ar-ols", "ssa", "ridge-lag", "ensemble-mean", "pipeline"]), None)
 add("model_catalog", lambda spark, d: models.models_frame(spark).groupBy("tier", "interface").agg(F.count("*").alias("n")))
