@@ -5,8 +5,9 @@ The weights come from expectation-maximisation on held-out counts: each training
 own occurrence is deleted from the counts that predict it.
 
 Counts of the whole corpus fit on no machine, so they meet the texts by a shuffle. Documents are tokenised once, into blocks.
-A block asks for the counts of its distinct n-grams and says how often it has them; the asked hashes are dealt out by range, each
-range adds up its counts and answers every block in the order of its question. A block then has all counts of its tokens.
+Blocks
+are dealt out once; that shuffle feeds both steps that read them. A block asks for the counts of its distinct n-grams and says
+how often it has them; the asked hashes are dealt out by range, each range adds up its counts and answers every block in the order of its question. A block then has all counts of its tokens.
 """
 
 from __future__ import annotations
@@ -24,14 +25,15 @@ from pyspark.sql import functions as F
 from tidewise.llm.common import _arrow, fold, partitions, stored
 
 #: Characters of text in a block; a longer text is a block of its own.
-BLOCK = 4_000_000
+BLOCK = 8_000_000
 #: Distinct n-grams that one range should hold at most, and ranges for each shuffle partition at least.
 RANGE, RANGES_EACH = 3_000_000, 2
 BUCKETS = 40
 #: Ratios of the two estimates are counted in bins of an eighth of a power of two, for the weights alone.
 BINS, LOWEST = 8, -100
 START, END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0xC2B2AE3D27D4EB4F)
-LOW48 = np.uint64((1 << 48) - 1)
+#: Bits of a bigram's hash beyond its range.
+BITS = 40
 
 
 def _pairs(v: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -62,11 +64,11 @@ def _unpacked(blob: bytes, *types: str) -> list[np.ndarray]:
 
 
 def blocks(df: DataFrame, modulus: int, held: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`block, n_tokens, data`: sorted word hashes, each token's place among them, and the documents' ids, sizes and folds.
+    """`block, data`: sorted word hashes, each token's place among them, and the documents' ids, sizes and folds.
 
-    Stored, so that the numbering of blocks is fixed from here on.
+    A block's number is its task's and its place there: the same whenever a lost task is run again over the same files.
     """
-    schema = "block long, n_tokens long, data binary"
+    schema = "block long, data binary"
     arrow = _arrow(schema)
 
     def pack(ids: list, folds: list, texts: list) -> bytes:
@@ -81,13 +83,15 @@ def blocks(df: DataFrame, modulus: int, held: int, id_col: str = "doc_id", text_
                     at[w] = len(at)
             places.append(np.fromiter(map(at.__getitem__, words), np.int32, len(words)))
         hashes = np.array([*map(xxhash.xxh3_64_intdigest, at), END], dtype=np.uint64)
-        order = np.argsort(hashes, kind="stable")
-        rank = np.empty(len(order), np.int32)
-        rank[order] = np.arange(len(order), dtype=np.int32)
         sizes = np.array([len(p) + 1 for p in places], dtype=np.int64)
         every = np.concatenate([x for p in places for x in (p, [len(at)])]).astype(np.int64)
+        # The most frequent words get the least numbers, and numbers go by byte planes: both make them small.
+        order = np.argsort(-np.bincount(every, minlength=len(hashes)), kind="stable")
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        planes = np.ascontiguousarray(rank[every].view(np.uint8).reshape(-1, 4).T)
         none = np.array([i is None for i in ids])
-        return _packed(hashes[order], rank[every], np.array([i or 0 for i in ids], np.int64), none, sizes, np.array(folds, np.int8)), int(sizes.sum())
+        return _packed(hashes[order], planes, np.array([i or 0 for i in ids], np.int64), none, sizes, np.array(folds, np.int8))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, n = TaskContext.get().partitionId() << 32, 0
@@ -95,8 +99,8 @@ def blocks(df: DataFrame, modulus: int, held: int, id_col: str = "doc_id", text_
         size = 0
 
         def out() -> pa.RecordBatch:
-            data, count = pack(*map(list, zip(*held_back, strict=True)))
-            return pa.RecordBatch.from_arrays([pa.array([first + n], pa.int64()), pa.array([count], pa.int64()), pa.array([data], pa.binary())], schema=arrow)
+            data = pack(*map(list, zip(*held_back, strict=True)))
+            return pa.RecordBatch.from_arrays([pa.array([first + n], pa.int64()), pa.array([data], pa.binary())], schema=arrow)
 
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -109,14 +113,19 @@ def blocks(df: DataFrame, modulus: int, held: int, id_col: str = "doc_id", text_
             yield out()
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), (fold(F.col(id_col), modulus) != held).cast("tinyint").alias("train"), F.col(text_col).alias("text"))
-    return stored(rows.mapInArrow(run, schema), "blocks")
+    return rows.mapInArrow(run, schema).repartition(partitions(df.sparkSession), "block")
 
 
 class Block:
     """The tokens of a block, and its distinct n-grams in the order of their hashes."""
 
     def __init__(self, data: bytes) -> None:
-        self.words, self.places, self.ids, self.none, self.sizes, train = _unpacked(data, "u8", "i4", "i8", "?", "i8", "i1")
+        words, planes, self.ids, self.none, self.sizes, train = _unpacked(data, "u8", "u1", "i8", "?", "i8", "i1")
+        order = np.argsort(words, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.words = words[order]
+        self.places = rank[np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel()]
         self.first = np.r_[0, np.cumsum(self.sizes)[:-1]]
         self.train = train.astype(bool)
         self.token_train = np.repeat(self.train, self.sizes)
@@ -148,15 +157,34 @@ def _counts(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob[1:], f"u{blob[:1].decode()}").astype(np.int64)
 
 
+def _offsets(hashes: np.ndarray, start: int, n: int) -> bytes:
+    """Sorted hashes of one of n ranges as 40-bit distances: steps of four bytes where they fit, else six bytes each."""
+    shift = max(0, ((1 << 64) // n + 1).bit_length() - BITS)
+    at = (hashes - np.uint64(start << 32)) >> np.uint64(shift)
+    steps = np.diff(at, prepend=np.uint64(0))
+    if not len(at) or steps.max() < 1 << 32:
+        return b"s" + steps.astype(np.uint32).tobytes()
+    return b"w" + at.astype(np.uint32).tobytes() + (at >> np.uint64(32)).astype(np.uint16).tobytes()
+
+
+def _distances(blob: bytes) -> np.ndarray:
+    if blob[:1] == b"s":
+        return np.cumsum(np.frombuffer(blob, np.uint32, offset=1), dtype=np.uint64)
+    n = (len(blob) - 1) // 6
+    return np.frombuffer(blob, np.uint32, n, 1).astype(np.uint64) | (np.frombuffer(blob, np.uint16, n, 1 + 4 * n).astype(np.uint64) << np.uint64(32))
+
+
 def questions(blocked: DataFrame, ranges: int) -> DataFrame:
-    """`range, block, words, word_counts, pairs, pair_counts` for each block and range: hashes in order, and the block's training counts.
+    """`range, block, words, word_counts, pairs, pair_counts, starts` for each block and range: hashes in order, and the block's
+    training counts.
 
-    Bigrams go by 48 bits beyond their range. The start mark, which is no token, is among the words of its range with the number
-    of training documents.
+    Words go by all bits of their hash, bigrams by 40 bits beyond their range. The start mark, which is no token, is counted in its
+    range by the number of training documents.
     """
-    schema = "range long, block long, words binary, word_counts binary, low binary, high binary, pair_counts binary, starts long"
+    schema = "range long, block long, words binary, word_counts binary, pairs binary, pair_counts binary, starts long"
     arrow = _arrow(schema)
-    home = int(Block.ranges(np.array([START]), ranges).searchsorted(1)) - 1
+    begins = [-(-(r << 32) // ranges) for r in range(ranges)]
+    home = int(np.searchsorted(begins, int(START >> np.uint64(32)), side="right")) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,9 +195,8 @@ def questions(blocked: DataFrame, ranges: int) -> DataFrame:
                 rows = []
                 for r in range(ranges):
                     if a[r] < a[r + 1] or b[r] < b[r + 1] or r == home:
-                        pairs = own.pairs[b[r] : b[r + 1]] & LOW48
                         starts = int(own.train.sum()) if r == home else None
-                        rows.append((r, block, own.words[a[r] : a[r + 1]].tobytes(), _small(one[a[r] : a[r + 1]]), pairs.astype(np.uint32).tobytes(), (pairs >> np.uint64(32)).astype(np.uint16).tobytes(), _small(two[b[r] : b[r + 1]]), starts))
+                        rows.append((r, block, own.words[a[r] : a[r + 1]].tobytes(), _small(one[a[r] : a[r + 1]]), _offsets(own.pairs[b[r] : b[r + 1]], begins[r], ranges), _small(two[b[r] : b[r + 1]]), starts))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
@@ -183,8 +210,7 @@ def _answer(rows: pd.DataFrame) -> pd.DataFrame:
     """Total counts in the order of each block's question; one more row, of no block, has the range's tokens and types."""
     out: dict[str, list] = {c.split()[0]: [] for c in ANSWER.split(", ")}
     words = [np.frombuffer(x, np.uint64) for x in rows["words"]]
-    low = [np.frombuffer(x, np.uint32).astype(np.uint64) for x in rows["low"]]
-    pairs = [x | (np.frombuffer(y, np.uint16).astype(np.uint64) << np.uint64(32)) for x, y in zip(low, rows["high"], strict=True)]
+    pairs = [_distances(x) for x in rows["pairs"]]
     totals = []
     for hashes, counts in ((words, rows["word_counts"]), (pairs, rows["pair_counts"])):
         found, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
@@ -274,8 +300,8 @@ def score_report(df: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
     training text every estimate is 1 / (0 + 0 + 1). An empty table gives none.
     """
     blocked = blocks(df, modulus, held)
-    size = blocked.agg(F.sum("n_tokens")).first()[0] or 0
-    ranges = max(RANGES_EACH * partitions(df.sparkSession), math.ceil(size / RANGE))
+    size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(RANGES_EACH * partitions(df.sparkSession), math.ceil(size / 4 / RANGE))
     answers = questions(blocked, ranges).groupBy("range").applyInPandas(_answer, ANSWER)
     found = blocked.select("block", "data").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_apart, MEASURED)
     found = stored(found, "measured")
