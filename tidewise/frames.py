@@ -11,7 +11,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 KEYS = ("unique_id", "ds")
@@ -189,6 +188,3 @@ def series_arrays(df: DataFrame, *columns: str) -> DataFrame:
     field = lambda c: F.transform("_rows", lambda r: r[c]).alias(c)
     return out.select("unique_id", *map(field, ("ds", *columns)))
 
-
-def double_schema(schema: T.StructType) -> list[str]:
-    return [f.name for f in schema.fields if isinstance(f.dataType, T.NumericType)]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -137,6 +136,3 @@ def box_cox(value: Column, lmbda: float = 0.0) -> Column:
 def inverse_box_cox(value: Column, lmbda: float = 0.0) -> Column:
     return F.exp(value) if lmbda == 0 else F.pow(F.greatest(lmbda * value + 1, F.lit(0.0)), F.lit(1 / lmbda))
 
-
-def population_std(values: list[float]) -> float:
-    return math.sqrt(sum((v - sum(values) / len(values)) ** 2 for v in values) / len(values))
