@@ -65,6 +65,14 @@ def test_edge_cases(spark, model):
     assert all(0 <= r["score"] <= 1 for r in rows) and rows[4]["lang_pred"] == "en"
 
 
+def test_parts_of_a_long_text(model, monkeypatch):
+    texts = ["the of and in that", None, "der die und " * 400, "", "que las por " * 33]
+    whole = model.shares(texts)
+    monkeypatch.setattr(li, "PART", 100)
+    assert model.shares(texts) == pytest.approx(whole, abs=0.02)
+    assert whole[1].sum() == whole[3].sum() == 0 and whole[0].sum() == pytest.approx(1)
+
+
 def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(1, "some words", None)], "doc_id long, text string, lang string")
     assert [r["lang_pred"] for r in li.language_report(df).collect()] == ["und"]

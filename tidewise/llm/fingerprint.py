@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from tidewise.llm.common import partitions, words
 
 K, PICK, SKETCHES = 2, 2, 48
-#: Low bits that hold a k-mer's place; the hash takes the rest.
+#: Low bits that hold a k-mer's place; the hash takes the rest. Places of texts of more than 16 million words begin again from 0.
 PLACE_BITS = 24
 PLACE = (1 << PLACE_BITS) - 1
 HASH = ((1 << 63) - 1) ^ PLACE

@@ -11,6 +11,7 @@ import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -25,6 +26,8 @@ TABLE = 1 << 15
 PER_LANGUAGE, LONGEST, WORDS_EACH = 200, 20_000, 15_000
 #: Texts are taken in pieces of so many words by the forward-backward scan, all pieces at once.
 BLOCK = 32
+#: Words that go through the chain at a time.
+PART = 200_000
 UNKNOWN = "und"
 KNOWN_WORDS = 300_000
 
@@ -115,29 +118,32 @@ class LanguageModel:
         return both / both.sum(axis=1, keepdims=True)
 
     def shares(self, texts: list[str | None]) -> np.ndarray:
-        """texts x labels: the mean of the words' marginals; rows of texts without a word are 0."""
-        out = np.zeros((len(texts), len(self.labels)))
-        part: list[str] = []
-        counts: list[tuple[int, int]] = []
-        for i, t in enumerate(texts):
-            own = LETTERS.findall(t.lower()) if t else []
-            if own:
-                counts.append((i, len(own)))
-                part += own
-            if part and (len(part) > 200_000 or i == len(texts) - 1):
-                self._add(part, counts, out)
-                part, counts = [], []
-        if part:
-            self._add(part, counts, out)
-        return out
-
-    def _add(self, words: list[str], counts: list[tuple[int, int]], out: np.ndarray) -> None:
-        rows, sizes = np.array([c[0] for c in counts]), np.array([c[1] for c in counts])
+        """texts x labels: the mean of the words' marginals; rows of texts without a word are 0.
+
+        Words go through the chain `PART` at a time; a text of more words is a new chain in each part.
+        """
+        sums, total = np.zeros((len(texts), len(self.labels))), np.zeros(len(texts))
+        words: list[str] = []
+        rows: list[tuple[int, int]] = []
+        for i, text in enumerate(texts):
+            found = (m[0] for m in LETTERS.finditer(text.lower())) if text else iter(())
+            while own := list(islice(found, PART - len(words))):
+                words += own
+                rows.append((i, len(own)))
+                if len(words) == PART:
+                    self._add(words, rows, sums, total)
+                    words, rows = [], []
+        if words:
+            self._add(words, rows, sums, total)
+        return sums / np.maximum(total, 1)[:, None]
+
+    def _add(self, words: list[str], rows: list[tuple[int, int]], sums: np.ndarray, total: np.ndarray) -> None:
+        at, sizes = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
         starts = np.r_[0, np.cumsum(sizes)[:-1]]
         first = np.zeros(len(words), dtype=bool)
         first[starts] = True
-        found = self.marginals(self.emissions(words), first)
-        out[rows] = np.add.reduceat(found, starts, axis=0) / sizes[:, None]
+        sums[at] += np.add.reduceat(self.marginals(self.emissions(words), first), starts, axis=0)
+        total[at] += sizes
 
 
 def train_language_model(texts: list[str], languages: list[str], steps: int = 40, seed: int = 0) -> LanguageModel:
