@@ -126,7 +126,10 @@ class LanguageModel:
         words: list[str] = []
         rows: list[tuple[int, int]] = []
         for i, text in enumerate(texts):
-            found = (m[0] for m in LETTERS.finditer(text.lower())) if text else iter(())
+            if not text:
+                continue
+            # A list is quicker; a text that would make a long one is gone through match by match.
+            found = iter(LETTERS.findall(text.lower())) if len(text) <= 10 * PART else (m[0] for m in LETTERS.finditer(text.lower()))
             while own := list(islice(found, PART - len(words))):
                 words += own
                 rows.append((i, len(own)))
