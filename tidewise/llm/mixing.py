@@ -18,8 +18,8 @@ MOST = 2
 #: Random offsets that are drawn for each source; the first whose words come within `NEAR` of the target, or else the nearest, is kept.
 DRAWS = 32
 NEAR = 0.001
-#: The catalogue of sources is held by the driver; more than this many are refused.
-MOST_SOURCES = 1_000_000
+#: The catalogue of sources is held by the driver; more than this many are refused. Up to FEW of them are broadcast, at most 3 MB.
+MOST_SOURCES, FEW = 1_000_000, 10_000
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> list[float]:
@@ -70,7 +70,8 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     plan = [(r["source"], r["size"], t, t / r["size"] if r["size"] else 0.0, _offsets(r["source"], seed, DRAWS)) for r, t in zip(named, want, strict=True)]
 
     ranked = placed.join(runs, (F.col("_part") == F.col("_run")) & F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "source", "size", (F.col("_at") + F.col("_shift")).alias("_rank"))
-    ranked = ranked.join(spark.createDataFrame(plan, schema), F.col("source").eqNullSafe(F.col("_source")))
+    sent = F.broadcast if len(plan) <= FEW else (lambda table: table)
+    ranked = ranked.join(sent(spark.createDataFrame(plan, schema)), F.col("source").eqNullSafe(F.col("_source")))
 
     def copies(offset):  # noqa: ANN001, ANN202
         crossed = F.floor((F.col("_rank") + 1) * F.col("_rate") + offset) - F.floor(F.col("_rank") * F.col("_rate") + offset)
@@ -83,7 +84,7 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         off = [abs(x - target) for x in got[name]]
         k = next((k for k, x in enumerate(off) if x <= NEAR * target), off.index(min(off)))
         chosen.append((name, size, target, rate, [draws[k]]))
-    ranked = ranked.drop("_source", "source_size", "target", "_rate", "_draws").join(spark.createDataFrame(chosen, schema), F.col("source").eqNullSafe(F.col("_source")))
+    ranked = ranked.drop("_source", "source_size", "target", "_rate", "_draws").join(sent(spark.createDataFrame(chosen, schema)), F.col("source").eqNullSafe(F.col("_source")))
     out = ranked.withColumn("copies", copies(F.col("_draws")[0]))
     return out.select(F.col("doc_id").alias(id_col), "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
