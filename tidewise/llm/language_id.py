@@ -14,10 +14,11 @@ from dataclasses import dataclass, field
 from itertools import islice
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewise.llm.common import fold, hashed_sample, map_columns
+from tidewise.llm.common import fold, hashed_sample
 
 #: Words: runs of letters; anything else parts them and has no label.
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -33,10 +34,9 @@ KNOWN_WORDS = 300_000
 
 
 def features(word: str) -> list[int]:
-    """Hashed features of a lower-case word: itself, prefixes and suffixes of 1 to 4, inner bigrams and trigrams."""
+    """Hashed features of a lower-case word: itself, prefixes and suffixes of 1 to 3, and trigrams."""
     w = f"<{word[:40]}>"
-    names = ["w" + w, *("p" + w[: k + 1] for k in range(1, 5)), *("s" + w[-k - 1 :] for k in range(1, 5))]
-    names += [w[i : i + n] for n in (2, 3) for i in range(len(w) - n + 1)]
+    names = ("w" + w, "p" + w[:2], "p" + w[:3], "p" + w[:4], "s" + w[-2:], "s" + w[-3:], "s" + w[-4:], *(w[i : i + 3] for i in range(len(w) - 2)))
     return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % TABLE for x in dict.fromkeys(names)]
 
 
@@ -77,23 +77,25 @@ class LanguageModel:
     def marginals(self, emit: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Forward-backward over all texts' words at once. `first` marks the words that begin a text.
 
-        A begin is a transition from anything to the start weights, so texts don't touch. The chain is cut in pieces of
+        At a begin the start weights stand in for what came before, so texts don't touch. The chain is cut in pieces of
         `BLOCK`; each piece's transfer matrix is found for all pieces together, then pieces are chained.
         """
         n, k = emit.shape
         pad = -n % BLOCK
         emit = np.exp(emit - emit.max(axis=1, keepdims=True)).astype(np.float64) + 1e-30
-        step = np.exp(self.transitions - self.transitions.max())
-        begin = np.broadcast_to(np.exp(self.start - self.start.max()), (k, k))
-        moves = np.where(first[:, None, None], begin, step) * emit[:, None, :]
-        if pad:
-            moves = np.concatenate([moves, np.broadcast_to(np.eye(k), (pad, k, k))])
-        moves = moves.reshape(-1, BLOCK, k, k)
-        whole = moves[:, 0]
-        for i in range(1, BLOCK):
-            whole = whole @ moves[:, i]
-            whole /= whole.sum(axis=(1, 2), keepdims=True)
-        blocks = len(moves)
+        # What fills up the last piece is texts of their own.
+        emit = np.concatenate([emit, np.ones((pad, k))]).reshape(-1, BLOCK, k)
+        first = np.concatenate([first, np.ones(pad, bool)]).reshape(-1, BLOCK, 1)
+        step, begin = np.exp(self.transitions - self.transitions.max()), np.exp(self.start - self.start.max())
+        blocks = len(emit)
+
+        def ahead(at: np.ndarray, i: int) -> np.ndarray:
+            at = np.where(first[:, i].reshape(-1, *[1] * (at.ndim - 1)), begin, at @ step) * emit[:, i].reshape(blocks, *[1] * (at.ndim - 2), k)
+            return at / at.sum(axis=tuple(range(1, at.ndim)), keepdims=True)
+
+        whole = np.broadcast_to(np.eye(k), (blocks, k, k))
+        for i in range(BLOCK):
+            whole = ahead(whole, i)
         into, out = np.empty((blocks, k)), np.empty((blocks, k))
         at = np.full(k, 1.0 / k)
         for b in range(blocks):
@@ -105,16 +107,15 @@ class LanguageModel:
             out[b] = at
             at = whole[b] @ at
             at /= at.sum()
-        ahead, behind = np.empty((blocks, BLOCK, k)), np.empty((blocks, BLOCK, k))
+        both = np.empty((blocks, BLOCK, k))
         for i in range(BLOCK):
-            into = np.einsum("bk,bkl->bl", into, moves[:, i])
-            into /= into.sum(axis=1, keepdims=True)
-            ahead[:, i] = into
+            into = ahead(into, i)
+            both[:, i] = into
         for i in range(BLOCK - 1, -1, -1):
-            behind[:, i] = out
-            out = np.einsum("bkl,bl->bk", moves[:, i], out)
+            both[:, i] *= out
+            out = np.where(first[:, i], 1.0, (out * emit[:, i]) @ step.T)
             out /= out.sum(axis=1, keepdims=True)
-        both = (ahead * behind).reshape(-1, k)[:n]
+        both = both.reshape(-1, k)[:n]
         return both / both.sum(axis=1, keepdims=True)
 
     def shares(self, texts: list[str | None]) -> np.ndarray:
@@ -218,35 +219,35 @@ def fit_language_model(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return train_language_model([r["text"] for r in found], [r["lang"] for r in found])
 
 
-def identify_language(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
-    """`id, lang_pred, score` for each row, and the columns `also`. Null texts and texts without a letter are "und" with score 0.
+def identify_language(df: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+    """`df` with `lang_pred` and `score` (in place of columns of these names). Null texts and texts without a letter are "und", score 0.
 
-    Whole texts are read, of any length; repeated rows give repeated rows. A model without labels calls everything "und".
+    Whole texts are read, of any length, and only they go to Python; repeated rows give repeated rows. A model without labels
+    calls everything "und".
     """
     sent = df.sparkSession.sparkContext.broadcast(model)
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (id_col, *also)) + ", lang_pred string, score double"
 
-    def predict(texts: list, *kept: list) -> dict:
+    @F.pandas_udf("lang_pred string, score double")
+    def predict(texts: pd.Series) -> pd.DataFrame:
         own = sent.value
         found = own.shares(texts) if own.labels else np.zeros((len(texts), 1))
-        best = found.argmax(axis=1)
-        some = found.max(axis=1)
-        out = dict(zip((id_col, *also), kept, strict=True))
-        return out | {"lang_pred": [own.labels[b] if s > 0 else UNKNOWN for b, s in zip(best, some, strict=True)], "score": np.minimum(some, 1.0).tolist()}
+        some = found.max(axis=1, initial=0.0)
+        names = [own.labels[b] if s > 0 else UNKNOWN for b, s in zip(found.argmax(axis=1), some, strict=True)]
+        return pd.DataFrame({"lang_pred": names, "score": np.minimum(some, 1.0)})
 
-    return map_columns(df, [text_col, id_col, *also], schema, predict)
+    # Not to be moved or done twice by the optimiser: it is the dear part.
+    found = df.withColumn("_found", predict.asNondeterministic()(F.col(text_col)))
+    return found.withColumns({"lang_pred": F.col("_found.lang_pred"), "score": F.col("_found.score")}).drop("_found")
 
 
 def language_report(df: DataFrame) -> DataFrame:
     """`doc_id, held_out, lang_pred, score` for each document, by a model that learns from the other folds."""
     model = fit_language_model(df)
-    found = identify_language(df, model)
+    found = identify_language(df.select("doc_id", "text"), model)
     return found.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
 def keep_identified(df: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of `df` whose language is known and holds at least `least` of the text; columns stay."""
-    names = df.columns
-    found = identify_language(df, fit_language_model(df), also=tuple(c for c in names if c not in ("doc_id",)))
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(names)
+    found = identify_language(df.withColumn("_row", F.struct(*df.columns)), fit_language_model(df))
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("_row.*")
