@@ -30,7 +30,7 @@ BLOCK = 32
 #: Words that go through the chain at a time.
 PART = 200_000
 UNKNOWN = "und"
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 150_000
 
 
 def features(word: str) -> list[int]:

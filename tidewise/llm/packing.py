@@ -25,7 +25,7 @@ from tidewise.llm.common import _arrow, partitions, stored
 CAPACITY = 2048
 END = 0
 #: Words whose ids a worker keeps; beyond that it starts anew.
-KNOWN = 800_000
+KNOWN = 400_000
 #: Characters for which the fast path and the tokenizer agree on classes; other texts go to the tokenizer as they are.
 PLAIN = re.compile(r"[^\x00-ɏ]")
 

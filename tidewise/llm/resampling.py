@@ -22,7 +22,7 @@ BUCKETS = 10_000
 TARGET = 20_000
 #: Share of documents to draw, and the pseudo count of each bucket.
 SHARE, SMOOTH = 0.85, 1.0
-KNOWN = 500_000
+KNOWN = 300_000
 SPLIT = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 _known: dict[str, int] = {}
 
