@@ -59,6 +59,37 @@ def test_against_all_pairs(spark):
     assert rows[904]["n_copies"] == 2 and rows[906]["class_id"] == 906
 
 
+def template_texts():
+    """Two templates with fields of different width: some pairs of a group are alike and some are not; copies of none."""
+    rng = np.random.default_rng(5)
+    out = {}
+    for group, (size, most) in enumerate(((330, 6), (280, 4))):
+        words = [f"t{group}w{i}" for i in range(200)]
+        for k in range(size):
+            own = list(words)
+            for at in rng.choice(200, int(rng.integers(1, most + 1)), replace=False):
+                own[at] = f"v{k}x{at}"
+            out[1000 * group + k] = " ".join(own)
+    return out
+
+
+@pytest.mark.parametrize("block", [256, 32])
+def test_every_link_of_large_template_groups(spark, monkeypatch, block):
+    monkeypatch.setattr(nj, "BLOCK", block)
+    texts = template_texts()
+    rows = nj.near_join(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    classes, pairs = brute(texts)
+    assert {r["doc_id"]: r["class_id"] for r in rows} == classes and all(r["n_copies"] == 1 for r in rows)
+    assert sum(r["n_links"] for r in rows) == 2 * pairs
+
+
+def test_shared_counts(monkeypatch):
+    monkeypatch.setattr(nj, "COLUMNS", 7)
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in (1, 5, 40, 80)] + [np.array([99], np.uint64)]
+    assert nj.shared_counts(sets).tolist() == [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+
+
 def test_real_documents(spark, data):
     docs = documents(spark, data)
     classes, _ = brute({r["doc_id"]: r["text"] for r in docs.collect()})

@@ -2,9 +2,9 @@
 
 Texts with one shingle set are copies: they are a class of their own and only its first document goes on. MinHash signatures
 are cut in bands; band and row counts follow from the recall wanted at the threshold. A bucket holds the classes with one band
-hash. In a bucket every class is paired with the bucket's hub, the class that shares most buckets with others, and with its
-next few neighbours in the order of another band; so pairs grow with the rows and not with the square of a bucket. Every pair
-is verified on the full shingle sets. Groups are the connected components of the verified links.
+hash. All classes of a bucket meet: each is at home in a block of its largest bucket, and blocks with classes of one bucket are
+compared block against block, a task of its own for each, on the full shingle sets. What a block leaves is counts of links and a
+root for each linked class, so that a large group's links are never written out. Groups are the connected components of all links.
 """
 
 from __future__ import annotations
@@ -17,15 +17,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidewise.llm.common import _arrow, stored
 
 SHINGLE, ALIKE, RECALL = 5, 0.8, 0.999
 #: Most hashes of a signature; the most selective bands that reach the recall within it are taken.
 HASHES = 320
-#: Neighbours that a class meets in a bucket besides the hub; a bucket of more than SPLIT rows is put in order in parts.
-NEIGHBOURS, SPLIT = 2, 2048
+#: Classes, and shingles in all their sets, of a block (about, for classes are dealt by hash); values of an incidence matrix.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 256, 1 << 20, 8192
+#: A bucket whose classes have more homes than this pairs them in parts.
+SPLIT = 2048
 #: Ids of candidates, or of documents to leave out, are broadcast up to this count (8 bytes each), else joined by a shuffle.
 FEW = 500_000
 KNOWN = 150_000
@@ -120,23 +121,106 @@ def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ba
     return df.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, schema)
 
 
-def candidate_pairs(classes: DataFrame) -> DataFrame:
-    """Pairs a < b of `rep` that share a bucket and meet there; from (rep, n_shingles, bands). Sizes must allow the similarity."""
-    each = classes.select("rep", "n_shingles", F.posexplode("bands").alias("i", "key"), "bands")
-    rows = each.select("key", "rep", "n_shingles", F.get("bands", (F.col("i") + 1) % F.size("bands")).alias("other"))
-    many = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    live = stored(rows.join(many, "key"), "buckets")
-    weight = live.groupBy("rep").agg(F.sum("n").alias("w"))
-    hubs = live.join(weight, "rep").groupBy("key").agg(F.max(F.struct("w", -F.col("rep"), "n_shingles")).alias("h"))
-    hubs = hubs.select("key", (-F.col("h.col2")).alias("hub"), F.col("h.n_shingles").alias("hub_n"))
-    met = live.join(hubs, "key").where("rep != hub").select(F.col("rep").alias("x"), F.col("n_shingles").alias("xn"), F.col("hub").alias("y"), F.col("hub_n").alias("yn"))
-    part = F.pmod(F.xxhash64("other"), F.ceil(F.col("n") / SPLIT))
-    order = Window.partitionBy("key", part).orderBy("other", "rep")
-    near = [F.lead(F.struct("rep", "n_shingles"), k).over(order) for k in range(1, NEIGHBOURS + 1)]
-    beside = live.select("rep", "n_shingles", F.array(*near).alias("m")).select("rep", "n_shingles", F.explode("m").alias("m")).where("m is not null")
-    beside = beside.select(F.col("rep").alias("x"), F.col("n_shingles").alias("xn"), F.col("m.rep").alias("y"), F.col("m.n_shingles").alias("yn"))
-    fit = F.least("xn", "yn") >= F.ceil(F.lit(ALIKE) * F.greatest("xn", "yn") - 1e-9)
-    return met.unionByName(beside).where(fit).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+def candidate_blocks(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rep, home) of each class that shares a bucket, and all pairs x <= y of homes with classes of one bucket; from (rep, n_shingles, bands).
+
+    A class's home is a part of its largest bucket. Of two classes that share a bucket the homes are the same or a pair.
+    """
+    rows = classes.select("rep", "n_shingles", F.explode("bands").alias("key"))
+    many = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s")).where("n > 1")
+    found = rows.join(many, "key").groupBy("rep").agg(F.max(F.struct("n", "key", "s")).alias("h"), F.collect_list("key").alias("keys"))
+    parts = F.ceil(F.greatest(F.col("h.n") / BLOCK, F.col("h.s") / BLOCK_SHINGLES))
+    found = stored(found.select("rep", F.xxhash64("h.key", F.pmod(F.xxhash64("rep"), parts)).alias("home"), "keys"), "homes")
+    seats = found.select(F.explode("keys").alias("key"), "home").distinct()
+    seats = seats.join(seats.groupBy("key").agg(F.ceil(F.count("*") / SPLIT).alias("of"), F.count("*").alias("n")).where("n > 1"), "key")
+    left = seats.select("key", F.col("home").alias("x"), F.pmod(F.xxhash64("home"), "of").alias("part"))
+    right = seats.select("key", F.col("home").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)).alias("part"))
+    across = left.join(right, ["key", "part"]).where("x < y").select("x", "y").distinct()
+    within = found.groupBy("home").count().where("count > 1").select(F.col("home").alias("x"), F.col("home").alias("y"))
+    return found.select("rep", "home"), stored(across.union(within), "pairs")
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many values each two of the sets share, by products of incidence matrices of `COLUMNS` values at a time."""
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    fresh = np.r_[True, flat[1:] != flat[:-1]]
+    # A value in one set alone is shared by none.
+    some = ~(fresh & np.r_[fresh[1:], True])
+    column, owner = np.cumsum(fresh[some]) - 1, owner[some]
+    out = np.zeros((len(sets), len(sets)))
+    for c in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        at = slice(*np.searchsorted(column, [c, c + COLUMNS]))
+        x = np.zeros((len(sets), min(COLUMNS, int(column[-1]) + 1 - c)), np.float32)
+        x[owner[at], column[at] - c] = 1
+        out += x @ x.T
+    out[np.diag_indices(len(sets))] = [len(s) for s in sets]
+    return out
+
+
+def block_links(ids: np.ndarray, homes: np.ndarray, sets: list[np.ndarray], x: int, y: int, alike: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, least id that links of the block lead to, number of links) for the linked ids of one pair of homes."""
+    n, shared = np.array([len(s) for s in sets]), shared_counts(sets)
+    link = shared / (n[:, None] + n - shared) >= alike
+    link[np.diag_indices(len(n))] = False
+    if x != y:
+        # Pairs of one home are another block's.
+        link &= homes[:, None] != homes
+    some = link.any(axis=1)
+    link, ids = link[some][:, some], ids[some]
+    root, before = ids.copy(), None
+    while len(ids) and not np.array_equal(root, before):
+        before = root
+        root = np.minimum(root, np.where(link, root, np.iinfo(np.int64).max).min(axis=1))
+    return ids, root, link.sum(axis=1)
+
+
+def block_verified(pairs: DataFrame, homes: DataFrame, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", alike: float = ALIKE) -> DataFrame:
+    """`id, root, n`: for each pair of homes, what `block_links` finds when all their classes meet on full shingle sets.
+
+    A pair of classes meets in one pair of homes only, so `n` adds up; the (id, root) connect what the links connect.
+    """
+    few = F.broadcast(homes) if homes.count() <= FEW else homes
+    arrow = _arrow("id long, home long, shingles binary")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([shingles(t).tobytes() for t in batch.column(2).to_pylist()], pa.binary())], schema=arrow)
+
+    texts = df.select(F.col(id_col).cast("long").alias("rep"), text_col).join(few, "rep").select("rep", "home", text_col)
+    own = stored(texts.mapInArrow(sets, "id long, home long, shingles binary").dropDuplicates(["id"]), "sets")
+    ends = pairs.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("home"))
+    rows = ends.join(own, "home").select("x", "y", "home", "id", "shingles").repartition("x", "y").sortWithinPartitions("x", "y")
+    found = _arrow("id long, root long, n long")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, kept, out, ready = None, [], [], 0
+
+        def block() -> int:
+            if len(kept) < 2:
+                return 0
+            homes, ids, own = zip(*kept, strict=True)
+            out.append(block_links(np.array(ids, np.int64), np.array(homes, np.int64), [np.frombuffer(s, np.uint64) for s in own], *at, alike))
+            return len(out[-1][0])
+
+        def batch_of() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], schema=found)
+
+        for batch in batches:
+            for x, y, *row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if (x, y) != at:
+                    ready += block()
+                    at, kept = (x, y), []
+                kept.append(row)
+            if ready >= 10_000:
+                yield batch_of()
+                out, ready = [], 0
+        block()
+        if out:
+            yield batch_of()
+
+    return rows.mapInArrow(check, "id long, root long, n long")
 
 
 def verified(pairs: DataFrame, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", alike: float = ALIKE) -> DataFrame:
@@ -196,16 +280,16 @@ def near_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """`doc_id, class_id, n_links, n_copies, n_shingles` for each row of `df`.
 
     `class_id` is the least id of the documents that links and copies join to this one, itself if there is none; `n_links` is
-    the number of verified links of its shingle set to other sets among the pairs that met; `n_copies` the rows with its set.
+    the number of verified links of its shingle set to other sets; `n_copies` the rows with its set.
     Null and empty texts have no shingle and are copies of each other. Ties and repeated rows are copies. A null id takes the
     class of its copies, or null.
     """
     signed = stored(signatures(df, id_col, text_col), "signatures")
     classes = signed.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
-    pairs = stored(candidate_pairs(classes.where("rep is not null").select("rep", "n_shingles", "bands")), "pairs")
-    links = stored(verified(pairs, df, id_col, text_col), "links")
-    roots = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
+    homes, pairs = candidate_blocks(classes.where("rep is not null").select("rep", "n_shingles", "bands"))
+    links = stored(block_verified(pairs, homes, df, id_col, text_col), "links")
+    roots = components(links.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    degree = links.groupBy("id").agg(F.sum("n").alias("n_links"))
     named = classes.select("set_hash", "rep", "n_copies").join(roots.withColumnRenamed("id", "rep"), "rep", "left").join(degree.withColumnRenamed("id", "rep"), "rep", "left")
     out = signed.drop("bands").join(named, "set_hash")
     return out.select(F.col("doc_id").alias(id_col), F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies", "n_shingles")
