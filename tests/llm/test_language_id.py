@@ -84,3 +84,15 @@ def test_stage_keeps_columns_and_clean_documents(spark, data):
     out = li.keep_identified(df)
     assert out.columns == df.columns
     assert out.count() >= 0.97 * df.count()
+
+
+def test_evenly_mixed_documents_stay(spark, data):
+    docs = documents(spark, data)
+    rows = docs.where("lang is not null and length(text) between 900 and 6000").select("lang", "text").orderBy("doc_id").collect()
+    by = {k: next(r["text"].split()[:90] for r in rows if r["lang"] == k) for k in sorted({r["lang"] for r in rows})}
+    langs = list(by)
+    mixes = [langs[:2], langs[:3], langs[:4]]
+    texts = [" ".join(w for at in range(0, 90, 15) for k in mix for w in by[k][at : at + 15]) for mix in mixes]
+    extra = spark.createDataFrame([(10_000_000 + i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    kept = li.keep_identified(docs.select("doc_id", "text", "lang").unionByName(extra)).where("doc_id >= 10000000")
+    assert sorted(r["doc_id"] - 10_000_000 for r in kept.collect()) == [0, 1, 2]

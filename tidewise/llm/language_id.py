@@ -119,11 +119,15 @@ class LanguageModel:
         return both / both.sum(axis=1, keepdims=True)
 
     def shares(self, texts: list[str | None]) -> np.ndarray:
-        """texts x labels: the mean of the words' marginals; rows of texts without a word are 0.
+        """texts x labels: the mean of the words' marginals; rows of texts without a word are 0."""
+        return self.judged(texts)[0]
+
+    def judged(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """`shares`, and for each text how sure its words are: the mean of each word's best marginal, whichever label it is for.
 
         Words go through the chain `PART` at a time; a text of more words is a new chain in each part.
         """
-        sums, total = np.zeros((len(texts), len(self.labels))), np.zeros(len(texts))
+        sums, total = np.zeros((len(texts), len(self.labels) + 1)), np.zeros(len(texts))
         words: list[str] = []
         rows: list[tuple[int, int]] = []
         for i, text in enumerate(texts):
@@ -139,14 +143,16 @@ class LanguageModel:
                     words, rows = [], []
         if words:
             self._add(words, rows, sums, total)
-        return sums / np.maximum(total, 1)[:, None]
+        sums /= np.maximum(total, 1)[:, None]
+        return sums[:, :-1], sums[:, -1]
 
     def _add(self, words: list[str], rows: list[tuple[int, int]], sums: np.ndarray, total: np.ndarray) -> None:
         at, sizes = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
         starts = np.r_[0, np.cumsum(sizes)[:-1]]
         first = np.zeros(len(words), dtype=bool)
         first[starts] = True
-        sums[at] += np.add.reduceat(self.marginals(self.emissions(words), first), starts, axis=0)
+        found = self.marginals(self.emissions(words), first)
+        sums[at] += np.add.reduceat(np.column_stack([found, found.max(axis=1)]), starts, axis=0)
         total[at] += sizes
 
 
@@ -225,19 +231,24 @@ def identify_language(df: DataFrame, model: LanguageModel, text_col: str = "text
     Whole texts are read, of any length, and only they go to Python; repeated rows give repeated rows. A model without labels
     calls everything "und".
     """
+    found = _found(df, model, text_col)
+    return found.withColumns({"lang_pred": F.col("_found.lang_pred"), "score": F.col("_found.score")}).drop("_found")
+
+
+def _found(df: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+    """`df` with `_found`: lang_pred, score, and sure, the mean of the words' best marginals."""
     sent = df.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, sure double")
     def predict(texts: pd.Series) -> pd.DataFrame:
         own = sent.value
-        found = own.shares(texts) if own.labels else np.zeros((len(texts), 1))
+        found, sure = own.judged(texts) if own.labels else (np.zeros((len(texts), 1)), np.zeros(len(texts)))
         some = found.max(axis=1, initial=0.0)
         names = [own.labels[b] if s > 0 else UNKNOWN for b, s in zip(found.argmax(axis=1), some, strict=True)]
-        return pd.DataFrame({"lang_pred": names, "score": np.minimum(some, 1.0)})
+        return pd.DataFrame({"lang_pred": names, "score": np.minimum(some, 1.0), "sure": np.minimum(sure, 1.0)})
 
     # Not to be moved or done twice by the optimiser: it is the dear part.
-    found = df.withColumn("_found", predict.asNondeterministic()(F.col(text_col)))
-    return found.withColumns({"lang_pred": F.col("_found.lang_pred"), "score": F.col("_found.score")}).drop("_found")
+    return df.withColumn("_found", predict.asNondeterministic()(F.col(text_col)))
 
 
 def language_report(df: DataFrame) -> DataFrame:
@@ -248,6 +259,9 @@ def language_report(df: DataFrame) -> DataFrame:
 
 
 def keep_identified(df: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of `df` whose language is known and holds at least `least` of the text; columns stay."""
-    found = identify_language(df.withColumn("_row", F.struct(*df.columns)), fit_language_model(df))
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("_row.*")
+    """The rows of `df` whose language, or mix of languages, is known: the words' best marginals are at least `least` in the mean.
+
+    How many languages a text holds doesn't matter, nor what share the largest has. Columns stay.
+    """
+    found = _found(df.withColumn("_row", F.struct(*df.columns)), fit_language_model(df))
+    return found.where((F.col("_found.lang_pred") != UNKNOWN) & (F.col("_found.sure") >= least)).select("_row.*")
