@@ -53,6 +53,15 @@ def test_clean_documents_stay_and_junk_goes(spark, data):
     assert kept[1] > 0.99 and kept.get(0, 0) < 0.8
 
 
+@pytest.mark.parametrize("rare", [60, 2])
+def test_clean_documents_of_a_rare_language_stay(spark, rare):
+    """Far from all others: its own reference (6,000 words of over a million) or, with 200 words, none."""
+    common = [(i, " ".join(["the", f"plain{i}", "of", "words", "and", f"more{i % 7}"] * 900), "en") for i in range(200)]
+    own = [(1000 + i, " ".join(f"слово{i}и{k} и{k}" for k in range(50)), "ru") for i in range(rare)]
+    rows = qr.quality_report(spark.createDataFrame(common + own, "doc_id long, text string, lang string")).where("doc_id >= 1000").collect()
+    assert len(rows) == rare and all(r["kept"] for r in rows)
+
+
 def plain_numbers(tokens):
     seen = collections.Counter()
     out = []

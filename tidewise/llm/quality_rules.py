@@ -27,8 +27,8 @@ CLASSES = {"upper": r"[A-Z]", "digit": r"[0-9]", "point": r"""[.,;:!?'"()\-]""",
 #: Least code points and words for a histogram to count, and the largest distances that pass.
 LEAST_CHARS, LEAST_FOR_WORDS = 200, 80
 FAR_CLASSES, FAR_WORDS = 0.30, 0.325
-#: A language needs this share of all words for a reference; so there are at most as many as its inverse.
-LEAST_SHARE = 0.01
+#: Words of a language in all its documents for a reference, however large the other languages are.
+LEAST_REFERENCE = 5_000
 
 
 def repeated_words(tokens: Column) -> Column:
@@ -83,16 +83,14 @@ def divergence(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0)))
 
 
-def references(counted: DataFrame, lang_col: str = "lang") -> list[tuple[list[float], list[float]]]:
-    """(class shares, common-word shares) of each language with at least `LEAST_SHARE` of all words, from all its documents."""
+def references(counted: DataFrame, lang_col: str = "lang") -> dict[str, tuple[list[float], list[float]]]:
+    """(class shares, common-word shares) of each language with at least `LEAST_REFERENCE` words, from all its documents."""
     sums = [F.sum(F.col(name)[i]).alias(f"{name}{i}") for name, n in (("class_counts", len(CLASSES)), ("common_counts", len(dict.fromkeys(COMMON)))) for i in range(n)]
     rows = counted.where(F.col(lang_col).isNotNull()).groupBy(lang_col).agg(F.sum("n_words").alias("n"), F.sum("word_chars").alias("chars"), *sums)
-    rows = rows.orderBy(F.desc("n"), lang_col).limit(int(1 / LEAST_SHARE)).collect()
-    total, out = sum(r["n"] for r in rows), []
-    for r in rows:
-        if r["n"] and r["n"] >= LEAST_SHARE * total:
-            a, b = ([r[f"{k}{i}"] for i in range(n)] for k, n in (("class_counts", len(CLASSES)), ("common_counts", len(dict.fromkeys(COMMON)))))
-            out.append(([x / max(1, r["chars"]) for x in [*a, max(0, r["chars"] - sum(a))]], [x / r["n"] for x in [*b, r["n"] - sum(b)]]))
+    out = {}
+    for r in rows.where(F.col("n") >= LEAST_REFERENCE).orderBy(F.desc("n"), lang_col).collect():
+        a, b = ([r[f"{k}{i}"] for i in range(n)] for k, n in (("class_counts", len(CLASSES)), ("common_counts", len(dict.fromkeys(COMMON)))))
+        out[r[lang_col]] = ([x / max(1, r["chars"]) for x in [*a, max(0, r["chars"] - sum(a))]], [x / r["n"] for x in [*b, r["n"] - sum(b)]])
     return out
 
 
@@ -107,7 +105,8 @@ def nearest(counts: Column, total: Column, known: list[list[float]]) -> Column:
 def quality_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per row of `df`: the counts, the distances, and whether the rules keep it.
 
-    Null and empty texts have no word and fail the base rule. Documents without a language give no reference but are judged.
+    Null and empty texts have no word and fail the base rule. Documents without a language give no reference but are judged;
+    those of a language that has no reference have distances but pass the histogram rule.
     """
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     counted = stored(measured(rows).drop("text"), "quality")
@@ -115,11 +114,12 @@ def quality_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     out = counted.withColumns(
         {
             "base_failed": (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")),
-            "class_distance": F.when(F.col("n_code_points") >= LEAST_CHARS, nearest(F.col("class_counts"), F.col("word_chars"), [k[0] for k in known])),
-            "word_distance": F.when(F.col("n_words") >= LEAST_FOR_WORDS, nearest(F.col("common_counts"), F.col("n_words"), [k[1] for k in known])),
+            "class_distance": F.when(F.col("n_code_points") >= LEAST_CHARS, nearest(F.col("class_counts"), F.col("word_chars"), [k[0] for k in known.values()])),
+            "word_distance": F.when(F.col("n_words") >= LEAST_FOR_WORDS, nearest(F.col("common_counts"), F.col("n_words"), [k[1] for k in known.values()])),
         }
     )
     near = (F.coalesce("class_distance", F.lit(0.0)) <= FAR_CLASSES) & (F.coalesce("word_distance", F.lit(0.0)) <= FAR_WORDS)
-    return out.withColumn("kept", ~F.col("base_failed") & near).select(
+    unknown = F.col("lang").isNotNull() & ~F.col("lang").isin(list(known))
+    return out.withColumn("kept", ~F.col("base_failed") & (near | unknown)).select(
         F.col("doc_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance"
     )
