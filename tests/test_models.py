@@ -166,3 +166,24 @@ def test_registry_validation(spark, panel):
     rows = {r["model"]: r for r in registry.validate_registry(panel(SERIES), 2, ["mean", "ar-ols", "gamma-lag"]).collect()}
     assert rows["mean"]["n_failed"] == 0 and rows["ar-ols"]["n_not_finite"] == 0
     assert rows["gamma-lag"]["n_failed"] == 1 and "ValueError" in rows["gamma-lag"]["error"]
+
+
+@pytest.mark.parametrize("key", ["rf", "extra-trees", "bagging", "gbrt", "hgb"])
+def test_tree_parameters_reach_the_estimator(spark, key):
+    from tidewise.models import panel as panel_models
+
+    key += "-step-lag-global"
+    p = registry.get_spec(key).parameters({"max_depth": 12})
+    made = panel_models.estimator(key, p)
+    assert (made.getMaxIter() if key[:2] in ("gb", "hg") else made.getNumTrees()) == p["n_estimators"] >= 200
+    assert made.getMaxDepth() == 12
+
+
+def test_iterations_reach_the_solvers():
+    rng = np.random.default_rng(0)
+    x = np.cumsum(rng.normal(size=(60, 1)), axis=0) + 0.05 * rng.normal(size=(60, 6))
+    y = x @ np.arange(6.0) + rng.normal(size=60)
+    few, many = (regressors.sgd(x, y, max_iter=n)(x) for n in (60, 2000))
+    assert not np.array_equal(few, many)
+    a, b = (regressors.huber(x, y, epsilon=0.05, max_iter=n)(x) for n in (50, 2000))
+    assert not np.array_equal(a, b)

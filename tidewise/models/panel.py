@@ -22,7 +22,8 @@ from tidewise.models.registry import get_spec
 from tidewise.operators import windows
 
 KEYS = ["unique_id", "cutoff_ds", "origin", "step", "target_ds", "y_target"]
-TREE_DEPTH, TREE_LIMIT = 10, 100
+#: The deepest trees that Spark's library grows; forests without a `max_depth` go down to it.
+TREE_DEPTH = 30
 
 
 def estimator(key: str, p: dict[str, Any]):  # noqa: ANN201
@@ -42,9 +43,9 @@ def estimator(key: str, p: dict[str, Any]):  # noqa: ANN201
     if kind == "decision-tree":
         return DecisionTreeRegressor(maxDepth=p["max_depth"], seed=0, **own)
     if kind in ("gbrt", "hgb"):
-        return GBTRegressor(maxIter=min(p["n_estimators"], TREE_LIMIT), stepSize=p["learning_rate"], maxDepth=p["max_depth"], seed=0, **own)
+        return GBTRegressor(maxIter=p["n_estimators"], stepSize=p["learning_rate"], maxDepth=p["max_depth"], seed=0, **own)
     share = {"rf": ("onethird", 1.0), "extra-trees": ("sqrt", 1.0), "bagging": ("all", 0.8)}[kind]
-    return RandomForestRegressor(numTrees=min(p["n_estimators"], TREE_LIMIT), maxDepth=TREE_DEPTH, featureSubsetStrategy=share[0], subsamplingRate=share[1], seed=0, **own)
+    return RandomForestRegressor(numTrees=p["n_estimators"], maxDepth=TREE_DEPTH if p["max_depth"] is None else p["max_depth"], featureSubsetStrategy=share[0], subsamplingRate=share[1], seed=0, **own)
 
 
 def _windows(df: DataFrame, horizon: int, p: dict[str, Any], cutoff) -> tuple[DataFrame, DataFrame, list[str]]:  # noqa: ANN001

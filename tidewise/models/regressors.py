@@ -57,10 +57,16 @@ def lasso(x: np.ndarray, y: np.ndarray, alpha: float = 0.001, max_iter: int = 50
 def huber(x: np.ndarray, y: np.ndarray, epsilon: float = 1.35, alpha: float = 0.0001, max_iter: int = 200) -> Predict:
     """Reweighted squares: residuals beyond epsilon robust deviations weigh less."""
     predict = ridge(x, y, alpha)
-    for _ in range(min(max_iter, 50)):
-        r = y - predict(x)
+    before = predict(x)
+    for _ in range(max_iter):
+        r = y - before
         scale = 1.4826 * np.median(np.abs(r - np.median(r))) or 1e-9
         predict = ridge(x, y, alpha, np.minimum(1.0, epsilon * scale / np.maximum(np.abs(r), 1e-12)))
+        now = predict(x)
+        done = np.abs(now - before).max() <= 1e-8 * max(1.0, np.abs(now).max())
+        before = now
+        if done:
+            break
     return predict
 
 
@@ -118,7 +124,7 @@ def passive_aggressive(x: np.ndarray, y: np.ndarray, c: float = 1.0, epsilon: fl
     mx, sx, my, sy = x.mean(0), x.std(0) + 1e-12, y.mean(), y.std() + 1e-12
     a, t, b = np.column_stack([np.ones(len(x)), (x - mx) / sx]), (y - my) / sy, np.zeros(x.shape[1] + 1)
     before = np.inf
-    for _ in range(min(max_iter, 100)):
+    for _ in range(max_iter):
         loss = 0.0
         for row, target in zip(a, t, strict=True):
             error = target - row @ b
@@ -175,15 +181,20 @@ def _glm(power: float) -> Callable[..., Predict]:
 
 
 def sgd(x: np.ndarray, y: np.ndarray, alpha: float = 0.0001, max_iter: int = 2000, random_state: int = 0) -> Predict:
-    """Stochastic gradient steps on squared error with a falling rate; data are standardised."""
+    """Stochastic gradient steps on squared error with a falling rate; data are standardised. Ends when five epochs in a row move
+    no weight by more than 1e-6."""
     rng = np.random.default_rng(random_state)
     mx, sx, my, sy = x.mean(0), x.std(0) + 1e-12, y.mean(), y.std() + 1e-12
     a, t, b = np.column_stack([np.ones(len(x)), (x - mx) / sx]), (y - my) / sy, np.zeros(x.shape[1] + 1)
-    k = 0
-    for _ in range(min(max_iter, 60)):
+    k = still = 0
+    for _ in range(max_iter):
+        before = b
         for i in rng.permutation(len(a)):
             k += 1
             b = b - 0.01 / k**0.25 * ((a[i] @ b - t[i]) * a[i] + alpha * np.r_[0, b[1:]])
+        still = still + 1 if np.abs(b - before).max() <= 1e-6 else 0
+        if still == 5:
+            break
     own = b[1:] / sx * sy
     return _linear(np.r_[my + sy * b[0] - mx @ own, own])
 
@@ -295,6 +306,6 @@ PANEL = {
     "ridge-step-lag-global": {"alpha": 1.0}, "bayesian-ridge-step-lag-global": {}, "ard-step-lag-global": {}, "omp-step-lag-global": {}, "quantile-step-lag-global": {"quantile": 0.5, "alpha": 0.0},
     "passive-aggressive-step-lag-global": {"c": 1.0, "epsilon": 0.1, "max_iter": 1000}, "lasso-step-lag-global": {"alpha": 0.001}, "elasticnet-step-lag-global": {"alpha": 0.001, "l1_ratio": 0.5}, "huber-step-lag-global": {"epsilon": 1.35, "alpha": 0.0001},
     "sgd-step-lag-global": {"alpha": 0.0001}, "poisson-step-lag-global": {"alpha": 1.0}, "gamma-step-lag-global": {"alpha": 1.0}, "tweedie-step-lag-global": {"alpha": 1.0, "power": 1.5},
-    "decision-tree-step-lag-global": {"max_depth": 5}, "rf-step-lag-global": {"n_estimators": 200}, "extra-trees-step-lag-global": {"n_estimators": 300}, "bagging-step-lag-global": {"n_estimators": 200},
+    "decision-tree-step-lag-global": {"max_depth": 5}, "rf-step-lag-global": {"n_estimators": 200, "max_depth": None}, "extra-trees-step-lag-global": {"n_estimators": 300, "max_depth": None}, "bagging-step-lag-global": {"n_estimators": 200, "max_depth": None},
     "gbrt-step-lag-global": {"n_estimators": 200, "learning_rate": 0.05, "max_depth": 3}, "hgb-step-lag-global": {"n_estimators": 300, "learning_rate": 0.05, "max_depth": 3},
 }
