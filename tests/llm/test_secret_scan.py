@@ -71,3 +71,24 @@ def test_redaction_keeps_rows_and_columns(spark):
 
 def test_empty_table(spark):
     assert ss.secret_report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_prose_after_a_name_is_no_secret(spark):
+    prose = ["the password is required here", "your token is invalid, try again", "this secret is forgotten by everyone", "a compass is pointing north"]
+    rest = [f"it was required {i}, invalid and (forgotten) by everyone pointing at xqjvwkzhg" for i in range(4)]
+    secrets = ["the password is q9Lx7vTz2wP4 now", "userPassword: hT7qzRw92LmX", "db_password: hT7qzRw92LmX"] + ["secret is wjqxkvbzpfhg"] * 5
+    df = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(prose + rest + secrets)], "doc_id long, text string, n_chars long")
+    rows = {r["doc_id"]: r["spans"] for r in ss.secret_report(df).collect()}
+    assert [rows[i] for i in range(8)] == [""] * 8
+    assert all("guess" in rows[i] or "assign" in rows[i] for i in range(8, 16))
+    kept = {r["doc_id"]: r["text"] for r in ss.redact_secrets(df).collect()}
+    assert [kept[i] for i in range(8)] == prose + rest and all("[SECRET]" in kept[i] for i in range(8, 16))
+    assert not ss.find_secrets("a compass is " + "q9Lx7vTz2wP4")
+
+
+@pytest.mark.parametrize(("most", "want"), [(50_000, ["alpha", "beta", "gamma", "delta"]), (3, ["alpha", "beta"]), (2, ["alpha", "beta"]), (0, [])])
+def test_corpus_ranks_are_bounded(spark, monkeypatch, most, want):
+    monkeypatch.setattr(ss, "MOST_WORDS", most)
+    texts = ["alpha beta gamma delta"] * 3 + ["alpha beta"] + ["alpha rare"] * 2
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert sorted(list(ss.corpus_ranks(df))[len(dict.fromkeys(ss.WORDS)) :]) == sorted(want)

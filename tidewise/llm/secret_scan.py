@@ -1,7 +1,7 @@
 """Secrets in text: fixed patterns, and credential values that would be hard to guess.
 
 The guess cost of a value is the least total, over all ways to cut it into segments, of what an attacker must try for each
-segment: common words by rank, dates, repeats, walks on a keyboard, and brute force over the characters' classes for the rest.
+segment: common words by rank (of a fixed list, then of the corpus), dates, repeats, walks on a keyboard, and brute force over the characters' classes for the rest.
 """
 
 from __future__ import annotations
@@ -11,8 +11,12 @@ import re
 from functools import cache
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tidewise.llm.common import stored
 
 # The patterns that the task gives, with the least length of what they find.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -22,10 +26,12 @@ KINDS = ("assign", "access", "hex", "guess")
 
 #: Where a credential's value may stand: more names and looser marks than `ASSIGN`; the value is what the DP weighs.
 CONTEXT = re.compile(
-    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|bearer|auth)"""
+    r"""(?:(?<![a-z])|(?-i:(?<=[a-z])(?=[A-Z])))(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|bearer|auth)"""
     r"""["']?[ \t]{0,8}(?:[:=]>?|\bis\b)[ \t]{0,8}["'`]?([^\s"'`<>]{6,})""",
     re.I | re.A,
 )
+#: Words of the corpus that are ranked after `WORDS`: the most common by documents, in at least so many, of at most so many letters.
+MOST_WORDS, LEAST_DOCUMENTS, LONGEST_WORD = 50_000, 3, 24
 #: Words that passwords are made of, the most common first.
 WORDS = (
     "password passwd pass admin root user login welcome letmein secret token changeme default example test guest master "
@@ -62,14 +68,30 @@ def _classes(value: str) -> float:
     return math.log10(max(n, 1))
 
 
-def _segments(value: str) -> list[list[tuple[int, float]]]:
+def corpus_ranks(df: DataFrame, text_col: str = "text") -> dict[str, int]:
+    """Ranks of `WORDS`, then of the corpus's most common words, counted over all rows but not where a credential's value stands.
+
+    At most `MOST_WORDS` of them come to the driver, all of one count or none. Only whole words of letters count, so that no part of a mixed value does.
+    """
+    prose = F.lower(F.regexp_replace(F.col(text_col), "(?i)" + CONTEXT.pattern, " "))
+    each = df.select(F.explode(F.array_distinct(F.split(prose, r"""[\s.,;:!?()"'\-]+"""))).alias("w"))
+    counts = each.where(F.length("w").between(3, LONGEST_WORD) & F.col("w").rlike(r"^\p{L}+$")).groupBy("w").agg(F.count("*").alias("n"))
+    counts = stored(counts.where(F.col("n") >= LEAST_DOCUMENTS), "words")
+    # The least count that fits, first: an ordered limit would bring as many words from each task.
+    fit = F.sum("words").over(Window.orderBy(F.desc("n"))) > MOST_WORDS
+    over = counts.groupBy("n").agg(F.count("*").alias("words")).withColumn("over", fit).where("over").agg(F.max("n")).first()[0]
+    least = LEAST_DOCUMENTS if over is None else over + 1
+    found = sorted(counts.where(F.col("n") >= least).collect(), key=lambda r: (-r["n"], r["w"]))
+    return {w: i + 1 for i, w in enumerate(dict.fromkeys([*WORDS, *(r["w"] for r in found)]))}
+
+
+def _segments(value: str, words: dict[str, int] | None = None) -> list[list[tuple[int, float]]]:
     """For each start, the (end, log10 guesses) of the segments with a pattern."""
     n, low = len(value), value.lower()
-    plain, ranks, near = low.translate(LEET), _ranks(), _next_to()
-    longest = max(map(len, ranks))
+    plain, ranks, near = low.translate(LEET), words or _ranks(), _next_to()
     found: list[list[tuple[int, float]]] = [[] for _ in range(n)]
     for i in range(n):
-        for j in range(i + 3, min(n, i + longest) + 1):
+        for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
             rank = ranks.get(low[i:j]) or ranks.get(plain[i:j])
             if rank:
                 leet, upper = low[i:j] not in ranks, value[i:j] != low[i:j]
@@ -88,13 +110,13 @@ def _segments(value: str) -> list[list[tuple[int, float]]]:
     return found
 
 
-def guesses_log10(value: str) -> float:
+def guesses_log10(value: str, words: dict[str, int] | None = None) -> float:
     """log10 of the guesses for `value` by the cheapest segmentation; 0 for an empty one. Linear in its length.
 
     Each state holds the best cost of a prefix; the second one ends in a brute-force span, which further characters extend.
     """
     n = len(value)
-    each, found = _classes(value), _segments(value)
+    each, found = _classes(value), _segments(value, words)
     closed, brute = [math.inf] * (n + 1), [math.inf] * (n + 1)
     closed[0] = 0.0
     for i in range(n):
@@ -105,11 +127,11 @@ def guesses_log10(value: str) -> float:
     return min(closed[n], brute[n])
 
 
-def find_secrets(text: str | None, hard: float = HARD) -> list[tuple[str, int, int, float | None]]:
+def find_secrets(text: str | None, hard: float = HARD, words: dict[str, int] | None = None) -> list[tuple[str, int, int, float | None]]:
     """(kind, start, end, log10 guesses) by start, then kind as in `KINDS`; code points, end exclusive.
 
     Null or empty text has none. Spans of kind "guess" are credential values that no fixed pattern's span overlaps and
-    that take at least 10^hard guesses.
+    that take at least 10^hard guesses, with `words` by rank (`WORDS` if there are none).
     """
     if not text:
         return []
@@ -128,25 +150,25 @@ def find_secrets(text: str | None, hard: float = HARD) -> list[tuple[str, int, i
             start, end = m.start(1), m.start(1) + len(value)
             while at < len(base) and base[at][1] <= start:
                 at += 1
-            if len(value) >= 6 and not any(a < end and start < b for a, b in base[at : at + 3]) and (cost := guesses_log10(value)) >= hard:
+            if len(value) >= 6 and not any(a < end and start < b for a, b in base[at : at + 3]) and (cost := guesses_log10(value, words)) >= hard:
                 found.append(("guess", start, end, cost))
     found.sort(key=lambda x: (x[1], KINDS.index(x[0])))
     return found
 
 
-def secret_spans(text: Column, hard: float = HARD) -> Column:
-    """Array of (kind, start, end, guesses_log10) for a text column; empty for null text."""
+def secret_spans(text: Column, hard: float = HARD, words: Broadcast | None = None) -> Column:
+    """Array of (kind, start, end, guesses_log10) for a text column; empty for null text. `words` are ranks of words, broadcast."""
 
     @F.pandas_udf("array<struct<kind:string,start:long,end:long,guesses_log10:double>>")
     def spans(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"kind": k, "start": a, "end": b, "guesses_log10": g} for k, a, b, g in find_secrets(t, hard)] for t in texts], dtype=object)
+        return pd.Series([[{"kind": k, "start": a, "end": b, "guesses_log10": g} for k, a, b, g in find_secrets(t, hard, words and words.value)] for t in texts], dtype=object)
 
     return spans(text)
 
 
-def redact(text: str | None, mark: str = "[SECRET]", hard: float = HARD) -> str | None:
+def redact(text: str | None, mark: str = "[SECRET]", hard: float = HARD, words: dict[str, int] | None = None) -> str | None:
     """The text with every span, and what overlaps it, replaced by one mark."""
-    spans = find_secrets(text, hard)
+    spans = find_secrets(text, hard, words)
     if not spans:
         return text
     out, at = [], 0
@@ -159,10 +181,11 @@ def redact(text: str | None, mark: str = "[SECRET]", hard: float = HARD) -> str
 
 def redact_secrets(df: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
     """`df` with the secrets in `text_col` replaced; `chars_col`, if there, follows. Rows, nulls and other columns stay."""
+    words = df.sparkSession.sparkContext.broadcast(corpus_ranks(df, text_col))
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
-        return texts.map(redact)
+        return texts.map(lambda t: redact(t, words=words.value))
 
     names = df.columns
     out = df.withColumn(text_col, clean(F.col(text_col)))
@@ -176,7 +199,8 @@ def secret_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Null and empty texts have no span: zero counts and the digest of an empty string. Repeated rows give repeated rows.
     """
-    spans = df.select(F.col(id_col), secret_spans(F.col(text_col)).alias("_s"))
+    words = df.sparkSession.sparkContext.broadcast(corpus_ranks(df, text_col))
+    spans = df.select(F.col(id_col), secret_spans(F.col(text_col), words=words).alias("_s"))
     joined = lambda col: F.array_join(F.transform(col, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("_s", lambda s: s["kind"] == kind)).cast("long")
     return spans.select(
