@@ -33,6 +33,57 @@ def test_forward_backward_against_all_paths():
     assert model.marginals(emit, first) == pytest.approx(brute_marginals(model, emit, first), abs=1e-9)
 
 
+def test_expected_moves_against_all_paths():
+    import itertools
+
+    rng = np.random.default_rng(3)
+    model = li.LanguageModel(["a", "b", "c"], np.zeros((li.TABLE, 3), np.float32), rng.normal(size=(3, 3)), rng.normal(size=3))
+    emit, first = rng.normal(size=(9, 3)), np.zeros(9, bool)
+    first[[0, 6]] = True
+    truth, bounds = np.zeros((3, 3)), [0, 6, 9]
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        moves, total = np.zeros((3, 3)), 0.0
+        for path in itertools.product(range(3), repeat=b - a):
+            p = np.exp(model.start[path[0]] + sum(emit[a + i, c] for i, c in enumerate(path)) + sum(model.transitions[x, y] for x, y in zip(path, path[1:], strict=False)))
+            total += p
+            for x, y in zip(path, path[1:], strict=False):
+                moves[x, y] += p
+        truth += moves / total
+    assert model.expected_moves(emit, first, *model.messages(emit, first)) == pytest.approx(truth, abs=1e-9)
+
+
+def test_training_learns_moves_and_starts():
+    """Transitions favour staying, for runs hold one language; words of either language are told apart."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(words, 120)) for words in (["haus", "und", "der", "nicht"], ["the", "house", "and", "not"]) for _ in range(20)]
+    model = li.train_language_model(texts, ["de"] * 20 + ["en"] * 20)
+    assert np.all(np.diag(model.transitions) > model.transitions.max(axis=1, where=~np.eye(2, dtype=bool), initial=-np.inf))
+    assert model.lexicon and np.isfinite(model.start).all()
+    reader = li.Reader(model)
+    words = "the house and der haus und nicht".split()
+    first = np.zeros(7, bool)
+    first[0] = True
+    assert model.marginals(reader.emissions(words), first).argmax(axis=1).tolist() == [1, 1, 1, 0, 0, 0, 0]
+
+
+def test_words_are_dealt_evenly_and_copies_count_once():
+    runs = li.training_runs(["a b c"] * 50 + ["d " * 20_000, "e " * 20_000], ["x"] * 52, np.random.default_rng(0))
+    words = [w for run, _ in runs for w in run]
+    assert 3 == sum(w in "abc" for w in words) and abs(words.count("d") - words.count("e")) <= 1 and 14_990 <= len(words) <= li.WORDS_EACH
+
+
+def test_every_letter_of_a_long_run_is_read(model):
+    assert [len(w) for w in li.LETTERS.findall("x" * 100)] == [24, 24, 24, 24, 4]
+    assert li.features("a" * 30 + "b") != li.features("a" * 30 + "c")
+
+
+def test_a_text_is_judged_by_itself(model, monkeypatch):
+    monkeypatch.setattr(li, "PART", 300)
+    texts = ["the of and in that " * n for n in (3, 70, 9, 200)] + ["der die und " * n for n in (90, 4, 150)]
+    together = li.Reader(model).judged(texts)[0]
+    assert together == pytest.approx(np.vstack([li.Reader(model).judged([t])[0] for t in texts]), abs=1e-9)
+
+
 def test_long_chain_is_stable():
     rng = np.random.default_rng(2)
     model = li.LanguageModel(["a", "b"], np.zeros((li.TABLE, 2), np.float32), np.array([[3.0, -3], [-3, 3]]), np.zeros(2))
@@ -60,7 +111,7 @@ def test_code_switched_text(spark, data, model):
 def test_edge_cases(spark, model):
     df = spark.createDataFrame([(1, None, 0.5), (2, "", 0.5), (3, "12 345 !!", 0.5), (4, "x" * 300_000, 0.5), (None, "the of and", 0.5), (1, None, 0.5)], "doc_id long, text string, score double")
     rows = li.identify_language(df, model).collect()
-    assert len(rows) == 6
+    assert len(rows) == 6 and li.identify_language(df.limit(0), model).count() == 0
     assert [(r["lang_pred"], r["score"]) for r in rows[:3]] == [("und", 0.0)] * 3
     assert all(0 <= r["score"] <= 1 for r in rows) and rows[4]["lang_pred"] == "en"
 
@@ -79,6 +130,12 @@ def test_nothing_to_learn_from(spark):
     assert li.language_report(df.limit(0)).count() == 0
 
 
+def test_stage_drops_nulls_and_takes_empty_tables(spark):
+    df = spark.createDataFrame([(1, None, "en"), (2, "", "en"), (3, "the cat and the dog " * 5, "en"), (4, "der hund und die katze " * 5, "de")], "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in li.keep_identified(df).collect()} == {3, 4}
+    assert li.keep_identified(df.limit(0)).count() == 0
+
+
 def test_stage_keeps_columns_and_clean_documents(spark, data):
     df = documents(spark, data)
     out = li.keep_identified(df)

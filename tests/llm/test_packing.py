@@ -53,7 +53,7 @@ def test_tree_finds_the_tightest():
 
 @pytest.mark.parametrize("text", ["", "plain words, here.\nNew line", "  two  spaces ", "a \n b\t\tc", "it's we'll 'quoted'", "naïve café ß", "日本語 mixed text", "a   b    c", "\r\n\r\n x", "<|endoftext|> x", "tail ", "1234 5678.90 %$#"])
 def test_encoder_gives_the_tokenizers_ids(text):
-    own = pk.encoder()
+    own = pk.Encoder()
     for _ in range(2):
         assert array("I", own.encode(text)).tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
 
@@ -66,7 +66,7 @@ def test_pieces():
 
 
 def check_packing(rows, texts, capacity=pk.CAPACITY):
-    own = pk.encoder()
+    own = pk.Encoder()
     sequences, by_doc = {}, {}
     for r in rows:
         sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))

@@ -92,3 +92,17 @@ def test_corpus_ranks_are_bounded(spark, monkeypatch, most, want):
     texts = ["alpha beta gamma delta"] * 3 + ["alpha beta"] + ["alpha rare"] * 2
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     assert sorted(list(ss.corpus_ranks(df))[len(dict.fromkeys(ss.WORDS)) :]) == sorted(want)
+
+
+def test_blanks_of_any_kind_and_number():
+    value = "X9fk2LmQ7ZpT"
+    for between in ("\tis\t", " " * 40 + "= ", "\t:\t", " is "):
+        text = f"the token{between}{value} ends"
+        assert any(text[a:b].endswith(value) for _, a, b, _ in ss.find_secrets(text)), repr(between)
+    assert not ss.find_secrets("a keyword is here, and a passing bus is late")
+
+
+def test_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "password: hunter2hunter2"), (1, "password: hunter2hunter2"), (None, None)], "doc_id long, text string")
+    rows = ss.secret_report(df).collect()
+    assert len(rows) == 3 and sorted(r["n_assign"] for r in rows) == [0, 1, 1]

@@ -8,7 +8,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,14 +81,43 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def map_columns(df: DataFrame, columns: list[str], schema: str | T.StructType, rows: Callable[..., dict]) -> DataFrame:
-    """Narrow Arrow map. `rows` gets the listed columns of a batch as Python lists and returns columns by name."""
+#: Bytes of an Arrow batch that goes to a Python worker.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by `BATCH_BYTES` where they are at Spark's 64 MB: texts are long, and a worker holds several batches."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name).rstrip("bB") == str(64 << 20):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+#: Bytes of text whose Python objects are alive at a time in a worker; a longer text is alone.
+PART_BYTES = 1 << 20
+
+
+def parts(texts: pa.Array | pa.ChunkedArray) -> Iterator[slice]:
+    """Ranges of rows with about `PART_BYTES` of text each, in order: an Arrow batch holds up to 64 MB."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    part = (ends - 1) // PART_BYTES
+    cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(ends)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if a < b:
+            yield slice(a, b)
+
+
+def map_columns(df: DataFrame, columns: list[str], schema: str | T.StructType, rows: Callable[..., dict], state: Callable[[], object] | None = None) -> DataFrame:
+    """Narrow Arrow map; the last of the columns is a text. `rows` gets the columns' values as lists, for a part of a batch at a
+    time, and returns columns by name. `state()`, made anew in each task and gone with it, goes first if it is given."""
+    small_batches(df.sparkSession)
     arrow = _arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = (state(),) if state else ()
         for batch in batches:
-            if batch.num_rows:
-                out = rows(*(batch.column(i).to_pylist() for i in range(batch.num_columns)))
+            for part in parts(batch.column(batch.num_columns - 1)):
+                own = batch.slice(part.start, part.stop - part.start)
+                out = rows(*first, *(c.to_pylist() for c in own.columns))
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.select(*columns).mapInArrow(run, schema)
@@ -101,9 +132,9 @@ def _arrow(schema: str | T.StructType) -> pa.Schema:
 def hashed_sample(df: DataFrame, key: Column, group: str, per_group: int, salt: int) -> DataFrame:
     """A repeatable sample of about `per_group` rows of each non-null `group`, by hash of `key`; narrow but for the counts.
 
-    The 64 largest groups are sampled; rows are at most twice what was asked for over all groups.
+    Groups are classes, such as languages: their names come to the driver. Rows are at most twice what was asked for over all groups.
     """
-    counts = df.where(F.col(group).isNotNull()).groupBy(group).count().orderBy(F.desc("count"), group).limit(64).collect()
+    counts = df.where(F.col(group).isNotNull()).groupBy(group).count().collect()
     if not counts:
         return df.limit(0)
     share = F.create_map(*(F.lit(x) for r in counts for x in (r[0], min(1.0, per_group / r[1]))))

@@ -1,8 +1,8 @@
 """Language identification: a linear-chain conditional random field labels the words of a text, which may switch languages.
 
-A word's features are its affixes, its character n-grams and, for frequent words, itself (the lexicon); they are hashed into
-a table of weights. Transitions between labels are learned. A text's language is the label with the largest share of its
-words' marginal probabilities, by forward-backward.
+A word's features are its affixes and character n-grams, hashed into a table of weights, and its entry in a lexicon of the words
+that training texts repeat. Transitions between labels and the weights of a first word are learned, by the gradient that
+forward-backward gives. A text's language is the label with the largest share of its words' marginal probabilities.
 """
 
 from __future__ import annotations
@@ -10,75 +10,67 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import islice
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewise.llm.common import fold, hashed_sample
+from tidewise.llm.common import fold, hashed_sample, parts, small_batches
 
-#: Words: runs of letters; anything else parts them and has no label.
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Words: runs of letters; anything else parts them and has no label. A longer run, as in scripts without spaces, is several words.
+LONGEST_RUN = 24
+LETTERS = re.compile(rf"[^\W\d_]{{1,{LONGEST_RUN}}}")
 TABLE = 1 << 15
-#: Bounds of the training sample: documents of a language, characters of a document that may be drawn, words in all of a language.
-PER_LANGUAGE, LONGEST, WORDS_EACH = 200, 20_000, 15_000
+#: Bounds of the training sample: documents of a language, characters taken of each (from a place given by a hash of its id),
+#: words in all of a language, which are dealt evenly to its documents.
+PER_LANGUAGE, EXCERPT, WORDS_EACH = 200, 4_000, 15_000
+#: Times that training texts must hold a word of the lexicon.
+LEXICON_SEEN = 3
 #: Texts are taken in pieces of so many words by the forward-backward scan, all pieces at once.
 BLOCK = 32
-#: Words that go through the chain at a time.
-PART = 200_000
+#: Words that go through the chain at a time. A text of more is cut at multiples of PART, and each cut has so many words of what is before and after.
+PART, BESIDE = 50_000, 256
 UNKNOWN = "und"
-KNOWN_WORDS = 150_000
+KNOWN_WORDS = 100_000
 
 
 def features(word: str) -> list[int]:
-    """Hashed features of a lower-case word: itself, prefixes and suffixes of 1 to 3, and trigrams."""
-    w = f"<{word[:40]}>"
-    names = ("w" + w, "p" + w[:2], "p" + w[:3], "p" + w[:4], "s" + w[-2:], "s" + w[-3:], "s" + w[-4:], *(w[i : i + 3] for i in range(len(w) - 2)))
+    """Hashed features of a lower-case word: prefixes and suffixes of 1 to 3 letters, and trigrams."""
+    w = f"<{word}>"
+    names = ("p" + w[:2], "p" + w[:3], "p" + w[:4], "s" + w[-2:], "s" + w[-3:], "s" + w[-4:], *(w[i : i + 3] for i in range(len(w) - 2)))
     return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % TABLE for x in dict.fromkeys(names)]
 
 
 @dataclass
 class LanguageModel:
-    """Weights (TABLE x labels, float32), log transitions (labels x labels) and log start weights."""
+    """Weights (TABLE + lexicon x labels, float32), log transitions (labels x labels), log start weights, and the lexicon's rows."""
 
     labels: list[str]
     weights: np.ndarray
     transitions: np.ndarray
     start: np.ndarray
-    _known: dict[str, int] = field(default_factory=dict, repr=False)
-    _scores: np.ndarray | None = field(default=None, repr=False)
+    lexicon: dict[str, int] = field(default_factory=dict)
 
-    def __getstate__(self) -> dict:
-        return {"labels": self.labels, "weights": self.weights, "transitions": self.transitions, "start": self.start, "_known": {}, "_scores": None}
+    def features(self, word: str) -> list[int]:
+        own = self.lexicon.get(word)
+        return features(word) if own is None else [own, *features(word)]
 
     def emissions(self, words: list[str]) -> np.ndarray:
-        """words x labels scores; scores of words seen before are kept, for at most `KNOWN_WORDS` words."""
-        known = self._known
-        if len(known) > KNOWN_WORDS:
-            known.clear()
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            feats = [features(w) for w in new]
-            starts = np.r_[0, np.cumsum([len(f) for f in feats])[:-1]]
-            total = np.add.reduceat(self.weights[np.concatenate([np.asarray(f) for f in feats])], starts, axis=0)
-            first = len(known)
-            if self._scores is None or first + len(new) > len(self._scores):
-                grown = np.empty((2 * (first + len(new)), len(self.labels)), np.float32)
-                if first:
-                    grown[:first] = self._scores[:first]
-                self._scores = grown
-            self._scores[first : first + len(new)] = total
-            known.update(zip(new, range(first, first + len(new)), strict=True))
-        return self._scores[np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
+        """words x labels scores."""
+        feats = [self.features(w) for w in words]
+        starts = np.r_[0, np.cumsum([len(f) for f in feats])[:-1]]
+        return np.add.reduceat(self.weights[np.concatenate([np.asarray(f) for f in feats])], starts, axis=0)
 
-    def marginals(self, emit: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Forward-backward over all texts' words at once. `first` marks the words that begin a text.
+    def messages(self, emit: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Forward and backward messages (words x labels, each row adds up to 1) of all texts' words at once; `first` marks the words that begin a text.
 
-        At a begin the start weights stand in for what came before, so texts don't touch. The chain is cut in pieces of
-        `BLOCK`; each piece's transfer matrix is found for all pieces together, then pieces are chained.
+        The forward message holds the word's own score, the backward one doesn't. At a begin the start weights stand in for what
+        came before, so texts don't touch. The chain is cut in pieces of `BLOCK`; each piece's transfer matrix is found for all
+        pieces together, then pieces are chained.
         """
         n, k = emit.shape
         pad = -n % BLOCK
@@ -107,120 +99,176 @@ class LanguageModel:
             out[b] = at
             at = whole[b] @ at
             at /= at.sum()
-        both = np.empty((blocks, BLOCK, k))
+        forward, backward = np.empty((blocks, BLOCK, k)), np.empty((blocks, BLOCK, k))
         for i in range(BLOCK):
             into = ahead(into, i)
-            both[:, i] = into
+            forward[:, i] = into
         for i in range(BLOCK - 1, -1, -1):
-            both[:, i] *= out
+            backward[:, i] = out
             out = np.where(first[:, i], 1.0, (out * emit[:, i]) @ step.T)
             out /= out.sum(axis=1, keepdims=True)
-        both = both.reshape(-1, k)[:n]
-        return both / both.sum(axis=1, keepdims=True)
+        return forward.reshape(-1, k)[:n], backward.reshape(-1, k)[:n]
+
+    def marginals(self, emit: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Each word's probabilities of the labels, given its whole text."""
+        forward, backward = self.messages(emit, first)
+        forward *= backward
+        forward /= forward.sum(axis=1, keepdims=True)
+        return forward
+
+    def expected_moves(self, emit: np.ndarray, first: np.ndarray, forward: np.ndarray, backward: np.ndarray) -> np.ndarray:
+        """Expected number of moves from label to label over all texts, from their messages."""
+        inner = ~first[1:]
+        after = np.exp(emit[1:] - emit[1:].max(axis=1, keepdims=True)) * backward[1:]
+        pair = forward[:-1][inner][:, :, None] * np.exp(self.transitions - self.transitions.max()) * after[inner][:, None, :]
+        return (pair / np.maximum(pair.sum(axis=(1, 2), keepdims=True), 1e-300)).sum(axis=0)
 
     def shares(self, texts: list[str | None]) -> np.ndarray:
         """texts x labels: the mean of the words' marginals; rows of texts without a word are 0."""
-        return self.judged(texts)[0]
+        return Reader(self).judged(texts)[0]
 
-    def judged(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """`shares`, and for each text how sure its words are: the mean of each word's best marginal, whichever label it is for.
 
-        Words go through the chain `PART` at a time; a text of more words is a new chain in each part.
-        """
-        sums, total = np.zeros((len(texts), len(self.labels) + 1)), np.zeros(len(texts))
+class Reader:
+    """A model at work: it keeps the scores of a bounded number of words it has seen. What it says of a text depends on that text alone."""
+
+    def __init__(self, model: LanguageModel) -> None:
+        self.model = model
+        self.known: dict[str, int] = {}
+        self.most = min(KNOWN_WORDS, (1 << 22) // max(1, len(model.labels)))
+        self.scores = np.empty((self.most, len(model.labels)), np.float32)
+
+    def emissions(self, words: list[str]) -> np.ndarray:
+        known = self.known
+        new = [w for w in dict.fromkeys(words) if w not in known]
+        if len(known) + len(new) > self.most:
+            known.clear()
+            new = list(dict.fromkeys(words))
+        if len(new) > self.most:
+            return self.model.emissions(words)
+        if new:
+            first = len(known)
+            self.scores[first : first + len(new)] = self.model.emissions(new)
+            known.update(zip(new, range(first, first + len(new)), strict=True))
+        return self.scores[np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
+
+    def judged(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """`shares`, and for each text how sure its words are: the mean of each word's best marginal, whichever label it is for."""
+        sums, total = np.zeros((len(texts), len(self.model.labels) + 1)), np.zeros(len(texts))
         words: list[str] = []
-        rows: list[tuple[int, int]] = []
+        rows: list[tuple[int, int, int, int]] = []
         for i, text in enumerate(texts):
             if not text:
                 continue
             # A list is quicker; a text that would make a long one is gone through match by match.
             found = iter(LETTERS.findall(text.lower())) if len(text) <= 10 * PART else (m[0] for m in LETTERS.finditer(text.lower()))
-            while own := list(islice(found, PART - len(words))):
+            before, own = [], list(islice(found, PART + BESIDE))
+            while own:
+                core = own if len(own) <= PART + BESIDE // 2 else own[:PART]
+                rows.append((i, len(before), len(core), len(before) + len(own)))
+                words += before
                 words += own
-                rows.append((i, len(own)))
-                if len(words) == PART:
+                if len(words) >= PART:
                     self._add(words, rows, sums, total)
                     words, rows = [], []
+                before, own = core[-BESIDE:], own[len(core) :] and own[len(core) :] + list(islice(found, PART))
         if words:
             self._add(words, rows, sums, total)
         sums /= np.maximum(total, 1)[:, None]
         return sums[:, :-1], sums[:, -1]
 
-    def _add(self, words: list[str], rows: list[tuple[int, int]], sums: np.ndarray, total: np.ndarray) -> None:
-        at, sizes = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-        starts = np.r_[0, np.cumsum(sizes)[:-1]]
+    def _add(self, words: list[str], rows: list[tuple[int, int, int, int]], sums: np.ndarray, total: np.ndarray) -> None:
+        """Add the marginals of each row's own words: (text, words before them, own words, words with those beside them)."""
+        at, before, own, size = np.array(rows).T
+        starts = np.r_[0, np.cumsum(size)[:-1]]
         first = np.zeros(len(words), dtype=bool)
         first[starts] = True
-        found = self.marginals(self.emissions(words), first)
-        sums[at] += np.add.reduceat(np.column_stack([found, found.max(axis=1)]), starts, axis=0)
-        total[at] += sizes
+        found = self.model.marginals(self.emissions(words), first)
+        found = np.column_stack([found, found.max(axis=1)])
+        cuts = np.column_stack([starts + before, starts + before + own]).ravel()
+        np.add.at(sums, at, np.add.reduceat(np.concatenate([found, np.zeros((1, found.shape[1]))]), cuts, axis=0)[::2])
+        np.add.at(total, at, own)
+
+
+def training_runs(texts: list[str], languages: list[str], rng: np.random.Generator) -> list[tuple[list[str], str]]:
+    """Runs of 5 to 40 words of one text, and its language. Words are dealt evenly to a language's texts; copies of a text count once."""
+    runs: list[tuple[list[str], str]] = []
+    for label in sorted(set(languages)):
+        own = [LETTERS.findall(t.lower()) for t in sorted({t for t, x in zip(texts, languages, strict=True) if x == label})]
+        sizes = sorted(map(len, own))
+        # The most words of a text such that all fit: texts of fewer words leave the rest to the others.
+        left, most = WORDS_EACH, sizes[-1]
+        for i, size in enumerate(sizes):
+            if size > (share := left // (len(sizes) - i)):
+                most = share
+                break
+            left -= size
+        for words in own:
+            a = int(rng.integers(0, max(1, len(words) - most + 1)))
+            end = min(len(words), a + most)
+            while a < end:
+                size = min(int(rng.integers(5, 41)), end - a)
+                runs.append((words[a : a + size], label))
+                a += size
+    return runs
 
 
 def train_language_model(texts: list[str], languages: list[str], steps: int = 40, seed: int = 0) -> LanguageModel:
     """Fit by full-batch gradient (Adam) on sequences that switch between texts of different languages.
 
-    Each sequence joins runs of 5 to 40 words from texts in random order, so transitions learn that labels persist.
+    Each sequence joins runs of texts in random order, about 400 words long, so transitions learn that labels persist.
     """
     labels = sorted(set(languages))
     rng = np.random.default_rng(seed)
-    runs: list[tuple[list[str], int]] = []
-    for label in labels:
-        left = WORDS_EACH
-        for text, own in sorted(zip(texts, languages, strict=True)):
-            if own != label or left <= 0:
-                continue
-            words = LETTERS.findall(text.lower())[:left]
-            left -= len(words)
-            while words:
-                size = int(rng.integers(5, 41))
-                runs.append((words[:size], labels.index(label)))
-                words = words[size:]
+    runs = training_runs(texts, languages, rng)
     order = rng.permutation(len(runs))
     words = [w for i in order for w in runs[i][0]]
-    truth = np.concatenate([np.full(len(runs[i][0]), runs[i][1]) for i in order]) if runs else np.zeros(0, int)
     k = max(1, len(labels))
-    model = LanguageModel(labels, np.zeros((TABLE, k), np.float32), np.zeros((k, k)), np.zeros(k))
     if not words:
-        return model
-    first = np.zeros(len(words), dtype=bool)
-    first[::400] = True
+        return LanguageModel(labels, np.zeros((TABLE, k), np.float32), np.zeros((k, k)), np.zeros(k))
+    truth = np.concatenate([np.full(len(runs[i][0]), labels.index(runs[i][1])) for i in order])
     counts = Counter(words)
+    lexicon = {w: TABLE + i for i, w in enumerate(sorted(w for w, n in counts.items() if n >= LEXICON_SEEN))}
+    size = TABLE + len(lexicon)
+    model = LanguageModel(labels, np.zeros((size, k), np.float32), np.zeros((k, k)), np.zeros(k), lexicon)
+    first = np.zeros(len(words), dtype=bool)
+    starts = np.r_[0, np.cumsum([len(runs[i][0]) for i in order])[:-1]]
+    first[starts[:: max(1, len(starts) * 400 // len(words))]] = True
     vocabulary = {w: i for i, w in enumerate(counts)}
     ids = np.array([vocabulary[w] for w in words])
-    feats = [features(w) for w in vocabulary]
+    feats = [model.features(w) for w in vocabulary]
     flat, owner = np.concatenate([np.asarray(f) for f in feats]), np.repeat(np.arange(len(feats)), [len(f) for f in feats])
-    starts = np.r_[0, np.cumsum([len(f) for f in feats])[:-1]]
-    seen = np.zeros((k, k))
+    begins = np.r_[0, np.cumsum([len(f) for f in feats])[:-1]]
+    seen, one_hot = np.zeros((k, k)), np.eye(k)[truth]
     inner = ~first[1:]
     np.add.at(seen, (truth[:-1][inner], truth[1:][inner]), 1)
-    one_hot = np.eye(k)[truth]
-    moments = [np.zeros_like(x, dtype=np.float64) for x in (model.weights, model.transitions)] * 1
-    seconds = [np.zeros_like(m) for m in moments]
+    values = [model.weights.astype(np.float64), model.transitions, model.start]
+    moments, seconds = [np.zeros_like(x) for x in values], [np.zeros_like(x) for x in values]
     for t in range(1, steps + 1):
-        scores = np.add.reduceat(model.weights[flat], starts, axis=0)
-        emit = scores[ids]
-        found = model.marginals(emit, first)
-        by_word = np.stack([np.bincount(ids, (one_hot - found)[:, c], len(feats)) for c in range(k)], axis=1)
-        gradient = np.stack([np.bincount(flat, by_word[owner, c], TABLE) for c in range(k)], axis=1) / len(words) - 1e-6 * model.weights
-        # Expected transitions, from the marginals of neighbours and the model's own moves.
-        pair = found[:-1][inner][:, :, None] * np.exp(model.transitions)[None] * (np.exp(emit[1:][inner] - emit[1:][inner].max(axis=1, keepdims=True)))[:, None, :]
-        pair /= np.maximum(pair.sum(axis=(1, 2), keepdims=True), 1e-300)
-        moved = (seen - pair.sum(axis=0)) / len(words) - 1e-4 * model.transitions
-        for i, g in enumerate((gradient, moved)):
+        model.weights, model.transitions, model.start = values
+        emit = np.add.reduceat(model.weights[flat], begins, axis=0)[ids]
+        forward, backward = model.messages(emit, first)
+        moves = model.expected_moves(emit, first, forward, backward)
+        off = forward * backward
+        off = one_hot - off / off.sum(axis=1, keepdims=True)
+        by_word = np.stack([np.bincount(ids, off[:, c], len(feats)) for c in range(k)], axis=1)
+        by_feature = np.stack([np.bincount(flat, by_word[owner, c], size) for c in range(k)], axis=1)
+        gradient = (by_feature / len(words) - 1e-6 * values[0], (seen - moves) / len(words) - 1e-4 * values[1], off[first].sum(axis=0) / len(words) - 1e-4 * values[2])
+        rate = 0.2 if t < steps * 0.8 else 0.06
+        for i, g in enumerate(gradient):
             moments[i] = 0.9 * moments[i] + 0.1 * g
             seconds[i] = 0.99 * seconds[i] + 0.01 * g * g
-            by = 0.2 * (moments[i] / (1 - 0.9**t)) / (np.sqrt(seconds[i] / (1 - 0.99**t)) + 1e-8)
-            if i == 0:
-                model.weights = (model.weights + by * (t < steps * 0.8 or 0.3)).astype(np.float32)
-            else:
-                model.transitions = model.transitions + 0.5 * by
+            by = (moments[i] / (1 - 0.9**t)) / (np.sqrt(seconds[i] / (1 - 0.99**t)) + 1e-8)
+            values[i] = values[i] + rate * (1.0 if i == 0 else 0.5) * by
+    model.weights, model.transitions, model.start = values[0].astype(np.float32), values[1], values[2]
     return model
 
 
 def fit_language_model(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 4, held: int = 2) -> LanguageModel:
-    """A model from a bounded sample of labelled rows outside the held-out fold; see the bounds above."""
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    rows = rows.where((fold(F.col("doc_id"), modulus) != held) & F.col("lang").isNotNull() & (F.length("text") <= LONGEST))
+    """A model from a bounded sample of labelled rows outside the held-out fold, of all languages; see the bounds above."""
+    text = F.col(text_col)
+    start = F.pmod(F.xxhash64(F.col(id_col), F.lit(66)), F.greatest(F.length(text) - EXCERPT, F.lit(0)) + 1).cast("int") + 1
+    rows = df.select(F.col(id_col).alias("doc_id"), F.substring(text, start, F.lit(EXCERPT)).alias("text"), F.col(lang_col).alias("lang"))
+    rows = rows.where((fold(F.col("doc_id"), modulus) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     found = hashed_sample(rows, F.col("doc_id"), "lang", PER_LANGUAGE, salt=6).collect()
     return train_language_model([r["text"] for r in found], [r["lang"] for r in found])
 
@@ -237,15 +285,24 @@ def identify_language(df: DataFrame, model: LanguageModel, text_col: str = "text
 
 def _found(df: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """`df` with `_found`: lang_pred, score, and sure, the mean of the words' best marginals."""
+    small_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double, sure double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        own = sent.value
-        found, sure = own.judged(texts) if own.labels else (np.zeros((len(texts), 1)), np.zeros(len(texts)))
-        some = found.max(axis=1, initial=0.0)
-        names = [own.labels[b] if s > 0 else UNKNOWN for b, s in zip(found.argmax(axis=1), some, strict=True)]
-        return pd.DataFrame({"lang_pred": names, "score": np.minimum(some, 1.0), "sure": np.minimum(sure, 1.0)})
+    @F.arrow_udf("struct<lang_pred: string, score: double, sure: double>")
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        reader = Reader(sent.value)
+        labels = reader.model.labels
+        for texts in batches:
+            names, scores, sures = [], [], []
+            for part in parts(texts):
+                own = texts[part].to_pylist()
+                found, sure = reader.judged(own) if labels else (np.zeros((len(own), 1)), np.zeros(len(own)))
+                some = found.max(axis=1, initial=0.0)
+                names += [labels[b] if s > 0 else UNKNOWN for b, s in zip(found.argmax(axis=1), some, strict=True)]
+                scores.append(np.minimum(some, 1.0))
+                sures.append(np.minimum(sure, 1.0))
+            none = np.empty(0)
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate([none, *scores])), pa.array(np.concatenate([none, *sures]))], names=["lang_pred", "score", "sure"])
 
     # Not to be moved or done twice by the optimiser: it is the dear part.
     return df.withColumn("_found", predict.asNondeterministic()(F.col(text_col)))
