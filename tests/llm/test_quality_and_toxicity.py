@@ -49,6 +49,38 @@ def test_held_out_toxicity(spark, data):
     assert np.mean([(t > c) + 0.5 * (t == c) for t in toxic for c in clean]) > 0.92
 
 
+def test_word_counts_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(tx, "GATHERED", 50)
+    rows = [(1, "You idiot, idiot!"), (0, "an idiosyncratic idea"), (1, None), (0, ""), (1, "1diot and idea"), (0, "fine words here " * 50)]
+    truth = {}
+    for toxic, text in rows:
+        words = set(tx.WORD.findall(tx.folded(text or "")))
+        for w in words | {w[:n] + "*" for w in words for n in range(4, 10) if len(w) >= n}:
+            truth.setdefault(w, [0, 0])[toxic] += 1
+    found = tx.word_counts(spark.createDataFrame(rows, "toxic int, text string")).collect()
+    assert {r["word"]: [r["clean"], r["toxic"]] for r in found} == truth
+
+
+def test_lexicon_takes_marks_of_the_class():
+    counts = {"blorg*": (1, 60), "blorgs": (1, 55), "fine": (900, 40), "rare": (0, 4), "idiot": (2, 30)}
+    weights = tx.lexicon(counts, (1000, 100), ["idiot", "unseen"])
+    assert set(weights) == {"idiot", "unseen", "blorg*"} and weights["unseen"] == 1.0
+    assert weights["idiot"] == pytest.approx(np.log((30.5 / 101) / (2.5 / 1001)))
+
+
+def test_curve_separates_classes():
+    m = model()
+    texts = ["you idiot scum"] * 20 + ["fine words all day long"] * 20
+    fitted = tx.with_curve(m, [m.measure(t) for t in texts], [1] * 20 + [0] * 20)
+    score = fitted.score([m.measure("you idiot"), m.measure("fine words")])
+    assert score[0] > 0.5 > score[1] and tx.with_curve(m, [m.measure("x")], [1]).curve == m.curve
+
+
+def test_many_exceptions_take_linear_time():
+    m = tx.ToxicityModel({"trash": 2.0}, ("trash can",), (-2.0, 1.0, 0.5, 0.5))
+    assert m.measure("trash can " * 200_000 + "trash")[2] == 1
+
+
 def test_toxicity_edges(spark):
     df = spark.createDataFrame([(1, None, 5), (2, "", 5), (3, "idiot " * 50_000, 5), (None, "moron", 5), (1, None, 5)], "doc_id long, text string, score int")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -78,7 +110,7 @@ def test_weights_against_brute_force(spark, data):
         n = sum(own.values())
         assert rows[i]["n_ngrams"] == n
         if n:
-            assert rows[i]["log_weight"] == pytest.approx(sum(c * (share(target, k) - share(raw, k)) for k, c in own.items()) / n**0.5, abs=1e-6)
+            assert rows[i]["log_weight"] == pytest.approx(sum(c * (share(target, k) - share(raw, k)) for k, c in own.items()), abs=1e-6)
     keys = sorted((r["draw_key"] for r in rows.values()), reverse=True)
     assert [r["draw_key"] for r in rows.values() if r["kept"]].__len__() == round(0.5 * len(texts))
     assert min(r["draw_key"] for r in rows.values() if r["kept"]) == keys[round(0.5 * len(texts)) - 1]

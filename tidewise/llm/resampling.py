@@ -15,44 +15,50 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewise.llm.common import _arrow, map_columns, stored
+from tidewise.llm.common import _arrow, map_columns, parts, small_batches, stored
 
 BUCKETS = 10_000
 #: At most so many labelled documents make up the target.
 TARGET = 20_000
 #: Share of documents to draw, and the pseudo count of each bucket.
 SHARE, SMOOTH = 0.85, 1.0
-KNOWN = 300_000
+#: Words whose hashes a task keeps.
+KNOWN = 150_000
 SPLIT = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
-_known: dict[str, int] = {}
 
 
-def hashed_ngrams(text: str | None) -> np.ndarray:
-    """Bucket of each unigram and bigram of lower-case words, numbers and runs of marks; none for null or empty text."""
+def hashed_ngrams(text: str | None, known: dict[str, int] | None = None) -> np.ndarray:
+    """Bucket of each unigram and bigram of lower-case words, numbers and runs of marks; none for null or empty text.
+
+    `known` keeps hashes of words from text to text.
+    """
     if not text:
         return np.empty(0, np.int64)
-    if len(_known) > KNOWN:
-        _known.clear()
+    known = {} if known is None else known
+    if len(known) > KNOWN:
+        known.clear()
     words = SPLIT.findall(text.lower())
     try:
-        ids = list(map(_known.__getitem__, words))
+        ids = list(map(known.__getitem__, words))
     except KeyError:
-        _known.update((w, zlib.crc32(w.encode("utf-8", "surrogatepass"))) for w in set(words).difference(_known))
-        ids = list(map(_known.__getitem__, words))
+        known.update((w, zlib.crc32(w.encode("utf-8", "surrogatepass"))) for w in set(words).difference(known))
+        ids = list(map(known.__getitem__, words))
     one = np.array(ids, dtype=np.int64)
     return np.concatenate([one % BUCKETS, (one[:-1] * 31 + one[1:] * 17 + 7) % 4_294_967_291 % BUCKETS])
 
 
 def bucket_counts(df: DataFrame, text_col: str = "text") -> np.ndarray:
     """Counts of all n-grams of all rows by bucket: one array of counts for each task, added up by bucket."""
+    small_batches(df.sparkSession)
     schema = "bucket int, n long"
     arrow = _arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
+        total, known = np.zeros(BUCKETS, np.int64), {}
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                total += np.bincount(hashed_ngrams(text), minlength=BUCKETS)
+            for part in parts(batch.column(0)):
+                for text in batch.column(0)[part].to_pylist():
+                    total += np.bincount(hashed_ngrams(text, known), minlength=BUCKETS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], schema=arrow)
 
@@ -93,23 +99,23 @@ def kth_largest(keys: DataFrame, column: str, k: int) -> float:
             return sorted((x[0] for x in keys.where(F.col(column).between(low, high)).select(column).collect()), reverse=True)[k - 1]
 
 
-def resample(docs: DataFrame, target: DataFrame, share: float = SHARE, seed: int = 0) -> DataFrame:
+def resample(docs: DataFrame, target: DataFrame, share: float = SHARE, seed: int = 0, length_power: float = 0.0) -> DataFrame:
     """`doc_id, n_ngrams, log_weight, draw_key, kept` for each row: `kept` marks round(share x rows), those of the largest keys.
 
-    `target` holds texts of the wanted kind. Null and empty texts have log weight 0 per n-gram, of which they have none, and
-    rank last. Weights are means per n-gram times the square root of their number, so long texts don't rule the draw.
-    Keys depend on the seed and the id; rows with one key are kept or not together. Empty tables give none.
+    `target` holds texts of the wanted kind. A log weight is the sum of the n-grams' log ratios; with a `length_power` it is
+    divided by that power of their number (1: their mean), which tames the weights of long texts at the price of the likelihood
+    ratio. Null and empty texts have no n-gram and a null weight, and rank last. Keys depend on the seed and the id; rows with
+    one key are kept or not together. Empty tables give none.
     """
     spark = docs.sparkSession
     ratios = spark.sparkContext.broadcast(log_ratios(bucket_counts(target), bucket_counts(docs)))
 
-    def weigh(ids: list, texts: list) -> dict:
+    def weigh(known: dict, ids: list, texts: list) -> dict:
         own = ratios.value
-        found = [hashed_ngrams(t) for t in texts]
-        sums = [float(own[x].sum()) for x in found]
-        return {"doc_id": ids, "n_ngrams": [len(x) for x in found], "log_weight": [s / np.sqrt(len(x)) if len(x) else None for s, x in zip(sums, found, strict=True)]}
+        found = [hashed_ngrams(t, known) for t in texts]
+        return {"doc_id": ids, "n_ngrams": [len(x) for x in found], "log_weight": [float(own[x].sum()) / len(x) ** length_power if len(x) else None for x in found]}
 
-    weighed = map_columns(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id", "text"], "doc_id long, n_ngrams long, log_weight double", weigh)
+    weighed = map_columns(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id", "text"], "doc_id long, n_ngrams long, log_weight double", weigh, state=dict)
     unit = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
     keyed = stored(weighed.withColumn("draw_key", F.coalesce(F.col("log_weight"), F.lit(-1e9)) - F.log(-F.log(unit))), "resample")
     k = round(share * keyed.count())

@@ -9,20 +9,32 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewise.llm.common import fold, map_columns
+from tidewise.llm.common import _arrow, fold, map_columns, parts, small_batches, stored
 
-#: Bounds of the labelled sample: rows of each class, and characters of a text that may be in it.
-SAMPLE, LONGEST = 4_000, 50_000
+#: Bound of the labelled sample: documents of each class.
+SAMPLE = 4_000
 #: Seed words and phrases that hold one of them harmlessly.
-SEEDS = "idiot moron stupid worthless scum trash loser pathetic disgusting imbecile dumb jerk hate bastard crap".split()
-EXCEPTIONS = ("trash can", "trash bin", "trash bag", "take out the trash", "hate to say", "pond scum", "sore loser rule", "shut up shop")
+SEEDS = (
+    "idiot idiots idiotic moron morons moronic stupid worthless scum scumbag trash loser losers pathetic disgusting imbecile "
+    "dumb dumbass jerk hate bastard bastards crap fool vermin parasite maggot swine cretin dimwit halfwit nitwit numbskull "
+    "lowlife degenerate creep psycho lunatic coward dirtbag asshole bitch slut whore shit bullshit fuck fucking "
+    "idiota imbécil estúpido estúpida basura asqueroso idiote imbécile crétin abruti ordure connard dummkopf abschaum arschloch trottel"
+).split()
+EXCEPTIONS = (
+    "trash can", "trash bin", "trash bag", "take out the trash", "trash talk", "hate to say", "hate crime", "hate speech", "pond scum",
+    "sore loser rule", "shut up shop", "fool proof", "april fool", "parasite host", "scared to death", "swine flu", "swine fever",
+)
 #: Characters that stand for a letter, by letter.
 LOOKALIKES = {
     "a": "αа@4", "b": "в8", "c": "сϲ", "d": "ԁ", "e": "еε3€", "g": "ɡ9", "h": "һ", "i": "іι1!ı|", "j": "ј", "k": "к", "l": "ӏ",
@@ -77,7 +89,10 @@ class ToxicityModel:
             if (a == 0 or not text[a - 1].isalpha()) and (stem or b == n or not text[b].isalpha()):
                 (found if weight is not None else safe).append((a, b, weight))
         if safe:
-            found = [(a, b, w) for a, b, w in found if not any(x <= a and b <= y for x, y, _ in safe)]
+            # Phrases by start, and how far those up to each reach: one search for each hit.
+            safe.sort()
+            starts, reach = [x for x, _, _ in safe], [0, *accumulate((y for _, y, _ in safe), max)]
+            found = [h for h in found if reach[bisect_right(starts, h[0])] < h[1]]
         return found
 
     def measure(self, text: str | None) -> tuple[float, float, int, int]:
@@ -98,48 +113,102 @@ def _design(measures: list[tuple[float, float, int, int]]) -> np.ndarray:
     return np.column_stack([np.ones(len(m)), np.minimum(m[:, 0], 20), np.log1p(np.maximum(m[:, 1], 0)), m[:, 2] > 0])
 
 
-def train_toxicity(texts: list[str], toxic: list[int], seeds: list[str] | None = None, exceptions: tuple[str, ...] = EXCEPTIONS) -> ToxicityModel:
-    """Weights by log odds of documents that hold a word, for seeds and for words or stems that toxic texts hold far more often."""
-    seeds = SEEDS if seeds is None else seeds
-    held = [set(WORD.findall(folded(t))) for t in texts]
-    n = [max(1, toxic.count(k)) for k in (0, 1)]
-    seen = [Counter(w for ws, y in zip(held, toxic, strict=True) if y == k for w in ws) for k in (0, 1)]
-    odds = lambda w: math.log(((seen[1][w] + 0.5) / (n[1] + 1)) / ((seen[0][w] + 0.5) / (n[0] + 1)))
-    weights = {w: max(0.5, odds(w)) if seen[1][w] + seen[0][w] >= LEAST_SEEN else 1.0 for w in seeds}
+def held_words(text: str | None) -> set[str]:
+    """The words of a text, and their beginnings as stems with an asterisk."""
+    words = set(WORD.findall(folded(text or "")))
+    return words | {w[:n] + "*" for w in words for n in STEMS if len(w) >= n}
+
+
+def lexicon(counts: dict[str, tuple[int, int]], documents: tuple[int, int], seeds: list[str] | None = None) -> dict[str, float]:
+    """Weights by log odds of documents that hold a word, for seeds and for words or stems that toxic texts hold far more often.
+
+    `counts` has, for a word or stem, the (clean, toxic) documents that hold it.
+    """
+    n = [max(1, x) for x in documents]
+    seen = lambda w: counts.get(w, (0, 0))
+    odds = lambda w: math.log(((seen(w)[1] + 0.5) / (n[1] + 1)) / ((seen(w)[0] + 0.5) / (n[0] + 1)))
+    weights = {w: max(0.5, odds(w)) if sum(seen(w)) >= LEAST_SEEN else 1.0 for w in (SEEDS if seeds is None else seeds)}
     # Words and beginnings of words that mark the class beyond chance, at four times the rate; one of a family is enough.
-    for k in (0, 1):
-        seen[k].update(w[:size] + "*" for ws, y in zip(held, toxic, strict=True) if y == k for w, size in {(w[:n], n) for w in ws for n in STEMS if len(w) >= n})
-    sure = lambda w: odds(w) / math.sqrt(1 / seen[1][w] + 1 / (seen[0][w] + 0.5))
-    marks = [(sure(w), w) for w, c in seen[1].items() if c >= LEAST_SEEN and len(w) > 2 and odds(w) > math.log(4)]
+    sure = lambda w: odds(w) / math.sqrt(1 / seen(w)[1] + 1 / (seen(w)[0] + 0.5))
+    marks = [(sure(w), w) for w, (_, toxic) in counts.items() if toxic >= LEAST_SEEN and len(w) > 2 and odds(w) > math.log(4)]
     for z, w in sorted(marks, key=lambda m: (-m[0], -len(m[1]), m[1])):
         if z > 4 and not any(w.startswith(x.rstrip("*")) or x.startswith(w.rstrip("*")) for x in weights):
             weights[w] = odds(w)
-    model = ToxicityModel(weights, exceptions, (-2.0, 1.0, 0.5, 0.5))
-    if len(set(toxic)) < 2:
+    return weights
+
+
+def with_curve(model: ToxicityModel, measures: list[tuple[float, float, int, int]], toxic: Iterable[int]) -> ToxicityModel:
+    """The model with a logistic curve fitted to labelled measures; as it is if they are of one class only."""
+    y = np.asarray([*toxic], dtype=float)
+    if len(set(y)) < 2:
         return model
-    x, y = _design([model.measure(t) for t in texts]), np.asarray(toxic, dtype=float)
+    x = _design(measures)
     b = np.zeros(x.shape[1])
     for _ in range(50):  # Newton's method with a little ridge
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
         b = b + np.linalg.solve((x.T * (p * (1 - p))) @ x + 0.05 * np.eye(len(b)), x.T @ (y - p) - 0.05 * b)
-    model.curve = tuple(b)
-    return model
+    return ToxicityModel(model.weights, model.exceptions, tuple(b))
+
+
+#: The curve of a model that has seen no labels, and the words whose counts a task gathers before it passes them on.
+PLAIN_CURVE, GATHERED = (-2.0, 1.0, 0.5, 0.5), 200_000
+
+
+def word_counts(sample: DataFrame) -> DataFrame:
+    """`word, clean, toxic`: how many documents of each class hold a word or stem, from (text, toxic). Added up in tasks, then by word."""
+    small_batches(sample.sparkSession)
+    schema = "word string, clean long, toxic long"
+    arrow = _arrow(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = (Counter(), Counter())
+
+        def out() -> pa.RecordBatch:
+            words = [*(seen[0] | seen[1])]
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in seen)], schema=arrow)
+
+        for batch in batches:
+            for part in parts(batch.column(1)):
+                for toxic, text in zip(batch.column(0)[part].to_pylist(), batch.column(1)[part].to_pylist(), strict=True):
+                    seen[toxic].update(held_words(text))
+                    if len(seen[0]) + len(seen[1]) > GATHERED:
+                        yield out()
+                        seen = (Counter(), Counter())
+        yield out()
+
+    return sample.select("toxic", "text").mapInArrow(run, schema).groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0) -> ToxicityModel:
-    """A model from at most `SAMPLE` labelled documents of each class outside the held-out fold.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, exceptions: tuple[str, ...] = EXCEPTIONS) -> ToxicityModel:
+    """A model from at most `SAMPLE` labelled documents of each class outside the held-out fold, whole texts.
 
-    The rows are those with the least hash of their id; only their ids, at most 2 x SAMPLE, are broadcast to find their texts.
+    The documents are those with the least hash of their id; only their ids, at most 2 x SAMPLE, are broadcast to find their
+    texts, of which Spark counts the words. The driver gets counts of words that mark the class, and four numbers a document.
+    Of texts that share an id the least is taken.
     """
-    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where(F.col("toxic").isin(0, 1) & (fold(F.col("doc_id"), modulus) != held) & F.col("doc_id").isNotNull())
+    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    rows = rows.where(F.col("toxic").isin(0, 1) & (fold(F.col("doc_id"), modulus) != held) & F.col("doc_id").isNotNull())
     rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = [r for k in (0, 1) for r in rows.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect()]
     if not chosen:
-        return train_toxicity([], [])
+        return ToxicityModel(lexicon({}, (0, 0)), exceptions, PLAIN_CURVE)
     few = F.broadcast(docs.sparkSession.createDataFrame(chosen, "doc_id long, toxic int"))
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") <= LONGEST).join(few, "doc_id").limit(4 * SAMPLE).collect()
-    found.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return train_toxicity([r["text"] for r in found], [r["toxic"] for r in found])
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull()).join(few, "doc_id")
+    sample = stored(sample.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")), "labelled")
+    sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    sizes = (sizes.get(0, 0), sizes.get(1, 0))
+    # What can't become a weight stays with Spark: seeds, or words at four times the rate.
+    rate = (F.col("toxic") + 0.5) / (max(1, sizes[1]) + 1) > 3.99 * (F.col("clean") + 0.5) / (max(1, sizes[0]) + 1)
+    marks = word_counts(sample).where(F.col("word").isin(SEEDS) | ((F.col("toxic") >= LEAST_SEEN) & rate)).collect()
+    model = ToxicityModel(lexicon({r["word"]: (r["clean"], r["toxic"]) for r in marks}, sizes), exceptions, PLAIN_CURVE)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def measured(toxic: list, texts: list) -> dict:
+        found = [sent.value.measure(t) for t in texts]
+        return {"toxic": toxic, **{f"m{i}": [float(m[i]) for m in found] for i in range(4)}}
+
+    found = map_columns(sample, ["toxic", "text"], "toxic int, m0 double, m1 double, m2 double, m3 double", measured).collect()
+    return with_curve(model, [tuple(r)[1:] for r in found], [r["toxic"] for r in found])
 
 
 def score_toxicity(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
