@@ -5,9 +5,10 @@ The weights come from expectation-maximisation on held-out counts: each training
 own occurrence is deleted from the counts that predict it.
 
 Counts of the whole corpus fit on no machine, so they meet the texts by a shuffle. Documents are tokenised once, into blocks.
-Blocks
-are dealt out once; that shuffle feeds both steps that read them. A block asks for the counts of its distinct n-grams and says
-how often it has them; the asked hashes are dealt out by range, each range adds up its counts and answers every block in the order of its question. A block then has all counts of its tokens.
+Blocks are dealt out once; that shuffle feeds both steps that read them. A block asks for the counts of its distinct n-grams and
+says how often it has them; the asked hashes are dealt out by range, each range adds up its counts and answers every block in the
+order of its question. A block then has all counts of its tokens. A question is one row for each block and range it has n-grams
+in: there are never more rows than distinct n-grams of blocks, that is at most what an n-gram count by key would send.
 """
 
 from __future__ import annotations
@@ -144,7 +145,7 @@ class Block:
     @staticmethod
     def ranges(hashes: np.ndarray, n: int) -> np.ndarray:
         """Where each of n ranges begins in sorted hashes."""
-        return np.searchsorted(hashes >> np.uint64(32), [-(-(r << 32) // n) for r in range(n + 1)])
+        return np.searchsorted(hashes >> np.uint64(32), (-(-(np.arange(n + 1, dtype=np.int64) << 32) // n)).astype(np.uint64))
 
 
 def _small(counts: np.ndarray) -> bytes:
@@ -193,10 +194,10 @@ def questions(blocked: DataFrame, ranges: int) -> DataFrame:
                 one, two = own.own_counts()
                 a, b = Block.ranges(own.words, ranges), Block.ranges(own.pairs, ranges)
                 rows = []
-                for r in range(ranges):
-                    if a[r] < a[r + 1] or b[r] < b[r + 1] or r == home:
-                        starts = int(own.train.sum()) if r == home else None
-                        rows.append((r, block, own.words[a[r] : a[r + 1]].tobytes(), _small(one[a[r] : a[r + 1]]), _offsets(own.pairs[b[r] : b[r + 1]], begins[r], ranges), _small(two[b[r] : b[r + 1]]), starts))
+                # Only ranges that the block has n-grams in, so rows and steps are at most the n-grams, however many ranges there are.
+                for r in np.flatnonzero((a[:-1] < a[1:]) | (b[:-1] < b[1:]) | (np.arange(ranges) == home)).tolist():
+                    starts = int(own.train.sum()) if r == home else None
+                    rows.append((r, block, own.words[a[r] : a[r + 1]].tobytes(), _small(one[a[r] : a[r + 1]]), _offsets(own.pairs[b[r] : b[r + 1]], begins[r], ranges), _small(two[b[r] : b[r + 1]]), starts))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
