@@ -123,3 +123,53 @@ def quality_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.withColumn("kept", ~F.col("base_failed") & (near | unknown)).select(
         F.col("doc_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance"
     )
+
+
+def _sql() -> str:
+    """`quality_report` without its distances in DuckDB's SQL, over a view `documents`."""
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    common = [*dict.fromkeys(COMMON)]
+    classes = ", ".join(f"len(regexp_extract_all(joined, {quoted(c)}))" for c in CLASSES.values())
+    totals = lambda name, n: "[" + ", ".join(f"sum({name}[{i + 1}])" for i in range(n)) + "]"
+    part = lambda x: f"CASE WHEN {x} > 0 THEN {x} * log2({x} / ((z[1] + z[2]) / 2)) ELSE 0 END"
+    distance = lambda p, q: f"sqrt(greatest(list_sum(list_transform(list_zip({p}, {q}), lambda z: {part('z[1]')} + {part('z[2]')})) / 2, 0))"
+    shares = lambda counts, total: f"list_transform(list_append({counts}, greatest({total} - list_sum({counts}), 0)), lambda x: x / greatest({total}, 1)::DOUBLE)"
+    return f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {quoted("[^\\x20\\x09-\\x0D]+")}) AS ws FROM documents
+), j AS (
+  SELECT *, array_to_string(ws, '') AS joined, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, {quoted("[^\\x20\\x09-\\x0D]")})) AS lines FROM d
+), p AS (
+  SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d
+), v AS (
+  SELECT r, i, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o AS five FROM p WINDOW o AS (PARTITION BY r ORDER BY i)
+), g AS (
+  SELECT r, i, count(*) OVER (PARTITION BY r, five) AS n FROM v WHERE five IS NOT NULL
+), repeated AS (
+  SELECT r, count(DISTINCT i + k) AS n FROM g, range(5) AS t(k) WHERE g.n > 1 GROUP BY r
+), held AS (
+  SELECT r, w, count(*) AS n FROM p WHERE w IN ({", ".join(map(quoted, common))}) GROUP BY r, w
+), h AS (
+  SELECT r, map(list(w), list(n)) AS m FROM held GROUP BY r
+), c AS (
+  SELECT j.r, doc_id, lang, length(text) AS n_chars, len(ws)::BIGINT AS n_words, length(joined)::BIGINT AS word_chars, len(regexp_extract_all(joined, {quoted(SYMBOLS)}))::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(repeated.n, 0)::BIGINT AS n_repeat_words, [{classes}] AS a,
+    list_transform([{", ".join(map(quoted, common))}], lambda w: coalesce(h.m[w], 0)) AS b
+  FROM j LEFT JOIN repeated ON j.r = repeated.r LEFT JOIN h ON j.r = h.r
+), t AS (
+  SELECT lang, sum(n_words) AS n, sum(word_chars) AS chars, {totals("a", len(CLASSES))} AS a, {totals("b", len(common))} AS b FROM c WHERE lang IS NOT NULL GROUP BY lang HAVING sum(n_words) >= {LEAST_REFERENCE}
+), f AS (
+  SELECT lang, {shares("a", "chars")} AS a, {shares("b", "n")} AS b FROM t
+), s AS (
+  SELECT r, min({distance(shares("c.a", "c.word_chars"), "f.a")}) AS classes, min({distance(shares("c.b", "c.n_words"), "f.b")}) AS words FROM c, f GROUP BY r
+), u AS (
+  SELECT c.*, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed,
+    (CASE WHEN n_chars >= {LEAST_CHARS} THEN coalesce(s.classes, 0) ELSE 0 END <= {FAR_CLASSES} AND CASE WHEN n_words >= {LEAST_FOR_WORDS} THEN coalesce(s.words, 0) ELSE 0 END <= {FAR_WORDS})
+      OR (lang IS NOT NULL AND lang NOT IN (SELECT lang FROM f)) AS near
+  FROM c LEFT JOIN s ON c.r = s.r
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND near AS kept FROM u
+"""
+
+
+SQL = _sql()
