@@ -74,7 +74,20 @@ def test_words_are_dealt_evenly_and_copies_count_once():
 
 def test_every_letter_of_a_long_run_is_read(model):
     assert [len(w) for w in li.LETTERS.findall("x" * 100)] == [24, 24, 24, 24, 4]
-    assert li.features("a" * 30 + "b") != li.features("a" * 30 + "c")
+
+
+def test_features_of_words():
+    words = ["a", "ab", "haus", "a" * 24 + "", "été"]
+    trigrams, starts, own = li.features(words, {"haus": 40_000})
+    sizes = np.diff([*starts, len(trigrams)])
+    assert sizes.tolist() == [len(w) for w in words] and own[:, 6].tolist() == [li.NONE, li.NONE, 40_000, li.NONE, li.NONE]
+    alone = [li.features([w], {}) for w in words]
+    assert np.concatenate([t for t, _, _ in alone]).tolist() == trigrams.tolist()
+    assert np.concatenate([o for _, _, o in alone])[:, :6].tolist() == own[:, :6].tolist()
+    # A prefix of three letters of a word of one letter, and equal ends of different words.
+    assert own[0, 2] == own[0, 5] == li.NONE
+    assert li.features(["baum"], {})[2][0, 0] == li.features(["blau"], {})[2][0, 0] and li.features(["baum"], {})[2][0, 3] == li.features(["raum"], {})[2][0, 3]
+    assert len({*li.features(["x" * 23 + "b"], {})[0]}) == len({*li.features(["x" * 23 + "c"], {})[0]}) == 4
 
 
 def test_a_text_is_judged_by_itself(model, monkeypatch):

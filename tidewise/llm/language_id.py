@@ -8,7 +8,6 @@ forward-backward gives. A text's language is the label with the largest share of
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -25,6 +24,8 @@ from tidewise.llm.common import fold, hashed_sample, parts, small_batches
 LONGEST_RUN = 24
 LETTERS = re.compile(rf"[^\W\d_]{{1,{LONGEST_RUN}}}")
 TABLE = 1 << 15
+#: The row of weights, always 0, of what a word doesn't have; the lexicon comes after it.
+NONE = TABLE
 #: Bounds of the training sample: documents of a language, characters taken of each (from a place given by a hash of its id),
 #: words in all of a language, which are dealt evenly to its documents.
 PER_LANGUAGE, EXCERPT, WORDS_EACH = 200, 4_000, 15_000
@@ -38,16 +39,38 @@ UNKNOWN = "und"
 KNOWN_WORDS = 100_000
 
 
-def features(word: str) -> list[int]:
-    """Hashed features of a lower-case word: prefixes and suffixes of 1 to 3 letters, and trigrams."""
-    w = f"<{word}>"
-    names = ("p" + w[:2], "p" + w[:3], "p" + w[:4], "s" + w[-2:], "s" + w[-3:], "s" + w[-4:], *(w[i : i + 3] for i in range(len(w) - 2)))
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % TABLE for x in dict.fromkeys(names)]
+def _hashes(letters: list[np.ndarray], kind: int) -> np.ndarray:
+    """Table rows of runs of letters, given as an array for each place in the run."""
+    out = np.full(len(letters[0]), np.uint64(kind))
+    for x in letters:
+        out = (out ^ x) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return (out % np.uint64(TABLE)).astype(np.int64)
+
+
+def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of the weights for lower-case words: all words' trigrams one after another, where each word's begin, and one row a word of
+    its prefixes and suffixes of 1 to 3 letters and its entry in the lexicon. `NONE` stands for what a word doesn't have.
+    """
+    # Words hold letters alone, so the marks at their ends are no letters of theirs.
+    marked = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    begins, ends = np.cumsum(sizes) - sizes, np.cumsum(sizes)
+    inside = np.ones(len(marked), bool)
+    inside[ends - 1] = inside[ends - 2] = False
+    trigrams = _hashes([marked[:-2], marked[1:-1], marked[2:]], 0)[inside[:-2]]
+    own = np.full((len(words), 7), NONE)
+    for i, size in enumerate((2, 3, 4)):
+        some = np.flatnonzero(sizes >= size)
+        own[some, i] = _hashes([marked[begins[some] + k] for k in range(size)], 2 * size)
+        own[some, 3 + i] = _hashes([marked[ends[some] - size + k] for k in range(size)], 2 * size + 1)
+    own[:, 6] = [lexicon.get(w, NONE) for w in words]
+    return trigrams, begins - 2 * np.arange(len(words)), own
 
 
 @dataclass
 class LanguageModel:
-    """Weights (TABLE + lexicon x labels, float32), log transitions (labels x labels), log start weights, and the lexicon's rows."""
+    """Weights (TABLE + 1 + lexicon x labels, float32), log transitions (labels x labels), log start weights, and the lexicon's rows."""
 
     labels: list[str]
     weights: np.ndarray
@@ -55,15 +78,10 @@ class LanguageModel:
     start: np.ndarray
     lexicon: dict[str, int] = field(default_factory=dict)
 
-    def features(self, word: str) -> list[int]:
-        own = self.lexicon.get(word)
-        return features(word) if own is None else [own, *features(word)]
-
     def emissions(self, words: list[str]) -> np.ndarray:
         """words x labels scores."""
-        feats = [self.features(w) for w in words]
-        starts = np.r_[0, np.cumsum([len(f) for f in feats])[:-1]]
-        return np.add.reduceat(self.weights[np.concatenate([np.asarray(f) for f in feats])], starts, axis=0)
+        trigrams, starts, own = features(words, self.lexicon)
+        return np.add.reduceat(self.weights[trigrams], starts, axis=0) + self.weights[own].sum(axis=1)
 
     def messages(self, emit: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Forward and backward messages (words x labels, each row adds up to 1) of all texts' words at once; `first` marks the words that begin a text.
@@ -224,20 +242,20 @@ def train_language_model(texts: list[str], languages: list[str], steps: int = 40
     words = [w for i in order for w in runs[i][0]]
     k = max(1, len(labels))
     if not words:
-        return LanguageModel(labels, np.zeros((TABLE, k), np.float32), np.zeros((k, k)), np.zeros(k))
+        return LanguageModel(labels, np.zeros((NONE + 1, k), np.float32), np.zeros((k, k)), np.zeros(k))
     truth = np.concatenate([np.full(len(runs[i][0]), labels.index(runs[i][1])) for i in order])
     counts = Counter(words)
-    lexicon = {w: TABLE + i for i, w in enumerate(sorted(w for w, n in counts.items() if n >= LEXICON_SEEN))}
-    size = TABLE + len(lexicon)
+    lexicon = {w: NONE + 1 + i for i, w in enumerate(sorted(w for w, n in counts.items() if n >= LEXICON_SEEN))}
+    size = NONE + 1 + len(lexicon)
     model = LanguageModel(labels, np.zeros((size, k), np.float32), np.zeros((k, k)), np.zeros(k), lexicon)
     first = np.zeros(len(words), dtype=bool)
     starts = np.r_[0, np.cumsum([len(runs[i][0]) for i in order])[:-1]]
     first[starts[:: max(1, len(starts) * 400 // len(words))]] = True
     vocabulary = {w: i for i, w in enumerate(counts)}
     ids = np.array([vocabulary[w] for w in words])
-    feats = [model.features(w) for w in vocabulary]
-    flat, owner = np.concatenate([np.asarray(f) for f in feats]), np.repeat(np.arange(len(feats)), [len(f) for f in feats])
-    begins = np.r_[0, np.cumsum([len(f) for f in feats])[:-1]]
+    trigrams, begins, own = features(list(vocabulary), lexicon)
+    owner = np.repeat(np.arange(len(counts)), np.diff(np.r_[begins, len(trigrams)]))
+    flat, owner = np.concatenate([trigrams, own.ravel()]), np.concatenate([owner, np.repeat(np.arange(len(counts)), own.shape[1])])
     seen, one_hot = np.zeros((k, k)), np.eye(k)[truth]
     inner = ~first[1:]
     np.add.at(seen, (truth[:-1][inner], truth[1:][inner]), 1)
@@ -245,13 +263,14 @@ def train_language_model(texts: list[str], languages: list[str], steps: int = 40
     moments, seconds = [np.zeros_like(x) for x in values], [np.zeros_like(x) for x in values]
     for t in range(1, steps + 1):
         model.weights, model.transitions, model.start = values
-        emit = np.add.reduceat(model.weights[flat], begins, axis=0)[ids]
+        emit = (np.add.reduceat(model.weights[trigrams], begins, axis=0) + model.weights[own].sum(axis=1))[ids]
         forward, backward = model.messages(emit, first)
         moves = model.expected_moves(emit, first, forward, backward)
         off = forward * backward
         off = one_hot - off / off.sum(axis=1, keepdims=True)
-        by_word = np.stack([np.bincount(ids, off[:, c], len(feats)) for c in range(k)], axis=1)
+        by_word = np.stack([np.bincount(ids, off[:, c], len(counts)) for c in range(k)], axis=1)
         by_feature = np.stack([np.bincount(flat, by_word[owner, c], size) for c in range(k)], axis=1)
+        by_feature[NONE] = 0
         gradient = (by_feature / len(words) - 1e-6 * values[0], (seen - moves) / len(words) - 1e-4 * values[1], off[first].sum(axis=0) / len(words) - 1e-4 * values[2])
         rate = 0.2 if t < steps * 0.8 else 0.06
         for i, g in enumerate(gradient):
