@@ -296,6 +296,91 @@ add(
 for _model in sorted(k for k, s in models.MODELS.items() if s.tier == "kernel" and s.interface == "local" and k not in ("poly-trend",)):
     _fast = {"n_estimators": 10} if "n_estimators" in models.MODELS[_model].defaults else {}
     QUERIES[f"forecast_{_model.replace('-', '_')}"] = _forecast_query(_model, "ship_monthly", _fast)
+
+# Twins of numpy models that are folds: the same recursions over lists, for every parameter of a grid where one is searched.
+
+
+def _let(value: str, name: str, body: str) -> str:
+    return f"list_transform([{value}], lambda {name}: {body})[1]"
+
+
+def _best(grid: str, keys: str, fold: str, where: str = "true") -> str:
+    """`f`: each series with the state `v` of its least error `v.e`, the first of equals, over a grid of parameters."""
+    return f", g AS (SELECT s.*, {keys} FROM s, {grid} WHERE {where}), e AS (SELECT *, {fold} AS v FROM g), f AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY unique_id ORDER BY v.e, place) = 1)"
+
+
+def _twin(model: str, steps: str, expression: str, digits: int = 3) -> None:
+    name, source = f"forecast_{model.replace('-', '_')}", panels.PANELS["ship_monthly"]
+    query = lambda spark, d: rounded(backtest.forecast(source(spark, d), model, _H).select("unique_id", "step", "yhat"), digits)
+    add(name, query, f"{_S}{steps} SELECT unique_id, k::INTEGER AS step, {r(expression, 'yhat', digits)} FROM f, unnest(range(1, {_H + 1})) u(k)", "ship_monthly")
+
+
+_twin(
+    "holt-auto",
+    _best(
+        "unnest(range(100)) u(place)", "place, 0.1::DOUBLE + 0.8::DOUBLE * (place // 10) / 9 AS a, 0.1::DOUBLE + 0.8::DOUBLE * (place % 10) / 9 AS b",
+        _fold("{'l': t[1], 'b': t[2] - t[1], 'e': 0.0::DOUBLE}", "{'l': x, 'b': 0.0::DOUBLE, 'e': 0.0::DOUBLE}", _let("a * e.l + (1 - a) * (s.l + s.b)", "z", "{'l': z, 'b': b * (z - s.l) + (1 - b) * s.b, 'e': s.e + (e.l - s.l - s.b) * (e.l - s.l - s.b)}")),
+    ),
+    "v.l + v.b * k",
+)
+_SLOPES = "list_transform(range(1, n + 1), lambda j: CASE WHEN j < 2 THEN 0.0::DOUBLE ELSE (list_sum(list_transform(t[1:j], lambda x, i: i * x)) - (j + 1) / 2.0::DOUBLE * list_sum(t[1:j])) / (j * (j * j - 1.0::DOUBLE) / 12) END)"
+_twin(
+    "theta-auto",
+    ", h AS (SELECT *, " + _SLOPES + " AS w FROM s)"
+    + _best(
+        "unnest(range(19)) u(place)", "place, 0.05::DOUBLE + 0.9::DOUBLE * place / 18 AS a",
+        _fold("{'l': t[1], 'b': 0.0::DOUBLE, 'e': 0.0::DOUBLE}", "{'l': x, 'b': 0.0::DOUBLE, 'e': 0.0::DOUBLE}", "{'l': a * e.l + (1 - a) * s.l, 'b': 0.0::DOUBLE, 'e': s.e + pow(e.l - s.l - 0.5::DOUBLE * e.b, 2)}").replace("list_transform(t[2:], lambda x: {'l': x, 'b': 0.0::DOUBLE", "list_transform(t[2:], lambda x, i: {'l': x, 'b': w[i]"),
+    ).replace("FROM s, unnest", "FROM h s, unnest"),
+    "v.l + 0.5::DOUBLE * w[n] * k",
+)
+_twin(
+    "croston-opt",
+    ", h AS (SELECT *, list_position(list_transform(t, lambda x: x > 0), true) AS first FROM s)"
+    + _best(
+        "unnest(range(19)) u(place)", "place, 0.05::DOUBLE + 0.9::DOUBLE * place / 18 AS a",
+        _fold(
+            "{'z': t[first], 'p': first::DOUBLE, 'q': 1.0::DOUBLE, 'e': 0.0::DOUBLE}", "{'z': x, 'p': 0.0::DOUBLE, 'q': 0.0::DOUBLE, 'e': 0.0::DOUBLE}",
+            "{'z': CASE WHEN e.z > 0 THEN a * e.z + (1 - a) * s.z ELSE s.z END, 'p': CASE WHEN e.z > 0 THEN a * s.q + (1 - a) * s.p ELSE s.p END, 'q': CASE WHEN e.z > 0 THEN 1.0::DOUBLE ELSE s.q + 1 END, 'e': s.e + pow(e.z - s.z / s.p, 2)}", "t[first + 1:]",
+        ),
+    ).replace("FROM s, unnest", "FROM h s, unnest"),
+    "v.z / v.p",
+)
+for _kind, (_join, _part) in {"add": ("+", "-"), "mul": ("*", "/")}.items():
+    _none = "{'l': x, 'b': 0.0::DOUBLE, 'e': 0.0::DOUBLE, 'w': []::DOUBLE[]}"
+    _start = f"{{'l': list_avg(t[1:12]), 'b': (list_avg(t[13:24]) - list_avg(t[1:12])) / 12, 'e': 0.0::DOUBLE, 'w': list_transform(t[1:12], lambda x: x {_part} list_avg(t[1:12]))}}"
+    # The seasons are a queue: the one that is next stands first.
+    _step = _let(
+        f"a * (e.l {_part} s.w[1]) + (1 - a) * (s.l + s.b)", "z",
+        f"{{'l': z, 'b': b * (z - s.l) + (1 - b) * s.b, 'e': s.e + pow(e.l - ((s.l + s.b) {_join} s.w[1]), 2), 'w': list_append(s.w[2:], c * (e.l {_part} z) + (1 - c) * s.w[1])}}",
+    )
+    for _name, _grid, _keys in (
+        (f"holt-winters-{_kind}", "unnest(range(1)) u(place)", "place, 0.2::DOUBLE AS a, 0.1::DOUBLE AS b, 0.1::DOUBLE AS c"),
+        (f"holt-winters-{_kind}-auto", "unnest(range(343)) u(place)", "place, " + ", ".join(f"0.1::DOUBLE + 0.8::DOUBLE * ((place // {d}) % 7) / 6 AS {x}" for x, d in (("a", 49), ("b", 7), ("c", 1)))),
+    ):
+        _twin(_name, _best(_grid, _keys, _fold(_start, _none, _step, "t"), "n >= 24"), f"(v.l + v.b * k) {_join} v.w[(k - 1) % 12 + 1]")
+_twin(
+    "kalman-trend",
+    f", h AS (SELECT *, CASE WHEN {_BASE} = 0 THEN 1e-6::DOUBLE ELSE {_BASE} END AS c FROM s), f AS (SELECT *, "
+    + _fold(
+        "{'x': 0.0::DOUBLE, 'l': t[1], 'b': t[2] - t[1], 'p': 1e6::DOUBLE, 'q': 0.0::DOUBLE, 'r': 1e6::DOUBLE}", "{'x': x, 'l': 0.0::DOUBLE, 'b': 0.0::DOUBLE, 'p': 0.0::DOUBLE, 'q': 0.0::DOUBLE, 'r': 0.0::DOUBLE}",
+        _let(
+            "{'l': s.l + s.b, 'p': s.p + 2 * s.q + s.r + 0.01::DOUBLE * c, 'q': s.q + s.r, 'r': s.r + 0.001::DOUBLE * c}", "m",
+            _let(
+                "{'g': m.p / (m.p + 0.1::DOUBLE * c), 'k': m.q / (m.p + 0.1::DOUBLE * c)}", "w",
+                "{'x': 0.0::DOUBLE, 'l': m.l + w.g * (e.x - m.l), 'b': s.b + w.k * (e.x - m.l), 'p': m.p - w.g * m.p, 'q': m.q - w.g * m.q, 'r': m.r - w.k * m.q}",
+            ),
+        ), "t",
+    )
+    + " AS v FROM h)",
+    "v.l + v.b * k",
+)
+_twin(
+    "seasonal-naive-auto",
+    ", d AS (SELECT unique_id, n, unnest(list_transform(t[2:], lambda x, i: x - t[i])) AS x, unnest(range(1, n)) AS i FROM s WHERE n > 3), "
+    "c AS (SELECT a.unique_id, lag, coalesce(corr(a.x, b.x), 0) AS c FROM d a, unnest(range(2, 25)) u(lag) JOIN d b ON a.unique_id = b.unique_id AND b.i = a.i + lag WHERE lag <= (a.n - 1) // 2 GROUP BY a.unique_id, lag), "
+    "o AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY unique_id ORDER BY c DESC, lag) = 1), f AS (SELECT s.*, CASE WHEN o.c >= 0.2::DOUBLE THEN lag END AS lag FROM s LEFT JOIN o ON s.unique_id = o.unique_id)",
+    "CASE WHEN lag IS NULL THEN t[n] ELSE t[n - lag + (k - 1) % lag + 1] END",
+)
 panel_query("forecast_pipeline", "ship_monthly", lambda p: backtest.forecast(p, "pipeline", _H, {"base": "ses", "transforms": ("diff1",)}).select("unique_id", "step", "yhat"), f"{_S}, f AS (SELECT unique_id, t[n] AS l, {_ses_sql(t='list_transform(t[2:], lambda x, i: x - t[i])')} AS v FROM s) SELECT unique_id, k::INTEGER AS step, {r('l + k * v', 'yhat', 5)} FROM f, unnest(range(1, {_H + 1})) u(k)", 5)
 panel_query(
     "forecast_times", "ship_monthly", lambda p: backtest.forecast(p, "naive-last", 3).select("unique_id", "ds", "cutoff", "step"),
