@@ -2,8 +2,8 @@
 
 Texts with one shingle set are copies: they are a class of their own and only its first document goes on. MinHash signatures
 are cut in bands; band and row counts follow from the recall wanted at the threshold. A bucket holds the classes with one band
-hash. All classes of a bucket meet: each is at home in a block of its largest bucket, and blocks with classes of one bucket are
-compared block against block, a task of its own for each, on the full shingle sets. What a block leaves is counts of links and a
+hash. All classes of a bucket meet: each is at home in a block of its largest bucket, a block's full shingle sets travel as one
+row, and blocks with classes of one bucket are compared block against block. What comparisons leave is counts of links and a
 root for each linked class, so that a large group's links are never written out. Groups are the connected components of all links.
 """
 
@@ -12,25 +12,26 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewise.llm.common import _arrow, stored
+from tidewise.llm.common import _arrow, parts, small_batches, stored
 
 SHINGLE, ALIKE, RECALL = 5, 0.8, 0.999
 #: Most hashes of a signature; the most selective bands that reach the recall within it are taken.
 HASHES = 320
 #: Classes, and shingles in all their sets, of a block (about, for classes are dealt by hash); values of an incidence matrix.
-BLOCK, BLOCK_SHINGLES, COLUMNS = 256, 1 << 20, 8192
+BLOCK, BLOCK_SHINGLES, COLUMNS = 1024, 1 << 19, 2048
 #: A bucket whose classes have more homes than this pairs them in parts.
 SPLIT = 2048
-#: Ids of candidates, or of documents to leave out, are broadcast up to this count (8 bytes each), else joined by a shuffle.
+#: Candidates, or documents to leave out, are broadcast up to this count (40 bytes each), else joined by a shuffle.
 FEW = 500_000
-KNOWN = 150_000
-_known: dict[bytes, int] = {}
+#: Words whose hashes a task keeps; linked classes that it gathers before it sums them up.
+KNOWN, GATHERED = 150_000, 200_000
 
 
 def bands_for(alike: float = ALIKE, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
@@ -44,16 +45,16 @@ def bands_for(alike: float = ALIKE, recall: float = RECALL, hashes: int = HASHES
     return best
 
 
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_known) > KNOWN:
-        _known.clear()
+def _word_hashes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
+    if len(known) > KNOWN:
+        known.clear()
     try:
-        return np.array(list(map(_known.__getitem__, words)), dtype=np.uint64)
+        return np.array(list(map(known.__getitem__, words)), dtype=np.uint64)
     except KeyError:
         import xxhash
 
-        _known.update((w, xxhash.xxh3_64_intdigest(w)) for w in set(words).difference(_known))
-        return np.array(list(map(_known.__getitem__, words)), dtype=np.uint64)
+        known.update((w, xxhash.xxh3_64_intdigest(w)) for w in set(words).difference(known))
+        return np.array(list(map(known.__getitem__, words)), dtype=np.uint64)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -63,15 +64,15 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
+def shingles(text: str | None, size: int = SHINGLE, known: dict[bytes, int] | None = None) -> np.ndarray:
     """The sorted set of 64-bit hashes of runs of `size` words; a text of fewer words is one shingle, one without words none.
 
-    Bytes split at ASCII white space alone.
+    Bytes split at ASCII white space alone. `known` keeps hashes of words from text to text.
     """
     words = (text or "").encode("utf-8", "surrogatepass").split()
     if not words:
         return np.empty(0, np.uint64)
-    h = _word_hashes(words)
+    h = _word_hashes(words, {} if known is None else known)
     n = max(1, len(h) - size + 1)
     out = np.full(n, np.uint64(min(len(h), size)))
     for k in range(min(size, len(h))):
@@ -100,164 +101,230 @@ def band_hashes(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _digest(shingle_set: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingle_set.tobytes(), digest_size=16).digest()
+
+
 def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int | None = None, rows: int | None = None) -> DataFrame:
-    """`doc_id, set_hash, n_shingles, bands` for each row."""
+    """`doc_id, text_hash, set_hash, n_shingles, bands` for each row."""
     bands, rows = (bands, rows) if bands and rows else bands_for()
-    schema = "doc_id long, set_hash binary, n_shingles int, bands array<long>"
+    schema = "doc_id long, text_hash long, set_hash binary, n_shingles int, bands array<long>"
     arrow = _arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family = _family(bands * rows)
+        family, known = _family(bands * rows), {}
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            sets = [shingles(t) for t in batch.column(1).to_pylist()]
-            found = [band_hashes(signature(s, family), bands, rows) if len(s) else np.empty(0, np.int64) for s in sets]
-            ends = np.r_[0, np.cumsum([len(x) for x in found])].astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
-            digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), lists.cast(arrow[3].type)], schema=arrow)
+            for part in parts(batch.column(2)):
+                own = batch.slice(part.start, part.stop - part.start)
+                sets = [shingles(t, known=known) for t in own.column(2).to_pylist()]
+                found = [band_hashes(signature(s, family), bands, rows) if len(s) else np.empty(0, np.int64) for s in sets]
+                ends = np.r_[0, np.cumsum([len(x) for x in found])].astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
+                digests, sizes = pa.array(map(_digest, sets), pa.binary()), pa.array(map(len, sets), pa.int32())
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), digests, sizes, lists.cast(arrow[4].type)], schema=arrow)
 
-    return df.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, schema)
+    return df.select(F.col(id_col).cast("long"), F.xxhash64(text_col), text_col).mapInArrow(run, schema)
 
 
 def candidate_blocks(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rep, home) of each class that shares a bucket, and all pairs x <= y of homes with classes of one bucket; from (rep, n_shingles, bands).
+    """(class, home) of each class that shares a bucket, and all pairs x < y of homes with classes of one bucket; from (class, n_shingles, bands).
 
     A class's home is a part of its largest bucket. Of two classes that share a bucket the homes are the same or a pair.
     """
-    rows = classes.select("rep", "n_shingles", F.explode("bands").alias("key"))
+    rows = classes.select("class", "n_shingles", F.explode("bands").alias("key"))
     many = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s")).where("n > 1")
-    found = rows.join(many, "key").groupBy("rep").agg(F.max(F.struct("n", "key", "s")).alias("h"), F.collect_list("key").alias("keys"))
-    parts = F.ceil(F.greatest(F.col("h.n") / BLOCK, F.col("h.s") / BLOCK_SHINGLES))
-    found = stored(found.select("rep", F.xxhash64("h.key", F.pmod(F.xxhash64("rep"), parts)).alias("home"), "keys"), "homes")
+    found = rows.join(many, "key").groupBy("class").agg(F.max(F.struct("n", "key", "s")).alias("h"), F.collect_list("key").alias("keys"))
+    of = F.ceil(F.greatest(F.col("h.n") / BLOCK, F.col("h.s") / BLOCK_SHINGLES))
+    found = stored(found.select("class", F.xxhash64("h.key", F.pmod(F.xxhash64("class"), of)).alias("home"), "keys"), "homes")
     seats = found.select(F.explode("keys").alias("key"), "home").distinct()
     seats = seats.join(seats.groupBy("key").agg(F.ceil(F.count("*") / SPLIT).alias("of"), F.count("*").alias("n")).where("n > 1"), "key")
     left = seats.select("key", F.col("home").alias("x"), F.pmod(F.xxhash64("home"), "of").alias("part"))
     right = seats.select("key", F.col("home").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)).alias("part"))
     across = left.join(right, ["key", "part"]).where("x < y").select("x", "y").distinct()
-    within = found.groupBy("home").count().where("count > 1").select(F.col("home").alias("x"), F.col("home").alias("y"))
-    return found.select("rep", "home"), stored(across.union(within), "pairs")
-
-
-def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
-    """How many values each two of the sets share, by products of incidence matrices of `COLUMNS` values at a time."""
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    fresh = np.r_[True, flat[1:] != flat[:-1]]
-    # A value in one set alone is shared by none.
-    some = ~(fresh & np.r_[fresh[1:], True])
-    column, owner = np.cumsum(fresh[some]) - 1, owner[some]
-    out = np.zeros((len(sets), len(sets)))
-    for c in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
-        at = slice(*np.searchsorted(column, [c, c + COLUMNS]))
-        x = np.zeros((len(sets), min(COLUMNS, int(column[-1]) + 1 - c)), np.float32)
-        x[owner[at], column[at] - c] = 1
-        out += x @ x.T
-    out[np.diag_indices(len(sets))] = [len(s) for s in sets]
-    return out
+    return found.select("class", "home"), across
+
+
+class Block(NamedTuple):
+    """Classes by (id, key), and their sorted shingle sets."""
 
+    ids: np.ndarray
+    keys: np.ndarray
+    sets: list[np.ndarray]
 
-def block_links(ids: np.ndarray, homes: np.ndarray, sets: list[np.ndarray], x: int, y: int, alike: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(id, least id that links of the block lead to, number of links) for the linked ids of one pair of homes."""
-    n, shared = np.array([len(s) for s in sets]), shared_counts(sets)
-    link = shared / (n[:, None] + n - shared) >= alike
-    link[np.diag_indices(len(n))] = False
-    if x != y:
-        # Pairs of one home are another block's.
-        link &= homes[:, None] != homes
-    some = link.any(axis=1)
-    link, ids = link[some][:, some], ids[some]
-    root, before = ids.copy(), None
-    while len(ids) and not np.array_equal(root, before):
-        before = root
-        root = np.minimum(root, np.where(link, root, np.iinfo(np.int64).max).min(axis=1))
-    return ids, root, link.sum(axis=1)
+    @classmethod
+    def read(cls, row: pa.StructScalar) -> Block:
+        sizes = np.asarray(row["sizes"].values)
+        flat = np.frombuffer(row["shingles"].as_py(), np.uint64)
+        return cls(np.asarray(row["ids"].values), np.asarray(row["keys"].values), np.split(flat, np.cumsum(sizes)[:-1]))
 
 
-def block_verified(pairs: DataFrame, homes: DataFrame, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", alike: float = ALIKE) -> DataFrame:
-    """`id, root, n`: for each pair of homes, what `block_links` finds when all their classes meet on full shingle sets.
+BLOCK_TYPE = "struct<ids: array<long>, keys: array<long>, sizes: array<int>, shingles: binary>"
 
-    A pair of classes meets in one pair of homes only, so `n` adds up; the (id, root) connect what the links connect.
+
+def blocks(homes: DataFrame, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`home, block` from (class, set_hash, home): the full shingle sets of each home's classes as one row, read from the texts again.
+
+    A text is taken for a class if it has the class's id and its set; of several such rows one counts.
     """
-    few = F.broadcast(homes) if homes.count() <= FEW else homes
-    arrow = _arrow("id long, home long, shingles binary")
+    named = homes.select(F.col("class.id").alias("id"), F.col("class.key").alias("key"), "set_hash", "home")
+    few = F.broadcast(named) if named.count() <= FEW else named
+    own = _arrow("home long, id long, key long, shingles binary")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([shingles(t).tobytes() for t in batch.column(2).to_pylist()], pa.binary())], schema=arrow)
+            for part in parts(batch.column(4)):
+                rows = batch.slice(part.start, part.stop - part.start)
+                found = [shingles(t, known=known) for t in rows.column(4).to_pylist()]
+                same = pa.array([_digest(s) == h for s, h in zip(found, rows.column(3).to_pylist(), strict=True)], pa.bool_())
+                columns = [rows.column(0), rows.column(1), rows.column(2), pa.array([s.tobytes() for s in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, schema=own).filter(same)
 
-    texts = df.select(F.col(id_col).cast("long").alias("rep"), text_col).join(few, "rep").select("rep", "home", text_col)
-    own = stored(texts.mapInArrow(sets, "id long, home long, shingles binary").dropDuplicates(["id"]), "sets")
-    ends = pairs.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("home"))
-    rows = ends.join(own, "home").select("x", "y", "home", "id", "shingles").repartition("x", "y").sortWithinPartitions("x", "y")
-    found = _arrow("id long, root long, n long")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, kept, out, ready = None, [], [], 0
+    packed = _arrow(f"home long, block {BLOCK_TYPE}")
 
-        def block() -> int:
-            if len(kept) < 2:
-                return 0
-            homes, ids, own = zip(*kept, strict=True)
-            out.append(block_links(np.array(ids, np.int64), np.array(homes, np.int64), [np.frombuffer(s, np.uint64) for s in own], *at, alike))
-            return len(out[-1][0])
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        home, kept = None, {}
 
-        def batch_of() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], schema=found)
+        def out() -> pa.RecordBatch:
+            (ids, keys), found = zip(*kept, strict=True), kept.values()
+            row = {"ids": ids, "keys": keys, "sizes": [len(s) // 8 for s in found], "shingles": b"".join(found)}
+            return pa.RecordBatch.from_arrays([pa.array([home], pa.int64()), pa.array([row], packed[1].type)], schema=packed)
 
         for batch in batches:
-            for x, y, *row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if (x, y) != at:
-                    ready += block()
-                    at, kept = (x, y), []
-                kept.append(row)
-            if ready >= 10_000:
-                yield batch_of()
-                out, ready = [], 0
-        block()
-        if out:
-            yield batch_of()
-
-    return rows.mapInArrow(check, "id long, root long, n long")
-
-
-def verified(pairs: DataFrame, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", alike: float = ALIKE) -> DataFrame:
-    """The pairs whose full shingle sets have at least the similarity, as `a, b, jaccard`."""
-    ids = stored(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id"), "candidates")
-    few = F.broadcast(ids) if ids.count() <= FEW else ids
-    arrow = _arrow("id long, shingles binary")
+            for h, i, key, s in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                if h != home and kept:
+                    yield out()
+                    kept = {}
+                home = h
+                kept[i, key] = s
+        if kept:
+            yield out()
+
+    texts = df.select(F.col(id_col).cast("long").alias("id"), text_col).join(few, "id").select("home", "id", "key", "set_hash", text_col)
+    rows = texts.mapInArrow(sets, "home long, id long, key long, shingles binary").repartition("home").sortWithinPartitions("home", "id", "key")
+    return rows.mapInArrow(pack, f"home long, block {BLOCK_TYPE}")
+
+
+def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many values each set of `a` shares with each of `b`, by products of incidence matrices of `COLUMNS` values at a time."""
+    sides = []
+    for sets in (a, b):
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.argsort(flat, kind="stable")
+        sides.append((flat[order], owner[order]))
+    both = np.intersect1d(sides[0][0], sides[1][0])
+    found = []
+    for flat, owner in sides:
+        at = np.searchsorted(both, flat)
+        some = both[np.minimum(at, len(both) - 1)] == flat if len(both) else np.zeros(len(flat), bool)
+        found.append((at[some], owner[some]))
+    out = np.zeros((len(a), len(b)))
+    for c in range(0, len(both), COLUMNS):
+        pair = []
+        for (column, owner), n in zip(found, out.shape, strict=True):
+            at = slice(*np.searchsorted(column, [c, c + COLUMNS]))
+            x = np.zeros((n, min(COLUMNS, len(both) - c)), np.float32)
+            x[owner[at], column[at] - c] = 1
+            pair.append(x)
+        out += pair[0] @ pair[1].T
+    return out
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], schema=arrow)
 
-    texts = df.select(F.col(id_col).cast("long").alias("id"), text_col).join(few, "id")
-    # One row for each id before it is stored: the joins then have plain shuffles on both sides, which Spark can split where a hub is.
-    own = stored(texts.mapInArrow(sets, "id long, shingles binary").dropDuplicates(["id"]), "sets")
-    both = pairs.join(own.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(own.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-    linked = _arrow("a long, b long, jaccard double")
+def block_links(x: Block, y: Block | None, alike: float = ALIKE) -> tuple[list[tuple[int, int]], list[tuple[int, int]], list[int]]:
+    """(class, least class that links lead to, number of links) of the linked classes when x meets y, or itself if y is None."""
+    other = x if y is None else y
+    n, m = (np.array([len(s) for s in b.sets]) for b in (x, other))
+    shared = shared_counts(x.sets, other.sets)
+    link = shared / (n[:, None] + m - shared) >= alike
+    if y is None:
+        link[np.diag_indices(len(n))] = False
+    left, right = np.flatnonzero(link.any(axis=1)), np.flatnonzero(link.any(axis=0))
+    if not len(left):
+        return [], [], []
+    link = link[np.ix_(left, right)]
+    names = [*zip(x.ids[left].tolist(), x.keys[left].tolist(), strict=True)]
+    if y is None:
+        counts = link.sum(axis=1).tolist()
+    else:
+        names += zip(y.ids[right].tolist(), y.keys[right].tolist(), strict=True)
+        counts = [*link.sum(axis=1).tolist(), *link.sum(axis=0).tolist()]
+    order = sorted(range(len(names)), key=names.__getitem__)
+    rank = np.empty(len(names), np.int64)
+    rank[order] = np.arange(len(names))
+    a, b = (rank, rank) if y is None else (rank[: len(left)], rank[len(left) :])
+    while True:
+        low_a = np.minimum(a, np.where(link, b[None, :], len(names)).min(axis=1))
+        low_b = low_a if y is None else np.minimum(b, np.where(link, low_a[:, None], len(names)).min(axis=0))
+        if np.array_equal(a, low_a) and np.array_equal(b, low_b):
+            break
+        a, b = low_a, low_b
+    roots = a if y is None else np.concatenate([a, b])
+    return names, [names[order[r]] for r in roots], counts
+
+
+class Gathered:
+    """Linked classes of many comparisons, summed up: one row for each class, with its links and the least class they lead to."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple[list, list, list]] = []
+        self.n = 0
+
+    def add(self, found: tuple[list, list, list]) -> None:
+        self.rows.append(found)
+        self.n += len(found[0])
+
+    def out(self, schema: pa.Schema) -> pa.RecordBatch:
+        links: dict[tuple[int, int], int] = {}
+        above: dict[tuple[int, int], tuple[int, int]] = {}
+
+        def find(c: tuple[int, int]) -> tuple[int, int]:
+            while above.setdefault(c, c) != c:
+                above[c] = above[above[c]]
+                c = above[c]
+            return c
+
+        for names, roots, counts in self.rows:
+            for name, root, n in zip(names, roots, counts, strict=True):
+                links[name] = links.get(name, 0) + n
+                p, q = find(name), find(root)
+                above[max(p, q)] = min(p, q)
+        struct = lambda pairs: pa.array([{"id": i, "key": k} for i, k in pairs], schema[0].type)
+        self.rows, self.n = [], 0
+        return pa.RecordBatch.from_arrays([struct(links), struct(map(find, links)), pa.array(links.values(), pa.int64())], schema=schema)
+
+
+CLASS = "struct<id: long, key: long>"
+
+
+def verified(packed: DataFrame, across: DataFrame, alike: float = ALIKE) -> DataFrame:
+    """`class, root, n`: links of full shingle sets within each block and between the blocks of each pair.
+
+    Two classes meet once only, so `n` adds up; the (class, root) connect what the links connect.
+    """
+    schema = f"class {CLASS}, root {CLASS}, n long"
+    arrow = _arrow(schema)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Gathered()
         for batch in batches:
-            kept = []
-            for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                shared = len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
-                jaccard = shared / (len(p) + len(q) - shared)
-                if jaccard >= alike:
-                    kept.append((a, b, jaccard))
-            if kept:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*kept, strict=True), linked, strict=True)], schema=linked)
+            for i in range(batch.num_rows):
+                x, y = (Block.read(c[i]) if c[i].is_valid else None for c in (batch.column(0), batch.column(1)))
+                found.add(block_links(x, y, alike))
+                if found.n >= GATHERED:
+                    yield found.out(arrow)
+        if found.n:
+            yield found.out(arrow)
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long, jaccard double")
+    within = packed.where(F.size("block.ids") > 1).select(F.col("block").alias("bx"), F.lit(None).cast(BLOCK_TYPE).alias("by"))
+    pairs = across.join(packed.select(F.col("home").alias("x"), F.col("block").alias("bx")), "x")
+    pairs = pairs.join(packed.select(F.col("home").alias("y"), F.col("block").alias("by")), "y").select("bx", "by")
+    return within.mapInArrow(check, schema).unionByName(pairs.mapInArrow(check, schema))
 
 
 def components(links: DataFrame) -> DataFrame:
-    """`id, root` for each end of a link: the least id that links lead to. Large-star and small-star turns until nothing moves.
+    """`id, root` for each end of a link: the least end that links (a, b) lead to. Large-star and small-star turns until nothing moves.
 
-    Each turn is a join and an aggregate over a table of at most the links' size, stored in between.
+    Each turn is a join and an aggregate over a table of at most the links' size, stored in between. Ends are of any type that has an order.
     """
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
     state = None
@@ -281,26 +348,73 @@ def near_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     `class_id` is the least id of the documents that links and copies join to this one, itself if there is none; `n_links` is
     the number of verified links of its shingle set to other sets; `n_copies` the rows with its set.
-    Null and empty texts have no shingle and are copies of each other. Ties and repeated rows are copies. A null id takes the
-    class of its copies, or null.
+    Null and empty texts have no shingle and are copies of each other. Ties and repeated rows are copies. Rows with one id but
+    other texts are judged by their own texts. A null id takes the class of its copies, or null.
     """
+    return _joined(df, id_col, text_col).select(F.col("doc_id").alias(id_col), F.col("root.id").alias("class_id"), "n_links", "n_copies", "n_shingles")
+
+
+def _joined(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """`doc_id, text_hash, root, n_links, n_copies, n_shingles`; a class is named by its least id and a hash of its set, a group by its least class."""
+    small_batches(df.sparkSession)
     signed = stored(signatures(df, id_col, text_col), "signatures")
-    classes = signed.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
-    homes, pairs = candidate_blocks(classes.where("rep is not null").select("rep", "n_shingles", "bands"))
-    links = stored(block_verified(pairs, homes, df, id_col, text_col), "links")
-    roots = components(links.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    degree = links.groupBy("id").agg(F.sum("n").alias("n_links"))
-    named = classes.select("set_hash", "rep", "n_copies").join(roots.withColumnRenamed("id", "rep"), "rep", "left").join(degree.withColumnRenamed("id", "rep"), "rep", "left")
-    out = signed.drop("bands").join(named, "set_hash")
-    return out.select(F.col("doc_id").alias(id_col), F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies", "n_shingles")
+    classes = signed.groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.count("*").alias("n_copies"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+    classes = classes.withColumn("class", F.struct("id", F.xxhash64("set_hash").alias("key")))
+    homes, across = candidate_blocks(classes.where("id is not null"))
+    homes = homes.join(classes.select("class", "set_hash"), "class")
+    packed = stored(blocks(homes, df, id_col, text_col), "blocks")
+    links = stored(verified(packed, across), "links")
+    roots = components(links.select(F.col("class").alias("a"), F.col("root").alias("b")))
+    degree = links.groupBy("class").agg(F.sum("n").alias("n_links"))
+    linked = degree.join(roots.withColumnRenamed("id", "class"), "class", "left")
+    named = classes.select("set_hash", "class", "n_copies").join(linked, "class", "left")
+    named = named.select("set_hash", F.coalesce("root", "class").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
+    return signed.drop("bands").join(named, "set_hash")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `df` whose id is its class's; of rows with one id, one stays. Rows with a null id stay, for nothing names them."""
-    found = stored(near_join(df, id_col, text_col), "classes")
-    lost = stored(found.where(F.col("class_id") != F.col(id_col)).select(id_col).distinct(), "lost")
-    out = df.join(F.broadcast(lost) if lost.count() <= FEW else lost, id_col, "left_anti")
-    if found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty():
+    """The rows of `df` that are the first of their group: its least id and, if rows share that id, the least hash of the text; one row of equal ones.
+
+    Rows with a null id stay, for nothing names them.
+    """
+    found = stored(_joined(df.where(F.col(id_col).isNotNull()), id_col, text_col), "classes")
+    first = found.where(F.col("doc_id") == F.col("root.id")).groupBy("root").agg(F.min("text_hash").alias("first"))
+    shared = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    lost = found.where(F.col("doc_id") != F.col("root.id")).select("doc_id", "text_hash")
+    if not shared.isEmpty():
+        heads = found.where(F.col("doc_id") == F.col("root.id")).join(shared, "doc_id", "left_semi").join(first, "root")
+        lost = lost.unionByName(heads.where(F.col("text_hash") != F.col("first")).select("doc_id", "text_hash"))
+    lost = stored(lost.distinct(), "lost").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    gone = (F.col(id_col).cast("long") == F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash"))
+    out = df.join(F.broadcast(lost) if lost.count() <= FEW else lost, gone, "left_anti")
+    if shared.isEmpty():
         return out
-    named = out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
+    named = out.where(F.col(id_col).isNotNull()).withColumn("_hash", F.xxhash64(text_col)).dropDuplicates([id_col, "_hash"]).drop("_hash")
     return named.unionByName(out.where(F.col(id_col).isNull()))
+
+
+#: `near_join` in DuckDB's SQL by all pairs that share a shingle, over a view `documents`: for small tables.
+SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT r, doc_id, list_sort(list_distinct(CASE
+    WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS shingles FROM d
+), c AS (
+  SELECT row_number() OVER () AS class, shingles, min(doc_id) AS id, count(*) AS n_copies, len(shingles) AS n FROM s GROUP BY shingles
+), e AS (
+  SELECT class, n, unnest(shingles) AS shingle FROM c
+), l AS (
+  SELECT x.class AS a, y.class AS b FROM e x JOIN e y ON x.shingle = y.shingle AND x.class <> y.class AND x.n >= 0.8::DOUBLE * y.n AND y.n >= 0.8::DOUBLE * x.n
+  GROUP BY x.class, y.class, x.n, y.n HAVING count(*) / (x.n + y.n - count(*))::DOUBLE >= 0.8::DOUBLE
+), reached AS (
+  SELECT class AS a, class AS b FROM c UNION SELECT reached.a, l.b FROM reached JOIN l ON reached.b = l.a
+), g AS (
+  SELECT reached.a AS class, min(c.id) AS class_id FROM reached JOIN c ON reached.b = c.class GROUP BY reached.a
+), k AS (
+  SELECT a AS class, count(*) AS n_links FROM l GROUP BY a
+)
+SELECT s.doc_id, g.class_id, coalesce(k.n_links, 0) AS n_links, c.n_copies, c.n::INT AS n_shingles
+FROM s JOIN c ON s.shingles = c.shingles JOIN g ON c.class = g.class LEFT JOIN k ON c.class = k.class
+"""
