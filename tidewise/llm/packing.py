@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewise.llm.common import _arrow, partitions, stored
+from tidewise.llm.common import _arrow, partitions, parts, small_batches, stored
 
 CAPACITY = 2048
 END = 0
-#: Words whose ids a worker keeps; beyond that it starts anew.
-KNOWN = 400_000
+#: Words whose ids a task keeps after a space, and without one; beyond that it starts anew.
+KNOWN = 150_000
 #: Characters for which the fast path and the tokenizer agree on classes; other texts go to the tokenizer as they are.
 PLAIN = re.compile(r"[^\x00-ɏ]")
 
@@ -105,16 +105,6 @@ class Encoder:
         return b"".join(out)
 
 
-_encoders: dict[str | None, Encoder] = {}
-
-
-def encoder(vocabulary: str | None = None) -> Encoder:
-    """One for each worker process."""
-    if vocabulary not in _encoders:
-        _encoders[vocabulary] = Encoder(vocabulary)
-    return _encoders[vocabulary]
-
-
 def pieces_of(ids: bytes, capacity: int = CAPACITY) -> list[tuple[int, int, int, int]]:
     """(piece, start, length, crc32) of a document's ids: full pieces, but the first holds what is left over."""
     n = len(ids) // 4
@@ -125,14 +115,17 @@ def pieces_of(ids: bytes, capacity: int = CAPACITY) -> list[tuple[int, int, int,
 
 def tokenised(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """`doc_id, piece, start, length, ids_crc32` for each piece of each row; null text is empty and has its end token alone."""
+    small_batches(df.sparkSession)
     schema = "doc_id long, piece int, start long, length int, ids_crc32 long"
     arrow, end = _arrow(schema), array("I", [END]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(vocabulary)
+        # Gone with the task: a worker serves other tasks after it.
+        encoder = Encoder(vocabulary)
         for batch in batches:
-            rows = [(i, *p) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for p in pieces_of(own.encode(t or "") + end, capacity)]
-            if rows:
+            for part in parts(batch.column(1)):
+                ids, texts = (batch.column(c)[part].to_pylist() for c in (0, 1))
+                rows = [(i, *p) for i, t in zip(ids, texts, strict=True) for p in pieces_of(encoder.encode(t or "") + end, capacity)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
     return df.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, schema)

@@ -8,15 +8,16 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from functools import cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewise.llm.common import stored
+from tidewise.llm.common import _arrow, parts, small_batches, stored
 
 # The patterns that the task gives, with the least length of what they find.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -27,9 +28,11 @@ KINDS = ("assign", "access", "hex", "guess")
 #: Where a credential's value may stand: more names and looser marks than `ASSIGN`; the value is what the DP weighs.
 CONTEXT = re.compile(
     r"""(?:(?<![a-z])|(?-i:(?<=[a-z])(?=[A-Z])))(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|bearer|auth)"""
-    r"""["']?[ \t]{0,8}(?:[:=]>?|\bis\b)[ \t]{0,8}["'`]?([^\s"'`<>]{6,})""",
+    r"""["']?[ \t]*(?:[:=]>?|\bis\b)[ \t]*["'`]?([^\s"'`<>]{6,})""",
     re.I | re.A,
 )
+#: One of these, in lower case, is in whatever `CONTEXT` finds; a text with none is not searched.
+NAMES = ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "auth")
 #: Words of the corpus that are ranked after `WORDS`: the most common by documents, in at least so many, of at most so many letters.
 MOST_WORDS, LEAST_DOCUMENTS, LONGEST_WORD = 50_000, 3, 24
 #: Words that passwords are made of, the most common first.
@@ -136,13 +139,13 @@ def find_secrets(text: str | None, hard: float = HARD, words: dict[str, int] | N
     if not text:
         return []
     found: list[tuple[str, int, int, float | None]] = []
-    marked = ":" in text or "=" in text
-    if marked:
+    if ":" in text or "=" in text:
         found += [("assign", m.start(), m.end(), None) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
     if "AKIA" in text:
         found += [("access", m.start(), m.end(), None) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     found += [("hex", m.start(), m.end(), None) for m in HEX.finditer(text)]
-    if marked or " is " in text:
+    low = text.lower()
+    if any(name in low for name in NAMES):
         base = sorted((a, b) for _, a, b, _ in found)
         at = 0
         for m in CONTEXT.finditer(text):
@@ -156,12 +159,22 @@ def find_secrets(text: str | None, hard: float = HARD, words: dict[str, int] | N
     return found
 
 
+SPANS = "array<struct<kind: string, start: long, end: long, guesses_log10: double>>"
+
+
 def secret_spans(text: Column, hard: float = HARD, words: Broadcast | None = None) -> Column:
     """Array of (kind, start, end, guesses_log10) for a text column; empty for null text. `words` are ranks of words, broadcast."""
 
-    @F.pandas_udf("array<struct<kind:string,start:long,end:long,guesses_log10:double>>")
-    def spans(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"kind": k, "start": a, "end": b, "guesses_log10": g} for k, a, b, g in find_secrets(t, hard, words and words.value)] for t in texts], dtype=object)
+    kind = _arrow(f"s {SPANS}")[0].type
+
+    @F.arrow_udf(SPANS)
+    def spans(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        ranks = words and words.value
+        for texts in batches:
+            found: list[list[dict]] = []
+            for part in parts(texts):
+                found += [[dict(zip(("kind", "start", "end", "guesses_log10"), x, strict=True)) for x in find_secrets(t, hard, ranks)] for t in texts[part].to_pylist()]
+            yield pa.array(found, kind)
 
     return spans(text)
 
@@ -181,11 +194,14 @@ def redact(text: str | None, mark: str = "[SECRET]", hard: float = HARD, words:
 
 def redact_secrets(df: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
     """`df` with the secrets in `text_col` replaced; `chars_col`, if there, follows. Rows, nulls and other columns stay."""
+    small_batches(df.sparkSession)
     words = df.sparkSession.sparkContext.broadcast(corpus_ranks(df, text_col))
 
-    @F.pandas_udf("string")
-    def clean(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: redact(t, words=words.value))
+    @F.arrow_udf("string")
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            done = [pa.array([redact(t, words=words.value) for t in texts[part].to_pylist()], pa.string()) for part in parts(texts)]
+            yield pa.concat_arrays(done or [pa.array([], pa.string())])
 
     names = df.columns
     out = df.withColumn(text_col, clean(F.col(text_col)))
@@ -199,6 +215,7 @@ def secret_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Null and empty texts have no span: zero counts and the digest of an empty string. Repeated rows give repeated rows.
     """
+    small_batches(df.sparkSession)
     words = df.sparkSession.sparkContext.broadcast(corpus_ranks(df, text_col))
     spans = df.select(F.col(id_col), secret_spans(F.col(text_col), words=words).alias("_s"))
     joined = lambda col: F.array_join(F.transform(col, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
