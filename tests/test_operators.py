@@ -181,3 +181,35 @@ def test_sweep_resumes(panel):
     first = leaderboard.sweep({"d": df}, ["mean"], 1, 1, 10)
     again = leaderboard.sweep({"d": df}, ["mean", "drift"], 1, 1, 10, done=first)
     assert sorted(r["model"] for r in again.collect()) == ["drift", "mean"]
+
+
+@pytest.mark.parametrize("per_step", [True, False])
+def test_conformal_radii_of_many_errors(spark, monkeypatch, per_step):
+    """With far more errors than the accuracy of the brackets, radii are still those of the sorted errors."""
+    import numpy as np
+
+    monkeypatch.setattr(intervals, "ACCURACY", 100)
+    rng = np.random.default_rng(1)
+    rows = [(int(k), float(x), 0.0) for k in (1, 2) for x in np.round(rng.normal(size=3000), 2 if k == 1 else 9)] + [(3, 1.5, 0.0), (3, None, 0.0), (3, 0.5, 0.0)]
+    found = intervals.fit_conformal(spark.createDataFrame(rows, "step int, y double, yhat double"), (0.5, 0.8, 0.99), per_step).collect()
+    for r in found:
+        own = [abs(y) for k, y, _ in rows if y is not None and (not per_step or k == r["step"])]
+        assert [r["radius_50"], r["radius_80"], r["radius_99"]] == [intervals.higher_quantile(own, lv) for lv in (0.5, 0.8, 0.99)]
+    assert len(found) == (3 if per_step else 1)
+
+
+def test_cutoffs_of_kernel_and_column_models_agree(panel):
+    """A model in the JVM and its twin in numpy see the same training sets; refused ones have no rows."""
+    df = panel({"a": [3, 1, 4, 1, 5, 9, 2, 6, 5, 3, 5, 8], "b": [2, 7, 1, 8, 2, 8]})
+    run = lambda m, **p: [tuple(r)[:6] for r in backtest.cross_validation(df, m, 2, 1, 3, p, max_train_size=4).orderBy("unique_id", "cutoff", "step").collect()]
+    line, degree_two = run("poly-trend", degree=1), run("poly-trend", degree=2)
+    assert len(line) == 2 * (8 + 2) == len(degree_two) + 2 * 2  # three values are too few for a parabola's check
+    assert backtest.cross_validation(df, "ar-ols", 2, 1, 3, {"p": 5}, max_train_size=4).count() == 0
+    for uid, ds, cutoff, step, y, yhat in line:
+        values = [r["y"] for r in df.where(F.col("unique_id") == uid).orderBy("ds").collect()]
+        end = (cutoff - dt.datetime(2020, 1, 1)).days + 1
+        assert y == values[end + step - 1] and ds == cutoff + dt.timedelta(days=step)
+        import numpy as np
+
+        train = values[max(0, end - 4) : end]
+        assert yhat == pytest.approx(np.polyval(np.polyfit(range(len(train)), train, 1), len(train) + step - 1))

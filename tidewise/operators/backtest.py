@@ -1,7 +1,8 @@
 """Rolling-origin cross-validation and forecasts.
 
-A series becomes one row with an array of its values; cutoffs are exploded from its length, and a training set is a slice of the
-array. So column models run inside the JVM after one shuffle, and kernel models get a series and all its cutoffs in one call.
+A series becomes one row with an array of its values and an array of its cutoffs; a training set is a slice. Column models go
+over the cutoffs inside the JVM, after one shuffle; kernel models get a series once, with all its cutoffs, and return one array of
+forecasts for each. Only test values leave the row, so its size grows with the series and not with its square.
 Series must fit into a row, which holds for time series of up to millions of points.
 """
 
@@ -29,14 +30,21 @@ def split_grid(df: DataFrame, horizon: int, step_size: int = 1, min_train_size:
     Ends run from `min_train_size` by `step_size` as long as `horizon` values follow; `limit` keeps the first or last of them.
     A row that is too short has none.
     """
-    if min(horizon, step_size, min_train_size) < 1 or (limit is not None and limit < 1) or (max_train_size is not None and max_train_size < 1):
+    if max_train_size is not None and max_train_size < 1:
         raise ValueError("sizes must be at least 1")
-    last = F.col(n) - horizon
+    start = F.lit(0) if max_train_size is None else F.greatest(F.col("train_end") - max_train_size, F.lit(0))
+    return df.withColumn("train_end", F.explode(split_ends(F.col(n), horizon, step_size, min_train_size, limit, keep))).withColumn("train_start", start)
+
+
+def split_ends(n: Column, horizon: int, step_size: int = 1, min_train_size: int = 1, limit: int | None = None, keep: str = "last") -> Column:
+    """The ends of the training sets of a series of `n` values, as an array."""
+    if min(horizon, step_size, min_train_size) < 1 or (limit is not None and limit < 1):
+        raise ValueError("sizes must be at least 1")
+    last = n - horizon
     ends = F.when(last >= min_train_size, F.sequence(F.lit(min_train_size), last.cast("int"), F.lit(step_size))).otherwise(F.array().cast("array<int>"))
     if limit is not None:
         ends = F.slice(ends, 1, limit) if keep == "first" else F.reverse(F.slice(F.reverse(ends), 1, limit))
-    start = F.lit(0) if max_train_size is None else F.greatest(F.col("train_end") - max_train_size, F.lit(0))
-    return df.withColumn("train_end", F.explode(ends)).withColumn("train_start", start)
+    return ends
 
 
 def rolling_origin_splits(n_obs: int, horizon: int, step_size: int = 1, min_train_size: int = 1, max_train_size: int | None = None, limit: int | None = None, keep: str = "last") -> list[tuple[int, int, int, int]]:
@@ -126,6 +134,39 @@ def _forecasts(rows: DataFrame, model: str, horizon: int, params: dict[str, Any]
     return rows.withColumn("_train", cut).withColumn("yhat", column).withColumn("error", F.lit(None).cast("string")).drop("_train")
 
 
+def rolled(rows: DataFrame, model: str, horizon: int, params: dict[str, Any] | None = None, max_train_size: int | None = None) -> DataFrame:
+    """Add `_yhats` to rows of (y, _ends): for each end of a training set an array of forecasts, null where the model refuses."""
+    most = max_train_size or (1 << 31) - 1
+
+    def cut(end: Column) -> Column:
+        start = F.greatest(end - most, F.lit(0))
+        # A lambda's variable, so that the slice is taken once however often the model reads it.
+        return F.transform(F.array(F.slice("y", start + 1, end - start)), lambda train: column_forecast(model, train, horizon, params))[0]
+
+    if column_forecast(model, F.col("y"), horizon, params) is not None:
+        return rows.withColumn("_yhats", F.transform("_ends", cut))
+    run = kernel_forecast(model, params)
+
+    @F.arrow_udf("array<array<double>>")
+    def forecasts(series: pa.Array, ends: pa.Array) -> pa.Array:
+        out = []
+        for values, own in zip(series, ends, strict=True):
+            y = values.values.to_numpy(zero_copy_only=False).astype(float) if values.is_valid else np.empty(0)
+            found: list[list[float] | None] = []
+            for end in own.as_py():
+                train = y[max(0, end - most) : end]
+                try:
+                    if np.isnan(train).any():
+                        raise ValueError("the series has missing values")
+                    found.append([float(x) for x in run(train.copy(), horizon)])
+                except (ValueError, np.linalg.LinAlgError, ZeroDivisionError):
+                    found.append(None)
+            out.append(found)
+        return pa.array(out, pa.list_(pa.list_(pa.float64())))
+
+    return rows.withColumn("_yhats", forecasts("y", "_ends"))
+
+
 def cross_validation(df: DataFrame, model: str, horizon: int, step_size: int = 1, min_train_size: int = 1, params: dict[str, Any] | None = None, max_train_size: int | None = None, n_windows: int | None = None, keep: str = "last", on_short: str = "raise") -> DataFrame:
     """`unique_id, ds, cutoff, step, y, yhat, model` for every series, cutoff and step; `n_windows` keeps the last cutoffs.
 
@@ -139,12 +180,18 @@ def cross_validation(df: DataFrame, model: str, horizon: int, step_size: int = 1
     rows = series_arrays(df).withColumn("_n", F.size("y"))
     if on_short == "raise" and not rows.where(F.col("_n") < min_train_size + horizon).isEmpty():
         raise ValueError("a series is too short for one split; on_short='skip' leaves such series out")
-    grid = split_grid(rows, horizon, step_size, min_train_size, max_train_size, n_windows, keep)
-    found = _forecasts(grid, model, horizon, params)
-    step = F.posexplode("yhat").alias("_k", "yhat")
-    out = found.select("unique_id", "ds", "y", "train_end", F.get("ds", F.col("train_end") - 1).alias("cutoff"), step)
-    at = F.col("train_end") + F.col("_k")
-    return out.select("unique_id", F.get("ds", at).alias("ds"), "cutoff", (F.col("_k") + 1).cast("int").alias("step"), F.get("y", at).alias("y"), "yhat", F.lit(model).alias("model"))
+    if max_train_size is not None and max_train_size < 1:
+        raise ValueError("sizes must be at least 1")
+    rows = rows.withColumn("_ends", split_ends(F.col("_n"), horizon, step_size, min_train_size, n_windows, keep))
+    found = rolled(rows, model, horizon, params, max_train_size)
+
+    def test(end: Column, k: Column) -> Column:
+        ahead = F.arrays_zip(F.slice("ds", end + 1, horizon).alias("ds"), F.slice("y", end + 1, horizon).alias("y"), F.get("_yhats", k).alias("yhat"))
+        return F.struct(F.get("ds", end - 1).alias("cutoff"), ahead.alias("ahead"))
+
+    tests = found.select("unique_id", F.explode(F.transform("_ends", test)).alias("_t"))
+    out = tests.select("unique_id", "_t.cutoff", F.posexplode("_t.ahead").alias("_k", "_a"))
+    return out.select("unique_id", "_a.ds", "cutoff", (F.col("_k") + 1).cast("int").alias("step"), "_a.y", "_a.yhat", F.lit(model).alias("model"))
 
 
 def prefix_cross_validation(df: DataFrame, model: str, horizon: int, step_size: int = 1, min_train_size: int = 1, window: int = 3, season_length: int = 12) -> DataFrame:

@@ -20,13 +20,33 @@ def _percent(level: float) -> int:
     return round(100 * level)
 
 
+#: Accuracy of the approximate quantiles that bracket a radius: they are off by at most one rank in so many.
+ACCURACY = 10_000
+
+
 def fit_conformal(predictions: DataFrame, levels: Sequence[float] = (0.8, 0.9), per_step: bool = True) -> DataFrame:
-    """`step, radius_P...`: the absolute error of rank ceil((n - 1) level) + 1, by step, or in one row of step 0 when pooled."""
+    """`step, radius_P...`: the absolute error of rank ceil((n - 1) level) + 1, by step, or in one row of step 0 when pooled.
+
+    Exact and without sorting all errors of a step in one task: approximate quantiles, which tasks combine, bracket each radius;
+    errors below the bracket are counted, and only the few inside it, about one in a thousand, are ranked.
+    """
     levels = parse_interval_levels(levels)
     errors = predictions.where(F.col("y").isNotNull() & F.col("yhat").isNotNull()).select((F.col("step") if per_step else F.lit(0).alias("step")), F.abs(F.col("y") - F.col("yhat")).alias("e"))
-    ranked = errors.withColumn("_r", F.row_number().over(Window.partitionBy("step").orderBy("e"))).withColumn("_n", F.count("*").over(Window.partitionBy("step")))
-    radius = [F.min(F.when(F.col("_r") == F.ceil((F.col("_n") - 1) * F.lit(float(lv))) + 1, F.col("e"))).alias(f"radius_{_percent(lv)}") for lv in levels]
-    return ranked.groupBy("step").agg(*radius)
+    slack = 6 / ACCURACY
+    near = [F.percentile_approx("e", [max(0.0, lv - slack), min(1.0, lv + slack)], ACCURACY).alias(f"_q{i}") for i, lv in enumerate(levels)]
+    bounds = errors.groupBy("step").agg(F.count("*").alias("_n"), F.min("e").alias("_least"), F.max("e").alias("_most"), *near)
+    # Where there are fewer errors than the accuracy, neighbouring ranks are farther apart than the slack: all are ranked.
+    few = F.col("_n") < ACCURACY
+    bracket = F.array(*(F.struct(F.lit(i).alias("level"), F.when(few, F.col("_least")).otherwise(F.col(f"_q{i}")[0]).alias("lo"), F.when(few, F.col("_most")).otherwise(F.col(f"_q{i}")[1]).alias("hi")) for i in range(len(levels))))
+    rank = F.element_at(F.array(*(F.ceil((F.col("_n") - 1) * F.lit(float(lv))) + 1 for lv in levels)), F.col("b.level") + 1)
+    table = bounds.select(F.col("step").alias("_step"), "_n", F.explode(bracket).alias("b"))
+    rows = errors.join(F.broadcast(table), F.col("step") == F.col("_step"))  # one row for each step of a horizon and level
+    rows = rows.where(F.col("e") <= F.col("b.hi")).withColumn("_inside", F.col("e") >= F.col("b.lo"))
+    # Equal errors are one row with their number, so ranking is over values.
+    counted = rows.groupBy("step", "b", "_n", F.when(F.col("_inside"), F.col("e")).alias("e")).agg(F.count("*").alias("_c"))
+    reached = F.sum("_c").over(Window.partitionBy("step", "b").orderBy(F.col("e").asc_nulls_first()))
+    ranked = counted.withColumn("_reached", reached).where(F.col("e").isNotNull() & (F.col("_reached") >= rank))
+    return ranked.groupBy("step").agg(*(F.min(F.when(F.col("b.level") == i, F.col("e"))).alias(f"radius_{_percent(lv)}") for i, lv in enumerate(levels)))
 
 
 def apply_conformal(predictions: DataFrame, radii: DataFrame, per_step: bool = True, check: bool = False) -> DataFrame:
@@ -73,13 +93,12 @@ def bootstrap_radii(found: DataFrame, model: str, horizon: int, levels: Sequence
 
     The generator's seed joins `seed` and the series' name, so a series' draws depend on nothing else.
     """
-    from tidewise.operators.backtest import _forecasts
+    from tidewise.operators.backtest import rolled
 
-    least = F.least(F.lit(min_train_size or 24), F.size("y") - 1)
-    walk = found.select("unique_id", "ds", "y", F.explode(F.sequence(F.greatest(least, F.lit(1)), F.size("y") - 1)).alias("train_end")).withColumn("train_start", F.lit(0))
-    ahead = _forecasts(walk, model, 1, params).where("yhat is not null")
-    residuals = ahead.groupBy("unique_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("train_end", (F.get("y", F.col("train_end")) - F.get("yhat", F.lit(0))).alias("r")))), lambda s: s["r"]).alias("_r"))
-    rows = found.join(residuals, "unique_id", "left")
+    least = F.greatest(F.least(F.lit(min_train_size or 24), F.size("y") - 1), F.lit(1))
+    ends = F.when(F.size("y") > 1, F.sequence(least, F.size("y") - 1)).otherwise(F.array().cast("array<int>"))
+    off = F.transform("_ends", lambda e, k: F.get("y", e) - F.get(F.get("_yhats", k), F.lit(0)))
+    rows = rolled(found.withColumn("_ends", ends), model, 1, params).withColumn("_r", F.filter(off, lambda x: x.isNotNull())).drop("_ends", "_yhats")
     ends = [(lv, f"yhat_lo_{_percent(lv)}", f"yhat_hi_{_percent(lv)}") for lv in levels]
     fields, names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema), found.columns
 
