@@ -381,6 +381,58 @@ _twin(
     "o AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY unique_id ORDER BY c DESC, lag) = 1), f AS (SELECT s.*, CASE WHEN o.c >= 0.2::DOUBLE THEN lag END AS lag FROM s LEFT JOIN o ON s.unique_id = o.unique_id)",
     "CASE WHEN lag IS NULL THEN t[n] ELSE t[n - lag + (k - 1) % lag + 1] END",
 )
+
+# Twins of least squares: normal equations as lists of lists, solved by Gauss-Jordan steps; series are standardised before.
+_Z = ", z AS (SELECT unique_id, n, avg, sd, list_transform(t, lambda x: (x - avg) / sd) AS z FROM (SELECT *, list_avg(t) AS avg, list_stddev_pop(t) AS sd FROM s))"
+
+
+def _solved(size: int, rows: str = "xs", penalty: str = "0.0::DOUBLE") -> str:
+    """`w`: weights for rows (features..., target) in each row of table `x`; the penalty is on all but the first feature."""
+    cell = f"list_sum(list_transform({rows}, lambda q: q[a] * q[b])) + CASE WHEN a = b AND a > 1 THEN {penalty} ELSE 0 END"
+    steps = [f", m0 AS (SELECT *, list_transform(range(1, {size + 1}), lambda a: list_transform(range(1, {size + 2}), lambda b: {cell})) AS m FROM x)"]
+    for j in range(1, size + 1):
+        row = f"CASE WHEN i = {j} THEN list_transform(q, lambda v: v / q[{j}]) ELSE list_transform(q, lambda v, c: v - q[{j}] * m[{j}][c] / m[{j}][{j}]) END"
+        steps.append(f", m{j} AS (SELECT * REPLACE (list_transform(m, lambda q, i: {row}) AS m) FROM m{j - 1})")
+    return "".join(steps) + f", w AS (SELECT *, list_transform(m, lambda q: q[{size + 1}]) AS w FROM m{size})"
+
+
+def _lag_rows(lags: list[int], ahead: str = "0") -> str:
+    return f"list_transform(range({max(lags) + 1}, n + 1 - {ahead}), lambda i: list_concat([1.0::DOUBLE], list_transform({lags}, lambda q: z[i - q]), [z[i + {ahead}]]))"
+
+
+def _fed_back(lags: list[int]) -> str:
+    """The series with `_H` forecasts, each made of the values before it."""
+    ahead = f"w[1] + list_sum(list_transform({lags}, lambda q, j: w[j + 1] * s[len(s) - q + 1]))"
+    return f"list_reduce([z{', []::DOUBLE[]' * _H}], lambda s, e: list_append(s, {ahead}))"
+
+
+for _model, _lags, _penalty in (
+    ("ar-ols", [1, 2, 3, 4, 5], "0.0::DOUBLE"), ("ar-ols-lags", [1, 2, 3, 4, 5], "0.0::DOUBLE"), ("sar-ols", [1, 12], "0.0::DOUBLE"), ("autoreg", [*range(1, 13)], "0.0::DOUBLE"),
+    ("lr-lag", [1, 2, 3, 4, 5], "0.0::DOUBLE"), ("ridge-lag", [1, 2, 3, 4, 5], "1 / (sd * sd)"),
+):
+    _twin(_model, f"{_Z}, x AS (SELECT *, {_lag_rows(_lags)} AS xs FROM z WHERE n >= {2 * max(_lags)}){_solved(len(_lags) + 1, penalty=_penalty)}, f AS (SELECT *, {_fed_back(_lags)} AS p FROM w)", "avg + sd * p[n + k]")
+for _model, _top, _penalty in (("lr-lag-direct", 5, "0.0::DOUBLE"), ("ridge-lag-direct", 12, "1 / (sd * sd)")):
+    _lags = [*range(1, _top + 1)]
+    _rows = f"{_Z}, x AS (SELECT *, {_lag_rows(_lags, 'ahead')} AS xs FROM z, unnest(range({_H})) u(ahead) WHERE n >= {2 * _top + _H}){_solved(_top + 1, penalty=_penalty)}"
+    _value = f"avg + sd * (w[1] + list_sum(list_transform({_lags}, lambda q, j: w[j + 1] * z[n + 1 - q])))"
+    _twin(_model, f"{_rows}, f AS (SELECT unique_id, list({_value} ORDER BY ahead) AS p FROM w GROUP BY unique_id)", "p[k]")
+_ORDERS = "unnest(range(1, 11)) u(place)"
+_twin(
+    "ar-ols-auto",
+    f"{_Z}, x AS (SELECT *, list_transform(range(place + 1, n + 1), lambda i: list_concat([1.0::DOUBLE], list_transform(range(1, 11), lambda q: CASE WHEN q <= place THEN z[i - q] ELSE 0 END), [z[i]])) AS xs FROM z, {_ORDERS} WHERE n > 24)"
+    # Lags beyond the order have no values; a penalty on them alone leaves their weights 0.
+    + _solved(11, penalty="CASE WHEN a > place + 1 THEN 1.0::DOUBLE ELSE 0 END")
+    + ", c AS (SELECT *, list_sum(list_transform(xs, lambda q: pow(q[12] - list_sum(list_transform(w, lambda v, j: v * q[j])), 2))) / (n - place) * sd * sd AS e FROM w), "
+    f"f AS (SELECT *, {_fed_back([*range(1, 11)])} AS p FROM c QUALIFY row_number() OVER (PARTITION BY unique_id ORDER BY (n - place) * ln(e) + 2 * (place + 1), place) = 1)",
+    "avg + sd * p[n + k]",
+)
+for _model, _periods in (("fourier", (12,)), ("fourier-multi", (7, 365))):
+    _row = "[1.0::DOUBLE, i / n::DOUBLE, " + ", ".join(f"{f}(2 * pi() * {o} * i / {p}.0::DOUBLE)" for p in _periods for o in (1, 2) for f in ("sin", "cos")) + "]"
+    _size = 2 + 4 * len(_periods)
+    _twin(
+        _model, f"{_Z}, x AS (SELECT *, list_transform(range(n), lambda i: list_append({_row}, z[i + 1])) AS xs FROM z){_solved(_size)}, f AS (SELECT *, list_transform(range(n, n + {_H}), lambda i: list_sum(list_transform({_row}, lambda v, j: v * w[j]))) AS p FROM w)",
+        "avg + sd * p[k]", 2,
+    )
 panel_query("forecast_pipeline", "ship_monthly", lambda p: backtest.forecast(p, "pipeline", _H, {"base": "ses", "transforms": ("diff1",)}).select("unique_id", "step", "yhat"), f"{_S}, f AS (SELECT unique_id, t[n] AS l, {_ses_sql(t='list_transform(t[2:], lambda x, i: x - t[i])')} AS v FROM s) SELECT unique_id, k::INTEGER AS step, {r('l + k * v', 'yhat', 5)} FROM f, unnest(range(1, {_H + 1})) u(k)", 5)
 panel_query(
     "forecast_times", "ship_monthly", lambda p: backtest.forecast(p, "naive-last", 3).select("unique_id", "ds", "cutoff", "step"),
