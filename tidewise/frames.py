@@ -180,9 +180,14 @@ def hierarchy_spec(df: DataFrame, id_cols: Sequence[str], root: str = "total") -
     return reduce(DataFrame.union, edges)
 
 
-def series_arrays(df: DataFrame, *columns: str) -> DataFrame:
-    """One row for each series with its times and values in order: `unique_id, ds[], y[], ...`."""
+def series_arrays(df: DataFrame, *columns: str, spread: bool = False) -> DataFrame:
+    """One row for each series with its times and values in order: `unique_id, ds[], y[], ...`.
+
+    With `spread` the shuffle keeps all its partitions however small they are: for work that takes long on few values.
+    """
     columns = columns or ("y",)
+    if spread:
+        df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "unique_id")
     packed = F.sort_array(F.collect_list(F.struct("ds", *columns)))
     out = df.groupBy("unique_id").agg(packed.alias("_rows"))
     field = lambda c: F.transform("_rows", lambda r: r[c]).alias(c)

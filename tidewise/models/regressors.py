@@ -200,23 +200,25 @@ def sgd(x: np.ndarray, y: np.ndarray, alpha: float = 0.0001, max_iter: int = 200
 
 
 def _split(x: np.ndarray, y: np.ndarray, columns: np.ndarray, least: int, rng: np.random.Generator | None) -> tuple[int, float] | None:
-    """The column and threshold that leave the least squared error; a random threshold for each column with `rng`."""
-    best, found = np.inf, None
-    for j in columns:
-        order = np.argsort(x[:, j], kind="stable")
-        v, t = x[order, j], y[order]
-        cuts = np.flatnonzero(v[1:] > v[:-1]) + 1
-        if rng is not None and len(cuts):
-            at = rng.uniform(v[0], v[-1])
-            cuts = np.array([np.searchsorted(v, at, side="right")])
-        cuts = cuts[(cuts >= least) & (cuts <= len(v) - least)]
-        if len(cuts):
-            s, q = np.cumsum(t), np.cumsum(t * t)
-            error = q[cuts - 1] - s[cuts - 1] ** 2 / cuts + (q[-1] - q[cuts - 1]) - (s[-1] - s[cuts - 1]) ** 2 / (len(t) - cuts)
-            k = int(error.argmin())
-            if error[k] < best:
-                best, found = error[k], (int(j), float((v[cuts[k] - 1] + v[cuts[k]]) / 2))
-    return found
+    """The column and threshold that leave the least squared error, all columns at once; a random threshold for each column with `rng`."""
+    v, n = x[:, columns], len(y)
+    if rng is not None:
+        at = rng.uniform(v.min(0), v.max(0))
+        left = v <= at
+        count, total, squares = left.sum(0), y @ left, (y * y) @ left
+    else:
+        order = np.argsort(v, axis=0, kind="stable")
+        v, t = np.take_along_axis(v, order, 0), y[order]
+        count, total, squares = np.arange(1, n)[:, None], np.cumsum(t, 0)[:-1], np.cumsum(t * t, 0)[:-1]
+        at = (v[1:] + v[:-1]) / 2
+    right = n - count
+    error = squares - total**2 / np.maximum(count, 1) + (y @ y - squares) - (y.sum() - total) ** 2 / np.maximum(right, 1)
+    error = np.where((count >= least) & (right >= least) & ((v[1:] > v[:-1]) if rng is None else (v.max(0) > v.min(0))), error, np.inf)
+    # Of equal ones the first column, then the lowest threshold.
+    k = int(error.T.argmin())
+    if not np.isfinite(error.T.flat[k]):
+        return None
+    return int(columns[k // len(error) if rng is None else k]), float(at.T.flat[k])
 
 
 def tree(x: np.ndarray, y: np.ndarray, max_depth: int | None = 5, least: int = 1, share: float = 1.0, rng: np.random.Generator | None = None, random_cuts: bool = False) -> Predict:

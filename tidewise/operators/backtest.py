@@ -177,7 +177,7 @@ def cross_validation(df: DataFrame, model: str, horizon: int, step_size: int = 1
         from tidewise.models.panel import panel_cross_validation
 
         return panel_cross_validation(df, model, horizon, step_size, min_train_size, params, max_train_size, n_windows)
-    rows = series_arrays(df).withColumn("_n", F.size("y"))
+    rows = series_arrays(df, spread=column_forecast(model, F.col("y"), horizon, params) is None).withColumn("_n", F.size("y"))
     if on_short == "raise" and not rows.where(F.col("_n") < min_train_size + horizon).isEmpty():
         raise ValueError("a series is too short for one split; on_short='skip' leaves such series out")
     if max_train_size is not None and max_train_size < 1:
@@ -233,7 +233,8 @@ def forecast(df: DataFrame, model: str, horizon: int, params: dict[str, Any] | N
         from tidewise.models.panel import panel_forecast
 
         return panel_forecast(df, model, horizon, params)
-    rows = series_arrays(df.where(F.col("y").isNotNull())).withColumn("train_start", F.lit(0)).withColumn("train_end", F.size("y"))
+    rows = series_arrays(df.where(F.col("y").isNotNull()), spread=column_forecast(model, F.col("y"), horizon, params) is None)
+    rows = rows.withColumn("train_start", F.lit(0)).withColumn("train_end", F.size("y"))
     found = _forecasts(rows, model, horizon, params)
     if levels:
         from tidewise.operators.intervals import bootstrap_radii

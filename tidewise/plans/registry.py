@@ -67,18 +67,20 @@ panel_query(
     "SELECT sum(n)::BIGINT AS n_rows, count(DISTINCT unique_id) AS n_series, sum(CASE WHEN unique_id IS NULL OR ds IS NULL THEN n ELSE 0 END)::BIGINT AS n_null_keys, "
     "sum(CASE WHEN n > 1 THEN n - 1 ELSE 0 END)::BIGINT AS n_duplicates, sum(n - seen)::BIGINT AS n_missing_y FROM (SELECT unique_id, ds, count(*) AS n, count(y) AS seen FROM p GROUP BY 1, 2)",
 )
-_IDS = [f"event_type={e}" for e in ("click", "purchase", "scroll", "signup", "view")]
+_IDS = [f"event_type={e}" for e in ("click", "error", "purchase", "signup", "view")]
+
+
+_FLAGS = [(a, b) for a in "ANR" for b in "FO"]
 
 
 def _wide(spark: SparkSession, d: str) -> DataFrame:
-    p = panels.ship_monthly(spark, d)
-    wide = frames.long_to_wide(p, ["l_returnflag=A|l_linestatus=F", "l_returnflag=N|l_linestatus=O", "l_returnflag=R|l_linestatus=F"])
-    return rounded(wide.toDF("ds", "a_f", "n_o", "r_f"))
+    wide = frames.long_to_wide(panels.ship_monthly(spark, d), [f"l_returnflag={a}|l_linestatus={b}" for a, b in _FLAGS])
+    return rounded(wide.toDF("ds", *(f"{a}_{b}".lower() for a, b in _FLAGS)))
 
 
 add(
     "long_to_wide", _wide,
-    "SELECT ds, " + ", ".join(r(f"max(CASE WHEN unique_id = 'l_returnflag={a}|l_linestatus={b}' THEN y END)", f"{a.lower()}_{b.lower()}") for a, b in ("AF", "NO", "RF")) + " FROM p GROUP BY ds", "ship_monthly",
+    "SELECT ds, " + ", ".join(r(f"max(CASE WHEN unique_id = 'l_returnflag={a}|l_linestatus={b}' THEN y END)", f"{a}_{b}".lower()) for a, b in _FLAGS) + " FROM p GROUP BY ds", "ship_monthly",
 )
 add(
     "wide_to_long", lambda spark, d: rounded(frames.wide_to_long(table(spark, d, "part").groupBy(F.col("p_size").alias("ds")).agg(F.avg("p_retailprice").alias("mean"), F.max("p_retailprice").alias("top")), ["mean", "top"])),
@@ -294,8 +296,7 @@ add(
     + f" AS v FROM g), f AS (SELECT unique_id, v.l AS l, row_number() OVER (PARTITION BY unique_id ORDER BY v.e, j) AS o FROM e) SELECT unique_id, k::INTEGER AS step, {r('l', 'yhat', 5)} FROM f, unnest(range(1, {_H + 1})) u(k) WHERE o = 1", "ship_monthly",
 )
 for _model in sorted(k for k, s in models.MODELS.items() if s.tier == "kernel" and s.interface == "local" and k not in ("poly-trend",)):
-    _fast = {"n_estimators": 10} if "n_estimators" in models.MODELS[_model].defaults else {}
-    QUERIES[f"forecast_{_model.replace('-', '_')}"] = _forecast_query(_model, "ship_monthly", _fast)
+    QUERIES[f"forecast_{_model.replace('-', '_')}"] = _forecast_query(_model, "ship_monthly", {})
 
 # Twins of numpy models that are folds: the same recursions over lists, for every parameter of a grid where one is searched.
 
@@ -581,7 +582,7 @@ panel_query(
     _cv_sql("(t[n - 7 + (k - 1) % 7 + 1] + 3 * t[n]) / 4") + f" SELECT unique_id, ds, cutoff, step, {r('y', 'y')}, {r('yhat', 'yhat')} FROM v",
 )
 for _model in ("ridge-step-lag-global", "gbrt-step-lag-global", "lasso-step-lag-global", "ard-step-lag-global", "omp-step-lag-global", "quantile-step-lag-global", "rf-step-lag-global"):
-    panel_query(f"panel_{_model.split('-')[0]}", "ship_monthly", lambda p, m=_model: backtest.forecast(p, m, 3, {"lags": 12} | ({"n_estimators": 5} if m[:2] in ("gb", "rf") else {})).select("unique_id", "step", "yhat"), None, 2)
-panel_query("multivariate_var", "events_daily", lambda p: mt.evaluate(backtest.multivariate_cross_validation(frames.long_to_wide(p), ["event_type=click", "event_type=view"], 2, 4, 15), by=["target"]), None)
-panel_query("validate_registry", "ship_monthly", lambda p: models.validate_registry(p, 2, ["naive-last", "theta", "ar-ols", "ssa", "ridge-lag", "ensemble-mean", "pipeline"]), None)
+    panel_query(f"panel_{_model.split('-')[0]}", "ship_monthly", lambda p, m=_model: backtest.forecast(p, m, 3, {"lags": 12}).select("unique_id", "step", "yhat"), None, 2)
+panel_query("multivariate_var", "events_daily", lambda p: mt.evaluate(backtest.multivariate_cross_validation(frames.long_to_wide(p, _IDS), _IDS, 2, 4, 15), by=["target"]), None)
+panel_query("validate_registry", "ship_monthly", lambda p: models.validate_registry(p, 2), None)
 add("model_catalog", lambda spark, d: models.models_frame(spark).groupBy("tier", "interface").agg(F.count("*").alias("n")))
