@@ -358,7 +358,8 @@ for _kind, (_join, _part) in {"add": ("+", "-"), "mul": ("*", "/")}.items():
         (f"holt-winters-{_kind}", "unnest(range(1)) u(place)", "place, 0.2::DOUBLE AS a, 0.1::DOUBLE AS b, 0.1::DOUBLE AS c"),
         (f"holt-winters-{_kind}-auto", "unnest(range(343)) u(place)", "place, " + ", ".join(f"0.1::DOUBLE + 0.8::DOUBLE * ((place // {d}) % 7) / 6 AS {x}" for x, d in (("a", 49), ("b", 7), ("c", 1)))),
     ):
-        _twin(_name, _best(_grid, _keys, _fold(_start, _none, _step, "t"), "n >= 24"), f"(v.l + v.b * k) {_join} v.w[(k - 1) % 12 + 1]")
+        for _key in (_name, "ets") if _name == "holt-winters-add-auto" else (_name,):  # `ets` has an additive season by default, and the same grid
+            _twin(_key, _best(_grid, _keys, _fold(_start, _none, _step, "t"), "n >= 24"), f"(v.l + v.b * k) {_join} v.w[(k - 1) % 12 + 1]")
 _twin(
     "kalman-trend",
     f", h AS (SELECT *, CASE WHEN {_BASE} = 0 THEN 1e-6::DOUBLE ELSE {_BASE} END AS c FROM s), f AS (SELECT *, "
@@ -434,6 +435,46 @@ for _model, _periods in (("fourier", (12,)), ("fourier-multi", (7, 365))):
         _model, f"{_Z}, x AS (SELECT *, list_transform(range(n), lambda i: list_append({_row}, z[i + 1])) AS xs FROM z){_solved(_size)}, f AS (SELECT *, list_transform(range(n, n + {_H}), lambda i: list_sum(list_transform({_row}, lambda v, j: v * w[j]))) AS p FROM w)",
         "avg + sd * p[k]", 2,
     )
+
+# Twins of neighbours, of one chosen lag and of the strongest frequencies.
+
+
+def _step_by_step(value: str) -> str:
+    """`f`: the series `p` with `_H` forecasts, one after another, each made by `value` from `p` and the length `n` of what is known."""
+    steps = [f", p{i} AS (SELECT * REPLACE (list_append(p, {value}) AS p) FROM p{i - 1})" for i in range(1, _H + 1)]
+    return ", p0 AS (SELECT *, t AS p FROM s WHERE n >= 14)" + "".join(steps) + f", f AS (SELECT * FROM p{_H})"
+
+
+_WINDOW, _LATEST = "p[i - 12:i - 1]", "p[len(p) - 11:len(p)]"
+
+
+def _nearest(window: str, latest: str, many: int) -> str:
+    return f"list_sort(list_transform(range(13, n + 1), lambda i: {{'d': list_distance({window}, {latest}), 'i': i, 'y': p[i]}}))[1:{many}]"
+
+
+_KNN = _let(_nearest(_WINDOW, _LATEST, 10), "q", "CASE WHEN q[1].d = 0 THEN list_avg(list_transform(list_filter(q, lambda z: z.d = 0), lambda z: z.y)) ELSE list_sum(list_transform(q, lambda z: z.y / z.d)) / list_sum(list_transform(q, lambda z: 1 / z.d)) END")
+_twin("knn-lag", _step_by_step(_KNN), "p[n + k]")
+_LIKE = lambda w: f"list_transform({w}, lambda x: (x - list_avg({w})) / (list_stddev_pop({w}) + 1e-8::DOUBLE))"
+_twin("analog-knn", _step_by_step(f"list_avg(list_transform({_nearest(_LIKE(_WINDOW), _LIKE(_LATEST), 5)}, lambda z: z.y))"), "p[n + k]")
+_twin(
+    "omp-lag",
+    ", a AS (SELECT s.unique_id, t, n, lag, list_transform(range(13, n + 1), lambda i: t[i - lag]) AS x, t[13:n] AS y FROM s, unnest(range(1, 13)) u(lag) WHERE n >= 14), "
+    "b AS (SELECT *, list_avg(x) AS mx, list_avg(y) AS my, list_transform(x, lambda v: v - list_avg(x)) AS cx, list_transform(y, lambda v: v - list_avg(y)) AS cy FROM a), "
+    "c AS (SELECT *, list_inner_product(cx, cy) / list_inner_product(cx, cx) AS w FROM b QUALIFY row_number() OVER (PARTITION BY unique_id ORDER BY abs(list_inner_product(cx, cy)) / sqrt(list_inner_product(cx, cx)) DESC, lag DESC) = 1), "
+    f"f AS (SELECT *, list_reduce([t{', []::DOUBLE[]' * _H}], lambda s, e: list_append(s, my + w * (s[len(s) - lag + 1] - mx))) AS p FROM c)",
+    "p[n + k]",
+)
+_LINE = f"(list_avg(t) + {_SLOPE} * (i - (n - 1) / 2.0::DOUBLE))"
+_WAVES = "list_concat([1.0::DOUBLE], flatten(list_transform(strong, lambda o: [sin(2 * pi() * o * i / n), cos(2 * pi() * o * i / n)])))"
+_twin(
+    "fft",
+    f", y AS (SELECT *, list_transform(range(n), lambda i: t[i + 1] - {_LINE}) AS y FROM s), "
+    "o AS (SELECT unique_id, o, pow(list_sum(list_transform(y, lambda v, i: v * cos(2 * pi() * o * (i - 1) / n))), 2) + pow(list_sum(list_transform(y, lambda v, i: v * sin(2 * pi() * o * (i - 1) / n))), 2) AS power FROM y, unnest(range(1, 1000)) u(o) WHERE o <= n // 2), "
+    "b AS (SELECT unique_id, list(o ORDER BY power DESC, o)[1:3] AS strong FROM o GROUP BY unique_id), "
+    f"x AS (SELECT y.*, strong, list_transform(range(n), lambda i: list_append({_WAVES}, y[i + 1])) AS xs FROM y JOIN b ON y.unique_id = b.unique_id){_solved(7)}, "
+    f"f AS (SELECT *, list_transform(range(n, n + {_H}), lambda i: {_LINE} + list_sum(list_transform({_WAVES}, lambda v, j: v * w[j]))) AS p FROM w)",
+    "p[k]",
+)
 panel_query("forecast_pipeline", "ship_monthly", lambda p: backtest.forecast(p, "pipeline", _H, {"base": "ses", "transforms": ("diff1",)}).select("unique_id", "step", "yhat"), f"{_S}, f AS (SELECT unique_id, t[n] AS l, {_ses_sql(t='list_transform(t[2:], lambda x, i: x - t[i])')} AS v FROM s) SELECT unique_id, k::INTEGER AS step, {r('l + k * v', 'yhat', 5)} FROM f, unnest(range(1, {_H + 1})) u(k)", 5)
 panel_query(
     "forecast_times", "ship_monthly", lambda p: backtest.forecast(p, "naive-last", 3).select("unique_id", "ds", "cutoff", "step"),
@@ -468,7 +509,13 @@ _PREFIX = {"naive-last": "t[n]", "mean": "list_avg(t)", "drift": "t[n] + k * (t[
 for _model, _expr in _PREFIX.items():
     panel_query(f"cv_prefix_{_model.replace('-', '_')}", "ship_monthly", lambda p, m=_model: backtest.prefix_cross_validation(p, m, 3, 3, 12), _cv_sql(_expr) + f" SELECT unique_id, ds, cutoff, step, {r('y', 'y', 5)}, {r('yhat', 'yhat', 5)}, '{_model}' AS model FROM v", 5)
 panel_query("cv_last_windows", "events_daily", lambda p: backtest.cross_validation(p, "naive-last", 2, 2, 5, n_windows=3, max_train_size=4).groupBy("unique_id").agg(F.count("*").alias("n"), F.min("cutoff").alias("first_cutoff"), F.round(F.sum("yhat"), 4).alias("total")), ", s AS (SELECT unique_id, list(y ORDER BY ds) AS a, list(ds ORDER BY ds) AS d, count(*) AS m FROM p GROUP BY unique_id), c AS (SELECT *, row_number() OVER (PARTITION BY unique_id ORDER BY e DESC) AS o FROM s, unnest(range(5, m - 2 + 1, 2)) u(e)) SELECT unique_id, count(*) * 2 AS n, min(d[e]) AS first_cutoff, " + r("sum(a[e]) * 2", "total", 4) + " FROM c WHERE o <= 3 GROUP BY unique_id")
-panel_query("cv_ar_ols", "ship_monthly", lambda p: _cv(p, "ar-ols", p=3), None)
+_CUT_ROWS = "list_transform(range(4, n + 1), lambda i: list_concat([1.0::DOUBLE], list_transform([1, 2, 3], lambda q: z[i - q]), [z[i]]))"
+_CUT_AHEAD = f"list_reduce([z{', []::DOUBLE[]' * 3}], lambda s, e: list_append(s, w[1] + list_sum(list_transform([1, 2, 3], lambda q, j: w[j + 1] * s[len(s) - q + 1]))))"
+panel_query(
+    "cv_ar_ols", "ship_monthly", lambda p: _cv(p, "ar-ols", p=3),
+    f"{_CUTS}, z AS (SELECT *, list_avg(t) AS avg, list_stddev_pop(t) AS sd, list_transform(t, lambda v: (v - list_avg(t)) / list_stddev_pop(t)) AS z FROM c), x AS (SELECT *, {_CUT_ROWS} AS xs FROM z){_solved(4)}, f AS (SELECT *, {_CUT_AHEAD} AS p FROM w) "
+    f"SELECT unique_id, d[e + k] AS ds, d[e] AS cutoff, k::INTEGER AS step, {r('a[e + k]', 'y', 3)}, {r('avg + sd * p[n + k]', 'yhat', 3)}, 'ar-ols' AS model FROM f, unnest(range(1, 4)) u(k)", 3,
+)
 panel_query("evaluate_first_windows", "ship_monthly", lambda p: leaderboard.evaluate_model(p, "mean", 3, 3, 12, max_windows=5), _CUTS.replace("u(e))", "u(e) WHERE e < 27)") + f", v AS (SELECT k::INTEGER AS step, a[e + k] AS y, list_avg(t) AS yhat FROM c, unnest(range(1, 4)) u(k)) SELECT step, count(*) AS n_points, {_METRICS}, 'mean' AS model FROM v GROUP BY GROUPING SETS ((), (step))")
 panel_query("metrics_wape_pinball", "events_daily", lambda p: _cv(p).groupBy("unique_id").agg(mt.wape().alias("wape"), mt.mse().alias("mse"), mt.pinball(0.1).alias("pinball_10"), mt.pinball(0.9).alias("pinball_90")), f"{_SEASON7} SELECT unique_id, {r('sum(abs(y - yhat)) / greatest(sum(abs(y)), 1e-8)', 'wape', 5)}, {r('avg((y - yhat) * (y - yhat))', 'mse', 5)}, {r('avg(greatest(0.1::DOUBLE * (y - yhat), -0.9::DOUBLE * (y - yhat)))', 'pinball_10', 5)}, {r('avg(greatest(0.9::DOUBLE * (y - yhat), -0.1::DOUBLE * (y - yhat)))', 'pinball_90', 5)} FROM v GROUP BY 1", 5)
 panel_query("metrics_scaled", "events_daily", lambda p: mt.scaled_metrics(_cv(p), p, 7), f"{_SEASON7}, h AS (SELECT unique_id, y - lag(y, 7) OVER (PARTITION BY unique_id ORDER BY ds) AS g FROM p), q AS (SELECT unique_id, avg(abs(g)) AS a, avg(g * g) AS b FROM h GROUP BY 1), f AS (SELECT unique_id, avg(abs(y - yhat)) AS mae, avg((y - yhat) * (y - yhat)) AS mse FROM v GROUP BY 1) SELECT unique_id, {r('mae / greatest(a, 1e-8)', 'mase')}, {r('sqrt(mse / greatest(b, 1e-8))', 'rmsse')} FROM f JOIN q USING (unique_id)")
@@ -583,6 +630,16 @@ panel_query(
 )
 for _model in ("ridge-step-lag-global", "gbrt-step-lag-global", "lasso-step-lag-global", "ard-step-lag-global", "omp-step-lag-global", "quantile-step-lag-global", "rf-step-lag-global"):
     panel_query(f"panel_{_model.split('-')[0]}", "ship_monthly", lambda p, m=_model: backtest.forecast(p, m, 3, {"lags": 12}).select("unique_id", "step", "yhat"), None, 2)
-panel_query("multivariate_var", "events_daily", lambda p: mt.evaluate(backtest.multivariate_cross_validation(frames.long_to_wide(p, _IDS), _IDS, 2, 4, 15), by=["target"]), None)
+_VAR_ROWS = "list_transform(range(2, e + 1), lambda i: list_concat([1.0::DOUBLE], v[i - 1], [v[i][j]]))"
+panel_query(
+    "multivariate_var", "events_daily", lambda p: mt.evaluate(backtest.multivariate_cross_validation(frames.long_to_wide(p, _IDS), _IDS, 2, 4, 15), by=["target"]),
+    ", i AS (SELECT unnest([" + ", ".join(f"'{x}'" for x in _IDS) + f"]) AS unique_id, unnest(range(1, {len(_IDS) + 1})) AS j), l AS (SELECT ds, list(y ORDER BY j) AS v FROM p JOIN i ON p.unique_id = i.unique_id GROUP BY ds), "
+    "s AS (SELECT list(v ORDER BY ds) AS a, count(*) AS m FROM l), q AS (SELECT [list_avg(list_transform(a, lambda z: z[1])), 1000.0::DOUBLE] AS sc, a, m FROM s), c AS (SELECT list_transform(a, lambda z: list_transform(z, lambda y: (y - sc[1]) / sc[2])) AS v, sc, e FROM q, unnest(range(15, m - 2 + 1, 4)) u(e)), "
+    f"x AS (SELECT v, sc, e, j, unique_id, {_VAR_ROWS} AS xs FROM c, i){_solved(1 + len(_IDS))}, "
+    "one AS (SELECT *, w[1] + list_sum(list_transform(v[e], lambda y, k: w[k + 1] * y)) AS first FROM w), two AS (SELECT e, list(first ORDER BY j) AS firsts FROM one GROUP BY e), "
+    "g AS (SELECT unique_id AS target, v, sc, e, j, [first, w[1] + list_sum(list_transform(firsts, lambda y, k: w[k + 1] * y))] AS ahead FROM one JOIN two USING (e)), "
+    "b AS (SELECT target, k::INTEGER AS step, sc[1] + sc[2] * v[e + k][j] AS y, sc[1] + sc[2] * ahead[k] AS yhat FROM g, unnest([1, 2]) u(k)) "
+    f"SELECT target, step, count(*) AS n_points, {', '.join(r(e, n, 4) for n, e in _METRIC_SQL.items())} FROM b GROUP BY GROUPING SETS ((target), (target, step))", 4,
+)
 panel_query("validate_registry", "ship_monthly", lambda p: models.validate_registry(p, 2), None)
 add("model_catalog", lambda spark, d: models.models_frame(spark).groupBy("tier", "interface").agg(F.count("*").alias("n")))
