@@ -187,3 +187,67 @@ def test_iterations_reach_the_solvers():
     assert not np.array_equal(few, many)
     a, b = (regressors.huber(x, y, epsilon=0.05, max_iter=n)(x) for n in (50, 2000))
     assert not np.array_equal(a, b)
+
+
+def test_seasons_and_trend_come_apart():
+    from tidewise.models import seasonal as sn
+
+    t = np.arange(96.0)
+    wave, line = 10 * np.sin(2 * np.pi * t / 12), 100 + 0.5 * t
+    for robust in (False, True):
+        season, trend = sn.stl(wave + line, 12, robust=robust)
+        assert np.abs(season - wave).max() < 0.5 and np.abs(trend - line).max() < 0.5
+    assert sn.loess(line, 11) == pytest.approx(line) and sn.loess(line, 500, at=[-1, 96]) == pytest.approx([99.5, 148])
+    for key in ("stl-arima", "stl-ets", "mstl-autoreg", "tbats-lite", "tbats-lite-ets"):
+        spec = registry.get_spec(key)
+        found = spec.run(wave + line, 6, **spec.defaults)
+        assert np.abs(found - (100 + 0.5 * np.arange(96, 102) + 10 * np.sin(2 * np.pi * np.arange(96, 102) / 12))).max() < 5, key
+
+
+def test_arima_against_plain_recursions():
+    from tidewise.models import seasonal as sn
+
+    rng = np.random.default_rng(0)
+    z, e = np.zeros(600), rng.normal(size=600)
+    for i in range(2, 600):
+        z[i] = 0.6 * z[i - 1] - 0.2 * z[i - 2] + e[i] + 0.4 * e[i - 1]
+    error, k, forecast = sn.arima_fit(z, (2, 0, 1))
+    assert error / 600 == pytest.approx(1, abs=0.1) and k == 5
+    plain, ar, ma = np.zeros(600), np.array([-0.6, 0.2]), np.array([0.4])
+    for i in range(2, 600):
+        plain[i] = z[i] - 0.6 * z[i - 1] + 0.2 * z[i - 2] - 0.4 * plain[i - 1]
+    assert sn._shocks(z, ar, ma)[2:] == pytest.approx(plain[2:])
+    assert sn._polynomial(np.array([0.5]), np.array([0.2]), 4) == pytest.approx([0.5, 0, 0, 0.2, 0.1])
+    # Differences are undone: a straight line goes on, and so does a repeated season.
+    assert sn.arima(3 + 2.0 * np.arange(30), 3, (0, 2, 0)) == pytest.approx([63, 65, 67])
+    assert sn.arima(np.tile([1.0, 5.0, 2.0, 8.0], 6), 5, (0, 0, 0), (0, 1, 0, 4)) == pytest.approx([1, 5, 2, 8, 1])
+
+
+def test_structural_levels():
+    from tidewise.models import seasonal as sn
+
+    assert sn.structural(np.full(30, 7.0), 3) == pytest.approx([7, 7, 7], abs=1e-3)
+    assert sn.structural(3 + 2.0 * np.arange(40), 3, "local linear trend") == pytest.approx([83, 85, 87], abs=0.2)
+    assert sn.structural(np.tile([1.0, 5.0, 2.0, 8.0], 12), 4, seasonal=4) == pytest.approx([1, 5, 2, 8], abs=0.3)
+
+
+@pytest.mark.parametrize("key", ["svr-lag", "linear-svr-lag", "mlp-lag", "adaboost-lag"])
+def test_learned_lag_models_follow_a_season(key):
+    t = np.arange(120)
+    spec = registry.get_spec(key)
+    found = spec.run(100 + 10 * np.sin(2 * np.pi * t / 12), 6, **spec.defaults)
+    assert np.abs(found - (100 + 10 * np.sin(2 * np.pi * np.arange(120, 126) / 12))).max() < 2.5
+
+
+def test_splits_of_all_columns_against_one_by_one():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        x, y = rng.integers(0, 6, (30, 4)).astype(float), rng.normal(size=30)
+        best = min(
+            (float(((y[m] - y[m].mean()) ** 2).sum() + ((y[~m] - y[~m].mean()) ** 2).sum()), j, c)
+            for j in range(4) for c in (np.unique(x[:, j])[1:] + np.unique(x[:, j])[:-1]) / 2 for m in [x[:, j] <= c]
+        )
+        j, c = regressors._split(x, y, np.arange(4), 1, None)
+        m = x[:, j] <= c
+        assert float(((y[m] - y[m].mean()) ** 2).sum() + ((y[~m] - y[~m].mean()) ** 2).sum()) == pytest.approx(best[0])
+    assert regressors._split(np.ones((5, 2)), np.arange(5.0), np.arange(2), 1, None) is None

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewise.models import expressions as ex
 from tidewise.models import kernels as kn
 from tidewise.models import regressors as rg
+from tidewise.models import seasonal as sn
 
 
 @dataclass(frozen=True)
@@ -81,6 +82,8 @@ for _kind, _multiplicative in (("add", False), ("mul", True)):
     _add("kernel", f"holt-winters-{_kind}-auto", _hw, season_length=12, grid_size=7)
 for _name, _make, _lags, _own in rg.LOCAL:
     _add("kernel", _name, rg.lag_forecaster(_make, "direct" if _name.endswith("-direct") else "recursive", tuple(_own)), lags=_lags, roll_windows=(), roll_stats=(), diff_lags=(), seasonal_lags=(), **_own)
+for _name, _run, _own in sn.MODELS:
+    _add("kernel", _name, _run, **_own)
 _add("kernel", "var", kn.var, "multivariate", maxlags=1, trend="c")
 for _name, _own in rg.PANEL.items():
     MODELS[_name] = ModelSpec(_name, "panel", None, {"lags": 48, "add_time_features": True, "id_feature": "ordinal", **_own}, "global", description=f"{_name}: one model for all series, by Spark's ML library")
@@ -90,8 +93,7 @@ for _key, _defaults in (("pipeline", {"base": "naive-last", "transforms": ()}),
 #: Families that need a library: a pattern of keys, the library, and the interface by the key's ending.
 GATED = (
     (re.compile(r"(torch|hf)-[a-z0-9-]+"), "torch"), (re.compile(r"(chronos(-bolt)?|lag-llama|timesfm|moirai|moment|time-moe|timer-s1)"), "torch"), (re.compile(r"xgb(rf)?-[a-z-]+"), "xgboost"),
-    (re.compile(r"lgbm-[a-z-]+"), "lightgbm"), (re.compile(r"catboost-[a-z-]+"), "catboost"), (re.compile(r"(adaboost|svr|linear-svr|mlp)-(step-lag-global|lag)|(knn|kernel-ridge)-step-lag-global"), "sklearn"),
-    (re.compile(r"(auto-)?arima|sarimax|uc-[a-z-]+|(stl|mstl|fourier|tbats-lite)(-[a-z-]+)?"), "statsmodels"),
+    (re.compile(r"lgbm-[a-z-]+"), "lightgbm"), (re.compile(r"catboost-[a-z-]+"), "catboost"), (re.compile(r"(adaboost|svr|linear-svr|mlp|knn|kernel-ridge)-step-lag-global"), "sklearn"),
 )
 
 

@@ -267,6 +267,113 @@ def boosting(x: np.ndarray, y: np.ndarray, n_estimators: int = 200, learning_rat
     return lambda q: base + learning_rate * sum(t(q) for t in trees)
 
 
+def linear_svr(x: np.ndarray, y: np.ndarray, C: float = 1.0, epsilon: float = 0.0, max_iter: int = 5000, random_state: int = 0) -> Predict:  # noqa: N803
+    """Support vector regression by a line: dual coordinates one after another, the constant penalised like a weight."""
+    rng, a = np.random.default_rng(random_state), np.column_stack([np.ones(len(x)), x])
+    size, dual, w = (a * a).sum(1), np.zeros(len(a)), np.zeros(a.shape[1])
+    for _ in range(max_iter):
+        moved = 0.0
+        for i in rng.permutation(len(a)):
+            off = a[i] @ w - y[i]
+            best = dual[i] - off / size[i]
+            new = min(C, max(-C, np.sign(best) * max(abs(best) - epsilon / size[i], 0.0)))
+            if new != dual[i]:
+                w = w + (new - dual[i]) * a[i]
+                # What a step changes in the row's own forecast; duals themselves are small where features are large.
+                moved, dual[i] = max(moved, abs(new - dual[i]) * size[i]), new
+        if moved <= 1e-6 * (1 + np.abs(y).mean()):
+            break
+    return _linear(w)
+
+
+def svr(x: np.ndarray, y: np.ndarray, C: float = 1.0, gamma: float | str = "scale", epsilon: float = 0.1) -> Predict:  # noqa: N803
+    """Support vector regression with a Gaussian kernel: dual coordinates, and between rounds the constant that halves the residuals."""
+    rate = 1 / (x.shape[1] * (x.var() or 1.0)) if gamma == "scale" else 1 / x.shape[1] if gamma == "auto" else float(gamma)
+    kernel = lambda a, b: np.exp(-rate * np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, 0))
+    k, dual = kernel(x, x), np.zeros(len(x))
+    value, level = np.zeros(len(x)), float(np.median(y))
+    for _ in range(200):
+        moved = 0.0
+        for i in range(len(x)):
+            best = dual[i] - (value[i] + level - y[i])
+            new = min(C, max(-C, np.sign(best) * max(abs(best) - epsilon, 0.0)))
+            if new != dual[i]:
+                value = value + (new - dual[i]) * k[:, i]
+                moved, dual[i] = max(moved, abs(new - dual[i])), new
+        before, level = level, float(np.median(y - value))
+        if moved <= 1e-4 * C and abs(level - before) <= 1e-6 * max(1.0, abs(level)):
+            break
+    return lambda q: kernel(q, x) @ dual + level
+
+
+def mlp(x: np.ndarray, y: np.ndarray, hidden_layer_sizes: tuple[int, ...] = (64, 64), alpha: float = 0.0001, max_iter: int = 300, random_state: int = 0, learning_rate_init: float = 0.001) -> Predict:
+    """Layers of rectified sums, by Adam on batches of up to 200 rows; data are standardised. Ends when ten epochs bring nothing."""
+    rng = np.random.default_rng(random_state)
+    mx, sx, my, sy = x.mean(0), x.std(0) + 1e-12, y.mean(), y.std() + 1e-12
+    a, t, sizes = (x - mx) / sx, (y - my) / sy, [x.shape[1], *hidden_layer_sizes, 1]
+    w = [rng.uniform(-1, 1, (m, n)) * np.sqrt(6 / (m + n)) for m, n in zip(sizes, sizes[1:], strict=False)] + [np.zeros(n) for n in sizes[1:]]
+    layers, first, second, steps = len(sizes) - 1, [np.zeros_like(v) for v in w], [np.zeros_like(v) for v in w], 0
+
+    def forward(q: np.ndarray) -> list[np.ndarray]:
+        out = [q]
+        for i in range(layers):
+            q = out[-1] @ w[i] + w[layers + i]
+            out.append(np.maximum(q, 0) if i < layers - 1 else q)
+        return out
+
+    best, still = np.inf, 0
+    for _ in range(max_iter):
+        order, loss = rng.permutation(len(a)), 0.0
+        for rows in np.array_split(order, -(-len(a) // 200)):
+            out = forward(a[rows])
+            back = (out[-1][:, 0] - t[rows])[:, None] / len(rows)
+            loss += float((back**2).sum()) * len(rows) / 2
+            slopes = [np.zeros(0)] * len(w)
+            for i in range(layers - 1, -1, -1):
+                slopes[i], slopes[layers + i] = out[i].T @ back + alpha * w[i] / len(rows), back.sum(0)
+                back = (back @ w[i].T) * (out[i] > 0)
+            steps += 1
+            for i, g in enumerate(slopes):
+                first[i], second[i] = 0.9 * first[i] + 0.1 * g, 0.999 * second[i] + 0.001 * g * g
+                w[i] = w[i] - learning_rate_init * (first[i] / (1 - 0.9**steps)) / (np.sqrt(second[i] / (1 - 0.999**steps)) + 1e-8)
+        still = still + 1 if loss > best - 1e-4 else 0
+        best = min(best, loss)
+        if still == 10:
+            break
+    return lambda q: my + sy * forward((q - mx) / sx)[-1][:, 0]
+
+
+def adaboost(x: np.ndarray, y: np.ndarray, n_estimators: int = 300, learning_rate: float = 0.05, random_state: int = 0) -> Predict:
+    """Trees of three levels on rows drawn by weight; rows that a tree gets wrong weigh more for the next, and the weighted median decides."""
+    rng, weight = np.random.default_rng(random_state), np.full(len(x), 1 / len(x))
+    trees, says = [], []
+    for _ in range(n_estimators):
+        rows = rng.choice(len(x), len(x), p=weight)
+        own = tree(x[rows], y[rows], 3)
+        off = np.abs(own(x) - y)
+        off = off / off.max() if off.max() > 0 else off
+        loss = float(weight @ off)
+        if loss >= 0.5 and trees:
+            break
+        trees.append(own)
+        if loss <= 0 or loss >= 0.5:
+            says.append(1.0)
+            break
+        beta = loss / (1 - loss)
+        says.append(learning_rate * np.log(1 / beta))
+        weight = weight * beta ** ((1 - off) * learning_rate)
+        weight = weight / weight.sum()
+
+    def predict(q: np.ndarray) -> np.ndarray:
+        found = np.array([t(q) for t in trees]).T
+        order = np.argsort(found, axis=1)
+        reach = np.cumsum(np.array(says)[order], axis=1)
+        at = (reach >= 0.5 * reach[:, -1:]).argmax(axis=1)
+        return found[np.arange(len(q)), order[np.arange(len(q)), at]]
+
+    return predict
+
+
 def lag_forecaster(fit: Callable[..., Predict], strategy: str, own: tuple[str, ...]) -> Callable[..., np.ndarray]:
     """A kernel from a regressor: `recursive` feeds forecasts back, `direct` fits one model for each step."""
 
@@ -300,6 +407,8 @@ LOCAL = (
     ("poisson-lag", _glm(1.0), 12, {"alpha": 1.0, "max_iter": 100}), ("gamma-lag", _glm(2.0), 12, {"alpha": 1.0, "max_iter": 100}), ("tweedie-lag", _glm(1.5), 12, {"alpha": 1.0, "max_iter": 100}),
     ("sgd-lag", sgd, 12, {"alpha": 0.0001, "max_iter": 2000, "random_state": 0}), ("decision-tree-lag", tree, 12, {"max_depth": 5}), ("rf-lag", _forest(1.0, 1.0, False), 10, {"n_estimators": 200, "random_state": 0}),
     ("extra-trees-lag", _forest(0.0, 1.0, True), 12, {"n_estimators": 300, "random_state": 0, "max_depth": None}), ("bagging-lag", _forest(0.8, 1.0, False), 12, {"n_estimators": 200, "random_state": 0}),
+    ("svr-lag", svr, 12, {"C": 1.0, "gamma": "scale", "epsilon": 0.1}), ("linear-svr-lag", linear_svr, 12, {"C": 1.0, "epsilon": 0.0, "max_iter": 5000, "random_state": 0}),
+    ("mlp-lag", mlp, 12, {"hidden_layer_sizes": (64, 64), "alpha": 0.0001, "max_iter": 300, "random_state": 0, "learning_rate_init": 0.001}), ("adaboost-lag", adaboost, 12, {"n_estimators": 300, "learning_rate": 0.05, "random_state": 0}),
     ("gbrt-lag", boosting, 12, {"n_estimators": 200, "learning_rate": 0.05, "max_depth": 3}), ("hgb-lag", boosting, 12, {"n_estimators": 300, "learning_rate": 0.05, "max_depth": 3}),
 )
 

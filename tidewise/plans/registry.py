@@ -475,6 +475,19 @@ _twin(
     f"f AS (SELECT *, list_transform(range(n, n + {_H}), lambda i: {_LINE} + list_sum(list_transform({_WAVES}, lambda v, j: v * w[j]))) AS p FROM w)",
     "p[k]",
 )
+
+# Twins of ARIMA of the default order (1, 0, 0): its least conditional sum of squares is a ratio of sums.
+_PHI = "greatest(-0.99::DOUBLE, least(0.99::DOUBLE, list_inner_product(e[2:], e[1:n - 1]) / list_inner_product(e[1:n - 1], e[1:n - 1])))"
+for _model in ("arima", "sarimax"):
+    _twin(_model, f"{_Z}, e AS (SELECT *, z AS e FROM z), f AS (SELECT *, {_PHI} AS phi FROM e)", "avg + sd * e[n] * pow(phi, k)")
+for _model, _line in (("fourier-arima", ""), ("fourier-sarimax", ""), ("tbats-lite", "i / n::DOUBLE, "), ("tbats-lite-sarimax", "i / n::DOUBLE, ")):
+    _row = f"[1.0::DOUBLE, {_line}" + ", ".join(f"{f}(2 * pi() * {o} * i / 12.0::DOUBLE)" for o in (1, 2) for f in ("sin", "cos")) + "]"
+    _at = f"list_sum(list_transform({_row}, lambda v, j: v * w[j]))"
+    _twin(
+        _model, f"{_Z}, x AS (SELECT *, list_transform(range(n), lambda i: list_append({_row}, z[i + 1])) AS xs FROM z){_solved(6 if _line else 5)}, e AS (SELECT *, list_transform(range(n), lambda i: z[i + 1] - {_at}) AS e FROM w), "
+        f"f AS (SELECT *, {_PHI} AS phi, list_transform(range(n, n + {_H}), lambda i: {_at}) AS p FROM e)",
+        "avg + sd * (p[k] + e[n] * pow(phi, k))",
+    )
 panel_query("forecast_pipeline", "ship_monthly", lambda p: backtest.forecast(p, "pipeline", _H, {"base": "ses", "transforms": ("diff1",)}).select("unique_id", "step", "yhat"), f"{_S}, f AS (SELECT unique_id, t[n] AS l, {_ses_sql(t='list_transform(t[2:], lambda x, i: x - t[i])')} AS v FROM s) SELECT unique_id, k::INTEGER AS step, {r('l + k * v', 'yhat', 5)} FROM f, unnest(range(1, {_H + 1})) u(k)", 5)
 panel_query(
     "forecast_times", "ship_monthly", lambda p: backtest.forecast(p, "naive-last", 3).select("unique_id", "ds", "cutoff", "step"),
