@@ -162,10 +162,20 @@ def sorted_long(df: DataFrame) -> DataFrame:
     return df.orderBy(*KEYS)
 
 
+#: Series that a wide table may have as columns when they are looked up; Spark's own limit for pivots.
+MOST_COLUMNS = 10_000
+
+
 def long_to_wide(df: DataFrame, ids: Sequence[str] | None = None, value_col: str = "y") -> DataFrame:
-    """One row for each time, one column for each series, in case-insensitive order of ids. Ids are looked up if not given."""
+    """One row for each time, one column for each series, in case-insensitive order of ids.
+
+    Ids are looked up if not given; a table of more than `MOST_COLUMNS` columns is no table to look at, and raises.
+    """
     if ids is None:
-        ids = sorted((r[0] for r in df.select("unique_id").distinct().collect()), key=lambda x: (x.lower(), x))
+        found = df.select("unique_id").distinct().limit(MOST_COLUMNS + 1).collect()
+        if len(found) > MOST_COLUMNS:
+            raise ValueError(f"more than {MOST_COLUMNS} series; name those that are wanted")
+        ids = sorted((r[0] for r in found), key=lambda x: (x.lower(), x))
     return df.groupBy("ds").pivot("unique_id", list(ids)).agg(F.first(value_col))
 
 

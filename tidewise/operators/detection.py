@@ -6,6 +6,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidewise.frames import series_window
 
@@ -39,20 +40,28 @@ def rolling_scores(df: DataFrame, method: str = "rolling-zscore", window: int =
     return rows.select("unique_id", "ds", "cutoff", F.lit(1).alias("step"), "y", "yhat", residual.alias("residual"), score.alias("score"), F.lit(None).cast("string").alias("model"))
 
 
-def thresholds(scored: DataFrame, method: str, k: float = 3.0, q: float = 0.99) -> DataFrame:
-    """`unique_id, threshold` from the finite scores: k, their quantile, or their median plus k scaled MADs; infinite without any."""
-    finite = scored.where(F.col("score").isNotNull() & (F.col("score") < float("inf")) & ~F.isnan("score")).select("unique_id", "score")
+def with_threshold(scored: DataFrame, method: str, k: float = 3.0, q: float = 0.99) -> DataFrame:
+    """Add `threshold` from a series' finite scores: k, their quantile, or their median plus k scaled MADs; infinite without any.
+
+    By windows of a series, so scores are read once and stay where scoring has put them.
+    """
+    series = Window.partitionBy("unique_id")
+    score = F.when((F.col("score") < float("inf")) & ~F.isnan("score"), F.col("score"))
     if method == "zscore":
-        found = finite.groupBy("unique_id").agg(F.lit(float(k)).alias("threshold"))
+        found = F.when(F.count(score).over(series) > 0, F.lit(float(k)))
     elif method == "quantile":
-        found = finite.groupBy("unique_id").agg(F.percentile("score", F.lit(q)).alias("threshold"))
+        found = F.percentile(score, F.lit(q)).over(series)
     elif method == "mad":
-        center = finite.groupBy("unique_id").agg(F.percentile("score", F.lit(0.5)).alias("c"))
-        found = finite.join(center, "unique_id").groupBy("unique_id", "c").agg(F.percentile(F.abs(F.col("score") - F.col("c")), F.lit(0.5)).alias("m"))
-        found = found.select("unique_id", (F.col("c") + k * MAD_SCALE * F.col("m")).alias("threshold"))
+        scored = scored.withColumn("_center", F.percentile(score, F.lit(0.5)).over(series))
+        found = F.col("_center") + k * MAD_SCALE * F.percentile(F.abs(score - F.col("_center")), F.lit(0.5)).over(series)
     else:
         raise ValueError("threshold method must be zscore, quantile or mad")
-    return scored.select("unique_id").distinct().join(found, "unique_id", "left").withColumn("threshold", F.coalesce("threshold", F.lit(float("inf"))))
+    return scored.withColumn("threshold", F.coalesce(found, F.lit(float("inf")))).drop("_center")
+
+
+def thresholds(scored: DataFrame, method: str, k: float = 3.0, q: float = 0.99) -> DataFrame:
+    """`unique_id, threshold` of each series."""
+    return with_threshold(scored, method, k, q).select("unique_id", "threshold").distinct()
 
 
 def detect(df: DataFrame, model: str | None = None, params: dict[str, Any] | None = None, score_method: str | None = None, threshold_method: str | None = None, threshold_k: float = 3.0, threshold_quantile: float = 0.99, window: int = 12, min_history: int = 3, min_train_size: int | None = None, step_size: int = 1, max_train_size: int | None = None, n_windows: int | None = None) -> DataFrame:
@@ -70,7 +79,7 @@ def detect(df: DataFrame, model: str | None = None, params: dict[str, Any] | Non
     else:
         scored = rolling_scores(df, score_method, window, min_history)
         context = f"rolling:window={window},min_history={min_history}"
-    out = scored.join(thresholds(scored, threshold_method, threshold_k, threshold_quantile), "unique_id")
+    out = with_threshold(scored, threshold_method, threshold_k, threshold_quantile)
     flag = F.coalesce(F.col("score") > F.col("threshold"), F.lit(False))
     labels = {"is_anomaly": flag, "score_method": F.lit(score_method), "threshold_method": F.lit(threshold_method), "window_context": F.lit(context)}
     return out.withColumns(labels).select(COLUMNS)
