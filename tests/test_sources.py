@@ -56,6 +56,30 @@ def test_command_line(spark, tmp_path, capsys):
     assert "theta-auto" in capsys.readouterr().out
 
 
+def test_more_commands(spark, tmp_path, capsys):
+    (tmp_path / "catfish.csv").write_text("Date,Total\n" + "".join(f"20{y:02d}-{m}-1,{10 * y + m}\n" for y in (1, 2, 3) for m in range(1, 13)))
+    common = [str(tmp_path / "catfish.csv"), "--time-col", "Date", "--y-col", "Total"]
+
+    def said(*words):
+        assert cli.main([*words], spark) == 0
+        return capsys.readouterr().out.strip()
+
+    assert "library torch,missing" in said("doctor") and "season_length" in said("model-info", "seasonal-naive")
+    assert "cal_month_sin" in said("calendar-features", *common) and "feat_y_lag_2" in said("make-supervised", *common, "--lags", "2")
+    assert said("splits", *common, "--horizon", "3", "--step", "10").splitlines()[1:] == ["series=0,0,12,12,15", "series=0,0,22,22,25", "series=0,0,32,32,35"]
+    one, two = str(tmp_path / "one"), str(tmp_path / "two")
+    said("save-forecaster", *common, "--model", "drift", "--artifact", one)
+    said("save-forecaster", *common, "--model", "mean", "--artifact", two)
+    assert "drift" in said("artifact-info", one) and "valid" in said("artifact-validate", one)
+    assert said("artifact-diff", one, two).splitlines()[1].startswith("model,") and "2004-02-01" in said("artifact-forecast", one, "--horizon", "2")
+    where = ["--data-dir", str(tmp_path)]
+    assert len(said("dataset-preview", "catfish", *where, "--rows", "3").splitlines()) == 4
+    assert "catfish.csv" in said("dataset-path", "catfish", *where) and "36" in said("dataset-validate", "catfish", *where)
+    rows = str(tmp_path / "board.csv")
+    cli.main(["leaderboard-sweep", "--datasets", "catfish", *where, "--models", "mean,naive-last", "--output", rows], spark)
+    assert said("leaderboard-summarize", rows, "--metrics", "mae,rmse").count("\n") == 2
+
+
 def test_objects(spark, panel):
     df = panel({"s": [1, 2, 3, 4]})
     assert api.Ensemble(("naive-last", "mean")).fit(df).predict(1).first()["yhat"] == 3.25
