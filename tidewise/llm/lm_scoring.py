@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewise.llm.common import _arrow, fold, partitions, stored
+from tidewise.llm.common import _arrow, fold, partitions, small_batches, stored
 
 #: Characters of text in a block; a longer text is a block of its own.
 BLOCK = 8_000_000
@@ -300,6 +300,7 @@ def score_report(df: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
     Null and empty texts have one token, the end. Repeated rows are documents of their own, in counts and in the result. With no
     training text every estimate is 1 / (0 + 0 + 1). An empty table gives none.
     """
+    small_batches(df.sparkSession)
     blocked = blocks(df, modulus, held)
     size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(RANGES_EACH * partitions(df.sparkSession), math.ceil(size / 4 / RANGE))

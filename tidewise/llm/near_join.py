@@ -397,10 +397,15 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 SQL = r"""
 WITH RECURSIVE d AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), p AS (
+  SELECT r, len(w) AS m, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM d
+), v AS (
+  SELECT r, m, i, w || coalesce(' ' || lead(w, 1) OVER o, '') || coalesce(' ' || lead(w, 2) OVER o, '') || coalesce(' ' || lead(w, 3) OVER o, '') || coalesce(' ' || lead(w, 4) OVER o, '') AS shingle
+  FROM p WINDOW o AS (PARTITION BY r ORDER BY i)
+), h AS (
+  SELECT r, list_sort(list(DISTINCT shingle)) AS shingles FROM v WHERE i = 1 OR i <= m - 4 GROUP BY r
 ), s AS (
-  SELECT r, doc_id, list_sort(list_distinct(CASE
-    WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
-    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS shingles FROM d
+  SELECT d.r, doc_id, coalesce(h.shingles, []) AS shingles FROM d LEFT JOIN h ON d.r = h.r
 ), c AS (
   SELECT row_number() OVER () AS class, shingles, min(doc_id) AS id, count(*) AS n_copies, len(shingles) AS n FROM s GROUP BY shingles
 ), e AS (
