@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from tidewise.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
-SLOW = ("gbrt", "panel_", "extra_trees", "rf_lag", "bagging")
+SLOW = ("gbrt", "hgb", "adaboost", "panel_", "extra_trees", "rf_lag", "bagging", "auto_arima", "validate_registry")
 
 
 @pytest.fixture(scope="module")
