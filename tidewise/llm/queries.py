@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewise.llm import fingerprint, language_id, lm_scoring, mixing, near_join, packing, quality_rules, repeats, resampling, secret_scan, toxicity
+from tidewise.llm import fingerprint, language_id, lm_scoring, mixing, near_join, packing, periodic, quality_rules, repeats, resampling, secret_scan, toxicity
 from tidewise.llm.common import documents, labels
 
 
@@ -50,6 +50,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join.near_join(documents(spark, sf_dir))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_report(documents(spark, sf_dir))
+
+
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeat_report(documents(spark, sf_dir))
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_systematic_mix": op9_systematic_mix,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_periodic_runs": op11_periodic_runs,
     "op13_suffix_dedup": op13_suffix_dedup,
     "pipeline": pipeline,
 }
