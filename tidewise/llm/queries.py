@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewise.llm import fingerprint, language_id, lm_scoring, mixing, near_join, packing, periodic, quality_rules, repeats, resampling, secret_scan, toxicity
+from tidewise.llm import collocations, fingerprint, language_id, lm_scoring, mixing, near_join, packing, periodic, quality_rules, repeats, resampling, secret_scan, toxicity
 from tidewise.llm.common import documents, labels
 
 
@@ -54,6 +54,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.run_report(documents(spark, sf_dir))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeat_report(documents(spark, sf_dir))
 
@@ -76,9 +80,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_systematic_mix": op9_systematic_mix,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_collocations": op12_collocations,
     "op13_suffix_dedup": op13_suffix_dedup,
     "pipeline": pipeline,
 }
 
 #: DuckDB SQL for queries that SQL can express; the others' tests have brute-force versions.
-ORACLES: dict[str, str] = {"op4_quality_divergence": quality_rules.SQL, "op9_systematic_mix": mixing.SQL, "op10_ngram_jaccard_join": near_join.SQL}
+ORACLES: dict[str, str] = {"op4_quality_divergence": quality_rules.SQL, "op9_systematic_mix": mixing.SQL, "op10_ngram_jaccard_join": near_join.SQL, "op12_collocations": collocations.SQL}
