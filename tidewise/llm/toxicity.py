@@ -1,7 +1,8 @@
 """Toxicity: a weighted lexicon, found by Aho-Corasick in folded text, normalised by length.
 
-Folding lowers the case, maps look-alike letters and digits that stand for letters to those letters, and drops marks that are
-put inside words. A lexicon of seed words is widened by words that mark the toxic class in a bounded labelled sample; weights
+Folding lowers the case and maps look-alike letters, and digits and marks that stand for letters, to those letters; places stay.
+Whether a hit is a whole word is judged by what stands in the text itself, so a digit or "!" after a word is no letter of it. Marks put
+between letters are dropped for a second look, and an asterisk may stand for up to `MASKED` inner letters of a word. A lexicon of seed words is widened by words that mark the toxic class in a bounded labelled sample; weights
 are log odds. Exception phrases cover harmless uses. A logistic curve, fitted on the same sample, maps the features to 0..1.
 """
 
@@ -40,15 +41,28 @@ LOOKALIKES = {
     "a": "αа@4", "b": "в8", "c": "сϲ", "d": "ԁ", "e": "еε3€", "g": "ɡ9", "h": "һ", "i": "іι1!ı|", "j": "ј", "k": "к", "l": "ӏ",
     "m": "м", "n": "ո", "o": "оο0", "p": "рρ", "q": "ԛ", "r": "г", "s": "ѕ5$", "t": "т7+", "u": "υ", "v": "ν", "w": "ԝ", "x": "хχ", "y": "у", "z": "2",
 }
-FOLD = str.maketrans({c: letter for letter, chars in LOOKALIKES.items() for c in chars} | dict.fromkeys("​‌‍­⁠*_", ""))
-WORD = re.compile(r"[^\W\d_]+")
+FOLD = str.maketrans({c: letter for letter, chars in LOOKALIKES.items() for c in chars})
+#: Marks that are put inside words; the first stands for letters, too.
+MARKS = "*_\u200b\u200c\u200d\u00ad\u2060"
+MASKED = 3
+MARKED = re.compile(f"[{MARKS}]")
+#: A word: letters, with look-alikes that are none between them; folded when it is read.
+WORD = re.compile(r"[^\W\d_]+(?:[" + re.escape("".join(sorted({c for chars in LOOKALIKES.values() for c in chars if not c.isalpha()}))) + r"]+[^\W\d_]+)*")
 LEAST_SEEN = 5
 #: Letters of a stem that may be learned; a stem is written with an asterisk and finds the words that begin with it.
 STEMS = range(4, 10)
 
 
-def folded(text: str) -> str:
-    return text.lower().translate(FOLD)
+def lowered(text: str) -> str:
+    """Lower case, one character for each."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower()[:1] for c in text)
+
+
+def masked_forms(word: str) -> list[str]:
+    """A word with an asterisk, or as many, in place of up to `MASKED` letters that are neither its first nor its last."""
+    inner = [(i, k) for k in range(1, MASKED + 1) for i in range(1, len(word) - k)]
+    return [word[:i] + stars + word[i + k :] for i, k in inner for stars in {"*", "*" * k}] if len(word) >= 4 else []
 
 
 @dataclass
@@ -64,11 +78,15 @@ class ToxicityModel:
         return {"weights": self.weights, "exceptions": self.exceptions, "curve": self.curve, "_machine": None}
 
     def machine(self):  # noqa: ANN201
-        """The automaton over words and exception phrases; built once for each process."""
+        """The automaton over words and their masked forms, and exception phrases; built once for each process."""
         if self._machine is None:
             import ahocorasick
 
             found = ahocorasick.Automaton()
+            for w, x in self.weights.items():
+                if not w.endswith("*"):
+                    for form in masked_forms(w):
+                        found.add_word(form, (len(form), False, x))
             for w, x in self.weights.items():
                 found.add_word(w.rstrip("*"), (len(w.rstrip("*")), w.endswith("*"), x))
             for p in self.exceptions:
@@ -78,20 +96,29 @@ class ToxicityModel:
             self._machine = found
         return self._machine
 
+    def _matches(self, low: str) -> Iterator[tuple[int, int, float | None]]:
+        """(start, end, weight) of words, stems and exception phrases in a text in lower case, at the edges of words."""
+        n = len(low)
+        for last, (size, stem, weight) in self.machine().iter(low.translate(FOLD)):
+            a, b = last - size + 1, last + 1
+            if (a == 0 or not low[a - 1].isalpha()) and (stem or b == n or not low[b].isalpha()):
+                yield a, b, weight
+
     def hits(self, text: str) -> list[tuple[int, int, float]]:
-        """(start, end, weight) in the folded text, of whole words or beginnings of words, none inside an exception phrase."""
-        machine, found, safe = self.machine(), [], []
-        if not len(machine):
+        """(start, end, weight) by place, of whole words or beginnings of words, none inside an exception phrase."""
+        if not len(self.machine()):
             return []
-        n = len(text)
-        for last, (size, stem, weight) in machine.iter(text):
-            a, b = last - size + 1, last + 1
-            if (a == 0 or not text[a - 1].isalpha()) and (stem or b == n or not text[b].isalpha()):
-                (found if weight is not None else safe).append((a, b, weight))
+        low = lowered(text)
+        matches = set(self._matches(low))
+        if MARKED.search(low):
+            # Once more without the marks that stand between two letters; places are carried back.
+            inside = lambda i: low[i] in MARKS and 0 < i < len(low) - 1 and (low[i - 1].isalnum() or low[i - 1] in MARKS) and (low[i + 1].isalnum() or low[i + 1] in MARKS)
+            keep = [i for i in range(len(low)) if not inside(i)]
+            matches |= {(keep[a], keep[b - 1] + 1, x) for a, b, x in self._matches("".join([low[i] for i in keep]))}
+        found, safe = sorted(m for m in matches if m[2] is not None), sorted(m[:2] for m in matches if m[2] is None)
         if safe:
             # Phrases by start, and how far those up to each reach: one search for each hit.
-            safe.sort()
-            starts, reach = [x for x, _, _ in safe], [0, *accumulate((y for _, y, _ in safe), max)]
+            starts, reach = [x for x, _ in safe], [0, *accumulate((y for _, y in safe), max)]
             found = [h for h in found if reach[bisect_right(starts, h[0])] < h[1]]
         return found
 
@@ -99,7 +126,7 @@ class ToxicityModel:
         """(weight by length, weight, hits, words); zeros for null or empty text."""
         if not text:
             return 0.0, 0.0, 0, 0
-        found = self.hits(folded(text))
+        found = self.hits(text)
         words = text.count(" ") + text.count("\n") + 1
         total = sum(w for _, _, w in found)
         return total / math.sqrt(words), total, len(found), words
@@ -115,7 +142,7 @@ def _design(measures: list[tuple[float, float, int, int]]) -> np.ndarray:
 
 def held_words(text: str | None) -> set[str]:
     """The words of a text, and their beginnings as stems with an asterisk."""
-    words = set(WORD.findall(folded(text or "")))
+    words = {w.translate(FOLD) for w in WORD.findall(lowered(text or ""))}
     return words | {w[:n] + "*" for w in words for n in STEMS if len(w) >= n}
 
 
