@@ -141,3 +141,10 @@ def test_one_of_each_group_stays(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert nj.near_join(df).count() == 0 and nj.keep_one(df).count() == 0
+
+
+def test_names_of_columns_do_not_clash(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 5, 6, 7, 8), (2, "a b c d e f", 5, 6, 7, 8), (3, "g h i j k l", 5, 6, 7, 8), (3, "g h i j k l", 5, 6, 7, 8)], "doc_id long, text string, _id int, _hash int, _row int, _lost int")
+    found = nj.keep_one(df)
+    assert found.columns == df.columns
+    assert sorted(r["doc_id"] for r in found.collect()) == [1, 3]

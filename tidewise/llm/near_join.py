@@ -375,7 +375,7 @@ def _joined(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `df` that are the first of their group: its least id and, if rows share that id, the least hash of the text; one row of equal ones.
 
-    Rows with a null id stay, for nothing names them.
+    Rows with a null id stay, for nothing names them. Columns may have any names. A text of any length goes to a worker as a whole.
     """
     found = stored(_joined(df.where(F.col(id_col).isNotNull()), id_col, text_col), "classes")
     first = found.where(F.col("doc_id") == F.col("root.id")).groupBy("root").agg(F.min("text_hash").alias("first"))
@@ -384,13 +384,13 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     if not shared.isEmpty():
         heads = found.where(F.col("doc_id") == F.col("root.id")).join(shared, "doc_id", "left_semi").join(first, "root")
         lost = lost.unionByName(heads.where(F.col("text_hash") != F.col("first")).select("doc_id", "text_hash"))
-    lost = stored(lost.distinct(), "lost").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    gone = (F.col(id_col).cast("long") == F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash"))
-    out = df.join(F.broadcast(lost) if lost.count() <= FEW else lost, gone, "left_anti")
-    if shared.isEmpty():
-        return out
-    named = out.where(F.col(id_col).isNotNull()).withColumn("_hash", F.xxhash64(text_col)).dropDuplicates([id_col, "_hash"]).drop("_hash")
-    return named.unionByName(out.where(F.col(id_col).isNull()))
+    lost = stored(lost.distinct(), "lost").select(F.col("doc_id").alias("_lost"), F.col("text_hash").alias("_lost_hash"))
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_hash"))
+    gone = (F.col("_id") == F.col("_lost")) & (F.col("_hash") == F.col("_lost_hash"))
+    out = rows.join(F.broadcast(lost) if lost.count() <= FEW else lost, gone, "left_anti")
+    if not shared.isEmpty():
+        out = out.where("_id is not null").dropDuplicates(["_id", "_hash"]).unionByName(out.where("_id is null"))
+    return out.select("_row.*")
 
 
 #: `near_join` in DuckDB's SQL by all pairs that share a shingle, over a view `documents`: for small tables.
