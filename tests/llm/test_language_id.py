@@ -3,6 +3,8 @@ import zlib
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from tidewise.llm import language_id as li
 from tidewise.llm.common import documents
 
@@ -166,3 +168,11 @@ def test_evenly_mixed_documents_stay(spark, data):
     extra = spark.createDataFrame([(10_000_000 + i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
     kept = li.keep_identified(docs.select("doc_id", "text", "lang").unionByName(extra)).where("doc_id >= 10000000")
     assert sorted(r["doc_id"] - 10_000_000 for r in kept.collect()) == [0, 1, 2]
+
+
+def test_number_signs_are_no_letters_and_marks_belong_to_words(spark, model):
+    rows = spark.createDataFrame([("²½",), ("①Ⅻ ٣",), ("the words of this text are in a language",)], "text string").withColumn("_found", F.lit(1)).withColumn("_row", F.lit(2)).withColumn("score", F.lit("x"))
+    found = li.identify_language(rows, model).collect()
+    assert [r["lang_pred"] for r in found][:2] == ["und", "und"] and found[2]["lang_pred"] == "en" and found[0]["score"] == 0
+    assert all(r["_found"] == 1 and r["_row"] == 2 for r in found)
+    assert li.LETTERS.findall("हिन्दी नमस्ते") == ["हिन्दी", "नमस्ते"]

@@ -15,14 +15,17 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewise.llm.common import fold, hashed_sample, parts, small_batches
 
-#: Words: runs of letters; anything else parts them and has no label. A longer run, as in scripts without spaces, is several words.
+#: Words: runs of letters and the marks that combine with them; anything else parts them and has no label. A longer run, as in
+#: scripts without spaces, is several words.
 LONGEST_RUN = 24
-LETTERS = re.compile(rf"[^\W\d_]{{1,{LONGEST_RUN}}}")
+LETTERS = regex.compile(rf"\p{{L}}[\p{{L}}\p{{M}}]{{0,{LONGEST_RUN - 1}}}")
+PLAIN_LETTERS = re.compile(f"[a-z]{{1,{LONGEST_RUN}}}")
 TABLE = 1 << 15
 #: The row of weights, always 0, of what a word doesn't have; the lexicon comes after it.
 NONE = TABLE
@@ -68,6 +71,11 @@ def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.
     return trigrams, begins - 2 * np.arange(len(words)), own
 
 
+def letter_runs(low: str) -> re.Pattern | regex.Pattern:
+    """The pattern of a lower-case text's words: the quicker one where all is ASCII."""
+    return PLAIN_LETTERS if low.isascii() else LETTERS
+
+
 @dataclass
 class LanguageModel:
     """Weights (TABLE + 1 + lexicon x labels, float32), log transitions (labels x labels), log start weights, and the lexicon's rows."""
@@ -178,7 +186,8 @@ class Reader:
             if not text:
                 continue
             # A list is quicker; a text that would make a long one is gone through match by match.
-            found = iter(LETTERS.findall(text.lower())) if len(text) <= 10 * PART else (m[0] for m in LETTERS.finditer(text.lower()))
+            low = text.lower()
+            found = iter(letter_runs(low).findall(low)) if len(text) <= 10 * PART else (m[0] for m in letter_runs(low).finditer(low))
             before, own = [], list(islice(found, PART + BESIDE))
             while own:
                 core = own if len(own) <= PART + BESIDE // 2 else own[:PART]
@@ -211,7 +220,7 @@ def training_runs(texts: list[str], languages: list[str], rng: np.random.Generat
     """Runs of 5 to 40 words of one text, and its language. Words are dealt evenly to a language's texts; copies of a text count once."""
     runs: list[tuple[list[str], str]] = []
     for label in sorted(set(languages)):
-        own = [LETTERS.findall(t.lower()) for t in sorted({t for t, x in zip(texts, languages, strict=True) if x == label})]
+        own = [letter_runs(t.lower()).findall(t.lower()) for t in sorted({t for t, x in zip(texts, languages, strict=True) if x == label})]
         sizes = sorted(map(len, own))
         # The most words of a text such that all fit: texts of fewer words leave the rest to the others.
         left, most = WORDS_EACH, sizes[-1]
@@ -298,12 +307,13 @@ def identify_language(df: DataFrame, model: LanguageModel, text_col: str = "text
     Whole texts are read, of any length, and only they go to Python; repeated rows give repeated rows. A model without labels
     calls everything "und".
     """
-    found = _found(df, model, text_col)
-    return found.withColumns({"lang_pred": F.col("_found.lang_pred"), "score": F.col("_found.score")}).drop("_found")
+    rows = _found(df, model, text_col)
+    kept = [F.col(f"_row.`{c}`").alias(c) for c in df.columns if c not in ("lang_pred", "score")]
+    return rows.select(*kept, F.col("_found.lang_pred").alias("lang_pred"), F.col("_found.score").alias("score"))
 
 
 def _found(df: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """`df` with `_found`: lang_pred, score, and sure, the mean of the words' best marginals."""
+    """The rows of `df` as `_row`, and `_found`: lang_pred, score, and sure, the mean of the words' best marginals."""
     small_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(model)
 
@@ -324,7 +334,8 @@ def _found(df: DataFrame, model: LanguageModel, text_col: str = "text") -> DataF
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate([none, *scores])), pa.array(np.concatenate([none, *sures]))], names=["lang_pred", "score", "sure"])
 
     # Not to be moved or done twice by the optimiser: it is the dear part.
-    return df.withColumn("_found", predict.asNondeterministic()(F.col(text_col)))
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), F.col(text_col).alias("_text"))
+    return rows.withColumn("_found", predict.asNondeterministic()(F.col("_text"))).drop("_text")
 
 
 def language_report(df: DataFrame) -> DataFrame:
@@ -339,5 +350,5 @@ def keep_identified(df: DataFrame, least: float = 0.5) -> DataFrame:
 
     How many languages a text holds doesn't matter, nor what share the largest has. Columns stay.
     """
-    found = _found(df.withColumn("_row", F.struct(*df.columns)), fit_language_model(df))
+    found = _found(df, fit_language_model(df))
     return found.where((F.col("_found.lang_pred") != UNKNOWN) & (F.col("_found.sure") >= least)).select("_row.*")
