@@ -62,6 +62,18 @@ def test_clean_documents_of_a_rare_language_stay(spark, rare):
     assert len(rows) == rare and all(r["kept"] for r in rows)
 
 
+def test_another_language_leaves_the_word_rule_on(spark):
+    """English without its common words is far, whatever other languages are in the table; a language without them isn't judged by words."""
+    plain = [(i, " ".join(w for k in range(100) for w in ("the", f"plain{i}x{k}", "of", "words", "and", f"more{k}")), "en") for i in range(40)]
+    odd = [(100, " ".join(f"stranger{k} wording{k}" for k in range(60)), "en"), (101, " ".join(f"stranger{k} wording{k}" for k in range(60)), None)]
+    other = [(200 + i, " ".join(f"ljep{i}x{k} rijec{k}" for k in range(100)), "xx") for i in range(30)]
+    for rows in (plain + odd, plain + odd + other):
+        found = {r["doc_id"]: r for r in qr.quality_report(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+        assert not found[100]["kept"] and not found[101]["kept"] and all(found[i]["kept"] for i in range(40))
+        assert found[100]["word_distance"] > qr.FAR_WORDS
+    assert all(found[200 + i]["kept"] and found[200 + i]["word_distance"] is None for i in range(30))
+
+
 def plain_numbers(tokens):
     seen = collections.Counter()
     out = []

@@ -1,8 +1,9 @@
 """Quality rules, by DataFrame functions only: counts of bad shape, and how far a text's histograms are from its language's.
 
 Two histograms of a text are compared with each language's by Jensen-Shannon distance: the classes of its characters, and its
-common words among all words. Languages' histograms are sums over all their documents. A text is dropped if its nearest
-language is too far; short texts are not judged by a histogram that they are too short for.
+common words among all words. Languages' histograms are sums over all their documents. A text is dropped if its own language, or the
+nearest where its language is not known, is too far; short texts are not judged by a histogram that they are too short for, nor
+texts by the common words of a language that has next to none of the list.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ LEAST_CHARS, LEAST_FOR_WORDS = 200, 80
 FAR_CLASSES, FAR_WORDS = 0.30, 0.325
 #: Words of a language in all its documents for a reference, however large the other languages are.
 LEAST_REFERENCE = 5_000
+#: Share of a language's words that the list must have for its texts to be judged by them.
+LEAST_COMMON = 0.05
 
 
 def repeated_words(tokens: Column) -> Column:
@@ -94,28 +97,34 @@ def references(counted: DataFrame, lang_col: str = "lang") -> dict[str, tuple[li
     return out
 
 
-def nearest(counts: Column, total: Column, known: list[list[float]]) -> Column:
-    """Distance to the nearest of the known histograms; null if there is none."""
+def distance(counts: Column, total: Column, lang: Column, known: dict[str, list[float]]) -> Column:
+    """Distance to the language's histogram, or to the nearest of all for a language that has none; null if there is none at all."""
     if not known:
         return F.lit(None).cast("double")
-    table = F.array(*(F.array(*map(F.lit, k)) for k in known))
+    of = lambda k: F.array(*map(F.lit, k))
+    own = F.try_element_at(F.create_map(*(x for name, k in known.items() for x in (F.lit(name), of(k)))), lang)
+    table = F.when(own.isNotNull(), F.array(own)).otherwise(F.array(*map(of, known.values())))
     return F.transform(F.array(_plus_rest(counts, total)), lambda p: F.array_min(F.transform(table, lambda q: divergence(p, q))))[0]
 
 
 def quality_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per row of `df`: the counts, the distances, and whether the rules keep it.
 
-    Null and empty texts have no word and fail the base rule. Documents without a language give no reference but are judged;
-    those of a language that has no reference have distances but pass the histogram rule.
+    Null and empty texts have no word and fail the base rule. Documents without a language give no reference but are judged by the
+    nearest; those of a language that has no reference have distances but pass the histogram rule.
     """
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     counted = stored(measured(rows).drop("text"), "quality")
     known = references(counted)
+    classes, common = ({name: k[i] for name, k in known.items()} for i in (0, 1))
+    common = {name: k for name, k in common.items() if 1 - k[-1] >= LEAST_COMMON}
+    lang = F.col("lang")
+    judged = lang.isNull() | ~lang.isin(list(known)) | lang.isin(list(common))
     out = counted.withColumns(
         {
             "base_failed": (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")),
-            "class_distance": F.when(F.col("n_code_points") >= LEAST_CHARS, nearest(F.col("class_counts"), F.col("word_chars"), [k[0] for k in known.values()])),
-            "word_distance": F.when(F.col("n_words") >= LEAST_FOR_WORDS, nearest(F.col("common_counts"), F.col("n_words"), [k[1] for k in known.values()])),
+            "class_distance": F.when(F.col("n_code_points") >= LEAST_CHARS, distance(F.col("class_counts"), F.col("word_chars"), lang, classes)),
+            "word_distance": F.when((F.col("n_words") >= LEAST_FOR_WORDS) & judged, distance(F.col("common_counts"), F.col("n_words"), lang, common)),
         }
     )
     near = (F.coalesce("class_distance", F.lit(0.0)) <= FAR_CLASSES) & (F.coalesce("word_distance", F.lit(0.0)) <= FAR_WORDS)
@@ -161,7 +170,9 @@ WITH d AS (
 ), f AS (
   SELECT lang, {shares("a", "chars")} AS a, {shares("b", "n")} AS b FROM t
 ), s AS (
-  SELECT r, min({distance(shares("c.a", "c.word_chars"), "f.a")}) AS classes, min({distance(shares("c.b", "c.n_words"), "f.b")}) AS words FROM c, f GROUP BY r
+  SELECT r, min({distance(shares("c.a", "c.word_chars"), "f.a")}) AS classes,
+    min(CASE WHEN 1 - f.b[{len(common) + 1}] >= {LEAST_COMMON} THEN {distance(shares("c.b", "c.n_words"), "f.b")} END) AS words
+  FROM c, f WHERE c.lang IS NULL OR c.lang = f.lang OR c.lang NOT IN (SELECT lang FROM f) GROUP BY r
 ), u AS (
   SELECT c.*, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed,
     (CASE WHEN n_chars >= {LEAST_CHARS} THEN coalesce(s.classes, 0) ELSE 0 END <= {FAR_CLASSES} AND CASE WHEN n_words >= {LEAST_FOR_WORDS} THEN coalesce(s.words, 0) ELSE 0 END <= {FAR_WORDS})
