@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import re
 
@@ -86,12 +87,40 @@ def test_prose_after_a_name_is_no_secret(spark):
     assert not ss.find_secrets("a compass is " + "q9Lx7vTz2wP4")
 
 
-@pytest.mark.parametrize(("most", "want"), [(50_000, ["alpha", "beta", "gamma", "delta"]), (3, ["alpha", "beta"]), (2, ["alpha", "beta"]), (0, [])])
-def test_corpus_ranks_are_bounded(spark, monkeypatch, most, want):
-    monkeypatch.setattr(ss, "MOST_WORDS", most)
-    texts = ["alpha beta gamma delta"] * 3 + ["alpha beta"] + ["alpha rare"] * 2
-    df = spark.createDataFrame([(t,) for t in texts], "text string")
-    assert sorted(list(ss.corpus_ranks(df))[len(dict.fromkeys(ss.WORDS)) :]) == sorted(want)
+def test_ranks_of_words(tmp_path):
+    ranks = ss.word_ranks()
+    assert list(ranks.values()) == list(range(1, len(ranks) + 1)) and [*ranks][:3] == ss.WORDS[:3]
+    assert {"required", "forgotten", "invalid", "between"} <= set(ranks)
+    own = tmp_path / "ranks"
+    own.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % i for i, t in enumerate([b" Zebra", b"piece", b" ab", b" x1y", b" apple"])))
+    assert [*ss.word_ranks(str(own))][len(dict.fromkeys(ss.WORDS)) :] == ["zebra", "apple"]
+
+
+def test_a_text_is_judged_by_itself(spark):
+    prose = ["the token is required to enter", "your password is incorrect"]
+    for rows in (prose, [*prose, *prose, "other"] * 9):
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+        assert all(r["spans"] == "" for r in ss.secret_report(df).collect())
+
+
+def test_every_value_has_its_cost(spark):
+    texts = ['password = "x9Kq7Lm2Wd4R"', "token: summer2019", "password=hunter2hunter2 and token=8fK2jd93Lm5x", "nothing", None, "xtoken=8fK2jd93Lm5x"]
+    rows = {r["doc_id"]: r for r in ss.secret_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [rows[i]["n_values"] for i in range(6)] == [1, 1, 2, 0, 0, 1]
+    assert [rows[i]["n_guess"] for i in range(6)] == [1, 0, 2 - (ss.guesses_log10("hunter2hunter2") < ss.HARD), 0, 0, 1]
+    assert rows[0]["hardest_log10"] == pytest.approx(ss.guesses_log10("x9Kq7Lm2Wd4R")) and rows[3]["hardest_log10"] is None
+    assert rows[2]["easiest_log10"] == pytest.approx(min(ss.guesses_log10("hunter2hunter2"), ss.guesses_log10("8fK2jd93Lm5x")))
+    assert rows[0]["spans"] == "assign:0:24,guess:12:24"
+
+
+@pytest.mark.parametrize("text", [
+    '{"api_key": "VALUE"}', "postgres://app:VALUE@db.example.org/main", "Authorization: Bearer VALUE", "Authorization: Basic VALUE", "run --password VALUE --now", "run -token VALUE", "export DB_PASSWORD=VALUE",
+])
+def test_contexts(text):
+    value = "q9Lx7vTz2wP4"
+    found = ss.find_secrets(text.replace("VALUE", value))
+    assert ("guess", text.index("VALUE"), text.index("VALUE") + len(value)) in [f[:3] for f in found]
+    assert not [f for f in ss.find_secrets(text.replace("VALUE", "required")) if f[0] == "guess"]
 
 
 def test_blanks_of_any_kind_and_number():

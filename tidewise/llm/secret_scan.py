@@ -1,11 +1,14 @@
 """Secrets in text: fixed patterns, and credential values that would be hard to guess.
 
-The guess cost of a value is the least total, over all ways to cut it into segments, of what an attacker must try for each
-segment: common words by rank (of a fixed list, then of the corpus), dates, repeats, walks on a keyboard, and brute force over the characters' classes for the rest.
+Every value in a credential context gets its guess cost, also where a fixed pattern holds it: the least total, over all ways to cut it
+into segments, of what an attacker must try for each segment: common words by rank (a fixed list, then the whole words of a public
+tokenizer's vocabulary, so that a text's result depends on that text alone), dates, repeats, walks on a keyboard, and brute force over
+the characters' classes for the rest. Values that take at least 10^HARD guesses are spans of kind `guess`.
 """
 
 from __future__ import annotations
 
+import base64
 import math
 import re
 from collections.abc import Iterator
@@ -15,9 +18,8 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tidewise.llm.common import _arrow, parts, small_batches, stored
+from tidewise.llm.common import _arrow, parts, small_batches
 
 # The patterns that the task gives, with the least length of what they find.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -31,10 +33,14 @@ CONTEXT = re.compile(
     r"""["']?[ \t]*(?:[:=]>?|\bis\b)[ \t]*["'`]?([^\s"'`<>]{6,})""",
     re.I | re.A,
 )
-#: One of these, in lower case, is in whatever `CONTEXT` finds; a text with none is not searched.
+#: Names and passwords in addresses, schemes of headers, and flags of commands, which blanks part from their values.
+LOGIN = re.compile(r"""://[^\s/:@"'<>]*:([^\s/@"'<>]{6,})@""", re.A)
+HEADER = re.compile(r"""(?<![a-z])(?:bearer|authorization["']?[ \t]*:[ \t]*["']?basic)[ \t]+([^\s"'`<>]{6,})""", re.I | re.A)
+FLAG = re.compile(r"""(?<!\S)--?(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[ \t]+["']?([^\s"'`<>-][^\s"'`<>]{5,})""", re.I | re.A)
+#: One of these, in lower case, is in whatever a pattern finds; a text with none is not searched by it.
 NAMES = ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "auth")
-#: Words of the corpus that are ranked after `WORDS`: the most common by documents, in at least so many, of at most so many letters.
-MOST_WORDS, LEAST_DOCUMENTS, LONGEST_WORD = 50_000, 3, 24
+CONTEXTS = ((CONTEXT, NAMES), (LOGIN, ("://",)), (HEADER, ("bearer", "basic")), (FLAG, ("-pass", "-pwd", "-secret", "-token", "-api", "-access", "-auth")))
+LONGEST_WORD = 24
 #: Words that passwords are made of, the most common first.
 WORDS = (
     "password passwd pass admin root user login welcome letmein secret token changeme default example test guest master "
@@ -53,8 +59,22 @@ JOIN = 0.5
 
 
 @cache
-def _ranks() -> dict[str, int]:
-    return {w: i + 1 for i, w in enumerate(WORDS)}
+def word_ranks(vocabulary: str | None = None) -> dict[str, int]:
+    """Ranks of `WORDS`, then of the whole words of a public tokenizer's rank file, which holds the more common ones first.
+
+    A word is a token of a blank and three or more letters, in lower case. The default is the installed vocabulary for many languages.
+    """
+    if vocabulary is None:
+        import public_tokenizers
+
+        vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = dict.fromkeys(WORDS)
+    with open(vocabulary, "rb") as lines:
+        for line in lines:
+            word = base64.b64decode(line.split()[0]).decode("utf-8", "ignore").lower()
+            if word[:1] == " " and 3 <= len(word) - 1 <= LONGEST_WORD and word[1:].isalpha():
+                ranks.setdefault(word[1:])
+    return {w: i + 1 for i, w in enumerate(ranks)}
 
 
 @cache
@@ -71,27 +91,10 @@ def _classes(value: str) -> float:
     return math.log10(max(n, 1))
 
 
-def corpus_ranks(df: DataFrame, text_col: str = "text") -> dict[str, int]:
-    """Ranks of `WORDS`, then of the corpus's most common words, counted over all rows but not where a credential's value stands.
-
-    At most `MOST_WORDS` of them come to the driver, all of one count or none. Only whole words of letters count, so that no part of a mixed value does.
-    """
-    prose = F.lower(F.regexp_replace(F.col(text_col), "(?i)" + CONTEXT.pattern, " "))
-    each = df.select(F.explode(F.array_distinct(F.split(prose, r"""[\s.,;:!?()"'\-]+"""))).alias("w"))
-    counts = each.where(F.length("w").between(3, LONGEST_WORD) & F.col("w").rlike(r"^\p{L}+$")).groupBy("w").agg(F.count("*").alias("n"))
-    counts = stored(counts.where(F.col("n") >= LEAST_DOCUMENTS), "words")
-    # The least count that fits, first: an ordered limit would bring as many words from each task.
-    fit = F.sum("words").over(Window.orderBy(F.desc("n"))) > MOST_WORDS
-    over = counts.groupBy("n").agg(F.count("*").alias("words")).withColumn("over", fit).where("over").agg(F.max("n")).first()[0]
-    least = LEAST_DOCUMENTS if over is None else over + 1
-    found = sorted(counts.where(F.col("n") >= least).collect(), key=lambda r: (-r["n"], r["w"]))
-    return {w: i + 1 for i, w in enumerate(dict.fromkeys([*WORDS, *(r["w"] for r in found)]))}
-
-
 def _segments(value: str, words: dict[str, int] | None = None) -> list[list[tuple[int, float]]]:
     """For each start, the (end, log10 guesses) of the segments with a pattern."""
     n, low = len(value), value.lower()
-    plain, ranks, near = low.translate(LEET), words or _ranks(), _next_to()
+    plain, ranks, near = low.translate(LEET), words or word_ranks(), _next_to()
     found: list[list[tuple[int, float]]] = [[] for _ in range(n)]
     for i in range(n):
         for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
@@ -130,50 +133,67 @@ def guesses_log10(value: str, words: dict[str, int] | None = None) -> float:
     return min(closed[n], brute[n])
 
 
+def credential_values(text: str | None, words: dict[str, int] | None = None) -> list[tuple[int, int, float]]:
+    """(start, end, log10 guesses) of the values in credential contexts and in `ASSIGN`, by place; of those that begin alike the longest."""
+    if not text:
+        return []
+    low, found = text.lower(), {}
+    for pattern, names in CONTEXTS:
+        if any(name in low for name in names):
+            for m in pattern.finditer(text):
+                value = m[1].rstrip(".,;:)]}!?")
+                if len(value) >= 6:
+                    found[m.start(1)] = max(found.get(m.start(1), 0), m.start(1) + len(value))
+    if ":" in text or "=" in text:
+        for m in ASSIGN.finditer(text):
+            if m.end(2) - m.start(2) >= 8:
+                found.setdefault(m.start(2), m.end(2))
+    return [(a, b, guesses_log10(text[a:b], words)) for a, b in sorted(found.items())]
+
+
 def find_secrets(text: str | None, hard: float = HARD, words: dict[str, int] | None = None) -> list[tuple[str, int, int, float | None]]:
     """(kind, start, end, log10 guesses) by start, then kind as in `KINDS`; code points, end exclusive.
 
-    Null or empty text has none. Spans of kind "guess" are credential values that no fixed pattern's span overlaps and
-    that take at least 10^hard guesses, with `words` by rank (`WORDS` if there are none).
+    Null or empty text has none. Spans of kind "guess" are credential values that take at least 10^hard guesses, with `words` by rank
+    (those of `word_ranks` if there are none); they may lie within a fixed pattern's span, which stays.
     """
     if not text:
         return []
+    return _with_values(text, credential_values(text, words), hard)
+
+
+def _with_values(text: str, values: list[tuple[int, int, float]], hard: float) -> list[tuple[str, int, int, float | None]]:
     found: list[tuple[str, int, int, float | None]] = []
     if ":" in text or "=" in text:
         found += [("assign", m.start(), m.end(), None) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
     if "AKIA" in text:
         found += [("access", m.start(), m.end(), None) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     found += [("hex", m.start(), m.end(), None) for m in HEX.finditer(text)]
-    low = text.lower()
-    if any(name in low for name in NAMES):
-        base = sorted((a, b) for _, a, b, _ in found)
-        at = 0
-        for m in CONTEXT.finditer(text):
-            value = m[1].rstrip(".,;:)]}!?")
-            start, end = m.start(1), m.start(1) + len(value)
-            while at < len(base) and base[at][1] <= start:
-                at += 1
-            if len(value) >= 6 and not any(a < end and start < b for a, b in base[at : at + 3]) and (cost := guesses_log10(value, words)) >= hard:
-                found.append(("guess", start, end, cost))
-    found.sort(key=lambda x: (x[1], KINDS.index(x[0])))
-    return found
+    found += [("guess", a, b, cost) for a, b, cost in values if cost >= hard]
+    return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
-SPANS = "array<struct<kind: string, start: long, end: long, guesses_log10: double>>"
+SPANS = "struct<spans: array<struct<kind: string, start: long, end: long, guesses_log10: double>>, costs: array<double>>"
 
 
 def secret_spans(text: Column, hard: float = HARD, words: Broadcast | None = None) -> Column:
-    """Array of (kind, start, end, guesses_log10) for a text column; empty for null text. `words` are ranks of words, broadcast."""
+    """The spans (kind, start, end, guesses_log10) of a text column, and the cost of each credential value; empty for null text.
+
+    `words` are ranks of words, broadcast.
+    """
 
     kind = _arrow(f"s {SPANS}")[0].type
+    names = ("kind", "start", "end", "guesses_log10")
 
     @F.arrow_udf(SPANS)
     def spans(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         ranks = words and words.value
         for texts in batches:
-            found: list[list[dict]] = []
+            found: list[dict] = []
             for part in parts(texts):
-                found += [[dict(zip(("kind", "start", "end", "guesses_log10"), x, strict=True)) for x in find_secrets(t, hard, ranks)] for t in texts[part].to_pylist()]
+                for t in texts[part].to_pylist():
+                    values = credential_values(t, ranks)
+                    found.append({"spans": [dict(zip(names, x, strict=True)) for x in _with_values(t, values, hard)] if t else [], "costs": [v[2] for v in values]})
             yield pa.array(found, kind)
 
     return spans(text)
@@ -192,10 +212,10 @@ def redact(text: str | None, mark: str = "[SECRET]", hard: float = HARD, words:
     return "".join([*out, text[at:]])
 
 
-def redact_secrets(df: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+def redact_secrets(df: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", vocabulary: str | None = None) -> DataFrame:
     """`df` with the secrets in `text_col` replaced; `chars_col`, if there, follows. Rows, nulls and other columns stay."""
     small_batches(df.sparkSession)
-    words = df.sparkSession.sparkContext.broadcast(corpus_ranks(df, text_col))
+    words = df.sparkSession.sparkContext.broadcast(word_ranks(vocabulary))
 
     @F.arrow_udf("string")
     def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -210,21 +230,23 @@ def redact_secrets(df: DataFrame, text_col: str = "text", chars_col: str | None
     return out.select(names)
 
 
-def secret_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of `df`: counts by kind, a digest of the fixed patterns' spans, and all spans as text.
+def secret_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
+    """One row per row of `df`: counts by kind, a digest of the fixed patterns' spans, all spans as text, and the values' costs.
 
-    Null and empty texts have no span: zero counts and the digest of an empty string. Repeated rows give repeated rows.
+    Null and empty texts have no span: zero counts, the digest of an empty string, null costs. Repeated rows give repeated rows.
     """
     small_batches(df.sparkSession)
-    words = df.sparkSession.sparkContext.broadcast(corpus_ranks(df, text_col))
-    spans = df.select(F.col(id_col), secret_spans(F.col(text_col), words=words).alias("_s"))
+    words = df.sparkSession.sparkContext.broadcast(word_ranks(vocabulary))
+    found = df.select(F.col(id_col), secret_spans(F.col(text_col), words=words).alias("_s")).select(id_col, F.col("_s.spans").alias("_spans"), F.col("_s.costs").alias("_costs"))
     joined = lambda col: F.array_join(F.transform(col, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    count = lambda kind: F.size(F.filter("_s", lambda s: s["kind"] == kind)).cast("long")
-    return spans.select(
+    count = lambda kind: F.size(F.filter("_spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
         id_col,
         *(count(k).alias(f"n_{k}") for k in KINDS[:3]),
-        F.sha2(joined(F.filter("_s", lambda s: s["kind"] != "guess")), 256).alias("base_sha256"),
-        joined(F.col("_s")).alias("spans"),
+        F.sha2(joined(F.filter("_spans", lambda s: s["kind"] != "guess")), 256).alias("base_sha256"),
+        joined(F.col("_spans")).alias("spans"),
         count("guess").alias("n_guess"),
-        F.array_max(F.transform("_s", lambda s: s["guesses_log10"])).alias("hardest_log10"),
+        F.size("_costs").cast("long").alias("n_values"),
+        F.array_max("_costs").alias("hardest_log10"),
+        F.array_min("_costs").alias("easiest_log10"),
     )
