@@ -1,7 +1,7 @@
 """The model registry: what there is, how it is run, and what it needs.
 
-Tiers: `column` models are column expressions, `kernel` models numpy functions on one series, `panel` models are fitted on all
-series together by Spark's ML library, `gated` models need a library that may be missing and are listed for lookup alone.
+Tiers: `column` models are column expressions, `kernel` models numpy functions on one series, `xreg` models fold over a series with
+covariates, `panel` models are fitted on all series together by Spark's ML library, `gated` models need a library that may be missing and are listed for lookup alone.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ class ModelSpec:
     @property
     def capabilities(self) -> dict[str, Any]:
         return {
-            "interface": self.interface, "tier": self.tier, "available": not self.missing(), "supports_x_cols": self.tier == "panel" or "lag" in self.key,
+            "interface": self.interface, "tier": self.tier, "available": not self.missing(), "supports_x_cols": "x_cols" in self.defaults,
             "supports_intervals": self.interface == "local", "supports_panel": self.interface == "global", "multivariate": self.interface == "multivariate", "requires": list(self.requires),
         }
 
@@ -87,6 +87,7 @@ for _name, _run, _own in sn.MODELS:
 _add("kernel", "var", kn.var, "multivariate", maxlags=1, trend="c")
 for _name, _own in rg.PANEL.items():
     MODELS[_name] = ModelSpec(_name, "panel", None, {"lags": 48, "add_time_features": True, "id_feature": "ordinal", **_own}, "global", description=f"{_name}: one model for all series, by Spark's ML library")
+MODELS["xreg"] = ModelSpec("xreg", "xreg", None, {"x_cols": (), "lags": (1,), "penalty": 0.01}, description="regression on lags and covariates by recursive least squares")
 for _key, _defaults in (("pipeline", {"base": "naive-last", "transforms": ()}), ("ensemble-mean", {"members": ("naive-last", "seasonal-naive", "theta"), "weights": None}), ("ensemble-median", {"members": ("naive-last", "seasonal-naive", "theta")})):
     MODELS[_key] = ModelSpec(_key, "composed", None, _defaults, description=f"{_key} of other local models")
 
@@ -136,7 +137,7 @@ def validate_registry(df: DataFrame, horizon: int = 2, keys: list[str] | None =
     from tidewise.operators.backtest import _forecasts
 
     rows = series_arrays(df.where(F.col("y").isNotNull())).withColumn("train_start", F.lit(0)).withColumn("train_end", F.size("y"))
-    parts = [_forecasts(rows, k, horizon, (params or {}).get(k)).select(F.lit(k).alias("model"), "yhat", "error") for k in keys or list_models(interface="local")]
+    parts = [_forecasts(rows, k, horizon, (params or {}).get(k)).select(F.lit(k).alias("model"), "yhat", "error") for k in keys or [m for m in list_models(interface="local") if MODELS[m].tier != "xreg"]]
     odd = F.exists("yhat", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     return reduce(DataFrame.unionByName, parts).groupBy("model").agg(F.count("*").alias("n_series"), F.sum(F.col("yhat").isNull().cast("long")).alias("n_failed"), F.max("error").alias("error"), F.sum(F.coalesce(odd, F.lit(False)).cast("long")).alias("n_not_finite"))
 

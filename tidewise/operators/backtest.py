@@ -177,6 +177,12 @@ def cross_validation(df: DataFrame, model: str, horizon: int, step_size: int = 1
         from tidewise.models.panel import panel_cross_validation
 
         return panel_cross_validation(df, model, horizon, step_size, min_train_size, params, max_train_size, n_windows)
+    if get_spec(model).tier == "xreg":
+        from tidewise.models.covariates import xreg_cross_validation
+
+        if max_train_size is not None:
+            raise ValueError("training sets of this model begin with the series")
+        return xreg_cross_validation(df, horizon, step_size, min_train_size, get_spec(model).parameters(params), n_windows, keep)
     rows = series_arrays(df, spread=column_forecast(model, F.col("y"), horizon, params) is None).withColumn("_n", F.size("y"))
     if on_short == "raise" and not rows.where(F.col("_n") < min_train_size + horizon).isEmpty():
         raise ValueError("a series is too short for one split; on_short='skip' leaves such series out")
@@ -233,6 +239,10 @@ def forecast(df: DataFrame, model: str, horizon: int, params: dict[str, Any] | N
         from tidewise.models.panel import panel_forecast
 
         return panel_forecast(df, model, horizon, params)
+    if get_spec(model).tier == "xreg":
+        from tidewise.models.covariates import xreg_forecast
+
+        return xreg_forecast(df, horizon, get_spec(model).parameters(params))
     rows = series_arrays(df.where(F.col("y").isNotNull()), spread=column_forecast(model, F.col("y"), horizon, params) is None)
     rows = rows.withColumn("train_start", F.lit(0)).withColumn("train_end", F.size("y"))
     found = _forecasts(rows, model, horizon, params)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewise.frames import series_window
+from tidewise.frames import names, series_window
 from tidewise.functions import features as ft
 
 
@@ -114,6 +114,16 @@ def panel_blocks(sequences: DataFrame) -> DataFrame:
     return sequences.select("unique_id", "cutoff_ds", "origin", y("past").alias("past_y"), x("past").alias("past_x"), y("future").alias("future_y"), x("future").alias("future_x"), "y_mean", "y_std")
 
 
+def require_x_cols(model: str, x_cols, supported: bool = True, needed: bool = True) -> tuple[str, ...]:  # noqa: ANN001
+    """The covariates' names; raises if a model needs some and has none, or can't read those that are given."""
+    found = names(x_cols)
+    if needed and not found:
+        raise ValueError(f"{model} needs x_cols")
+    if found and not supported:
+        raise ValueError(f"{model} reads no covariates; it was given {list(found)}")
+    return found
+
+
 def xreg_bundle(df: DataFrame, x_cols: Sequence[str]) -> DataFrame:
     """One row for each series: `train_y, train_x, future_x`; rows without a target are the future."""
     x = F.array(*(F.col(c).cast("double") for c in x_cols))
