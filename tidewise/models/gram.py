@@ -20,6 +20,60 @@ MOST_FEATURES = 2_000
 ROUNDS = 12
 
 
+def added(rows: DataFrame, columns: list[str], per_batch: Callable[[np.ndarray], np.ndarray], size: int) -> np.ndarray:
+    """The sum over all rows of `per_batch` of their matrix, a vector of `size` numbers; rows with a null are left out.
+
+    Tasks add up their batches, Spark adds up the tasks, and one vector comes to the driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            z = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+            z = z[np.isfinite(z).all(axis=1)]
+            if len(z):
+                total += per_batch(z)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(total)], names=["i", "v"])
+
+    parts = rows.select(*(F.col(c).cast("double") for c in columns)).mapInArrow(run, "i int, v double")
+    out = np.zeros(size)
+    for r in parts.groupBy("i").agg(F.sum("v").alias("v")).collect():
+        out[r["i"]] = r["v"]
+    return out
+
+
+#: Keys whose matrices a task holds before it passes them on.
+HELD = 64
+
+
+def keyed_moments(rows: DataFrame, features: list[str], target: str, key: str, sign: str) -> DataFrame:
+    """`key, i, v`: for each key the sum of sign * z z' over its rows, flattened, where z is (1, features, target)."""
+    size = len(features) + 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+
+        def out() -> pa.RecordBatch:
+            keys = np.repeat(np.array([*held], np.int32), size * size)
+            values = np.concatenate([m.ravel() for m in held.values()]) if held else np.empty(0)
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.tile(np.arange(size * size, dtype=np.int32), len(held))), pa.array(values)], names=[key, "i", "v"])
+
+        for batch in batches:
+            z = np.column_stack([np.ones(batch.num_rows), *(c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns)])
+            z = z[np.isfinite(z).all(axis=1)]
+            for k in np.unique(z[:, -2]).astype(int):
+                own = z[z[:, -2] == k]
+                x = own[:, :-2]
+                held[k] = held.get(k, np.zeros((size, size))) + (x.T * own[:, -1]) @ x
+                if len(held) >= HELD:
+                    yield out()
+                    held.clear()
+        yield out()
+
+    columns = [*(F.col(c).cast("double") for c in features), F.col(target).cast("double"), F.col(key).cast("double"), F.col(sign).cast("double")]
+    return rows.select(*columns).mapInArrow(run, f"{key} int, i int, v double").groupBy(key, "i").agg(F.sum("v").alias("v"))
+
+
 def gram(rows: DataFrame, features: list[str], target: str, weight: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
     """The weighted sum of z z' over rows, where z is (1, features, target); rows with a null are left out."""
     if len(features) > MOST_FEATURES:
@@ -128,14 +182,42 @@ def passive_aggressive(rows: DataFrame, features: list[str], target: str, c: flo
     return out[1:] / max(out[0], 1)
 
 
+def elastic(g: np.ndarray, alpha: float, l1_ratio: float = 1.0, rounds: int = 10_000) -> np.ndarray:
+    """Coordinate descent on the sums, for squares / 2n + alpha * (l1_ratio * |b| + (1 - l1_ratio) / 2 * b^2)."""
+    n, mx, my, xx, xy, _ = centred(g)
+    b, scale = np.zeros(len(mx)), np.diag(xx) / n
+    for _ in range(rounds):
+        moved = 0.0
+        for j in range(len(b)):
+            if scale[j] > 0:
+                part = (xy[j] - xx[j] @ b) / n + scale[j] * b[j]
+                new = np.sign(part) * max(abs(part) - alpha * l1_ratio, 0) / (scale[j] + alpha * (1 - l1_ratio))
+                moved, b[j] = max(moved, abs(new - b[j]) * np.sqrt(scale[j])), new
+        if moved <= 1e-9 * np.sqrt(max(g[-1, -1] / n, 1e-300)):
+            break
+    return _with_intercept(b, mx, my)
+
+
+def solved(kind: str, g: np.ndarray, p: dict) -> np.ndarray:
+    """The intercept and weights of a kind that needs the sums alone."""
+    kinds = {
+        "ridge": lambda: ridge(g, p.get("alpha", 1.0)), "bayesian-ridge": lambda: bayesian(g), "ard": lambda: bayesian(g, True), "omp": lambda: pursuit(g),
+        "lasso": lambda: elastic(g, p["alpha"]), "elasticnet": lambda: elastic(g, p["alpha"], p["l1_ratio"]),
+    }
+    return kinds[kind]()
+
+
+#: Kinds that are solved from one matrix of sums.
+FROM_SUMS = ("ridge", "bayesian-ridge", "ard", "omp", "lasso", "elasticnet")
+
+
 def fit(kind: str, rows: DataFrame, features: list[str], target: str, p: dict) -> np.ndarray:
     """The intercept and weights of a kind of linear model."""
     if kind == "quantile":
         return quantile(rows, features, target, p["quantile"], p["alpha"])
     if kind == "passive-aggressive":
         return passive_aggressive(rows, features, target, p["c"], p["epsilon"], p["max_iter"])
-    g = gram(rows, features, target)
-    return {"ridge": lambda: ridge(g, p.get("alpha", 1.0)), "bayesian-ridge": lambda: bayesian(g), "ard": lambda: bayesian(g, True), "omp": lambda: pursuit(g)}[kind]()
+    return solved(kind, gram(rows, features, target), p)
 
 
-KINDS = ("ridge", "bayesian-ridge", "ard", "omp", "quantile", "passive-aggressive")
+KINDS = (*FROM_SUMS, "quantile", "passive-aggressive")

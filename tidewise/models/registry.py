@@ -86,7 +86,7 @@ for _name, _run, _own in sn.MODELS:
     _add("kernel", _name, _run, **_own)
 _add("kernel", "var", kn.var, "multivariate", maxlags=1, trend="c")
 for _name, _own in rg.PANEL.items():
-    MODELS[_name] = ModelSpec(_name, "panel", None, {"lags": 48, "add_time_features": True, "id_feature": "ordinal", **_own}, "global", description=f"{_name}: one model for all series, by Spark's ML library")
+    MODELS[_name] = ModelSpec(_name, "panel", None, {"lags": 48, "add_time_features": True, "id_feature": "ordinal", "step_scale": "one_based", "sample_step": 1, "x_cols": (), "historic_x_lags": (), "future_x_lags": (0,), **_own}, "global", description=f"{_name}: one model for all series, by Spark's ML library")
 MODELS["xreg"] = ModelSpec("xreg", "xreg", None, {"x_cols": (), "lags": (1,), "penalty": 0.01}, description="regression on lags and covariates by recursive least squares")
 for _key, _defaults in (("pipeline", {"base": "naive-last", "transforms": ()}), ("ensemble-mean", {"members": ("naive-last", "seasonal-naive", "theta"), "weights": None}), ("ensemble-median", {"members": ("naive-last", "seasonal-naive", "theta")})):
     MODELS[_key] = ModelSpec(_key, "composed", None, _defaults, description=f"{_key} of other local models")
@@ -94,7 +94,7 @@ for _key, _defaults in (("pipeline", {"base": "naive-last", "transforms": ()}),
 #: Families that need a library: a pattern of keys, the library, and the interface by the key's ending.
 GATED = (
     (re.compile(r"(torch|hf)-[a-z0-9-]+"), "torch"), (re.compile(r"(chronos(-bolt)?|lag-llama|timesfm|moirai|moment|time-moe|timer-s1)"), "torch"), (re.compile(r"xgb(rf)?-[a-z-]+"), "xgboost"),
-    (re.compile(r"lgbm-[a-z-]+"), "lightgbm"), (re.compile(r"catboost-[a-z-]+"), "catboost"), (re.compile(r"(adaboost|svr|linear-svr|mlp|knn|kernel-ridge)-step-lag-global"), "sklearn"),
+    (re.compile(r"lgbm-[a-z-]+"), "lightgbm"), (re.compile(r"catboost-[a-z-]+"), "catboost"), (re.compile(r"(adaboost|mlp)-step-lag-global"), "sklearn"),
 )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -56,8 +56,8 @@ def supervised_predict_frame(df: DataFrame, cutoff, horizon: int = 1, **options)
     return out.drop("y_target", *(f"y_t+{h}" for h in range(1, horizon + 1))).withColumn("cutoff_ds", F.lit(cutoff))
 
 
-def panel_window_frame(df: DataFrame, horizon: int = 1, lags=24, target_lags=(), seasonal_lags=(), historic_x_lags=(), future_x_lags=(), x_cols: Sequence[str] = (), add_time_features: bool = False, predict: bool = False) -> DataFrame:  # noqa: ANN001
-    """One row for each origin and step 1..h: lags of the target at the origin, seasonal lags at the target, covariates, the target.
+def panel_window_frame(df: DataFrame, horizon: int = 1, lags=24, target_lags=(), seasonal_lags=(), historic_x_lags=(), future_x_lags=(), x_cols: Sequence[str] = (), add_time_features: bool = False, predict: bool = False, at_origin: dict[str, Column] | None = None) -> DataFrame:  # noqa: ANN001
+    """One row for each origin and step 1..h, with what `at_origin` names: lags of the target at the origin, seasonal lags at the target, covariates, the target.
 
     Targets come by `lead` over the series' window and one explode of h steps; nothing is joined.
     """
@@ -72,7 +72,7 @@ def panel_window_frame(df: DataFrame, horizon: int = 1, lags=24, target_lags=(),
         fields |= {f"season_lag_{p}": shift("y", p) if p >= h else F.lit(None).cast("double") for p in seasonal_lags}
         fields |= {f"futr_{c}_lag_{k}": shift(c, k) for c in x_cols for k in future_x_lags} | time
         steps.append(F.struct(*(v.alias(k) for k, v in fields.items())))
-    out = rows.select("unique_id", F.col("ds").alias("cutoff_ds"), F.col("_at").alias("origin"), *(v.alias(k) for k, v in base.items()), F.array(*steps).alias("_s"))
+    out = rows.select("unique_id", F.col("ds").alias("cutoff_ds"), F.col("_at").alias("origin"), *(v.alias(k) for k, v in (base | (at_origin or {})).items()), F.array(*steps).alias("_s"))
     out = out.where(F.col("origin") >= max(lags)).withColumn("_s", F.explode("_s")).select("*", "_s.*").drop("_s")
     return out if predict else out.where(F.col("y_target").isNotNull())
 
