@@ -122,8 +122,36 @@ def test_hierarchy(spark):
     root = spark.createDataFrame([("total", 2, 200.0)], "unique_id string, ds long, yhat double")
     down = {r["unique_id"]: r["yhat"] for r in hierarchy.reconcile(root, edges, "top_down", fc.withColumnRenamed("yhat", "y")).collect()}
     assert down[leaf("n", "a")] == pytest.approx(60) and down["region=s"] == pytest.approx(120)
-    with pytest.raises(ValueError):
-        hierarchy.levels(spark.createDataFrame([("a", "b"), ("b", "a")], "parent string, child string"))
+    for bad in ([("a", "b"), ("b", "a")], [("a", "a")], [("a", "c"), ("b", "c")], [("a", "b"), ("b", "c"), ("c", "d"), ("d", "b"), ("x", "y")]):
+        with pytest.raises(ValueError):
+            hierarchy.levels(spark.createDataFrame(bad, "parent string, child string"))
+
+
+def test_deep_hierarchy(spark):
+    """A chain of 21 levels with a twig at each: closure, levels and shares as by hand."""
+    pairs = [(f"n{i}", f"n{i + 1}") for i in range(20)] + [(f"n{i}", f"t{i}") for i in range(20)]
+    edges = spark.createDataFrame(pairs, "parent string, child string")
+    depth = {r["node"]: r["level"] for r in hierarchy.levels(edges).collect()}
+    assert depth == {f"n{i}": i for i in range(21)} | {f"t{i}": i + 1 for i in range(20)}
+    under = {}
+    for r in hierarchy.closure(edges).collect():
+        under.setdefault(r["node"], []).append(r["leaf"])
+    assert sorted(under["n0"]) == sorted([f"t{i}" for i in range(20)] + ["n20"]) and sorted(under["n19"]) == ["n20", "t19"] and under["t3"] == ["t3"]
+    history = spark.createDataFrame([(f"t{i}", float(i + 1)) for i in range(20)] + [("n20", 5.0)], "unique_id string, y double")
+    share = {r["node"]: r["share"] for r in hierarchy.shares(edges, history).collect()}
+    total = sum(range(1, 21)) + 5
+    assert share["n0"] == 1 and share["n20"] == pytest.approx(5 / total) and share["t7"] == pytest.approx(8 / total)
+
+
+def test_evaluate_hierarchy(spark):
+    edges = spark.createDataFrame([("all", "a"), ("all", "b")], "parent string, child string")
+    leaves = spark.createDataFrame([("a", 1, 3.0), ("b", 1, 5.0), ("a", 2, 4.0), ("b", 2, 6.0)], "unique_id string, ds int, yhat double")
+    seen = spark.createDataFrame([("a", 1, 2.0), ("b", 1, 5.0), ("a", 2, 4.0), ("b", 2, 9.0)], "unique_id string, ds int, y double")
+    rows = {r["level"]: r for r in hierarchy.evaluate_hierarchy(leaves, edges, "bottom_up", observed=seen).collect()}
+    assert set(rows) == {None, 0, 1} and all(r["n_inconsistent"] == 0 for r in rows.values())
+    assert rows[0]["mae"] == pytest.approx((1 + 3) / 2) and rows[1]["mae"] == pytest.approx((1 + 0 + 0 + 3) / 4)
+    assert (rows[None]["n_points"], rows[None]["n_series"], rows[None]["n_timestamps"]) == (6, 3, 2)
+    assert {r["level"]: r["mae"] for r in hierarchy.evaluate_hierarchy(leaves, edges, "bottom_up").collect()} == {None: None, 0: None, 1: None}
 
 
 def test_splits():

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidewise import frames
 from tidewise.functions import features as ft
 from tidewise.functions import metrics as mt
 from tidewise.functions import transforms as tf
 from tidewise.models import registry as models
-from tidewise.operators import backtest, detection, hierarchy, intervals, leaderboard, prepare, windows
+from tidewise.operators import backtest, calendars, detection, hierarchy, intervals, leaderboard, prepare, scan, windows
 from tidewise.sources import panels
 from tidewise.sources.panels import table
 
@@ -388,9 +390,9 @@ _twin(
 _Z = ", z AS (SELECT unique_id, n, avg, sd, list_transform(t, lambda x: (x - avg) / sd) AS z FROM (SELECT *, list_avg(t) AS avg, list_stddev_pop(t) AS sd FROM s))"
 
 
-def _solved(size: int, rows: str = "xs", penalty: str = "0.0::DOUBLE") -> str:
-    """`w`: weights for rows (features..., target) in each row of table `x`; the penalty is on all but the first feature."""
-    cell = f"list_sum(list_transform({rows}, lambda q: q[a] * q[b])) + CASE WHEN a = b AND a > 1 THEN {penalty} ELSE 0 END"
+def _solved(size: int, rows: str = "xs", penalty: str = "0.0::DOUBLE", free: int = 1) -> str:
+    """`w`: weights for rows (features..., target) in each row of table `x`; the penalty is on all but the first `free` features."""
+    cell = f"list_sum(list_transform({rows}, lambda q: q[a] * q[b])) + CASE WHEN a = b AND a > {free} THEN {penalty} ELSE 0 END"
     steps = [f", m0 AS (SELECT *, list_transform(range(1, {size + 1}), lambda a: list_transform(range(1, {size + 2}), lambda b: {cell})) AS m FROM x)"]
     for j in range(1, size + 1):
         row = f"CASE WHEN i = {j} THEN list_transform(q, lambda v: v / q[{j}]) ELSE list_transform(q, lambda v, c: v - q[{j}] * m[{j}][c] / m[{j}][{j}]) END"
@@ -557,6 +559,45 @@ panel_query(
 )
 panel_query("bootstrap_intervals", "events_daily", lambda p: backtest.forecast(p, "naive-last", 3, levels=(0.8,)), None)
 
+# Back-tests by a scan of affine maps, and by recursive least squares with covariates.
+_SEEN = f"unique_id, d[n + k] AS ds, d[n] AS cutoff, k::INTEGER AS step, {r('a[n + k]', 'y', 5)}"
+for _model, _state, _value in (
+    ("ses", "0.0::DOUBLE", _ses_sql()), ("holt", _HOLT.replace("PHI", "1.0::DOUBLE"), "v.l + v.b * k"), ("holt-damped", _HOLT.replace("PHI", "0.9::DOUBLE"), "v.l + v.b * (0.9::DOUBLE * (1 - pow(0.9::DOUBLE, k)) / (1 - 0.9::DOUBLE))"),
+    ("theta", "0.0::DOUBLE", f"{_ses_sql()} + 0.5::DOUBLE * {_SLOPE} * k"),
+):
+    panel_query(
+        f"cv_scan_{_model.replace('-', '_')}", "ship_monthly", lambda p, m=_model: scan.scan_cross_validation(p, m, 3, 3, 12),
+        f"{_CUTS}, h AS (SELECT unique_id, a, d, t, n FROM c), g AS (SELECT *, {_state} AS v FROM h) SELECT {_SEEN}, {r(_value, 'yhat', 5)}, '{_model}' AS model FROM g, unnest(range(1, 4)) u(k)", 5,
+    )
+
+
+def _with_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Daily sums of events, and how many events there were: a covariate."""
+    events = table(spark, d, "events")
+    return events.groupBy(frames.unique_id(["event_type"]).alias("unique_id"), prepare.trunc("D", "ts").alias("ds")).agg(F.round(F.sum("value"), panels.DIGITS).alias("y"), F.count("*").cast("double").alias("n_events"))
+
+
+def _with_future(p: DataFrame, horizon: int) -> DataFrame:
+    """The last values of each series are taken away; their covariates stay."""
+    last = F.row_number().over(Window.partitionBy("unique_id").orderBy(F.desc("ds")))
+    return p.withColumn("_b", last).withColumn("y", F.when(F.col("_b") > horizon, F.col("y"))).drop("_b")
+
+
+_X = {"x_cols": ("n_events",), "lags": (1, 2)}
+_X_PANEL = "WITH p AS (SELECT 'event_type=' || event_type AS unique_id, date_trunc('day', ts)::TIMESTAMP AS ds, round(sum(value), 4) AS y, count(*)::DOUBLE AS n FROM events GROUP BY 1, 2), s AS (SELECT unique_id, list(y ORDER BY ds) AS ys, list(n ORDER BY ds) AS ns, list(ds ORDER BY ds) AS d, count(*) AS size FROM p GROUP BY unique_id)"
+
+
+def _x_sql(ends: str, head: str, columns: str) -> str:
+    """Ridge regression on all rows up to each end `n`, its forecasts fed back."""
+    rows = "list_transform(range(3, n + 1), lambda i: [1.0::DOUBLE, ys[i - 1] / sy, ys[i - 2] / sy, ns[i] / sx, ys[i] / sy])"
+    fed = f"list_reduce([list_transform(ys[1:n], lambda v: v / sy){', []::DOUBLE[]' * 3}], lambda s, q: list_append(s, w[1] + w[2] * s[len(s)] + w[3] * s[len(s) - 1] + w[4] * ns[len(s) + 1] / sx))"
+    sized = f"list_avg(list_transform(ys[1:{head}], lambda v: abs(v))) AS sy, list_avg(list_transform(ns[1:{head}], lambda v: abs(v))) AS sx"
+    return f"{_X_PANEL}, c AS (SELECT *, {sized} FROM s, {ends}), x AS (SELECT *, {rows} AS xs FROM c){_solved(4, penalty='0.01::DOUBLE', free=0)}, f AS (SELECT *, {fed} AS p FROM w) SELECT {columns}, {r('sy * p[n + k]', 'yhat', 3)}, 'xreg' AS model FROM f, unnest(range(1, 4)) u(k)"
+
+
+add("cv_xreg", lambda spark, d: rounded(backtest.cross_validation(_with_counts(spark, d), "xreg", params=_X, **_CV), 3), _x_sql("unnest(range(12, size - 3 + 1, 3)) u(n)", "12", _SEEN.replace("a[n + k], 5", "ys[n + k], 3")))
+add("forecast_xreg", lambda spark, d: rounded(backtest.forecast(_with_future(_with_counts(spark, d), 3), "xreg", 3, _X), 3), _x_sql("unnest([size - 3]) u(n)", "(size - 3)", "unique_id, d[n + k] AS ds, d[n] AS cutoff, k::INTEGER AS step"))
+
 # --- Detection -------------------------------------------------------------------------------------------------------------------
 
 _DETECT = "SELECT unique_id, ds, cutoff, 1::INTEGER AS step, " + ", ".join(r(c, c) for c in ("y", "yhat", "residual", "score")) + ", {t} AS threshold, coalesce(score > {t}, false) AS is_anomaly, '{m}' AS score_method, '{h}' AS threshold_method, 'rolling:window={w},min_history=3' AS window_context, NULL::VARCHAR AS model FROM x"
@@ -613,6 +654,65 @@ add(
     "SELECT 'region=EUROPE' AS unique_id, NULL::VARCHAR AS child, 'sum_mismatch' AS reason, count(DISTINCT ds) AS n FROM p WHERE unique_id LIKE 'region=EUROPE|%' UNION ALL SELECT 'region=ASIA', NULL, 'missing_parent', 1 UNION ALL SELECT 'total', 'region=ASIA', 'missing_child', 1", "nation_monthly",
 )
 
+_SCORE_SQL = "count(*) AS n_points, count(DISTINCT unique_id) AS n_series, count(DISTINCT ds) AS n_timestamps, " + ", ".join(r(e, n, 4) for n, e in _METRIC_SQL.items())
+
+
+def _evaluated(spark: SparkSession, d: str) -> DataFrame:
+    """Each month is forecast by the last; nations are forecast, and regions and the total are their sums."""
+    leaves, edges = _tree(spark, d)
+    before = leaves.withColumn("yhat", F.lag("yhat").over(Window.partitionBy("unique_id").orderBy("ds"))).where("yhat is not null")
+    return rounded(hierarchy.evaluate_hierarchy(before, edges, "bottom_up", observed=leaves.withColumnRenamed("yhat", "y")), 4)
+
+
+add(
+    "evaluate_hierarchy", _evaluated,
+    ", b AS (SELECT unique_id, ds, y, lag(y) OVER (PARTITION BY unique_id ORDER BY ds) AS f FROM p), o AS (" + _UP + "), f AS (SELECT unique_id, ds, f FROM b WHERE f IS NOT NULL UNION ALL SELECT split_part(unique_id, '|', 1), ds, sum(f) FROM b WHERE f IS NOT NULL GROUP BY 1, 2 UNION ALL SELECT 'total', ds, sum(f) FROM b WHERE f IS NOT NULL GROUP BY 2), "
+    "v AS (SELECT f.unique_id, f.ds, o.y, f.f AS yhat, CASE WHEN f.unique_id = 'total' THEN 0 WHEN f.unique_id LIKE '%|%' THEN 2 ELSE 1 END::BIGINT AS level FROM f JOIN o ON f.unique_id = o.unique_id AND f.ds = o.ds) "
+    f"SELECT level, {_SCORE_SQL}, 0::BIGINT AS n_inconsistent FROM v GROUP BY GROUPING SETS ((), (level))", "nation_monthly",
+)
+add(
+    "hierarchy_levels", lambda spark, d: hierarchy.levels(_tree(spark, d)[1]),
+    "SELECT 'total' AS node, 0::BIGINT AS level UNION ALL SELECT 'region=' || r_name, 1 FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation) UNION ALL SELECT 'region=' || r_name || '|nation=' || n_name, 2 FROM nation JOIN region ON n_regionkey = r_regionkey",
+)
+
+# --- Calendar frequencies ----------------------------------------------------------------------------------------------------------
+
+#: Orders added up to the last days of months, to quarters that end in January, to Wednesdays, and on business days.
+_PERIODS = {
+    "ME": ("last_day(o_orderdate)", "last_day(o_orderdate)"), "QE-JAN": ("last_day(add_months(o_orderdate, pmod(1 - month(o_orderdate), 3)))", "last_day(o_orderdate + to_months((((1 - month(o_orderdate)) % 3 + 3) % 3)::INTEGER))"),
+    "W-WED": ("date_add(o_orderdate, cast(pmod(2 - weekday(o_orderdate), 7) as int))", "o_orderdate::DATE + (((3 - isodow(o_orderdate)) % 7 + 7) % 7)::INTEGER"), "B": ("case when weekday(o_orderdate) < 5 then o_orderdate end", "CASE WHEN isodow(o_orderdate) < 6 THEN o_orderdate END"),
+}
+_PERIOD_SQL = " UNION ALL ".join(f"SELECT '{f}' AS unique_id, ({e})::DATE::TIMESTAMP AS ds, sum(o_totalprice) AS y FROM orders WHERE ({e}) IS NOT NULL GROUP BY 2" for f, (_, e) in _PERIODS.items())
+
+
+def _by_periods(spark: SparkSession, d: str) -> DataFrame:
+    orders = table(spark, d, "orders").select(F.to_date("o_orderdate").alias("o_orderdate"), "o_totalprice").where("o_orderdate is not null")
+    parts = [orders.groupBy(F.lit(f).alias("unique_id"), F.expr(e).cast("timestamp_ntz").alias("ds")).agg(F.sum("o_totalprice").cast("double").alias("y")).where("ds is not null") for f, (e, _) in _PERIODS.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+#: Whether each day of a series' span on which a period falls is in it, by frequency.
+_ON = {"ME": "t = last_day(t)", "QE-JAN": "t = last_day(t) AND month(t) % 3 = 1", "W-WED": "isodow(t) = 3", "B": "isodow(t) < 6"}
+_INFER_SQL = (
+    f"WITH p AS ({_PERIOD_SQL}), e AS (SELECT unique_id, min(ds) AS lo, max(ds) AS hi, count(*) AS n, arg_max(y, ds) AS y FROM p GROUP BY 1), g AS (SELECT unique_id, n, unnest(generate_series(lo, hi, INTERVAL 1 DAY))::DATE AS t FROM e), "
+    "c AS (SELECT unique_id, n, sum(CASE " + " ".join(f"WHEN unique_id = '{f}' AND {e} THEN 1" for f, e in _ON.items()) + " ELSE 0 END) AS m FROM g GROUP BY 1, 2)"
+)
+add("infer_calendar", lambda spark, d: calendars.infer_calendar(_by_periods(spark, d)), f"{_INFER_SQL} SELECT unique_id, CASE WHEN m = n THEN unique_id END AS freq FROM c")
+
+
+def _on_calendar(spark: SparkSession, d: str) -> DataFrame:
+    """Forecasts of the series that follow a calendar, at its times."""
+    p = _by_periods(spark, d)
+    times = calendars.calendar_times(p, 3)
+    return rounded(backtest.forecast(p, "naive-last", 3).drop("ds").join(times, ["unique_id", "step"]).select("unique_id", "step", "ds", "yhat"), 2)
+
+
+add(
+    "forecast_calendar", _on_calendar,
+    f"{_INFER_SQL}, h AS (SELECT unique_id, y, unnest(generate_series(hi + INTERVAL 1 DAY, hi + INTERVAL 300 DAY, INTERVAL 1 DAY))::DATE AS t FROM e JOIN c USING (unique_id) WHERE c.m = c.n), "
+    "k AS (SELECT *, row_number() OVER (PARTITION BY unique_id ORDER BY t) AS step FROM h WHERE " + " OR ".join(f"(unique_id = '{f}' AND {e})" for f, e in _ON.items()) + f") SELECT unique_id, step::INTEGER AS step, t::TIMESTAMP AS ds, {r('y', 'yhat', 2)} FROM k WHERE step <= 3",
+)
+
 # --- Ranking, tuning, ensembles, panel models ------------------------------------------------------------------------------------
 
 _MODELS = {"naive-last": "t[n]", "mean": "list_avg(t)", "drift": "t[n] + k * (t[n] - t[1]) / (n - 1)"}
@@ -641,8 +741,46 @@ panel_query(
     "ensemble_rows", "events_daily", lambda p: leaderboard.ensemble([_cv(p), _cv(p, "naive-last")], weights=[1, 3]).drop("model"),
     _cv_sql("(t[n - 7 + (k - 1) % 7 + 1] + 3 * t[n]) / 4") + f" SELECT unique_id, ds, cutoff, step, {r('y', 'y')}, {r('yhat', 'yhat')} FROM v",
 )
-for _model in ("ridge-step-lag-global", "gbrt-step-lag-global", "lasso-step-lag-global", "ard-step-lag-global", "omp-step-lag-global", "quantile-step-lag-global", "rf-step-lag-global"):
-    panel_query(f"panel_{_model.split('-')[0]}", "ship_monthly", lambda p, m=_model: backtest.forecast(p, m, 3, {"lags": 12}).select("unique_id", "step", "yhat"), None, 2)
+_GLOBAL = "-step-lag-global"
+
+
+def _aligned(p: DataFrame) -> DataFrame:
+    """The panel up to the last time that all its series have reached."""
+    return p.where(F.col("ds") <= F.lit(p.groupBy("unique_id").agg(F.max("ds").alias("e")).agg(F.min("e")).first()[0]))
+
+
+for _model, _params in (
+    ("ridge", {}), ("gbrt", {"n_estimators": 20}), ("lasso", {}), ("elasticnet", {}), ("ard", {}), ("omp", {}), ("bayesian-ridge", {}), ("quantile", {}), ("passive-aggressive", {"max_iter": 20}), ("rf", {"n_estimators": 20, "max_depth": 8}), ("huber", {}), ("sgd", {}),
+    ("poisson", {}), ("gamma", {}), ("tweedie", {}), ("decision-tree", {}), ("extra-trees", {"n_estimators": 20, "max_depth": 8}), ("bagging", {"n_estimators": 20, "max_depth": 8}), ("hgb", {"n_estimators": 20}), ("kernel-ridge", {}), ("svr", {}), ("linear-svr", {}),
+):
+    panel_query(f"panel_{_model.replace('-', '_')}", "ship_monthly", lambda p, m=_model, o=_params: backtest.forecast(_aligned(p), m + _GLOBAL, 3, {"lags": 12, **o}).select("unique_id", "step", "yhat"), None, 2)
+
+# Panel windows in SQL: three lags and a step of 1 or 2; x has the rows that train at each cutoff of the first series, in units of the mean size.
+_PLAIN = {"lags": 3, "add_time_features": False, "id_feature": "none"}
+_WINDOWS = (
+    ", q AS (SELECT unique_id, ds, y, row_number() OVER w AS o, count(*) OVER (PARTITION BY unique_id) AS m, lag(y, 1) OVER w AS y2, lag(y, 2) OVER w AS y3, lead(ds, 1) OVER w AS d1, lead(ds, 2) OVER w AS d2, lead(y, 1) OVER w AS t1, lead(y, 2) OVER w AS t2 FROM p WINDOW w AS (PARTITION BY unique_id ORDER BY ds)), "
+    "z AS (SELECT unique_id, ds, o, k AS step, [y / sy, y2 / sy, y3 / sy, k::DOUBLE] AS z, CASE WHEN k = 1 THEN t1 ELSE t2 END AS y, CASE WHEN k = 1 THEN d1 ELSE d2 END AS target_ds, d2, sy FROM q, (SELECT avg(abs(y)) AS sy FROM p), unnest([1, 2]) u(k) WHERE o >= 3), "
+    "cuts AS (SELECT ds AS cutoff FROM q WHERE unique_id = (SELECT min(unique_id) FROM p) AND o >= 24 AND o <= m - 2 AND (o - 24) % 12 = 0), "
+    "x AS (SELECT cutoff, sy, list(list_concat([1.0::DOUBLE], z, [y / sy])) AS xs FROM cuts JOIN z ON d2 <= cutoff GROUP BY 1, 2)"
+)
+_AHEAD = f"SELECT z.unique_id, z.target_ds AS ds, z.ds AS cutoff, z.step::INTEGER AS step, {r('z.y', 'y', 2)}, {r('z.sy * (w[1] + list_sum(list_transform(z.z, lambda v, i: v * w[i + 1])))', 'yhat', 2)}, 'MODEL' AS model FROM w JOIN z ON z.ds = w.cutoff WHERE z.d2 IS NOT NULL"
+panel_query("cv_panel_ridge", "ship_monthly", lambda p: backtest.cross_validation(p, "ridge" + _GLOBAL, 2, 12, 24, _PLAIN), f"{_WINDOWS}{_solved(5, penalty='CASE WHEN a <= 4 THEN 1 / (sy * sy) ELSE 1.0 END')} {_AHEAD.replace('MODEL', 'ridge' + _GLOBAL)}", 2)
+# Coordinate descent on means about the means, a hundred rounds; weights of lags are free of units, the penalty is 0.02 of the target's.
+_MEANS = "list_transform(range(2, 7), lambda a: list_avg(list_transform(xs, lambda q: q[a])))"
+_CROSS = "list_transform(range(1, 6), lambda a: list_transform(range(1, 6), lambda b: list_avg(list_transform(xs, lambda q: (q[a + 1] - mu[a]) * (q[b + 1] - mu[b])))))"
+_PART = "(g[j][5] - list_sum(list_transform([1, 2, 3, 4], lambda c: g[j][c] * s[c])) + g[j][j] * s[j])"
+_MOVE = f"list_transform(s, lambda v, i: CASE WHEN i = j THEN sign({_PART}) * greatest(abs({_PART}) - CASE WHEN j <= 3 THEN 5000.0::DOUBLE / (sy * sy) ELSE 5000.0::DOUBLE / sy END, 0) / g[j][j] ELSE v END)".replace("j]", "e[1]::INTEGER]").replace("= j ", "= e[1]::INTEGER ").replace("j <=", "e[1] <=")
+panel_query(
+    "cv_panel_lasso", "ship_monthly", lambda p: backtest.cross_validation(p, "lasso" + _GLOBAL, 2, 12, 24, {**_PLAIN, "alpha": 5000.0}),
+    f"{_WINDOWS}, mu AS (SELECT *, {_MEANS} AS mu FROM x), g AS (SELECT *, {_CROSS} AS g FROM mu), b AS (SELECT *, list_reduce(list_prepend([0.0::DOUBLE, 0.0, 0.0, 0.0], list_transform(range(0, 400), lambda i: [(i % 4 + 1)::DOUBLE])), lambda s, e: {_MOVE}) AS b FROM g), "
+    f"w AS (SELECT cutoff, list_concat([mu[5] - list_sum(list_transform([1, 2, 3, 4], lambda c: mu[c] * b[c]))], b) AS w FROM b) {_AHEAD.replace('MODEL', 'lasso' + _GLOBAL)}", 2,
+)
+panel_query(
+    "panel_knn", "ship_monthly", lambda p: backtest.forecast(_aligned(p), "knn" + _GLOBAL, 2, _PLAIN).select("unique_id", "step", "yhat"),
+    ", p0 AS (SELECT * FROM p WHERE ds <= (SELECT min(e) FROM (SELECT max(ds) AS e FROM p GROUP BY unique_id)))" + _WINDOWS.replace("FROM p", "FROM p0") + f", f AS (SELECT list_concat(list_transform(z[1:3], lambda v: v * sy), z[4:4]) AS f, unique_id, ds, step, y, d2 FROM z), t AS (SELECT * FROM f WHERE d2 IS NOT NULL), a AS (SELECT * FROM f WHERE ds = (SELECT max(ds) FROM p0)), "
+    "n AS (SELECT a.unique_id, a.step, t.y, list_distance(a.f, t.f) AS far, row_number() OVER (PARTITION BY a.unique_id, a.step ORDER BY list_distance(a.f, t.f), t.y) AS o FROM a, t) "
+    f"SELECT unique_id, step::INTEGER AS step, {r('coalesce(avg(CASE WHEN far = 0 THEN y END), sum(y / nullif(far, 0)) / sum(1 / nullif(far, 0)))', 'yhat', 2)} FROM n WHERE o <= 10 GROUP BY 1, 2", 2,
+)
 _VAR_ROWS = "list_transform(range(2, e + 1), lambda i: list_concat([1.0::DOUBLE], v[i - 1], [v[i][j]]))"
 panel_query(
     "multivariate_var", "events_daily", lambda p: mt.evaluate(backtest.multivariate_cross_validation(frames.long_to_wide(p, _IDS), _IDS, 2, 4, 15), by=["target"]),
