@@ -93,3 +93,14 @@ def test_no_training_text_and_empty_table(spark):
     assert lm.score_report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     twice = spark.createDataFrame([(1, "a"), (1, "a"), (None, "a")], "doc_id long, text string")
     assert lm.score_report(twice).count() == 3
+
+
+def test_ranges_by_arithmetic():
+    rng = np.random.default_rng(0)
+    hashes = np.sort(rng.integers(0, 1 << 63, 500, dtype=np.uint64) * np.uint64(2))
+    for n in (1, 3, 7, 64, 100_003, (1 << 31) + 5):
+        found = lm.range_of(hashes, n)
+        assert all(lm._begin(int(r), n) <= int(h) >> 32 < lm._begin(int(r) + 1, n) for h, r in zip(hashes, found, strict=True))
+        some = np.unique(found)
+        a, b = lm._cuts(hashes, n, some)
+        assert sum(b - a) == len(hashes) and all((found[x:y] == r).all() for x, y, r in zip(a, b, some, strict=True))

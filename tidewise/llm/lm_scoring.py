@@ -142,10 +142,20 @@ class Block:
         one = np.bincount(self.places[self.token_train], minlength=len(self.words))
         return one, np.bincount(self.pair_of[self.token_train], minlength=len(self.pairs))
 
-    @staticmethod
-    def ranges(hashes: np.ndarray, n: int) -> np.ndarray:
-        """Where each of n ranges begins in sorted hashes."""
-        return np.searchsorted(hashes >> np.uint64(32), (-(-(np.arange(n + 1, dtype=np.int64) << 32) // n)).astype(np.uint64))
+
+def range_of(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Which of n even ranges each hash falls into: range r begins at ceil(r * 2^32 / n) of the upper 32 bits."""
+    return ((hashes >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+
+
+def _begin(r: int, n: int) -> int:
+    return -(-(r << 32) // n)
+
+
+def _cuts(hashes: np.ndarray, n: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each wanted range begins and ends in sorted hashes; time by the hashes and the ranges that are wanted."""
+    own = range_of(hashes, n)
+    return np.searchsorted(own, wanted, "left"), np.searchsorted(own, wanted, "right")
 
 
 def _small(counts: np.ndarray) -> bytes:
@@ -184,20 +194,21 @@ def questions(blocked: DataFrame, ranges: int) -> DataFrame:
     """
     schema = "range long, block long, words binary, word_counts binary, pairs binary, pair_counts binary, starts long"
     arrow = _arrow(schema)
-    begins = [-(-(r << 32) // ranges) for r in range(ranges)]
-    home = int(np.searchsorted(begins, int(START >> np.uint64(32)), side="right")) - 1
+    home = int(range_of(np.array([START]), ranges)[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = Block(data)
                 one, two = own.own_counts()
-                a, b = Block.ranges(own.words, ranges), Block.ranges(own.pairs, ranges)
+                # Only ranges that the block has n-grams in: work and rows don't depend on how many ranges there are.
+                some = np.unique(np.concatenate([range_of(own.words, ranges), range_of(own.pairs, ranges), np.array([home], np.uint64)]))
+                (a, to_a), (b, to_b) = _cuts(own.words, ranges, some), _cuts(own.pairs, ranges, some)
                 rows = []
-                # Only ranges that the block has n-grams in, so rows and steps are at most the n-grams, however many ranges there are.
-                for r in np.flatnonzero((a[:-1] < a[1:]) | (b[:-1] < b[1:]) | (np.arange(ranges) == home)).tolist():
+                for i, r in enumerate(some.tolist()):
+                    words, pairs = slice(a[i], to_a[i]), slice(b[i], to_b[i])
                     starts = int(own.train.sum()) if r == home else None
-                    rows.append((r, block, own.words[a[r] : a[r + 1]].tobytes(), _small(one[a[r] : a[r + 1]]), _offsets(own.pairs[b[r] : b[r + 1]], begins[r], ranges), _small(two[b[r] : b[r + 1]]), starts))
+                    rows.append((r, block, own.words[words].tobytes(), _small(one[words]), _offsets(own.pairs[pairs], _begin(r, ranges), ranges), _small(two[pairs]), starts))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
