@@ -25,7 +25,7 @@ THRESHOLD, LONGEST, ABSORBED = 10, 3, 50
 #: Phrases of a language that are returned, best first.
 BEST = 2000
 #: Words of a block; bytes of text whose phrases make a partition (about 0.5 phrases a byte); texts of a bucket.
-BLOCK_WORDS, PARTITION_BYTES, BUCKET_TEXTS = 1_000_000, 8 << 20, 4
+BLOCK_WORDS, PARTITION_BYTES, BUCKET_TEXTS = 600_000, 8 << 20, 4
 #: Parts of a language that are ranked by themselves before their best are ranked together.
 RANKED = 64
 
