@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidewise import api
 from tidewise.models import neighbours, support
+from tidewise.models.fitted import PanelEstimator
 from tidewise.models import panel as pm
 from tidewise.operators import backtest
 
@@ -132,3 +134,29 @@ def test_new_keys_run(spark, made, key):
 def test_series_numbers(made):
     found = {r["unique_id"]: r["series_number"] for r in pm.series_numbers(made.withColumn("y", F.lit(1.0))).collect()}
     assert sorted(found.values()) == [0.0, 1.0, 2.0]
+
+
+@pytest.mark.parametrize(("key", "own"), [("ridge", {}), ("kernel-ridge", {"gamma": 0.01, "landmarks": 40}), ("linear-svr", {}), ("knn", {"n_neighbors": 3}), ("decision-tree", {})])
+def test_fitted_models_keep_what_they_learned(spark, made, tmp_path, key, own):
+    model = f"{key}-step-lag-global"
+    options = OPTIONS | own
+    want = {(r["unique_id"], r["step"]): r for r in backtest.forecast(made, model, 2, options).collect()}
+    forecaster = api.GlobalForecaster(model, 2, **options).fit(made)
+    path = str(tmp_path / key)
+    forecaster.save(path)
+    for got in (forecaster.predict(), api.GlobalForecaster.load(path).predict(made)):
+        found = {(r["unique_id"], r["step"]): r for r in got.collect()}
+        assert {k: r["yhat"] for k, r in found.items()} == pytest.approx({k: r["yhat"] for k, r in want.items()})
+        assert {k: r["ds"] for k, r in found.items()} == {k: r["ds"] for k, r in want.items()}
+    # Another panel is forecast from its own end, with the weights and numbers of the first.
+    other = made.where("unique_id <> 'a' and ds < '2020-02-10'")
+    ahead = api.GlobalForecaster.load(path).predict(other).collect()
+    assert {r["unique_id"] for r in ahead} == {"b", "c"} and {r["ds"].day for r in ahead} == {10, 11}
+
+
+def test_estimator_params(made):
+    estimator = PanelEstimator(model="ridge-step-lag-global", horizon=3, options='{"lags": 2}')
+    assert estimator.copy().asked()[:2] == ("ridge-step-lag-global", 3)
+    assert estimator.fit(made).transform(made).count() == 9
+    with pytest.raises(ValueError):
+        PanelEstimator(model="theta").fit(made)

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewise.models.fitted import PanelEstimator, PanelModel
 from tidewise.models.registry import get_spec, list_models, require
 from tidewise.operators.backtest import cross_validation, forecast, multivariate_cross_validation, rolling_origin_splits
 from tidewise.operators.detection import detect
 from tidewise.operators.leaderboard import evaluate_model, leaderboard, summarize, sweep, tune
 
-__all__ = ["Ensemble", "Forecaster", "PipelineForecaster", "cross_validation", "detect", "evaluate_model", "forecast", "forecast_values", "leaderboard", "list_models", "multivariate_cross_validation", "rolling_origin_splits", "summarize", "sweep", "tune"]
+__all__ = ["Ensemble", "Forecaster", "GlobalForecaster", "PanelEstimator", "PanelModel", "PipelineForecaster", "cross_validation", "detect", "evaluate_model", "forecast", "forecast_values", "leaderboard", "list_models", "multivariate_cross_validation", "rolling_origin_splits", "summarize", "sweep", "tune"]
 
 
 class Forecaster:
@@ -32,6 +34,38 @@ class Forecaster:
         return forecast(self.history, self.model, horizon, self.params, levels)
 
 
+class GlobalForecaster:
+    """A panel model that is fitted once: `fit` learns, `predict` forecasts any panel from its last time, `save` and `load` keep what was learned."""
+
+    def __init__(self, model: str, horizon: int = 1, **params: Any) -> None:
+        self.estimator = PanelEstimator(model=model, horizon=horizon, options=json.dumps(params))
+        require(get_spec(model)).parameters(params)
+        self.fitted: PanelModel | None = None
+        self.history: DataFrame | None = None
+
+    def fit(self, history: DataFrame) -> GlobalForecaster:
+        self.fitted, self.history = self.estimator.fit(history), history
+        return self
+
+    def predict(self, panel: DataFrame | None = None) -> DataFrame:
+        if self.fitted is None or (panel is None and self.history is None):
+            raise RuntimeError("fit first, or give the panel to forecast")
+        return self.fitted.transform(self.history if panel is None else panel)
+
+    def save(self, path: str) -> None:
+        if self.fitted is None:
+            raise RuntimeError("fit first")
+        self.fitted.write().save(path)
+
+    @classmethod
+    def load(cls, path: str) -> GlobalForecaster:
+        fitted = PanelModel.load(path)
+        key, horizon, params = fitted.asked()
+        out = cls(key, horizon, **params)
+        out.fitted = fitted
+        return out
+
+
 class PipelineForecaster(Forecaster):
     """Transforms in order, a base model, the inverses in reverse order."""
 

@@ -70,8 +70,8 @@ def step_feature(step: Column, horizon: int, scale: str) -> Column:
     return scales[scale].cast("double")
 
 
-def panel_rows(df: DataFrame, horizon: int, p: dict[str, Any], max_train_size: int | None = None) -> tuple[DataFrame, list[str]]:
-    """(windows of all origins, features). A window trains at cutoffs from `window_end` on, up to the one at `window_left` if that is known."""
+def panel_rows(df: DataFrame, horizon: int, p: dict[str, Any], max_train_size: int | None = None, numbers: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
+    """(windows of all origins, features); series that `numbers` doesn't know have none with an ordinal id. A window trains at cutoffs from `window_end` on, up to the one at `window_left` if that is known."""
     if p["id_feature"] not in ("none", "ordinal") or p["sample_step"] < 1:
         raise ValueError("id_feature must be none or ordinal, and sample_step at least 1")
     x_cols, longest = names(p["x_cols"]), max(lag_steps(p["lags"]))
@@ -86,7 +86,7 @@ def panel_rows(df: DataFrame, horizon: int, p: dict[str, Any], max_train_size: i
     )
     found = found.where(F.col("origin") >= max([longest, *(k + 1 for k in historic)])).withColumn("step_index", step_feature(F.col("step"), horizon, p["step_scale"]))
     if p["id_feature"] == "ordinal":
-        found = found.join(series_numbers(df), "unique_id")
+        found = found.join(series_numbers(df) if numbers is None else numbers, "unique_id")
     if p["add_time_features"]:
         angle = lambda part, period: 2 * 3.141592653589793 * part / period
         found = found.withColumns({"dow_sin": F.sin(angle(F.weekday("cutoff_ds"), 7)), "dow_cos": F.cos(angle(F.weekday("cutoff_ds"), 7)), "month_sin": F.sin(angle(F.month("cutoff_ds") - 1, 12)), "month_cos": F.cos(angle(F.month("cutoff_ds") - 1, 12))})
@@ -105,18 +105,25 @@ def _sampled(p: dict[str, Any]) -> Column:
     return (F.col("origin") - max(lag_steps(p["lags"]))) % p["sample_step"] == 0
 
 
+def linear(features: list[str], weights: np.ndarray) -> Callable[[DataFrame], DataFrame]:
+    line = reduce(lambda a, b: a + b, (F.col(c) * float(w) for c, w in zip(features, weights[1:], strict=True)), F.lit(float(weights[0])))
+    return lambda rows: rows.withColumn("yhat", line)
+
+
+def ml_pipeline(model: str, features: list[str], p: dict[str, Any]) -> Pipeline:
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="x"), estimator(model, p)])
+
+
 def fitted(model: str, train: DataFrame, features: list[str], p: dict[str, Any]) -> Callable[[DataFrame], DataFrame]:
     """A function that adds `yhat` to windows."""
     kind = model.removesuffix("-step-lag-global")
     if kind in gram.KINDS:
-        weights = gram.fit(kind, train, features, "y_target", p)
-        line = reduce(lambda a, b: a + b, (F.col(c) * float(w) for c, w in zip(features, weights[1:], strict=True)), F.lit(float(weights[0])))
-        return lambda rows: rows.withColumn("yhat", line)
+        return linear(features, gram.fit(kind, train, features, "y_target", p))
     if kind == "knn":
         return lambda rows: neighbours.predicted(train, rows, features, "y_target", ["unique_id", "cutoff_ds", "step"], p["n_neighbors"], p["weights"])
     if kind in support.KINDS:
         return support.fit(kind, train, features, "y_target", p)
-    done = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="x"), estimator(model, p)]).fit(train)
+    done = ml_pipeline(model, features, p).fit(train)
     return lambda rows: done.transform(rows).drop("x")
 
 

@@ -112,30 +112,48 @@ def support_vectors(rows: DataFrame, features: list[str], target: str, phi: Call
     return w
 
 
-def fit(kind: str, rows: DataFrame, features: list[str], target: str, p: dict[str, Any]) -> Callable[[DataFrame], DataFrame]:
-    """A function that adds `yhat`. `gamma` None or "auto" is one over the number of features, "scale" also over their variance."""
+class Fitted:
+    """Weights over features of the rows themselves or of landmarks; called with windows it adds `yhat`."""
+
+    def __init__(self, features: list[str], weights: np.ndarray, phi: Landmarks | None = None):
+        self.features, self.weights, self.phi = features, weights, phi
+
+    def state(self) -> dict[str, Any]:
+        """What there is to keep, as plain lists."""
+        marks = {"plain": True} if self.phi is None else {"points": self.phi.points.tolist(), "gamma": self.phi.gamma}
+        return {"weights": self.weights.tolist(), **marks}
+
+    @classmethod
+    def of(cls, features: list[str], state: dict[str, Any]) -> Fitted:
+        return cls(features, np.asarray(state["weights"]), None if "plain" in state else Landmarks(np.asarray(state["points"]), state["gamma"]))
+
+    def __call__(self, frame: DataFrame) -> DataFrame:
+        features, weights, phi = self.features, self.weights, self.phi
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = np.column_stack([batch.column(f"_x{j}").to_numpy(zero_copy_only=False).astype(float) for j in range(len(features))])
+                kept = batch.schema.names[: -len(features)]
+                yhat = weights[0] + (x if phi is None else phi(x)) @ weights[1:] if len(x) else np.empty(0)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(yhat, from_pandas=True)], names=[*kept, "yhat"])
+
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema)
+        return frame.select("*", *(F.col(c).cast("double").alias(f"_x{j}") for j, c in enumerate(features))).mapInArrow(run, f"{fields}, yhat double")
+
+
+def fit(kind: str, rows: DataFrame, features: list[str], target: str, p: dict[str, Any]) -> Fitted:
+    """A fit that adds `yhat`. `gamma` None or "auto" is one over the number of features, "scale" also over their variance."""
     n, spread, moments = _spread(rows, features, target)
+    marks = None
     if kind == "linear-svr":
         phi, size = (lambda x: x), len(features)
     else:
         variance = max(moments[1] - moments[0] ** 2, 1e-300)
         gamma = {"None": 1 / len(features), "auto": 1 / len(features), "scale": 1 / (len(features) * variance)}.get(str(p["gamma"]), p["gamma"])
-        phi = landmarks(rows, features, p["landmarks"], float(gamma))
+        phi = marks = landmarks(rows, features, p["landmarks"], float(gamma))
         size = phi.root.shape[1]
     if kind == "kernel-ridge":
         weights = np.r_[0.0, kernel_ridge(rows, features, target, phi, size, p["alpha"])]
     else:
         weights = support_vectors(rows, features, target, phi, size, p["c"], p["epsilon"], spread, kind == "svr")
-
-    def add(frame: DataFrame) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                x = np.column_stack([batch.column(f"_x{j}").to_numpy(zero_copy_only=False).astype(float) for j in range(len(features))])
-                kept = batch.schema.names[: -len(features)]
-                yhat = weights[0] + phi(x) @ weights[1:] if len(x) else np.empty(0)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(yhat, from_pandas=True)], names=[*kept, "yhat"])
-
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema)
-        return frame.select("*", *(F.col(c).cast("double").alias(f"_x{j}") for j, c in enumerate(features))).mapInArrow(run, f"{fields}, yhat double")
-
-    return add
+    return Fitted(features, weights, marks)

@@ -781,6 +781,23 @@ panel_query(
     "n AS (SELECT a.unique_id, a.step, t.y, list_distance(a.f, t.f) AS far, row_number() OVER (PARTITION BY a.unique_id, a.step ORDER BY list_distance(a.f, t.f), t.y) AS o FROM a, t) "
     f"SELECT unique_id, step::INTEGER AS step, {r('coalesce(avg(CASE WHEN far = 0 THEN y END), sum(y / nullif(far, 0)) / sum(1 / nullif(far, 0)))', 'yhat', 2)} FROM n WHERE o <= 10 GROUP BY 1, 2", 2,
 )
+
+
+def _roundtrip(p: DataFrame) -> DataFrame:
+    """Fitted, saved beside the checkpoints, loaded and asked."""
+    from tidewise.api import GlobalForecaster
+    from tidewise.storage import folder
+
+    path = folder(p.sparkSession, "panel-model")
+    GlobalForecaster("ridge" + _GLOBAL, 2, **_PLAIN).fit(p).save(path)
+    return GlobalForecaster.load(path).predict(p)
+
+
+panel_query(
+    "panel_fitted_roundtrip", "ship_monthly", lambda p: _roundtrip(_aligned(p)).select("unique_id", "step", "yhat"),
+    ", p0 AS (SELECT * FROM p WHERE ds <= (SELECT min(e) FROM (SELECT max(ds) AS e FROM p GROUP BY unique_id)))" + _WINDOWS.replace("FROM p", "FROM p0").replace("SELECT ds AS cutoff FROM q WHERE unique_id = (SELECT min(unique_id) FROM p0) AND o >= 24 AND o <= m - 2 AND (o - 24) % 12 = 0", "SELECT max(ds) AS cutoff FROM q")
+    + _solved(5, penalty="CASE WHEN a <= 4 THEN 1 / (sy * sy) ELSE 1.0 END") + f" SELECT z.unique_id, z.step::INTEGER AS step, {r('z.sy * (w[1] + list_sum(list_transform(z.z, lambda v, i: v * w[i + 1])))', 'yhat', 2)} FROM w JOIN z ON z.ds = w.cutoff", 2,
+)
 _VAR_ROWS = "list_transform(range(2, e + 1), lambda i: list_concat([1.0::DOUBLE], v[i - 1], [v[i][j]]))"
 panel_query(
     "multivariate_var", "events_daily", lambda p: mt.evaluate(backtest.multivariate_cross_validation(frames.long_to_wide(p, _IDS), _IDS, 2, 4, 15), by=["target"]),
