@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewise import api
-from tidewise.models import neighbours, support
+from tidewise.models import adaboost, neighbours, perceptron, support
 from tidewise.models.fitted import PanelEstimator
 from tidewise.models import panel as pm
 from tidewise.operators import backtest
@@ -123,11 +123,11 @@ def test_support_vectors_meet_their_conditions(curve, kind, p):
     assert best > base * (1 - 2e-3)
 
 
-@pytest.mark.parametrize("key", ["knn", "kernel-ridge", "svr", "linear-svr"])
-def test_new_keys_run(spark, made, key):
-    rows = backtest.cross_validation(made, f"{key}-step-lag-global", 2, 5, 30, {**OPTIONS, "id_feature": "none"}, n_windows=1).collect()
+@pytest.mark.parametrize(("key", "own"), [("knn", {}), ("kernel-ridge", {}), ("svr", {}), ("linear-svr", {}), ("adaboost", {"n_estimators": 3}), ("mlp", {"hidden_layer_sizes": (4,), "max_iter": 3})])
+def test_new_keys_run(spark, made, key, own):
+    rows = backtest.cross_validation(made, f"{key}-step-lag-global", 2, 5, 30, {**OPTIONS, **own, "id_feature": "none"}, n_windows=1).collect()
     assert len(rows) == 6 and all(np.isfinite(r["yhat"]) for r in rows)
-    ahead = backtest.forecast(made, f"{key}-step-lag-global", 2, OPTIONS).collect()
+    ahead = backtest.forecast(made, f"{key}-step-lag-global", 2, OPTIONS | own).collect()
     assert len(ahead) == 6 and {r["ds"] for r in ahead} == {dt.datetime(2020, 1, 1) + dt.timedelta(days=46 + i) for i in range(2)}
 
 
@@ -160,3 +160,52 @@ def test_estimator_params(made):
     assert estimator.fit(made).transform(made).count() == 9
     with pytest.raises(ValueError):
         PanelEstimator(model="theta").fit(made)
+
+
+def test_two_rounds_of_boosting_by_hand(spark):
+    x = np.array([0.0, 1, 2, 3, 4, 5, 6, 7, 8, 9])
+    y = np.array([0.0, 1, 0, 1, 5, 6, 5, 9, 9, 20])
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y, strict=True)], "a double, t double")
+    trees = adaboost.fit(df, ["a"], "t", 2, 0.5)
+    assert len(trees) == 2
+    frame = df.withColumnRenamed("t", "other")
+    one = {r["a"]: r["yhat"] for r in adaboost.predictor(trees[:1], ["a"])(frame).collect()}
+    e = np.abs(y - np.array([one[a] for a in x]))
+    share = (e / e.max()).mean()
+    assert trees[0][1] == pytest.approx(0.5 * np.log((1 - share) / share))
+    w = (share / (1 - share)) ** ((1 - e / e.max()) * 0.5)
+    two = {r["a"]: r["yhat"] for r in adaboost.predictor(trees[1:], ["a"])(frame).collect()}
+    e2 = np.abs(y - np.array([two[a] for a in x]))
+    share2 = (w * e2).sum() / (w.sum() * e2.max())
+    assert trees[1][1] == pytest.approx(0.5 * np.log((1 - share2) / share2))
+    # The median of two is that of the heavier tree.
+    both = {r["a"]: r["yhat"] for r in adaboost.predictor(trees, ["a"])(frame).collect()}
+    heavier = one if trees[0][1] > trees[1][1] else two
+    assert all(both[a] == pytest.approx(heavier[a]) or both[a] == pytest.approx(min(one[a], two[a])) for a in x)
+
+
+def test_weighted_median(spark):
+    df = spark.createDataFrame([([3.0, 1.0, 2.0], [1.0, 1.0, 1.0]), ([3.0, 1.0, 2.0], [5.0, 1.0, 1.0]), ([4.0], [1.0])], "v array<double>, w array<double>")
+    assert [r[0] for r in df.select(adaboost.weighted_median(F.col("v"), F.col("w"))).collect()] == [2.0, 3.0, 4.0]
+
+
+def test_gradient_of_the_network():
+    rng = np.random.default_rng(0)
+    network = perceptron.Network([3, 5, 4, 1])
+    w, x, y = network.start(1) + rng.normal(size=network.size) / 10, rng.normal(size=(20, 3)), rng.normal(size=20)
+    _, gradient = network.loss_and_gradient(w, x, y)
+    for j in rng.choice(network.size, 25, replace=False):
+        step = np.zeros(network.size)
+        step[j] = 1e-6
+        slope = (network.loss_and_gradient(w + step, x, y)[0] - network.loss_and_gradient(w - step, x, y)[0]) / 2e-6
+        assert slope == pytest.approx(gradient[j], rel=1e-4, abs=1e-5)
+
+
+def test_network_learns_and_repeats(curve):
+    x, y, df = curve
+    found = [perceptron.fit(df, ["a", "b"], "t", (12,), 1e-4, 40, 3).w for _ in range(2)]
+    assert (found[0] == found[1]).all() or np.allclose(found[0], found[1], atol=1e-6)
+    rows = perceptron.fit(df, ["a", "b"], "t", (12,), 1e-4, 40, 3)(df).collect()
+    left = np.mean([(r["t"] - r["yhat"]) ** 2 for r in rows])
+    line = np.column_stack([np.ones(150), x])
+    assert left < 0.2 * np.mean((y - line @ np.linalg.lstsq(line, y, rcond=None)[0]) ** 2)

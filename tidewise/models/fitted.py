@@ -52,8 +52,8 @@ class PanelEstimator(Estimator, _PanelParams, DefaultParamsReadable, DefaultPara
 
     def _fit(self, df: DataFrame) -> PanelModel:
         key, horizon, p = self.asked()
-        if get_spec(key).tier != "panel":
-            raise ValueError(f"{key} is no panel model")
+        if get_spec(key).tier != "panel" or key.startswith(("adaboost-", "mlp-")):
+            raise ValueError(f"{key} is no panel model that can be kept")
         numbers = pm.series_numbers(df)
         rows, features = pm.panel_rows(df, horizon, p, numbers=numbers)
         train = pm.training(rows, p, last_time(df))

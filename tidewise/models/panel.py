@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 
 from tidewise.frames import names
 from tidewise.functions.features import lag_steps
-from tidewise.models import gram, neighbours, support
+from tidewise.models import adaboost, gram, neighbours, perceptron, support
 from tidewise.models.registry import get_spec
 from tidewise.operators import windows
 
@@ -123,6 +123,10 @@ def fitted(model: str, train: DataFrame, features: list[str], p: dict[str, Any])
         return lambda rows: neighbours.predicted(train, rows, features, "y_target", ["unique_id", "cutoff_ds", "step"], p["n_neighbors"], p["weights"])
     if kind in support.KINDS:
         return support.fit(kind, train, features, "y_target", p)
+    if kind == "adaboost":
+        return adaboost.predictor(adaboost.fit(train, features, "y_target", p["n_estimators"], p["learning_rate"]), features)
+    if kind == "mlp":
+        return perceptron.fit(train, features, "y_target", p["hidden_layer_sizes"], p["alpha"], p["max_iter"], p["random_state"])
     done = ml_pipeline(model, features, p).fit(train)
     return lambda rows: done.transform(rows).drop("x")
 

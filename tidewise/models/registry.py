@@ -94,7 +94,7 @@ for _key, _defaults in (("pipeline", {"base": "naive-last", "transforms": ()}),
 #: Families that need a library: a pattern of keys, the library, and the interface by the key's ending.
 GATED = (
     (re.compile(r"(torch|hf)-[a-z0-9-]+"), "torch"), (re.compile(r"(chronos(-bolt)?|lag-llama|timesfm|moirai|moment|time-moe|timer-s1)"), "torch"), (re.compile(r"xgb(rf)?-[a-z-]+"), "xgboost"),
-    (re.compile(r"lgbm-[a-z-]+"), "lightgbm"), (re.compile(r"catboost-[a-z-]+"), "catboost"), (re.compile(r"(adaboost|mlp)-step-lag-global"), "sklearn"),
+    (re.compile(r"lgbm-[a-z-]+"), "lightgbm"), (re.compile(r"catboost-[a-z-]+"), "catboost"),
 )
 
 

@@ -420,5 +420,6 @@ PANEL = {
     "decision-tree-step-lag-global": {"max_depth": 5}, "rf-step-lag-global": {"n_estimators": 200, "max_depth": None}, "extra-trees-step-lag-global": {"n_estimators": 300, "max_depth": None}, "bagging-step-lag-global": {"n_estimators": 200, "max_depth": None},
     "knn-step-lag-global": {"n_neighbors": 10, "weights": "distance"}, "kernel-ridge-step-lag-global": {"alpha": 1.0, "gamma": None, "landmarks": 300},
     "svr-step-lag-global": {"c": 1.0, "gamma": "scale", "epsilon": 0.1, "landmarks": 300}, "linear-svr-step-lag-global": {"c": 1.0, "epsilon": 0.0},
+    "adaboost-step-lag-global": {"n_estimators": 300, "learning_rate": 0.05}, "mlp-step-lag-global": {"hidden_layer_sizes": (64, 64), "alpha": 0.0001, "max_iter": 300, "random_state": 0},
     "gbrt-step-lag-global": {"n_estimators": 200, "learning_rate": 0.05, "max_depth": 3}, "hgb-step-lag-global": {"n_estimators": 300, "learning_rate": 0.05, "max_depth": 3},
 }

@@ -752,6 +752,7 @@ def _aligned(p: DataFrame) -> DataFrame:
 for _model, _params in (
     ("ridge", {}), ("gbrt", {"n_estimators": 20}), ("lasso", {}), ("elasticnet", {}), ("ard", {}), ("omp", {}), ("bayesian-ridge", {}), ("quantile", {}), ("passive-aggressive", {"max_iter": 20}), ("rf", {"n_estimators": 20, "max_depth": 8}), ("huber", {}), ("sgd", {}),
     ("poisson", {}), ("gamma", {}), ("tweedie", {}), ("decision-tree", {}), ("extra-trees", {"n_estimators": 20, "max_depth": 8}), ("bagging", {"n_estimators": 20, "max_depth": 8}), ("hgb", {"n_estimators": 20}), ("kernel-ridge", {}), ("svr", {}), ("linear-svr", {}),
+    ("adaboost", {"n_estimators": 5}), ("mlp", {"hidden_layer_sizes": (16,), "max_iter": 20}),
 ):
     panel_query(f"panel_{_model.replace('-', '_')}", "ship_monthly", lambda p, m=_model, o=_params: backtest.forecast(_aligned(p), m + _GLOBAL, 3, {"lags": 12, **o}).select("unique_id", "step", "yhat"), None, 2)
 
