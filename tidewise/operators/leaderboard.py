@@ -34,7 +34,11 @@ def leaderboard(df: DataFrame, models: Sequence[str], horizon: int, step: int, m
 def sweep(panels: Mapping[str, DataFrame], models: Sequence[str], horizon: int, step: int, min_train_size: int, done: DataFrame | None = None, max_windows: int | None = None) -> DataFrame:
     """Leaderboards of all panels and models. What `done` holds for the same configuration isn't run again but passed on."""
     config = json.dumps({"horizon": horizon, "step": step, "min_train_size": min_train_size, "max_windows": max_windows}, sort_keys=True)
-    finished = {(r["dataset"], r["model"]) for r in done.where(F.col("config") == config).select("dataset", "model").collect()} if done is not None else set()
+    finished: set[tuple[str, str]] = set()
+    if done is not None:
+        # Only what is asked for comes to the driver, however much has been run before.
+        asked = done.sparkSession.createDataFrame([(n, m) for n in panels for m in models], "dataset string, model string")
+        finished = {tuple(r) for r in asked.join(done.where(F.col("config") == config), ["dataset", "model"], "left_semi").collect()}
     rows = []
     for name, panel in panels.items():
         if left := [m for m in models if (name, m) not in finished]:

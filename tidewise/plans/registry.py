@@ -14,7 +14,7 @@ from tidewise.functions import features as ft
 from tidewise.functions import metrics as mt
 from tidewise.functions import transforms as tf
 from tidewise.models import registry as models
-from tidewise.operators import backtest, calendars, detection, hierarchy, intervals, leaderboard, prepare, scan, windows
+from tidewise.operators import backtest, calendars, detection, hierarchy, intervals, leaderboard, prepare, reports, scan, windows
 from tidewise.sources import panels
 from tidewise.sources.panels import table
 
@@ -533,6 +533,11 @@ panel_query(
 )
 panel_query("evaluate_first_windows", "ship_monthly", lambda p: leaderboard.evaluate_model(p, "mean", 3, 3, 12, max_windows=5), _CUTS.replace("u(e))", "u(e) WHERE e < 27)") + f", v AS (SELECT k::INTEGER AS step, a[e + k] AS y, list_avg(t) AS yhat FROM c, unnest(range(1, 4)) u(k)) SELECT step, count(*) AS n_points, {_METRICS}, 'mean' AS model FROM v GROUP BY GROUPING SETS ((), (step))")
 panel_query("metrics_wape_pinball", "events_daily", lambda p: _cv(p).groupBy("unique_id").agg(mt.wape().alias("wape"), mt.mse().alias("mse"), mt.pinball(0.1).alias("pinball_10"), mt.pinball(0.9).alias("pinball_90")), f"{_SEASON7} SELECT unique_id, {r('sum(abs(y - yhat)) / greatest(sum(abs(y)), 1e-8)', 'wape', 5)}, {r('avg((y - yhat) * (y - yhat))', 'mse', 5)}, {r('avg(greatest(0.1::DOUBLE * (y - yhat), -0.9::DOUBLE * (y - yhat)))', 'pinball_10', 5)}, {r('avg(greatest(0.9::DOUBLE * (y - yhat), -0.1::DOUBLE * (y - yhat)))', 'pinball_90', 5)} FROM v GROUP BY 1", 5)
+panel_query(
+    "metrics_msis", "events_daily", lambda p: mt.scaled_metrics(_cv(p).withColumns({"lo": F.col("yhat") * 0.9, "hi": F.col("yhat") * 1.1}), p, 7, alpha=0.2).select("unique_id", "msis"),
+    f"{_SEASON7}, h AS (SELECT unique_id, abs(y - lag(y, 7) OVER (PARTITION BY unique_id ORDER BY ds)) AS g FROM p), q AS (SELECT unique_id, avg(g) AS a FROM h GROUP BY 1), i AS (SELECT *, yhat * 0.9::DOUBLE AS lo, yhat * 1.1::DOUBLE AS hi FROM v), "
+    f"f AS (SELECT unique_id, avg((hi - lo) + 10 * greatest(lo - y, 0) + 10 * greatest(y - hi, 0)) AS w FROM i GROUP BY 1) SELECT unique_id, {r('w / greatest(a, 1e-8)', 'msis', 5)} FROM f JOIN q USING (unique_id)", 5,
+)
 panel_query("metrics_scaled", "events_daily", lambda p: mt.scaled_metrics(_cv(p), p, 7), f"{_SEASON7}, h AS (SELECT unique_id, y - lag(y, 7) OVER (PARTITION BY unique_id ORDER BY ds) AS g FROM p), q AS (SELECT unique_id, avg(abs(g)) AS a, avg(g * g) AS b FROM h GROUP BY 1), f AS (SELECT unique_id, avg(abs(y - yhat)) AS mae, avg((y - yhat) * (y - yhat)) AS mse FROM v GROUP BY 1) SELECT unique_id, {r('mae / greatest(a, 1e-8)', 'mase')}, {r('sqrt(mse / greatest(b, 1e-8))', 'rmsse')} FROM f JOIN q USING (unique_id)")
 
 
@@ -733,6 +738,10 @@ add(
     f"{_BOARD_SQL}, k AS (SELECT *, min(mae) OVER w AS ba, dense_rank() OVER (PARTITION BY dataset ORDER BY mae) AS ra, dense_rank() OVER (PARTITION BY dataset ORDER BY rmse) AS rr FROM b WINDOW w AS (PARTITION BY dataset)) SELECT model, count(DISTINCT dataset) AS n_datasets, count(*) AS n_rows, "
     f"{r('avg(mae)', 'mae_mean', 5)}, {r('sum(mae * n_points) / sum(n_points)', 'mae_wmean', 5)}, {r('avg(mae / ba)', 'mae_rel_mean', 5)}, {r('avg(ra)', 'mae_rank_mean', 5)}, {r('quantile_cont(rmse, 0.5)', 'rmse_median', 5)}, {r('(avg(ra) + avg(rr)) / 2', 'score_rank_mean', 5)} FROM k GROUP BY model",
 )
+add(
+    "task_report", lambda spark, d: reports.task_report(spark, {n: panels.PANELS[n](spark, d) for n in ("events_daily", "ship_monthly")}, [*_MODELS, "no-such-model"], 3, 3, 12).select("dataset", "label", "row_count", "failure_count"),
+    f"{_BOARD_SQL} SELECT dataset, model AS label, n_points AS row_count, 0::BIGINT AS failure_count FROM b UNION ALL SELECT d, 'no-such-model', 0, 1 FROM (VALUES ('events_daily'), ('ship_monthly')) t(d)",
+)
 panel_query(
     "tune_grid", "ship_monthly", lambda p: leaderboard.tune(p, "moving-average", 3, 3, 12, {"window": [2, 3, 6]}),
     _CUTS + ", v AS (SELECT w, a[e + k] AS y, list_avg(t[n - w + 1:n]) AS yhat FROM c, unnest(range(1, 4)) u(k), unnest([2, 3, 6]) q(w)) SELECT '{\"window\": ' || w || '}' AS params, " + r("avg(abs(y - yhat))", "score", 5) + ", count(*) AS n_points FROM v GROUP BY w", 5,
