@@ -241,3 +241,22 @@ def test_cutoffs_of_kernel_and_column_models_agree(panel):
 
         train = values[max(0, end - 4) : end]
         assert yhat == pytest.approx(np.polyval(np.polyfit(range(len(train)), train, 1), len(train) + step - 1))
+
+
+@pytest.mark.parametrize("policy", ["ffill", "interpolate"])
+@pytest.mark.parametrize("chunk", [3, 7, 1000])
+def test_filling_one_axis_in_chunks(spark, panel, policy, chunk):
+    rng = __import__("random").Random(chunk)
+    values = [None if rng.random() < 0.5 else float(i * i % 17) for i in range(60)]
+    other = [None] * 25 + [1.0] + [None] * 34
+    df = panel({"": [1.0] * 60}).withColumn("_k", F.row_number().over(__import__("pyspark").sql.Window.partitionBy("unique_id").orderBy("ds")))
+    pairs = spark.createDataFrame([(i + 1, a, b) for i, (a, b) in enumerate(zip(values, other, strict=True))], "_k int, a double, b double")
+    df = df.join(pairs, "_k").drop("_k", "y")
+    found = prepare.fill_axis(df, ["a", "b"], policy, chunk).orderBy("ds").collect()
+    assert found == prepare.fill_missing(df, ["a", "b"], policy).orderBy("ds").select(found[0].__fields__).collect()
+
+
+def test_sorted_frames(spark, panel):
+    df = panel({"a": [1.0, 2, 3], "b": [1.0, 2]})
+    assert frames.is_sorted(df.orderBy("unique_id", "ds")) and frames.is_sorted(df.limit(0))
+    assert not frames.is_sorted(df.orderBy("unique_id", F.desc("ds"))) and not frames.is_sorted(df.orderBy(F.desc("unique_id"), "ds"))

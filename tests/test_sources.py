@@ -104,3 +104,26 @@ def test_windowed_totals_batch(spark, data):
     events = spark.read.parquet(f"{data}/events.parquet")
     out = streaming.windowed_totals(events, "event_type")
     assert out.agg(F.round(F.sum("y"), 3)).first()[0] == events.agg(F.round(F.sum("value"), 3)).first()[0]
+
+
+def test_kept_datasets(spark, tmp_path):
+    (tmp_path / "catfish.csv").write_text("Date,Total\n1986-1-01,1034\n")
+    one = datasets.kept_long(spark, "catfish", str(tmp_path))
+    assert one is datasets.kept_long(spark, "catfish", str(tmp_path)) and one.is_cached and one.count() == 1
+    assert datasets.kept_dataset(spark, "catfish", str(tmp_path)) is not one
+    assert datasets.release("catfish") == 2 and datasets.release() == 0 and not one.is_cached
+
+
+def test_models_by_what_they_can(spark):
+    from tidewise.models import registry
+
+    assert [r["key"] for r in registry.filter_models(spark, supports_x_cols=True, interface="local").collect()] == ["xreg"]
+    assert {r["tier"] for r in registry.filter_models(spark, "ridge", where="tier <> 'panel'").collect()} == {"kernel"}
+    with pytest.raises(KeyError):
+        registry.filter_models(spark, colour="red")
+
+
+def test_series_for_memory_are_bounded(panel, monkeypatch):
+    monkeypatch.setattr(adapters, "MOST_VALUES", 2)
+    with pytest.raises(ValueError):
+        adapters.to_series(panel({"a": [1.0, 2, 3]}), ["a"])

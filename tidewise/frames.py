@@ -5,10 +5,11 @@ Checks are aggregate queries, so they move a few numbers to the driver and no ro
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -162,6 +163,27 @@ def sorted_long(df: DataFrame) -> DataFrame:
     return df.orderBy(*KEYS)
 
 
+def is_sorted(df: DataFrame) -> bool:
+    """Whether rows come by series and time, in the order of their partitions; tasks bring their first and last keys and no rows."""
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        first = last = None
+        good = True
+        for batch in batches:
+            for key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                good &= last is None or last <= key
+                first, last = first or key, key
+        if first is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (TaskContext.get().partitionId(), first[0], str(first[1]), last[0], str(last[1]), good)], names=["part", "id", "at", "last_id", "last_at", "good"])
+
+    keys = df.select(F.coalesce(F.col("unique_id").cast("string"), F.lit("")), F.coalesce(F.unix_micros(F.col("ds").cast("timestamp")), F.lit(0)))
+    parts = keys.mapInArrow(ends, "part long, id string, at string, last_id string, last_at string, good boolean").orderBy("part").collect()
+    across = ((a["last_id"], int(a["last_at"])) <= (b["id"], int(b["at"])) for a, b in zip(parts, parts[1:], strict=False))
+    return all(r["good"] for r in parts) and all(across)
+
+
 #: Series that a wide table may have as columns when they are looked up; Spark's own limit for pivots.
 MOST_COLUMNS = 10_000
 

@@ -123,8 +123,22 @@ def list_models(prefix: str = "", interface: str | None = None, tier: str | None
 
 def models_frame(spark: SparkSession) -> DataFrame:
     """The registry as a table, to filter and sort."""
-    rows = [(s.key, s.tier, s.interface, s.stability, ",".join(s.requires), s.description, ",".join(sorted(s.defaults))) for s in MODELS.values()]
-    return spark.createDataFrame(rows, "key string, tier string, interface string, stability string, requires string, description string, params string")
+    can = ("available", "supports_x_cols", "supports_intervals", "supports_panel", "multivariate")
+    rows = [(s.key, s.tier, s.interface, s.stability, ",".join(s.requires), s.description, ",".join(sorted(s.defaults)), *(bool(s.capabilities[c]) for c in can)) for s in MODELS.values()]
+    return spark.createDataFrame(rows, "key string, tier string, interface string, stability string, requires string, description string, params string, " + ", ".join(f"{c} boolean" for c in can))
+
+
+def filter_models(spark: SparkSession, prefix: str = "", where: str | None = None, **equal: Any) -> DataFrame:
+    """The registry's rows whose columns equal what is given (`supports_x_cols=True, interface="global"`) and that a predicate keeps."""
+    from pyspark.sql import functions as F
+
+    out = models_frame(spark)
+    if unknown := set(equal) - set(out.columns):
+        raise KeyError(f"no columns {sorted(unknown)}; there are {out.columns}")
+    for column, value in equal.items():
+        out = out.where(F.col(column) == F.lit(value))
+    out = out.where(F.col("key").startswith(prefix))
+    return (out.where(where) if where else out).orderBy("key")
 
 
 def validate_registry(df: DataFrame, horizon: int = 2, keys: list[str] | None = None, params: dict[str, dict[str, Any]] | None = None) -> DataFrame:

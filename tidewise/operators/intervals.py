@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from typing import Any
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -82,43 +80,42 @@ def quantiles_to_intervals(df: DataFrame, levels: Sequence[float]) -> DataFrame:
     return df.withColumns(ends)
 
 
-def bootstrap_paths(y: np.ndarray, point: np.ndarray, residuals: np.ndarray, samples: int, quantiles: Sequence[float], rng: np.random.Generator) -> np.ndarray:
-    """quantiles x horizon: each step's forecast plus residuals drawn with replacement."""
-    draws = rng.choice(residuals, size=(samples, len(point)), replace=True)
-    return np.quantile(point + draws, quantiles, axis=0)
+def draws(seed: int, name: Column, step: Column, samples: int, n: Column) -> Column:
+    """`samples` places below n, by a hash of the seed, the series, the step and the draw: the same wherever and however often they are drawn."""
+    text = lambda i: F.concat_ws("|", F.lit(str(seed)), name, step.cast("string"), i.cast("string"))
+    return F.transform(F.sequence(F.lit(1), F.lit(samples)), lambda i: F.pmod(F.conv(F.substring(F.md5(text(i)), 1, 12), 16, 10).cast("long"), n).cast("int"))
+
+
+def quantile_of(ordered: Column, q: float) -> Column:
+    """A quantile of a sorted array, between the ranks around it."""
+    at = (F.size(ordered) - 1) * F.lit(float(q))
+    lo = F.get(ordered, F.floor(at).cast("int"))
+    return lo + (F.get(ordered, F.ceil(at).cast("int")) - lo) * (at - F.floor(at))
 
 
 def bootstrap_radii(found: DataFrame, model: str, horizon: int, levels: Sequence[float], params: dict[str, Any] | None, samples: int, seed: int, min_train_size: int | None) -> DataFrame:
     """Add arrays `yhat_lo_P, yhat_hi_P` to rows of series with `y` and `yhat`, from one-step residuals of a walk through each.
 
-    The generator's seed joins `seed` and the series' name, so a series' draws depend on nothing else.
+    Residuals are drawn with replacement for each step by a hash of `seed`, the series' name, the step and the draw.
     """
+    from tidewise.models.expressions import let
     from tidewise.operators.backtest import rolled
 
     least = F.greatest(F.least(F.lit(min_train_size or 24), F.size("y") - 1), F.lit(1))
     ends = F.when(F.size("y") > 1, F.sequence(least, F.size("y") - 1)).otherwise(F.array().cast("array<int>"))
     off = F.transform("_ends", lambda e, k: F.get("y", e) - F.get(F.get("_yhats", k), F.lit(0)))
     rows = rolled(found.withColumn("_ends", ends), model, 1, params).withColumn("_r", F.filter(off, lambda x: x.isNotNull())).drop("_ends", "_yhats")
-    ends = [(lv, f"yhat_lo_{_percent(lv)}", f"yhat_hi_{_percent(lv)}") for lv in levels]
-    fields, names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema), found.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
-
-        for batch in batches:
-            get = lambda c: batch.column(batch.schema.get_field_index(c)).to_pylist()  # noqa: B023, E731
-            out: dict[str, list] = {c: [] for e in ends for c in e[1:]}
-            for name, y, point, r in zip(get("unique_id"), get("y"), get("yhat"), get("_r"), strict=True):
-                ok = point is not None and r
-                rng = np.random.default_rng([seed, zlib.crc32(str(name).encode())])
-                for lv, lo, hi in ends:
-                    q = bootstrap_paths(np.array(y), np.array(point), np.array(r), samples, [(1 - lv) / 2, (1 + lv) / 2], rng) if ok else (None, None)
-                    out[lo].append(None if q[0] is None else q[0].tolist())
-                    out[hi].append(None if q[1] is None else q[1].tolist())
-            kept = [batch.column(batch.schema.get_field_index(c)) for c in names]
-            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(v, pa.list_(pa.float64())) for v in out.values())], names=[*names, *out])
-
-    return rows.mapInArrow(run, fields + "".join(f", {c} array<double>" for e in ends for c in e[1:]))
+    tails = [q for lv in levels for q in ((1 - lv) / 2, (1 + lv) / 2)]
+
+    def step(k: Column) -> Column:
+        drawn = F.sort_array(F.transform(draws(seed, F.col("unique_id").cast("string"), k, samples, F.size("_r")), lambda i: F.get("_r", i)))
+        return let(drawn, lambda d: F.array(*(quantile_of(d, q) for q in tails)))
+
+    # One array of quantiles for each step, drawn once for all levels.
+    rows = rows.withColumn("_q", F.when(F.col("yhat").isNotNull() & (F.size("_r") > 0), F.transform(F.sequence(F.lit(1), F.lit(horizon)), step)))
+    end = lambda j: F.zip_with("yhat", "_q", lambda v, q: v + F.get(q, F.lit(j)))
+    names = [n for lv in levels for n in (f"yhat_lo_{_percent(lv)}", f"yhat_hi_{_percent(lv)}")]
+    return rows.select(*found.columns, *(F.when(F.col("_q").isNotNull(), end(j)).alias(n) for j, n in enumerate(names)))
 
 
 def higher_quantile(errors: Sequence[float], level: float) -> float:

@@ -106,11 +106,43 @@ def prepare_long(df: DataFrame, freq: str, y_missing: str = "error", x_missing:
 def prepare_wide(df: DataFrame, freq: str, target_cols: Sequence[str], ds_col: str = "ds", missing: str = "error", check: bool = True) -> DataFrame:
     """The same for a table with one time axis and a column for each series."""
     one = df.withColumn("unique_id", F.lit("")).withColumnRenamed(ds_col, "ds")
-    out = fill_missing(regular_grid(one, freq).join(one, ["unique_id", "ds"], "left"), target_cols, missing)
+    grid = regular_grid(one, freq).join(one, ["unique_id", "ds"], "left")
+    out = fill_axis(grid, target_cols, missing) if missing in ("ffill", "interpolate") else fill_missing(grid, target_cols, missing)
     out = require_filled(out, target_cols) if check else out
     return out.drop("unique_id").withColumnRenamed("ds", ds_col)
 
 
+def fill_axis(df: DataFrame, columns: Sequence[str], policy: str, chunk: int = 65_536) -> DataFrame:
+    """`fill_missing` by ffill or interpolate for one long time axis: no window is over all of it.
+
+    Windows run within chunks of time; what a chunk begins or ends with, and how many rows it has, is a small table whose running
+    values tell each chunk the last known value before it and the first one after it.
+    """
+    from tidewise.operators.scan import chunked
+
+    rows, _, _ = chunked(df, chunk)
+    w = Window.partitionBy("unique_id", "_chunk").orderBy("ds")
+    rows = rows.withColumn("_i", F.row_number().over(w).cast("long"))
+    seen = lambda c: F.when(F.col(c).isNotNull(), F.struct("_i", F.col(c).alias("v")))
+    parts = rows.groupBy("unique_id", "_chunk").agg(F.count("*").alias("_n"), *(x for k, c in enumerate(columns) for x in (F.min(seen(c)).alias(f"_f{k}"), F.max(seen(c)).alias(f"_l{k}"))))
+    own = Window.partitionBy("unique_id").orderBy("_chunk")
+    earlier, later = own.rowsBetween(Window.unboundedPreceding, -1), own.rowsBetween(1, Window.unboundedFollowing)
+    parts = parts.withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    placed = lambda name: F.when(F.col(name).isNotNull(), F.struct((F.col("_offset") + F.col(f"{name}._i")).alias("_i"), F.col(f"{name}.v").alias("v")))
+    parts = parts.withColumns({n: placed(n) for k in range(len(columns)) for n in (f"_f{k}", f"_l{k}")})
+    parts = parts.withColumns({f"_b{k}": F.last(f"_l{k}", True).over(earlier) for k in range(len(columns))} | {f"_a{k}": F.first(f"_f{k}", True).over(later) for k in range(len(columns))})
+    rows = rows.join(parts.select("unique_id", "_chunk", "_offset", *(f"_{e}{k}" for k in range(len(columns)) for e in "ab")), ["unique_id", "_chunk"])
+    at = F.col("_offset") + F.col("_i")
+    before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    filled = {}
+    for k, c in enumerate(columns):
+        here = F.when(F.col(c).isNotNull(), F.struct(at.alias("_i"), F.col(c).alias("v")))
+        lo, hi = F.coalesce(F.last(here, True).over(before), F.col(f"_b{k}")), F.coalesce(F.first(here, True).over(after), F.col(f"_a{k}"))
+        between = F.when(lo["_i"] == hi["_i"], lo["v"]).otherwise(lo["v"] + (hi["v"] - lo["v"]) * (at - lo["_i"]) / (hi["_i"] - lo["_i"]))
+        filled[c] = lo["v"] if policy == "ffill" else F.coalesce(between, lo["v"], hi["v"])
+    return rows.select(*(filled[c].alias(c) if c in filled else F.col(c) for c in df.columns))
+
+
 def align_long(df: DataFrame, freq: str, agg: str = "last", columns: Sequence[str] = ("y",)) -> DataFrame:
     """Gather rows by period; periods without a row become null, for sums 0. First and last skip nulls, ties go by value."""
     if agg not in AGGREGATES:

@@ -562,7 +562,12 @@ panel_query(
     f"{_SEASON7}, {_RADII}, w AS (SELECT step, y, yhat - r80 AS lo, yhat + r80 AS hi FROM v JOIN q USING (step)) SELECT step, count(*) AS n_points, {r('avg(CASE WHEN y BETWEEN lo AND hi THEN 1.0::DOUBLE ELSE 0 END)', 'coverage_80', 4)}, {r('avg(hi - lo)', 'mean_width_80', 4)}, "
     f"{r('avg((hi - lo) + 2 / (1 - 0.8::DOUBLE) * greatest(lo - y, 0) + 2 / (1 - 0.8::DOUBLE) * greatest(y - hi, 0))', 'interval_score_80', 4)}, {r('avg(CASE WHEN y BETWEEN lo AND hi THEN 1.0::DOUBLE ELSE 0 END) - 0.8::DOUBLE', 'calibration_gap_80', 4)} FROM w GROUP BY GROUPING SETS ((), (step))", 4,
 )
-panel_query("bootstrap_intervals", "events_daily", lambda p: backtest.forecast(p, "naive-last", 3, levels=(0.8,)), None)
+_DRAWN = "list_sort(list_transform(range(1, 1001), lambda i: rs[(('0x' || left(md5('0|' || unique_id || '|' || k || '|' || i), 12))::BIGINT % len(rs)) + 1]))"
+panel_query(
+    "bootstrap_intervals", "events_daily", lambda p: backtest.forecast(p, "naive-last", 3, levels=(0.8,)).drop("cutoff", "ds"),
+    f", s AS (SELECT unique_id, list(y ORDER BY ds) AS t, count(*) AS n FROM p GROUP BY unique_id), f AS (SELECT unique_id, t[n] AS yhat, list_transform(range(greatest(least(24, n - 1), 1), n), lambda e: t[e + 1] - t[e]) AS rs FROM s), d AS (SELECT unique_id, yhat, k, {_DRAWN} AS d FROM f, unnest(range(1, 4)) u(k)) "
+    f"SELECT unique_id, k::INTEGER AS step, {r('yhat', 'yhat', 4)}, {r('yhat + list_aggregate(d, $$quantile_cont$$, 0.1)', 'yhat_lo_80', 4)}, {r('yhat + list_aggregate(d, $$quantile_cont$$, 0.9)', 'yhat_hi_80', 4)}, 'naive-last' AS model FROM d", 4,
+)
 
 # Back-tests by a scan of affine maps, and by recursive least squares with covariates.
 _SEEN = f"unique_id, d[n + k] AS ds, d[n] AS cutoff, k::INTEGER AS step, {r('a[n + k]', 'y', 5)}"

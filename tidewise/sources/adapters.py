@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from tidewise.frames import CovariateSpec
 from tidewise.operators.prepare import FREQUENCIES, infer_frequency
 
+#: Values that `to_series` may bring to the driver.
+MOST_VALUES = 5_000_000
+
 
 def to_bundle(df: DataFrame, roles: CovariateSpec | None = None) -> DataFrame:
     """`item_id, start, freq, target`, and arrays of arrays for past and future covariates, an array for static ones.
@@ -48,6 +51,8 @@ def from_bundle(bundle: DataFrame, freq: str, roles: CovariateSpec | None = None
 
 
 def to_series(df: DataFrame, ids: Sequence[str]):  # noqa: ANN201
-    """Named series as pandas Series by id, for libraries that hold one series in memory; only these are collected."""
-    found = df.where(F.col("unique_id").isin(list(ids))).select("unique_id", "ds", "y").toPandas()
+    """Named series as pandas Series by id, for libraries that hold one series in memory; more than `MOST_VALUES` values raise."""
+    found = df.where(F.col("unique_id").isin(list(ids))).select("unique_id", "ds", "y").limit(MOST_VALUES + 1).toPandas()
+    if len(found) > MOST_VALUES:
+        raise ValueError(f"more than {MOST_VALUES} values; name fewer series")
     return {i: g.sort_values("ds").set_index("ds")["y"] for i, g in found.groupby("unique_id")}

@@ -104,3 +104,30 @@ def load_long(spark: SparkSession, key: str, data_dir: str | None = None, y_col:
     """A dataset as a panel. Keep it with `persist()` where several operators read it."""
     spec = get_dataset_spec(key)
     return to_long(load_dataset(spark, key, None, data_dir), spec.time_col, y_col or spec.y_col, spec.id_cols, x_cols)
+
+
+_KEPT: dict[tuple, DataFrame] = {}
+
+
+def _kept(key: tuple, make) -> DataFrame:  # noqa: ANN001
+    if key not in _KEPT:
+        _KEPT[key] = make().persist()
+    return _KEPT[key]
+
+
+def kept_dataset(spark: SparkSession, key: str, data_dir: str | None = None) -> DataFrame:
+    """`load_dataset`, persisted by Spark and the same frame for the same arguments until it is released."""
+    return _kept((spark.sparkContext.applicationId, "frame", key, data_dir), lambda: load_dataset(spark, key, None, data_dir))
+
+
+def kept_long(spark: SparkSession, key: str, data_dir: str | None = None, y_col: str | None = None, x_cols: Sequence[str] = ()) -> DataFrame:
+    """`load_long`, kept likewise."""
+    return _kept((spark.sparkContext.applicationId, "long", key, data_dir, y_col, tuple(x_cols)), lambda: load_long(spark, key, data_dir, y_col, x_cols))
+
+
+def release(key: str | None = None) -> int:
+    """Drop what is kept of a dataset, or all; how many frames that were."""
+    gone = [k for k in _KEPT if key is None or k[2] == key]
+    for k in gone:
+        _KEPT.pop(k).unpersist()
+    return len(gone)
