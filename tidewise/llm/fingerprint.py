@@ -15,8 +15,9 @@ from pyspark.sql.window import Window
 from tidewise.llm.common import partitions, words
 
 K, PICK, SKETCHES = 2, 2, 48
-#: Low bits that hold a k-mer's place; the hash takes the rest. Places of texts of more than 16 million words begin again from 0.
-PLACE_BITS = 24
+#: Low bits that hold a k-mer's place; the hash takes the other 35. An array of longs in a row has fewer than 2^28 items, so no text
+#: that a row can hold has a place beyond them.
+PLACE_BITS = 28
 PLACE = (1 << PLACE_BITS) - 1
 HASH = ((1 << 63) - 1) ^ PLACE
 #: Buckets of neighbouring ids for each shuffle partition.
