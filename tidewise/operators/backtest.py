@@ -261,20 +261,6 @@ def forecast(df: DataFrame, model: str, horizon: int, params: dict[str, Any] | N
 
 def multivariate_cross_validation(df: DataFrame, targets: list[str], horizon: int, step_size: int = 1, min_train_size: int = 10, model: str = "var", params: dict[str, Any] | None = None, max_train_size: int | None = None, max_windows: int | None = None) -> DataFrame:
     """Walk-forward of a wide table with one time axis: `target, ds, cutoff, step, y, yhat`; the first `max_windows` cutoffs."""
-    spec = require(get_spec(model))
-    if spec.interface != "multivariate" or len(targets) < 2:
-        raise ValueError("needs a multivariate model and at least two targets")
-    p = spec.parameters(params)
-
-    def run(pdf):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        pdf = pdf.sort_values("ds")
-        y, out = pdf[targets].to_numpy(float), []
-        for a, b, _, end in rolling_origin_splits(len(y), horizon, step_size, min_train_size, max_train_size, max_windows, "first"):
-            found = spec.run(y[a:b], horizon, **p)
-            out += [(t, pdf["ds"].iloc[b + k], pdf["ds"].iloc[b - 1], k + 1, y[b + k, j], found[k, j]) for j, t in enumerate(targets) for k in range(end - b)]
-        return pd.DataFrame(out, columns=["target", "ds", "cutoff", "step", "y", "yhat"])
+    from tidewise.operators.multivariate import var_cross_validation
 
-    kind = dict(df.dtypes)["ds"]
-    return df.select("ds", *(F.col(f"`{t}`") for t in targets)).groupBy().applyInPandas(run, f"target string, ds {kind}, cutoff {kind}, step int, y double, yhat double").withColumn("model", F.lit(model))
+    return var_cross_validation(df, targets, horizon, step_size, min_train_size, model, params, max_train_size, max_windows)
