@@ -251,3 +251,27 @@ def test_splits_of_all_columns_against_one_by_one():
         m = x[:, j] <= c
         assert float(((y[m] - y[m].mean()) ** 2).sum() + ((y[~m] - y[~m].mean()) ** 2).sum()) == pytest.approx(best[0])
     assert regressors._split(np.ones((5, 2)), np.arange(5.0), np.arange(2), 1, None) is None
+
+
+@pytest.mark.parametrize("agg", ["mean", "median"])
+def test_ensembles_of_columns_and_kernels(spark, panel, agg):
+    """Members run each in its own way; the season of a column member is its own default."""
+    df = panel({"a": [float(i % 12 + i) for i in range(40)], "b": [float(i * i % 19) for i in range(40)]})
+    members = ("naive-last", "ar-ols", "theta")
+    found = {(r["unique_id"], r["step"]): r["yhat"] for r in backtest.forecast(df, f"ensemble-{agg}", 3, {"members": members}).collect()}
+    alone = [{(r["unique_id"], r["step"]): r["yhat"] for r in backtest.forecast(df, m, 3).collect()} for m in members]
+    centre = np.mean if agg == "mean" else np.median
+    assert found == pytest.approx({k: centre([a[k] for a in alone]) for k in found}) and len(found) == 6
+    tests = {(r["unique_id"], r["cutoff"], r["step"]): r["yhat"] for r in backtest.cross_validation(df, f"ensemble-{agg}", 2, 10, 20, {"members": members}).collect()}
+    parts = [{(r["unique_id"], r["cutoff"], r["step"]): r["yhat"] for r in backtest.cross_validation(df, m, 2, 10, 20).collect()} for m in members]
+    assert tests == pytest.approx({k: centre([p[k] for p in parts]) for k in tests}) and len(tests) == 8
+
+
+def test_kernels_refuse_what_is_out_of_range():
+    from tidewise.models import kernels as kn
+
+    y = np.arange(30.0)
+    for run in (lambda: kn.ssa(y, 2, window_length=30), lambda: kn.ssa(y, 2, window_length=1), lambda: kn.ssa(y, 2, rank=0), lambda: kn.analog_knn(y, 2, k=0), lambda: kn.kalman_trend(y, 2, obs_variance=0.0)):
+        with pytest.raises(ValueError):
+            run()
+    assert registry.get_spec("arima").stability == registry.get_spec("ets").stability == "stand-in"

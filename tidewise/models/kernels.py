@@ -210,7 +210,9 @@ def fft(y, h, top_k=3, include_trend=True):  # noqa: ANN001, ANN201
 def ssa(y, h, window_length=24, rank=5):  # noqa: ANN001, ANN201
     """Rank-limited reconstruction of the trajectory matrix, continued by its linear recurrence."""
     y = _enough(y, 3)
-    size = min(max(2, window_length), len(y) - 1)
+    if not 2 <= window_length < len(y) or rank < 1:
+        raise ValueError("window_length must lie between 2 and the values less one, and rank be at least 1")
+    size = window_length
     paths = np.lib.stride_tricks.sliding_window_view(y, size).T
     u, s, vt = np.linalg.svd(paths, full_matrices=False)
     u, core = u[:, :rank], (u[:, :rank] * s[:rank]) @ vt[:rank]
@@ -230,8 +232,8 @@ def ssa(y, h, window_length=24, rank=5):  # noqa: ANN001, ANN201
 def analog_knn(y, h, lags=12, k=5, normalize=True, weights="uniform"):  # noqa: ANN001, ANN201
     """Each step follows the k past windows most like the latest one."""
     y = _enough(y, lags + 1)
-    if weights not in ("uniform", "distance"):
-        raise ValueError("weights must be uniform or distance")
+    if weights not in ("uniform", "distance") or min(lags, k) < 1:
+        raise ValueError("weights must be uniform or distance, lags and k at least 1")
     scale = lambda w: (w - w.mean(-1, keepdims=True)) / (w.std(-1, keepdims=True) + 1e-8) if normalize else w
     bank, after = scale(np.lib.stride_tricks.sliding_window_view(y, lags)[:-1]), y[lags:]
     past = list(y)
@@ -249,6 +251,8 @@ def analog_knn(y, h, lags=12, k=5, normalize=True, weights="uniform"):  # noqa:
 def kalman_trend(y, h, level_variance=None, trend_variance=None, obs_variance=None):  # noqa: ANN001, ANN201
     """Local linear trend by a Kalman filter with a diffuse start."""
     y = _enough(y, 2)
+    if any(v is not None and v <= 0 for v in (level_variance, trend_variance, obs_variance)):
+        raise ValueError("variances must be positive")
     base = float(np.var(np.diff(y))) or 1e-6
     q = np.diag([base * 0.01 if level_variance is None else level_variance, base * 0.001 if trend_variance is None else trend_variance])
     r = base * 0.1 if obs_variance is None else obs_variance

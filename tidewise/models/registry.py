@@ -9,7 +9,7 @@ from __future__ import annotations
 import importlib.util
 import re
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,9 +51,9 @@ class ModelSpec:
 MODELS: dict[str, ModelSpec] = {}
 
 
-def _add(tier: str, key: str, run: Callable[..., Any] | None, interface: str = "local", **defaults: Any) -> None:
+def _add(tier: str, key: str, run: Callable[..., Any] | None, interface: str = "local", stability: str = "stable", **defaults: Any) -> None:
     doc = (run.__doc__ or key).strip().split("\n")[0] if run else key
-    MODELS[key] = ModelSpec(key, tier, run, defaults, interface, description=doc)
+    MODELS[key] = ModelSpec(key, tier, run, defaults, interface, description=doc, stability=stability)
 
 
 for _key, _run, _defaults in (
@@ -82,8 +82,10 @@ for _kind, _multiplicative in (("add", False), ("mul", True)):
     _add("kernel", f"holt-winters-{_kind}-auto", _hw, season_length=12, grid_size=7)
 for _name, _make, _lags, _own in rg.LOCAL:
     _add("kernel", _name, rg.lag_forecaster(_make, "direct" if _name.endswith("-direct") else "recursive", tuple(_own)), lags=_lags, roll_windows=(), roll_stats=(), diff_lags=(), seasonal_lags=(), **_own)
+# Fits by least squares in place of maximum likelihood: parameters that only a likelihood fit has are taken and have no effect.
 for _name, _run, _own in sn.MODELS:
-    _add("kernel", _name, _run, **_own)
+    _add("kernel", _name, _run, stability="stand-in", **_own)
+MODELS["ets"] = replace(MODELS["ets"], stability="stand-in")
 _add("kernel", "var", kn.var, "multivariate", maxlags=1, trend="c")
 for _name, _own in rg.PANEL.items():
     MODELS[_name] = ModelSpec(_name, "panel", None, {"lags": 48, "add_time_features": True, "id_feature": "ordinal", "step_scale": "one_based", "sample_step": 1, "x_cols": (), "historic_x_lags": (), "future_x_lags": (0,), **_own}, "global", description=f"{_name}: one model for all series, by Spark's ML library")

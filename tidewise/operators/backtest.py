@@ -90,17 +90,7 @@ def kernel_forecast(model: str, params: dict[str, Any] | None = None) -> Callabl
         from tidewise.functions.transforms import kernel_pipeline
 
         return kernel_pipeline(p["base"], p["transforms"])
-    if spec.tier == "column":
-        return _column_kernel(model)
-    raise ValueError(f"{model} runs on panels, not on one series")
-
-
-def _column_kernel(model: str) -> Callable[[np.ndarray, int], np.ndarray]:
-    """The few column models that members and pipelines may need inside Python."""
-    simple = {"naive-last": lambda y, h: np.full(h, y[-1]), "mean": lambda y, h: np.full(h, y.mean()), "median": lambda y, h: np.full(h, np.median(y)), "drift": lambda y, h: y[-1] + np.arange(1, h + 1) * (y[-1] - y[0]) / (len(y) - 1), "seasonal-naive": lambda y, h: y[-12:][np.arange(h) % 12]}
-    if model not in simple:
-        raise ValueError(f"{model} is a column model; combine it with others of its kind")
-    return simple[model]
+    raise ValueError(f"{model} is no function of one series' values")
 
 
 def _kernel_rows(df: DataFrame, model: str, horizon: int, params: dict[str, Any] | None) -> DataFrame:
@@ -126,7 +116,27 @@ def _kernel_rows(df: DataFrame, model: str, horizon: int, params: dict[str, Any]
     return df.mapInArrow(forecast, f"{fields}, yhat array<double>, error string")
 
 
+def _members(model: str, params: dict[str, Any] | None) -> tuple[str, ...] | None:
+    """The members of an ensemble of column and kernel models, which run each in its own way; None for anything else."""
+    if not model.startswith("ensemble-"):
+        return None
+    members = get_spec(model).parameters(params)["members"]
+    tiers = {"column" if column_forecast(m, F.col("y"), 1) is not None else "kernel" for m in members}
+    return tuple(members) if len(tiers) == 2 else None
+
+
+def _together(members: list[Column], horizon: int, model: str, params: dict[str, Any] | None) -> Column:
+    p = get_spec(model).parameters(params)
+    return ex.combined(members, horizon, model.removeprefix("ensemble-"), p.get("weights"))
+
+
 def _forecasts(rows: DataFrame, model: str, horizon: int, params: dict[str, Any] | None) -> DataFrame:
+    if members := _members(model, params):
+        for i, m in enumerate(members):
+            rows = _forecasts(rows, m, horizon, None).withColumnsRenamed({"yhat": f"_yhat{i}", "error": f"_error{i}"})
+        names = [f"_{c}{i}" for i in range(len(members)) for c in ("yhat", "error")]
+        both = rows.withColumn("yhat", _together([F.col(f"_yhat{i}") for i in range(len(members))], horizon, model, params))
+        return both.withColumn("error", F.coalesce(*(F.col(f"_error{i}") for i in range(len(members))))).drop(*names)
     column = column_forecast(model, F.col("_train"), horizon, params)
     if column is None:
         return _kernel_rows(rows, model, horizon, params)
@@ -136,6 +146,11 @@ def _forecasts(rows: DataFrame, model: str, horizon: int, params: dict[str, Any]
 
 def rolled(rows: DataFrame, model: str, horizon: int, params: dict[str, Any] | None = None, max_train_size: int | None = None) -> DataFrame:
     """Add `_yhats` to rows of (y, _ends): for each end of a training set an array of forecasts, null where the model refuses."""
+    if members := _members(model, params):
+        for i, m in enumerate(members):
+            rows = rolled(rows, m, horizon, None, max_train_size).withColumnRenamed("_yhats", f"_m{i}")
+        both = F.transform("_ends", lambda _, k: _together([F.get(f"_m{i}", k) for i in range(len(members))], horizon, model, params))
+        return rows.withColumn("_yhats", both).drop(*(f"_m{i}" for i in range(len(members))))
     most = max_train_size or (1 << 31) - 1
 
     def cut(end: Column) -> Column:
