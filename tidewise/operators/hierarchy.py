@@ -13,6 +13,8 @@ from pyspark.sql.window import Window
 from tidewise.functions import metrics as mt
 from tidewise.storage import cut
 
+#: How far sums of the same numbers in different orders may be apart, as a part of the sum of their sizes.
+ROUNDING = 1e-12
 AGGREGATES = {"sum": lambda c: F.coalesce(F.sum(c), F.lit(0.0)), "mean": F.avg, "min": F.min, "max": F.max}
 
 
@@ -110,17 +112,21 @@ def reconcile(forecasts: DataFrame, edges: DataFrame, method: str, history: Data
     return out
 
 
-def check_consistency(forecasts: DataFrame, edges: DataFrame, value: str = "yhat", atol: float = 1e-8) -> DataFrame:
-    """`unique_id, child, ds, reason, parent_value, children_sum, diff`: missing nodes, and times where the sum is off."""
+def check_consistency(forecasts: DataFrame, edges: DataFrame, value: str = "yhat", atol: float = 1e-8, rtol: float = 0.0) -> DataFrame:
+    """`unique_id, child, ds, reason, parent_value, children_sum, diff`: missing nodes, and times where the sum is off.
+
+    A sum is off if it differs by more than `atol` plus `rtol` times the sum of the children's sizes; sums over tasks have no fixed
+    order, so that large values that do agree differ in their last digits.
+    """
     present = forecasts.select("unique_id").distinct()
     edges = edges.select("parent", "child").distinct()
     no_parent = edges.select(F.col("parent").alias("unique_id")).distinct().join(present, "unique_id", "left_anti").select("unique_id", F.lit(None).cast("string").alias("child"), F.lit("missing_parent").alias("reason"))
     known = edges.join(present.withColumnRenamed("unique_id", "parent"), "parent", "left_semi")
     no_child = known.join(present.withColumnRenamed("unique_id", "child"), "child", "left_anti").select(F.col("parent").alias("unique_id"), "child", F.lit("missing_child").alias("reason"))
     whole = known.join(no_child.select(F.col("unique_id").alias("parent")).distinct(), "parent", "left_anti")
-    sums = whole.join(forecasts.select(F.col("unique_id").alias("child"), "ds", F.col(value).alias("v")), "child").groupBy(F.col("parent").alias("unique_id"), "ds").agg(F.sum("v").alias("children_sum"))
+    sums = whole.join(forecasts.select(F.col("unique_id").alias("child"), "ds", F.col(value).alias("v")), "child").groupBy(F.col("parent").alias("unique_id"), "ds").agg(F.sum("v").alias("children_sum"), F.sum(F.abs("v")).alias("_size"))
     off = forecasts.select("unique_id", "ds", F.col(value).alias("parent_value")).join(sums, ["unique_id", "ds"]).withColumn("diff", F.col("parent_value") - F.col("children_sum"))
-    off = off.where(F.abs("diff") > atol).withColumn("reason", F.lit("sum_mismatch"))
+    off = off.where(F.abs("diff") > F.lit(float(atol)) + rtol * F.col("_size")).withColumn("reason", F.lit("sum_mismatch"))
     return off.unionByName(no_parent.unionByName(no_child), allowMissingColumns=True).select("unique_id", "child", "ds", "reason", "parent_value", "children_sum", "diff")
 
 
@@ -136,7 +142,7 @@ def evaluate_hierarchy(forecasts: DataFrame, edges: DataFrame, method: str, hist
     else:
         sums = bottom_up(observed.withColumnRenamed("y", value), edges, value).withColumnRenamed(value, "_sum")
         known = sums.join(observed.select("unique_id", "ds", "y"), ["unique_id", "ds"], "full").select("unique_id", "ds", F.coalesce("y", "_sum").alias("y"))
-    off = check_consistency(found, edges, value).groupBy("unique_id").agg(F.count("*").alias("_off"))
+    off = check_consistency(found, edges, value, rtol=ROUNDING).groupBy("unique_id").agg(F.count("*").alias("_off"))
     rows = found.join(known, ["unique_id", "ds"], "left").join(levels(edges).withColumnRenamed("node", "unique_id"), "unique_id", "left")
     rows = rows.withColumn("level", F.coalesce("level", F.lit(-1).cast("long")))
     scored = rows.withColumn("yhat", F.col(value)).groupingSets([[], [F.col("level")]], F.col("level")).agg(
