@@ -22,7 +22,7 @@ def made(panel):
 OPTIONS = {"lags": 4, "add_time_features": False}
 
 
-@pytest.mark.parametrize(("kind", "own"), [("ridge", {}), ("lasso", {"alpha": 0.05}), ("elasticnet", {"alpha": 0.05, "l1_ratio": 0.3}), ("omp", {}), ("ard", {}), ("ridge", {"x_cols": ("p",), "historic_x_lags": (0, 2), "future_x_lags": (0,)}), ("ridge", {"sample_step": 3, "step_scale": "unit", "id_feature": "none"})])
+@pytest.mark.parametrize(("kind", "own"), [("ridge", {}), ("lasso", {"alpha": 0.05}), ("elasticnet", {"alpha": 0.05, "l1_ratio": 0.3}), ("omp", {}), ("ard", {}), ("ridge", {"x_cols": ("p",), "historic_x_lags": (0, 2), "future_x_lags": (0,)}), ("ridge", {"roll_windows": (3, 4), "roll_stats": ("std", "slope"), "diff_lags": (2,)}), ("ridge", {"sample_step": 3, "step_scale": "unit", "id_feature": "none"})])
 @pytest.mark.parametrize("most", [None, 20])
 def test_all_cutoffs_at_once(spark, made, kind, own, most):
     model, params = f"{kind}-step-lag-global", OPTIONS | own
@@ -33,6 +33,42 @@ def test_all_cutoffs_at_once(spark, made, kind, own, most):
         assert {(r["unique_id"], r["step"]): r["yhat"] for r in rows if r["cutoff"] == cutoff} == pytest.approx(one)
 
 
+STATS = {
+    "mean": np.mean, "std": np.std, "min": np.min, "max": np.max, "median": np.median, "iqr": lambda v: np.percentile(v, 75) - np.percentile(v, 25), "mad": lambda v: np.median(np.abs(v - np.median(v))),
+    "skew": lambda v: np.mean((v - v.mean()) ** 3) / v.std() ** 3 if v.std() else 0.0, "kurt": lambda v: np.mean((v - v.mean()) ** 4) / v.std() ** 4 - 3 if v.std() else 0.0, "slope": lambda v: np.polyfit(np.arange(len(v)), v, 1)[0],
+}
+
+
+@pytest.mark.parametrize("lags", [6, (1, 2, 3, 5, 9, 12)])
+def test_statistics_of_the_lag_vector(made, lags):
+    """Windows are counted in places of the lag vector, whose last entry is the origin's own value."""
+    own = {"lags": 48, "target_lags": lags, "add_time_features": False, "roll_windows": (2, 5), "roll_stats": tuple(STATS), "diff_lags": (1, 4)}
+    p = pm.get_spec("ridge-step-lag-global").parameters(own)
+    rows, features = pm.panel_rows(made, 1, p)
+    assert len(features) == 6 + 2 * len(STATS) + 2 + 2
+    series = {k: [r["y"] for r in made.where(F.col("unique_id") == k).orderBy("ds").collect()] for k in "abc"}
+    found = rows.collect()
+    assert found
+    for r in found:
+        vector = np.array([series[r["unique_id"]][r["origin"] - k] for k in pm.target_lags(p)])
+        for name, f in STATS.items():
+            for n in (2, 5):
+                assert r[f"roll_{name}_{n}"] == pytest.approx(f(vector[-n:]), abs=1e-9), name
+        assert r["diff_1"] == pytest.approx(vector[-1] - vector[-2]) and r["diff_4"] == pytest.approx(vector[-1] - vector[-5])
+
+
+def test_statistics_of_flat_missing_and_refused_vectors(spark):
+    from tidewise.functions.features import lag_vector_features
+
+    df = spark.createDataFrame([(2.0, 2.0, 2.0), (1.0, None, 3.0)], "a double, b double, c double")
+    found = df.select(*(c.alias(n) for n, c in lag_vector_features(["a", "b", "c"], (3,), tuple(STATS), (1,)).items())).collect()
+    assert [found[0][f"roll_{s}_3"] for s in ("std", "skew", "kurt", "iqr", "mad", "slope")] == pytest.approx([0.0] * 6)
+    assert all(v is None for v in found[1])
+    for bad in (((4,), ("mean",), ()), ((), (), (3,)), ((2,), ("mode",), ()), ((1,), ("slope",), ())):
+        with pytest.raises(ValueError):
+            lag_vector_features(["a", "b", "c"], *bad)
+
+
 def test_jobs_do_not_grow_with_cutoffs(spark, made):
     def jobs(step):
         spark.sparkContext.setJobGroup(f"cv{step}", "count")

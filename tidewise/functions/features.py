@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,3 +86,52 @@ def rolling_feature(column: str, stat: str, size: int, window: Window, index: st
 def derived_features(column: str, window: Window, sizes: Sequence[int] = (), stats: Sequence[str] = (), diffs: Sequence[int] = (), index: str | None = None) -> dict[str, Column]:
     out = {f"roll_{s}_{n}": rolling_feature(column, s, n, window, index) for n in sizes for s in stats}
     return out | {f"diff_{k}": F.lag(column, 1).over(window) - F.lag(column, 1 + k).over(window) for k in diffs}
+
+
+def _named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once, however often it is read."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _array_mean(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
+
+
+def _array_quantile(a: Column, size: int, p: float) -> Column:
+    """A quantile of an array of `size` values, linear between neighbours."""
+    at = p * (size - 1)
+    low, part = int(at), at - int(at)
+    pick = lambda s: F.get(s, F.lit(low)) if part == 0 else F.get(s, F.lit(low)) * (1 - part) + F.get(s, F.lit(low + 1)) * part
+    return _named(F.sort_array(a), pick)
+
+
+def array_statistic(a: Column, stat: str, size: int) -> Column:
+    """The statistics of `rolling_feature` for an array of `size` values in the order of time; null if one of them is."""
+    power = lambda m, k: _array_mean(F.transform(a, lambda x: F.pow(x - m, F.lit(float(k)))))
+    moment = lambda k: _named(_array_mean(a), lambda m: power(m, k))
+    standard = lambda k: _named(_array_mean(a), lambda m: _named(power(m, 2), lambda v: F.when(v > 0, power(m, k) / F.pow(v, F.lit(k / 2))).when(v.isNotNull(), 0.0 if k == 3 else 3.0)))
+    middle = (size - 1) / 2
+    weights = [(i - middle) / (sum((j - middle) ** 2 for j in range(size)) or 1.0) for i in range(size)]
+    found = {
+        "mean": lambda: _array_mean(a), "std": lambda: F.sqrt(moment(2)), "min": lambda: F.array_min(a), "max": lambda: F.array_max(a), "median": lambda: _array_quantile(a, size, 0.5),
+        "iqr": lambda: _array_quantile(a, size, 0.75) - _array_quantile(a, size, 0.25),
+        "mad": lambda: _named(_array_quantile(a, size, 0.5), lambda m: _array_quantile(F.transform(a, lambda x: F.abs(x - m)), size, 0.5)),
+        "skew": lambda: standard(3), "kurt": lambda: standard(4) - 3.0, "slope": lambda: F.aggregate(F.zip_with(a, F.array(*map(F.lit, weights)), lambda x, w: x * w), F.lit(0.0), lambda s, x: s + x),
+    }
+    if stat not in found:
+        raise ValueError(f"roll_stats must be among {ROLLING}")
+    return F.when(~F.exists(a, lambda x: x.isNull()), found[stat]())
+
+
+def lag_vector_features(lags: Sequence[str], sizes: Sequence[int] = (), stats: Sequence[str] = (), diffs: Sequence[int] = ()) -> dict[str, Column]:
+    """Statistics of the last entries of a vector of lag columns (the latest last), and the latest minus the one `k` entries before.
+
+    They read columns of the row alone, so nothing is sorted or shuffled for them. Lags with gaps count by their places in the vector.
+    """
+    if any(not 1 <= n <= len(lags) for n in sizes) or any(not 1 <= k < len(lags) for k in diffs):
+        raise ValueError(f"{len(lags)} lags hold no window of {list(sizes)} or difference of {list(diffs)}")
+    if any(s == "slope" and n < 2 for n in sizes for s in stats):
+        raise ValueError("a slope needs two values")
+    value = lambda i: F.col(lags[i]).cast("double")
+    out = {f"roll_{s}_{n}": array_statistic(F.array(*(value(i) for i in range(-n, 0))), s, n) for n in sizes for s in stats}
+    return out | {f"diff_{k}": value(-1) - value(-1 - k) for k in diffs}

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewise.frames import names
-from tidewise.functions.features import lag_steps
+from tidewise.functions.features import lag_steps, lag_vector_features
 from tidewise.models import adaboost, gram, neighbours, perceptron, support
 from tidewise.models.registry import get_spec
 from tidewise.operators import windows
@@ -70,21 +70,28 @@ def step_feature(step: Column, horizon: int, scale: str) -> Column:
     return scales[scale].cast("double")
 
 
+def target_lags(p: dict[str, Any]) -> tuple[int, ...]:
+    """The lags of the target, the largest first: `target_lags`, or `lags` without them."""
+    return lag_steps(p["target_lags"] or p["lags"])
+
+
 def panel_rows(df: DataFrame, horizon: int, p: dict[str, Any], max_train_size: int | None = None, numbers: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
     """(windows of all origins, features); series that `numbers` doesn't know have none with an ordinal id. A window trains at cutoffs from `window_end` on, up to the one at `window_left` if that is known."""
     if p["id_feature"] not in ("none", "ordinal") or p["sample_step"] < 1:
         raise ValueError("id_feature must be none or ordinal, and sample_step at least 1")
-    x_cols, longest = names(p["x_cols"]), max(lag_steps(p["lags"]))
+    x_cols, lags = names(p["x_cols"]), target_lags(p)
+    longest = max(lags)
     historic, future = (tuple(p[k]) if x_cols else () for k in ("historic_x_lags", "future_x_lags"))
     w = Window.partitionBy("unique_id").orderBy("ds")
     if max_train_size is not None and max_train_size < longest + horizon:
         raise ValueError("max_train_size holds no window")
     left = F.lit(None).cast(df.schema["ds"].dataType) if max_train_size is None else F.lead("ds", max_train_size - longest).over(w)
     found = windows.panel_window_frame(
-        df.select("unique_id", "ds", "y", *x_cols), horizon, p["lags"], historic_x_lags=historic, future_x_lags=future, x_cols=x_cols, predict=True,
+        df.select("unique_id", "ds", "y", *x_cols), horizon, lags, historic_x_lags=historic, future_x_lags=future, x_cols=x_cols, predict=True,
         at_origin={"window_end": F.lead("ds", horizon).over(w), "window_left": left},
     )
     found = found.where(F.col("origin") >= max([longest, *(k + 1 for k in historic)])).withColumn("step_index", step_feature(F.col("step"), horizon, p["step_scale"]))
+    found = found.withColumns(lag_vector_features([f"y_lag_{k}" for k in lags], p["roll_windows"], p["roll_stats"], p["diff_lags"]))
     if p["id_feature"] == "ordinal":
         found = found.join(series_numbers(df) if numbers is None else numbers, "unique_id")
     if p["add_time_features"]:
@@ -102,7 +109,7 @@ def training(rows: DataFrame, p: dict[str, Any], cutoff) -> DataFrame:  # noqa:
 
 def _sampled(p: dict[str, Any]) -> Column:
     """Every `sample_step`-th origin, from the first that has all lags."""
-    return (F.col("origin") - max(lag_steps(p["lags"]))) % p["sample_step"] == 0
+    return (F.col("origin") - max(target_lags(p))) % p["sample_step"] == 0
 
 
 def linear(features: list[str], weights: np.ndarray) -> Callable[[DataFrame], DataFrame]:

@@ -88,7 +88,7 @@ for _name, _run, _own in sn.MODELS:
 MODELS["ets"] = replace(MODELS["ets"], stability="stand-in")
 _add("kernel", "var", kn.var, "multivariate", maxlags=1, trend="c")
 for _name, _own in rg.PANEL.items():
-    MODELS[_name] = ModelSpec(_name, "panel", None, {"lags": 48, "add_time_features": True, "id_feature": "ordinal", "step_scale": "one_based", "sample_step": 1, "x_cols": (), "historic_x_lags": (), "future_x_lags": (0,), **_own}, "global", description=f"{_name}: one model for all series, by Spark's ML library")
+    MODELS[_name] = ModelSpec(_name, "panel", None, {"lags": 48, "target_lags": (), "roll_windows": (), "roll_stats": (), "diff_lags": (), "add_time_features": True, "id_feature": "ordinal", "step_scale": "one_based", "sample_step": 1, "x_cols": (), "historic_x_lags": (), "future_x_lags": (0,), **_own}, "global", description=f"{_name}: one model for all series, by Spark's ML library")
 MODELS["xreg"] = ModelSpec("xreg", "xreg", None, {"x_cols": (), "lags": (1,), "penalty": 0.01}, description="regression on lags and covariates by recursive least squares")
 for _key, _defaults in (("pipeline", {"base": "naive-last", "transforms": ()}), ("ensemble-mean", {"members": ("naive-last", "seasonal-naive", "theta"), "weights": None}), ("ensemble-median", {"members": ("naive-last", "seasonal-naive", "theta")})):
     MODELS[_key] = ModelSpec(_key, "composed", None, _defaults, description=f"{_key} of other local models")

@@ -780,6 +780,12 @@ _WINDOWS = (
 )
 _AHEAD = f"SELECT z.unique_id, z.target_ds AS ds, z.ds AS cutoff, z.step::INTEGER AS step, {r('z.y', 'y', 2)}, {r('z.sy * (w[1] + list_sum(list_transform(z.z, lambda v, i: v * w[i + 1])))', 'yhat', 2)}, 'MODEL' AS model FROM w JOIN z ON z.ds = w.cutoff WHERE z.d2 IS NOT NULL"
 panel_query("cv_panel_ridge", "ship_monthly", lambda p: backtest.cross_validation(p, "ridge" + _GLOBAL, 2, 12, 24, _PLAIN), f"{_WINDOWS}{_solved(5, penalty='CASE WHEN a <= 4 THEN 1 / (sy * sy) ELSE 1.0 END')} {_AHEAD.replace('MODEL', 'ridge' + _GLOBAL)}", 2)
+# The same with statistics of the three lags: the population deviation and the middle one, both in units of y.
+_ROLLED = _WINDOWS.replace("[y / sy, y2 / sy, y3 / sy, k::DOUBLE] AS z", "[y / sy, y2 / sy, y3 / sy, list_stddev_pop([y, y2, y3]) / sy, list_median([y, y2, y3]) / sy, k::DOUBLE] AS z")
+panel_query(
+    "cv_panel_rolled", "ship_monthly", lambda p: backtest.cross_validation(p, "ridge" + _GLOBAL, 2, 12, 24, {**_PLAIN, "roll_windows": (3,), "roll_stats": ("std", "median")}),
+    f"{_ROLLED}{_solved(7, penalty='CASE WHEN a <= 6 THEN 1 / (sy * sy) ELSE 1.0 END')} {_AHEAD.replace('MODEL', 'ridge' + _GLOBAL)}", 2,
+)
 # Coordinate descent on means about the means, a hundred rounds; weights of lags are free of units, the penalty is 0.02 of the target's.
 _MEANS = "list_transform(range(2, 7), lambda a: list_avg(list_transform(xs, lambda q: q[a])))"
 _CROSS = "list_transform(range(1, 6), lambda a: list_transform(range(1, 6), lambda b: list_avg(list_transform(xs, lambda q: (q[a + 1] - mu[a]) * (q[b + 1] - mu[b])))))"
