@@ -111,6 +111,28 @@ def test_detection_flags_the_spike(panel):
     assert detection.anomaly_counts(detection.detect(df)).count() == 2
 
 
+def test_runs_together_equal_runs_apart(spark, panel, monkeypatch):
+    """Column, kernel, ensemble, panel and refused runs in one pass, in rows of two runs each; a short series and a run that refuses all series have no rows."""
+    df = panel({"s": [3, 1, 4, 1, 5, 9, 2, 6, 5, 3, 5, 8, 9, 7, 9, 3], "t": [float(i % 5 + i) for i in range(16)], "short": [1, 2, 3]})
+    runs = {
+        "a": ("mean", None), "b": ("moving-average", {"window": 4}), "c": ("ar-ols", {"p": 2}), "d": ("ensemble-mean", {"members": ("mean", "ar-ols")}), "e": ("ssa", {"window_length": 90}),
+        "f": ("ridge-step-lag-global", {"lags": 3, "add_time_features": False}),
+    }
+    whole = df.where("unique_id != 'short'")
+    monkeypatch.setattr(backtest, "RUNS_TOGETHER", 2)
+    for own, options in ((df, {"keep": "first", "n_windows": 2, "on_short": "skip"}), (whole, {"max_train_size": 8})):
+        runs_of = runs if own is whole else {k: v for k, v in runs.items() if k != "f"}
+        both = {(r["model"], r["unique_id"], r["cutoff"], r["step"]): (r["ds"], r["y"], r["yhat"]) for r in backtest.cross_validation_of(own, runs_of, 2, 2, 8, **options).collect()}
+        apart = {(k, r["unique_id"], r["cutoff"], r["step"]): (r["ds"], r["y"], r["yhat"]) for k, (m, p) in runs_of.items() for r in backtest.cross_validation(own, m, 2, 2, 8, p, **options).collect()}
+        assert both.keys() == apart.keys() and {k[0] for k in both} == runs_of.keys() - {"e"}
+        for k, v in both.items():
+            assert v[:2] == apart[k][:2] and (v[2] == apart[k][2] or v[2] == pytest.approx(apart[k][2]))
+    plan = backtest.cross_validation_of(df, {k: runs[k] for k in "ab"}, 2, 2, 8, on_short="skip")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list") == 1
+    with pytest.raises(ValueError):
+        backtest.cross_validation_of(df, {}, 2)
+
+
 def test_hierarchy(spark):
     raw = spark.createDataFrame([("n", "a"), ("n", "b"), ("s", "c")], "region string, store string")
     edges = frames.hierarchy_spec(raw, ["region", "store"])
@@ -119,6 +141,11 @@ def test_hierarchy(spark):
     up = {r["unique_id"]: r["yhat"] for r in hierarchy.reconcile(fc, edges, "bottom_up").collect()}
     assert up["total"] == 100 and up["region=n"] == 40 and up["other"] == 5
     assert hierarchy.check_consistency(hierarchy.bottom_up(fc, edges), edges).count() == 0
+    # What differs by the order of a sum alone agrees; what differs by more does not.
+    for off, n in ((2e-6, 0), (1.0, 1)):
+        large = spark.createDataFrame([("t", 1, 3e9 + off), ("a", 1, 1e9), ("b", 1, 2e9)], "unique_id string, ds long, yhat double")
+        pair = spark.createDataFrame([("t", "a"), ("t", "b")], "parent string, child string")
+        assert hierarchy.check_consistency(large, pair, rtol=hierarchy.ROUNDING).count() == n and hierarchy.check_consistency(large, pair).count() == 1
     root = spark.createDataFrame([("total", 2, 200.0)], "unique_id string, ds long, yhat double")
     down = {r["unique_id"]: r["yhat"] for r in hierarchy.reconcile(root, edges, "top_down", fc.withColumnRenamed("yhat", "y")).collect()}
     assert down[leaf("n", "a")] == pytest.approx(60) and down["region=s"] == pytest.approx(120)

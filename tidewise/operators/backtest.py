@@ -8,7 +8,8 @@ Series must fit into a row, which holds for time series of up to millions of poi
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
+from functools import reduce
 from typing import Any
 
 import numpy as np
@@ -22,6 +23,8 @@ from tidewise.models import expressions as ex
 from tidewise.models.registry import get_spec, require
 
 PREDICTIONS = "unique_id, ds, cutoff, step, y, yhat, model"
+#: Runs whose forecasts travel in one row.
+RUNS_TOGETHER = 16
 
 
 def split_grid(df: DataFrame, horizon: int, step_size: int = 1, min_train_size: int = 1, max_train_size: int | None = None, limit: int | None = None, keep: str = "last", n: str = "_n") -> DataFrame:
@@ -198,21 +201,47 @@ def cross_validation(df: DataFrame, model: str, horizon: int, step_size: int = 1
         if max_train_size is not None:
             raise ValueError("training sets of this model begin with the series")
         return xreg_cross_validation(df, horizon, step_size, min_train_size, get_spec(model).parameters(params), n_windows, keep)
-    rows = series_arrays(df, spread=column_forecast(model, F.col("y"), horizon, params) is None).withColumn("_n", F.size("y"))
+    return _series_cross_validation(df, {model: (model, params)}, horizon, step_size, min_train_size, max_train_size, n_windows, keep, on_short)
+
+
+def _series_cross_validation(df: DataFrame, runs: Mapping[str, tuple[str, dict[str, Any] | None]], horizon: int, step_size: int, min_train_size: int, max_train_size: int | None, n_windows: int | None, keep: str, on_short: str) -> DataFrame:
+    """Column and kernel models over arrays of series that are gathered once; `runs` gives (model, parameters) by what `model` shall hold."""
+    spread = any(column_forecast(m, F.col("y"), horizon, params) is None for m, params in runs.values())
+    rows = series_arrays(df, spread=spread).withColumn("_n", F.size("y"))
     if on_short == "raise" and not rows.where(F.col("_n") < min_train_size + horizon).isEmpty():
         raise ValueError("a series is too short for one split; on_short='skip' leaves such series out")
     if max_train_size is not None and max_train_size < 1:
         raise ValueError("sizes must be at least 1")
-    rows = rows.withColumn("_ends", split_ends(F.col("_n"), horizon, step_size, min_train_size, n_windows, keep))
-    found = rolled(rows, model, horizon, params, max_train_size)
+    found = rows.withColumn("_ends", split_ends(F.col("_n"), horizon, step_size, min_train_size, n_windows, keep))
+    for i, (model, params) in enumerate(runs.values()):
+        found = rolled(found, model, horizon, params, max_train_size).withColumnRenamed("_yhats", f"_run{i}")
+    by_run = F.array(*(F.struct(F.lit(label).alias("model"), F.col(f"_run{i}").alias("yhats")) for i, label in enumerate(runs)))
+    found = found.select("unique_id", "ds", "y", "_ends", F.explode(by_run).alias("_run"))
 
     def test(end: Column, k: Column) -> Column:
-        ahead = F.arrays_zip(F.slice("ds", end + 1, horizon).alias("ds"), F.slice("y", end + 1, horizon).alias("y"), F.get("_yhats", k).alias("yhat"))
+        ahead = F.arrays_zip(F.slice("ds", end + 1, horizon).alias("ds"), F.slice("y", end + 1, horizon).alias("y"), F.get("_run.yhats", k).alias("yhat"))
         return F.struct(F.get("ds", end - 1).alias("cutoff"), ahead.alias("ahead"))
 
-    tests = found.select("unique_id", F.explode(F.transform("_ends", test)).alias("_t"))
-    out = tests.select("unique_id", "_t.cutoff", F.posexplode("_t.ahead").alias("_k", "_a"))
-    return out.select("unique_id", "_a.ds", "cutoff", (F.col("_k") + 1).cast("int").alias("step"), "_a.y", "_a.yhat", F.lit(model).alias("model"))
+    tests = found.select("unique_id", F.col("_run.model").alias("model"), F.explode(F.transform("_ends", test)).alias("_t"))
+    out = tests.select("unique_id", "model", "_t.cutoff", F.posexplode("_t.ahead").alias("_k", "_a"))
+    return out.select("unique_id", "_a.ds", "cutoff", (F.col("_k") + 1).cast("int").alias("step"), "_a.y", "_a.yhat", "model")
+
+
+def cross_validation_of(df: DataFrame, runs: Mapping[str, tuple[str, dict[str, Any] | None]], horizon: int, step_size: int = 1, min_train_size: int = 1, max_train_size: int | None = None, n_windows: int | None = None, keep: str = "last", on_short: str = "raise") -> DataFrame:
+    """`cross_validation` of many models or parameters, `model` holding each run's label.
+
+    Models of one series share one pass: series are gathered and shuffled once, however many runs there are, `RUNS_TOGETHER` of them
+    in a row at a time so that a row's size is bounded by theirs. Panel and covariate models have a part each.
+    """
+    if not runs:
+        raise ValueError("no model is given")
+    apart = {label: run for label, run in runs.items() if get_spec(run[0]).interface == "global" or get_spec(run[0]).tier == "xreg"}
+    together = [(label, run) for label, run in runs.items() if label not in apart]
+    options = (max_train_size, n_windows, keep, on_short)
+    parts = [_series_cross_validation(df, dict(together[i : i + RUNS_TOGETHER]), horizon, step_size, min_train_size, *options) for i in range(0, len(together), RUNS_TOGETHER)]
+    for label, (model, params) in apart.items():
+        parts.append(cross_validation(df, model, horizon, step_size, min_train_size, params, *options).withColumn("model", F.lit(label)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def prefix_cross_validation(df: DataFrame, model: str, horizon: int, step_size: int = 1, min_train_size: int = 1, window: int = 3, season_length: int = 12) -> DataFrame:

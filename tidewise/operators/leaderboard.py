@@ -26,9 +26,10 @@ def evaluate_model(df: DataFrame, model: str, horizon: int, step: int, min_train
 
 def leaderboard(df: DataFrame, models: Sequence[str], horizon: int, step: int, min_train_size: int, dataset: str = "", params: Mapping[str, dict[str, Any]] | None = None, max_windows: int | None = None) -> DataFrame:
     """One row of overall metrics for each model, the best first."""
-    rows = [evaluate_model(df, m, horizon, step, min_train_size, (params or {}).get(m), max_windows).where("step is null").drop("step") for m in models]
-    out = reduce(DataFrame.unionByName, rows).select("model", F.lit(dataset).alias("dataset"), F.lit("point").alias("task_group"), *METRICS, "n_points")
-    return out.orderBy("mae", "model")
+    runs = {m: (m, (params or {}).get(m)) for m in models}
+    predictions = backtest.cross_validation_of(df, runs, horizon, step, min_train_size, None, max_windows, "first", "skip")
+    out = predictions.groupBy("model").agg(*(getattr(mt, m)().alias(m) for m in METRICS), F.count("*").alias("n_points"))
+    return out.select("model", F.lit(dataset).alias("dataset"), F.lit("point").alias("task_group"), *METRICS, "n_points").orderBy("mae", "model")
 
 
 def sweep(panels: Mapping[str, DataFrame], models: Sequence[str], horizon: int, step: int, min_train_size: int, done: DataFrame | None = None, max_windows: int | None = None) -> DataFrame:
@@ -99,12 +100,9 @@ def tune(df: DataFrame, model: str, horizon: int, step: int, min_train_size: int
     """`params, score, n_points` of every combination, the best first, ties by the parameters' JSON. All run as one job."""
     if metric not in METRICS or mode not in ("min", "max"):
         raise ValueError(f"metric must be one of {METRICS}, mode min or max")
-    rows = []
-    for own in grid(space):
-        found = backtest.cross_validation(df, model, horizon, step, min_train_size, (params or {}) | own, None, max_windows, "first", "skip")
-        rows.append(found.withColumn("params", F.lit(json.dumps(own, sort_keys=True))))
-    both = reduce(DataFrame.unionByName, rows)
-    out = both.groupBy("params").agg(getattr(mt, metric)().alias("score"), F.count("*").alias("n_points"))
+    runs = {json.dumps(own, sort_keys=True): (model, (params or {}) | own) for own in grid(space)}
+    found = backtest.cross_validation_of(df, runs, horizon, step, min_train_size, None, max_windows, "first", "skip").withColumnRenamed("model", "params")
+    out = found.groupBy("params").agg(getattr(mt, metric)().alias("score"), F.count("*").alias("n_points"))
     return out.orderBy(F.asc("score") if mode == "min" else F.desc("score"), "params")
 
 
