@@ -275,3 +275,13 @@ def test_kernels_refuse_what_is_out_of_range():
         with pytest.raises(ValueError):
             run()
     assert registry.get_spec("arima").stability == registry.get_spec("ets").stability == "stand-in"
+
+
+def test_reports_count_what_models_refuse(spark, panel):
+    from tidewise.operators.reports import ReportedSweep
+
+    sweep = ReportedSweep({"d": panel({"a": range(20), "b": range(20)})}, ["mean", "ssa"], 2, 2, 10, params={"ssa": {"window_length": 12, "rank": 1}})
+    rows = {r["model"]: r["n_points"] for r in sweep.rows.collect()}
+    found = {r["label"]: (r["row_count"], r["failure_count"]) for r in sweep.report().collect()}
+    # Five cutoffs of two steps for each series; the first two hold 10 and 12 values, too few for the window.
+    assert found == {"mean": (20, 0), "ssa": (12, 8)} and rows == {"mean": 20, "ssa": 12}

@@ -185,10 +185,11 @@ def rolled(rows: DataFrame, model: str, horizon: int, params: dict[str, Any] | N
     return rows.withColumn("_yhats", forecasts("y", "_ends"))
 
 
-def cross_validation(df: DataFrame, model: str, horizon: int, step_size: int = 1, min_train_size: int = 1, params: dict[str, Any] | None = None, max_train_size: int | None = None, n_windows: int | None = None, keep: str = "last", on_short: str = "raise") -> DataFrame:
+def cross_validation(df: DataFrame, model: str, horizon: int, step_size: int = 1, min_train_size: int = 1, params: dict[str, Any] | None = None, max_train_size: int | None = None, n_windows: int | None = None, keep: str = "last", on_short: str = "raise", keep_refused: bool = False) -> DataFrame:
     """`unique_id, ds, cutoff, step, y, yhat, model` for every series, cutoff and step; `n_windows` keeps the last cutoffs.
 
-    A series without a cutoff raises, or is left out with `on_short="skip"`. A panel model is refitted at each cutoff of the
+    A series without a cutoff raises, or is left out with `on_short="skip"`. A training set that a kernel refuses has no rows, or rows
+    without a forecast with `keep_refused`. A panel model is refitted at each cutoff of the
     first series in order.
     """
     if get_spec(model).interface == "global":
@@ -201,10 +202,10 @@ def cross_validation(df: DataFrame, model: str, horizon: int, step_size: int = 1
         if max_train_size is not None:
             raise ValueError("training sets of this model begin with the series")
         return xreg_cross_validation(df, horizon, step_size, min_train_size, get_spec(model).parameters(params), n_windows, keep)
-    return _series_cross_validation(df, {model: (model, params)}, horizon, step_size, min_train_size, max_train_size, n_windows, keep, on_short)
+    return _series_cross_validation(df, {model: (model, params)}, horizon, step_size, min_train_size, max_train_size, n_windows, keep, on_short, keep_refused)
 
 
-def _series_cross_validation(df: DataFrame, runs: Mapping[str, tuple[str, dict[str, Any] | None]], horizon: int, step_size: int, min_train_size: int, max_train_size: int | None, n_windows: int | None, keep: str, on_short: str) -> DataFrame:
+def _series_cross_validation(df: DataFrame, runs: Mapping[str, tuple[str, dict[str, Any] | None]], horizon: int, step_size: int, min_train_size: int, max_train_size: int | None, n_windows: int | None, keep: str, on_short: str, keep_refused: bool = False) -> DataFrame:
     """Column and kernel models over arrays of series that are gathered once; `runs` gives (model, parameters) by what `model` shall hold."""
     spread = any(column_forecast(m, F.col("y"), horizon, params) is None for m, params in runs.values())
     rows = series_arrays(df, spread=spread).withColumn("_n", F.size("y"))
@@ -219,7 +220,10 @@ def _series_cross_validation(df: DataFrame, runs: Mapping[str, tuple[str, dict[s
     found = found.select("unique_id", "ds", "y", "_ends", F.explode(by_run).alias("_run"))
 
     def test(end: Column, k: Column) -> Column:
-        ahead = F.arrays_zip(F.slice("ds", end + 1, horizon).alias("ds"), F.slice("y", end + 1, horizon).alias("y"), F.get("_run.yhats", k).alias("yhat"))
+        yhat = F.get("_run.yhats", k)
+        if keep_refused:
+            yhat = F.coalesce(yhat, F.array_repeat(F.lit(None).cast("double"), horizon))
+        ahead = F.arrays_zip(F.slice("ds", end + 1, horizon).alias("ds"), F.slice("y", end + 1, horizon).alias("y"), yhat.alias("yhat"))
         return F.struct(F.get("ds", end - 1).alias("cutoff"), ahead.alias("ahead"))
 
     tests = found.select("unique_id", F.col("_run.model").alias("model"), F.explode(F.transform("_ends", test)).alias("_t"))

@@ -19,7 +19,8 @@ COLUMNS = "task_scope string, dataset string, label string, model_count int, bac
 class ReportedSweep:
     """Metrics of every model on every panel, as one job (`rows`), and its report once that job has run (`report`).
 
-    A model that can't be planned for a panel is a failure with its reason and has no rows. Seconds go from a part's first forecast to
+    A model that can't be planned for a panel is a failure with its reason and has no rows. Failures of others are forecasts that a
+    model refused to make or that aren't numbers; the refused ones are no part of rows or metrics. Seconds go from a part's first forecast to
     its last, over all tasks.
     """
 
@@ -30,7 +31,7 @@ class ReportedSweep:
         for name, panel in panels.items():
             for model in models:
                 try:
-                    found = backtest.cross_validation(panel, model, horizon, step, min_train_size, (params or {}).get(model), keep="first", on_short="skip")
+                    found = backtest.cross_validation(panel, model, horizon, step, min_train_size, (params or {}).get(model), keep="first", on_short="skip", keep_refused=True)
                 except (ValueError, TypeError, KeyError, ImportError) as e:
                     self.errors[name, model] = f"{type(e).__name__}: {e}"
                     continue
@@ -38,8 +39,8 @@ class ReportedSweep:
                 # The clock is read for each row, by the JVM.
                 timed = found.withColumn("_at", F.expr("reflect('java.lang.System', 'currentTimeMillis')").cast("long"))
                 failed = F.col("yhat").isNull() | F.isnan("yhat")
-                timed = timed.observe(watch, F.count(F.lit(1)).alias("rows"), F.sum(failed.cast("long")).alias("failures"), F.min("_at").alias("first"), F.max("_at").alias("last"))
-                parts.append(timed.withColumns({"dataset": F.lit(name), "model": F.lit(model)}).where("_at is not null"))
+                timed = timed.observe(watch, F.count("yhat").alias("rows"), F.sum(failed.cast("long")).alias("failures"), F.min("_at").alias("first"), F.max("_at").alias("last"))
+                parts.append(timed.withColumns({"dataset": F.lit(name), "model": F.lit(model)}).where("_at is not null and yhat is not null"))
         if not parts:
             raise ValueError(f"no model can be run: {self.errors}")
         both = reduce(DataFrame.unionByName, parts)

@@ -791,11 +791,14 @@ _MEANS = "list_transform(range(2, 7), lambda a: list_avg(list_transform(xs, lamb
 _CROSS = "list_transform(range(1, 6), lambda a: list_transform(range(1, 6), lambda b: list_avg(list_transform(xs, lambda q: (q[a + 1] - mu[a]) * (q[b + 1] - mu[b])))))"
 _PART = "(g[j][5] - list_sum(list_transform([1, 2, 3, 4], lambda c: g[j][c] * s[c])) + g[j][j] * s[j])"
 _MOVE = f"list_transform(s, lambda v, i: CASE WHEN i = j THEN sign({_PART}) * greatest(abs({_PART}) - CASE WHEN j <= 3 THEN 5000.0::DOUBLE / (sy * sy) ELSE 5000.0::DOUBLE / sy END, 0) / g[j][j] ELSE v END)".replace("j]", "e[1]::INTEGER]").replace("= j ", "= e[1]::INTEGER ").replace("j <=", "e[1] <=")
-panel_query(
-    "cv_panel_lasso", "ship_monthly", lambda p: backtest.cross_validation(p, "lasso" + _GLOBAL, 2, 12, 24, {**_PLAIN, "alpha": 5000.0}),
-    f"{_WINDOWS}, mu AS (SELECT *, {_MEANS} AS mu FROM x), g AS (SELECT *, {_CROSS} AS g FROM mu), b AS (SELECT *, list_reduce(list_prepend([0.0::DOUBLE, 0.0, 0.0, 0.0], list_transform(range(0, 400), lambda i: [(i % 4 + 1)::DOUBLE])), lambda s, e: {_MOVE}) AS b FROM g), "
-    f"w AS (SELECT cutoff, list_concat([mu[5] - list_sum(list_transform([1, 2, 3, 4], lambda c: mu[c] * b[c]))], b) AS w FROM b) {_AHEAD.replace('MODEL', 'lasso' + _GLOBAL)}", 2,
-)
+# The elastic net's squares are 0.5 * 2000 * w^2, with half of the lasso's absolute values.
+_MOVE_NET = _MOVE.replace("5000.0", "2000.0").replace("/ g[e[1]::INTEGER][e[1]::INTEGER] ELSE v", "/ (g[e[1]::INTEGER][e[1]::INTEGER] + CASE WHEN e[1] <= 3 THEN 2000.0::DOUBLE / (sy * sy) ELSE 2000.0::DOUBLE END) ELSE v")
+for _name, _step, _options in (("lasso", _MOVE, {"alpha": 5000.0}), ("elasticnet", _MOVE_NET, {"alpha": 4000.0, "l1_ratio": 0.5})):
+    panel_query(
+        f"cv_panel_{_name}", "ship_monthly", lambda p, m=_name, o=_options: backtest.cross_validation(p, m + _GLOBAL, 2, 12, 24, {**_PLAIN, **o}),
+        f"{_WINDOWS}, mu AS (SELECT *, {_MEANS} AS mu FROM x), g AS (SELECT *, {_CROSS} AS g FROM mu), b AS (SELECT *, list_reduce(list_prepend([0.0::DOUBLE, 0.0, 0.0, 0.0], list_transform(range(0, 400), lambda i: [(i % 4 + 1)::DOUBLE])), lambda s, e: {_step}) AS b FROM g), "
+        f"w AS (SELECT cutoff, list_concat([mu[5] - list_sum(list_transform([1, 2, 3, 4], lambda c: mu[c] * b[c]))], b) AS w FROM b) {_AHEAD.replace('MODEL', _name + _GLOBAL)}", 2,
+    )
 panel_query(
     "panel_knn", "ship_monthly", lambda p: backtest.forecast(_aligned(p), "knn" + _GLOBAL, 2, _PLAIN).select("unique_id", "step", "yhat"),
     ", p0 AS (SELECT * FROM p WHERE ds <= (SELECT min(e) FROM (SELECT max(ds) AS e FROM p GROUP BY unique_id)))" + _WINDOWS.replace("FROM p", "FROM p0") + f", f AS (SELECT list_concat(list_transform(z[1:3], lambda v: v * sy), z[4:4]) AS f, unique_id, ds, step, y, d2 FROM z), t AS (SELECT * FROM f WHERE d2 IS NOT NULL), a AS (SELECT * FROM f WHERE ds = (SELECT max(ds) FROM p0)), "
