@@ -111,6 +111,25 @@ def test_detection_flags_the_spike(panel):
     assert detection.anomaly_counts(detection.detect(df)).count() == 2
 
 
+def test_splits_of_windows(spark, panel):
+    df = panel({"a": [float(i) for i in range(20)], "b": [float(i) for i in range(12)]})
+    found = windows.split_windows(windows.panel_arrays(windows.panel_window_frame(df, horizon=3, lags=2)), valid_size=2, test_size=3, gap=1)
+    by_origin = {}
+    for r in found.collect():
+        by_origin.setdefault((r["unique_id"], r["cutoff_ds"]), set()).add(r["split"])
+    assert all(len(v) == 1 for v in by_origin.values())
+    for one, origins in (("a", 18), ("b", 10)):
+        own = [next(iter(v)) for (k, _), v in sorted(by_origin.items()) if k == one]
+        assert own == ["train"] * (origins - 7) + [None] + ["valid"] * 2 + [None] + ["test"] * 3
+    rows = windows.split_windows(windows.supervised_frame(df, lags=3), test_frac=0.5).groupBy("unique_id", "split").count().collect()
+    assert {(r["unique_id"], r["split"]): r["count"] for r in rows} == {("a", "train"): 9, ("a", "test"): 8, ("b", "train"): 5, ("b", "test"): 4}
+    assert windows.split_windows(windows.supervised_frame(df.limit(0), lags=3), test_size=1).count() == 0
+    with pytest.raises(ValueError):
+        windows.split_windows(df, test_size=1)
+    with pytest.raises(ValueError):
+        windows.split_windows(windows.supervised_frame(df, lags=3), test_size=9)
+
+
 def test_runs_together_equal_runs_apart(spark, panel, monkeypatch):
     """Column, kernel, ensemble, panel and refused runs in one pass, in rows of two runs each; a short series and a run that refuses all series have no rows."""
     df = panel({"s": [3, 1, 4, 1, 5, 9, 2, 6, 5, 3, 5, 8, 9, 7, 9, 3], "t": [float(i % 5 + i) for i in range(16)], "short": [1, 2, 3]})

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from tidewise.frames import names, series_window
 from tidewise.functions import features as ft
+from tidewise.operators import prepare
 
 
 def _numbered(df: DataFrame) -> DataFrame:
@@ -114,6 +115,21 @@ def panel_blocks(sequences: DataFrame) -> DataFrame:
     return sequences.select("unique_id", "cutoff_ds", "origin", y("past").alias("past_y"), x("past").alias("past_x"), y("future").alias("future_y"), x("future").alias("future_x"), "y_mean", "y_std")
 
 
+def split_windows(table: DataFrame, valid_size: int | None = None, test_size: int | None = None, valid_frac: float | None = None, test_frac: float | None = None, gap: int = 0, min_train_size: int = 1, check: bool = True) -> DataFrame:
+    """`split_long` for what the builders of this module return, frames and arrays alike, in the unit that each is made of.
+
+    Supervised rows are counted one by one; panel windows by origin, so that all steps of one stay together; sequences by origin too.
+    Sizes, fractions and the gap are in these units, by series.
+    """
+    if "target_t" in table.columns:
+        order = "target_t"
+    elif "cutoff_ds" in table.columns:
+        order = "cutoff_ds"
+    else:
+        raise ValueError("a split needs supervised rows (target_t), panel windows or sequences (cutoff_ds)")
+    return prepare.split_long(table, valid_size, test_size, valid_frac, test_frac, gap, min_train_size, order=order, windows=order == "cutoff_ds", check=check)
+
+
 def require_x_cols(model: str, x_cols, supported: bool = True, needed: bool = True) -> tuple[str, ...]:  # noqa: ANN001
     """The covariates' names; raises if a model needs some and has none, or can't read those that are given."""
     found = names(x_cols)

@@ -213,6 +213,51 @@ panel_query(
     "SELECT unique_id, ds AS cutoff_ds, array_to_string(list_transform(a, lambda x: printf('%.3f', x)), ',') AS past, array_to_string(list_transform(b, lambda x: printf('%.3f', x)), ',') AS future FROM n WHERE rn >= 5 AND rn + 2 <= n",
 )
 
+# Splits of what the builders return: a gap of one before each part, a fifth for validation and a tenth for the test.
+_BY_ROWS = "row_number() OVER w AS rn, count(*) OVER (PARTITION BY unique_id) AS n FROM p WINDOW w AS (PARTITION BY unique_id ORDER BY ds)"
+
+
+def _cut_up(table: DataFrame, *aggregates: Column) -> DataFrame:
+    found = windows.split_windows(table, valid_frac=0.2, test_frac=0.1, gap=1, min_train_size=5)
+    return found.groupBy("unique_id", "split").agg(F.count("*").alias("n"), *aggregates)
+
+
+def _cut_up_sql(at: str, n: str, aggregates: str, source: str = "n", where: str = "true") -> str:
+    parts = f", z AS (SELECT *, {at} AS place, {n} AS m FROM {source} WHERE {where}), y AS (SELECT *, m - floor(m * 0.1::DOUBLE) AS ts FROM z), x AS (SELECT *, ts - 1 - floor(m * 0.2::DOUBLE) AS vs FROM y)"
+    return f"{parts} SELECT unique_id, CASE WHEN place <= vs - 1 THEN 'train' WHEN place > vs AND place <= ts - 1 THEN 'valid' WHEN place > ts THEN 'test' END AS split, count(*) AS n, {aggregates} FROM x GROUP BY 1, 2"
+
+
+panel_query(
+    "split_supervised", "user_daily", lambda p: _cut_up(windows.supervised_arrays(windows.supervised_frame(p, lags=3)), F.sum(F.get("x", F.lit(0))).alias("sum_lag_3"), F.sum(F.get("y", F.lit(0))).alias("sum_y"), F.max("target_t").alias("last_t")),
+    f", n AS (SELECT unique_id, y, lag(y, 3) OVER w AS a, {_BY_ROWS})" + _cut_up_sql("rn - 3", "n - 3", r("sum(a)", "sum_lag_3") + ", " + r("sum(y)", "sum_y") + ", max(rn - 1)::INTEGER AS last_t", where="rn > 3"),
+)
+panel_query(
+    "split_panel_windows", "events_daily", lambda p: _cut_up(windows.panel_arrays(windows.panel_window_frame(p, horizon=3, lags=2)), F.min("cutoff_ds").alias("first_cutoff"), F.max("cutoff_ds").alias("last_cutoff"), F.countDistinct("cutoff_ds").alias("n_origins"), F.round(F.sum("y"), 3).alias("sum_y")),
+    f", n AS (SELECT unique_id, ds, y, {_BY_ROWS}), j AS (SELECT o.*, t.y AS ahead FROM n o JOIN n t ON t.unique_id = o.unique_id AND t.rn > o.rn AND t.rn <= o.rn + 3 WHERE o.rn >= 2)"
+    + _cut_up_sql("rn - 1", "n - 2", "min(ds) AS first_cutoff, max(ds) AS last_cutoff, count(DISTINCT ds) AS n_origins, " + r("round(sum(ahead), 3)", "sum_y"), "j"),
+)
+panel_query(
+    "split_sequences", "events_daily", lambda p: _cut_up(windows.panel_blocks(windows.panel_sequences(p, 2, 5, normalize=False)), F.min("cutoff_ds").alias("first_cutoff"), F.max("origin").alias("last_origin"), F.round(F.sum(F.get("future_y", F.lit(1))), 3).alias("sum_y")),
+    f", n AS (SELECT unique_id, ds, lead(y, 2) OVER w AS ahead, {_BY_ROWS})" + _cut_up_sql("rn - 4", "n - 6", "min(ds) AS first_cutoff, max(rn)::INTEGER AS last_origin, " + r("round(sum(ahead), 3)", "sum_y"), where="rn >= 5 AND rn + 2 <= n"),
+)
+
+
+def _middle_time(p: DataFrame):  # noqa: ANN202
+    return p.agg(F.expr("min(ds) + interval 20 days")).first()[0]
+
+
+_MIDDLE = "(SELECT min(ds) + INTERVAL 20 DAY FROM p)"
+panel_query(
+    "supervised_predict", "user_daily", lambda p: windows.supervised_predict_frame(p, _middle_time(p), lags=3, diff_lags=(1,)),
+    f", n AS (SELECT unique_id, ds, y AS c, lag(y, 1) OVER w AS b, lag(y, 2) OVER w AS a, row_number() OVER w AS rn, lead(ds) OVER w AS later FROM p WHERE ds <= {_MIDDLE} WINDOW w AS (PARTITION BY unique_id ORDER BY ds)) "
+    f"SELECT unique_id, ds + INTERVAL 1 MICROSECOND AS ds, rn::INTEGER AS target_t, {r('a', 'feat_y_lag_3')}, {r('b', 'feat_y_lag_2')}, {r('c', 'feat_y_lag_1')}, {r('c - b', 'feat_diff_1')}, {_MIDDLE} AS cutoff_ds FROM n WHERE later IS NULL AND rn >= 3",
+)
+panel_query(
+    "panel_predict_windows", "events_daily", lambda p: windows.panel_arrays(windows.panel_window_predict_frame(p, _middle_time(p), horizon=2, lags=2, seasonal_lags=(7,))).select("unique_id", "cutoff_ds", "step", F.get("x", F.lit(0)).alias("lag_2"), F.get("x", F.lit(1)).alias("lag_1"), F.get("x", F.lit(2)).alias("season_lag_7"), "y"),
+    ", n AS (SELECT unique_id, ds, lag(y, 1) OVER w AS b, y AS a, [lead(y, 1) OVER w, lead(y, 2) OVER w] AS f, [lag(y, 6) OVER w, lag(y, 5) OVER w] AS s FROM p WINDOW w AS (PARTITION BY unique_id ORDER BY ds)) "
+    f"SELECT unique_id, ds AS cutoff_ds, k::INTEGER AS step, {r('b', 'lag_2')}, {r('a', 'lag_1')}, {r('s[k]', 'season_lag_7')}, {r('f[k]', 'y')} FROM n, unnest([1, 2]) u(k) WHERE ds = {_MIDDLE}",
+)
+
 # --- Transforms ------------------------------------------------------------------------------------------------------------------
 
 panel_query("difference", "events_daily", tf.difference, ", n AS (SELECT unique_id, ds, y - lag(y) OVER (PARTITION BY unique_id ORDER BY ds) AS y FROM p) SELECT unique_id, ds, " + r("y", "y") + " FROM n WHERE y IS NOT NULL")
