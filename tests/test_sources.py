@@ -22,6 +22,20 @@ def test_datasets(spark, tmp_path):
         datasets.get_dataset_spec("none")
 
 
+def test_work_on_named_datasets(spark, tmp_path, monkeypatch):
+    monkeypatch.delenv(datasets.ENV, raising=False)
+    (tmp_path / "catfish.csv").write_text("Date,Total\n" + "".join(f"2000-{m}-01,{100 if m == 9 else m}\n" for m in range(1, 13)))
+    assert datasets.available_datasets(spark, str(tmp_path)) == ["catfish"]
+    assert datasets.preview_dataset_path(spark, "catfish", str(tmp_path)) == (f"{tmp_path}/catfish.csv", "data_dir", True)
+    assert datasets.preview_dataset_path(spark, "store_sales", str(tmp_path)) == (f"{tmp_path}/store_sales.csv", "data_dir", False)
+    with pytest.raises(KeyError):
+        datasets.preview_dataset_path(spark, "none")
+    whole = api.evaluate_dataset(spark, "catfish", horizon=1, min_train_size=10, data_dir=str(tmp_path)).where("step is null").first()
+    assert (whole["dataset"], whole["model"], whole["n_points"], whole["mae"]) == ("catfish", "naive-last", 2, 1.0)
+    odd = api.detect_dataset(spark, "catfish", str(tmp_path), window=6).where("is_anomaly").collect()
+    assert [r["ds"].month for r in odd] == [9]
+
+
 def test_artifacts_round_trip(spark, panel, tmp_path):
     df = panel({"s": [1, 2, 3, 4]})
     sinks.save_forecaster(df, str(tmp_path / "a"), "drift")

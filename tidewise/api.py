@@ -6,14 +6,27 @@ import json
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewise.models.fitted import PanelEstimator, PanelModel
 from tidewise.models.registry import get_spec, list_models, require
 from tidewise.operators.backtest import cross_validation, forecast, multivariate_cross_validation, rolling_origin_splits
 from tidewise.operators.detection import detect
 from tidewise.operators.leaderboard import evaluate_model, leaderboard, summarize, sweep, tune
+from tidewise.sources.datasets import load_long
 
-__all__ = ["Ensemble", "Forecaster", "GlobalForecaster", "PanelEstimator", "PanelModel", "PipelineForecaster", "cross_validation", "detect", "evaluate_model", "forecast", "forecast_values", "leaderboard", "list_models", "multivariate_cross_validation", "rolling_origin_splits", "summarize", "sweep", "tune"]
+__all__ = ["Ensemble", "Forecaster", "GlobalForecaster", "PanelEstimator", "PanelModel", "PipelineForecaster", "cross_validation", "detect", "detect_dataset", "evaluate_dataset", "evaluate_model", "forecast", "forecast_values", "leaderboard", "list_models", "multivariate_cross_validation", "rolling_origin_splits", "summarize", "sweep", "tune"]
+
+
+def evaluate_dataset(spark: SparkSession, key: str, model: str = "naive-last", horizon: int = 1, step: int = 1, min_train_size: int = 12, params: dict[str, Any] | None = None, max_windows: int | None = None, data_dir: str | None = None, y_col: str | None = None) -> DataFrame:
+    """`evaluate_model` on a named dataset, with its key as `dataset`."""
+    df = load_long(spark, key, data_dir, y_col)
+    return evaluate_model(df, model, horizon, step, min_train_size, params, max_windows).withColumn("dataset", F.lit(key))
+
+
+def detect_dataset(spark: SparkSession, key: str, data_dir: str | None = None, y_col: str | None = None, **options: Any) -> DataFrame:
+    """`detect` on a named dataset."""
+    return detect(load_long(spark, key, data_dir, y_col), **options)
 
 
 class Forecaster:

@@ -653,6 +653,19 @@ def _x_sql(ends: str, head: str, columns: str) -> str:
 add("cv_xreg", lambda spark, d: rounded(backtest.cross_validation(_with_counts(spark, d), "xreg", params=_X, **_CV), 3), _x_sql("unnest(range(12, size - 3 + 1, 3)) u(n)", "12", _SEEN.replace("a[n + k], 5", "ys[n + k], 3")))
 add("forecast_xreg", lambda spark, d: rounded(backtest.forecast(_with_future(_with_counts(spark, d), 3), "xreg", 3, _X), 3), _x_sql("unnest([size - 3]) u(n)", "(size - 3)", "unique_id, d[n + k] AS ds, d[n] AS cutoff, k::INTEGER AS step"))
 
+# Bundles for models with covariates: arrays of each series, and its walk-forward windows.
+_FIRST_X = lambda c: F.get(F.get(c, F.lit(0)), F.lit(0))
+_SUM_Y = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 3)
+add(
+    "xreg_bundle", lambda spark, d: rounded(windows.xreg_bundle(_with_future(_with_counts(spark, d), 3), ["n_events"]).select("unique_id", F.size("train_y").alias("n_train"), _SUM_Y("train_y").alias("sum_y"), _FIRST_X("train_x").alias("first_x"), _FIRST_X("future_x").alias("first_future_x"), F.size("future_x").alias("n_future")), 3),
+    f"{_X_PANEL} SELECT unique_id, (size - 3)::INTEGER AS n_train, {r('list_sum(ys[1:size - 3])', 'sum_y', 3)}, {r('ns[1]', 'first_x', 3)}, {r('ns[size - 2]', 'first_future_x', 3)}, 3::INTEGER AS n_future FROM s",
+)
+add(
+    "xreg_eval_bundle",
+    lambda spark, d: rounded(windows.xreg_eval_bundle(_with_counts(spark, d), 3, 4, 12, ["n_events"], max_windows=3, max_train_size=14).select("unique_id", "train_start", "train_end", _SUM_Y("train_y").alias("sum_y"), _FIRST_X("train_x").alias("first_x"), _SUM_Y("test_y").alias("sum_test"), _FIRST_X("test_x").alias("first_test_x")), 3),
+    f"{_X_PANEL}, c AS (SELECT *, greatest(e - 14, 0)::INTEGER AS b FROM s, unnest([12, 16, 20]) u(e) WHERE e <= size - 3) SELECT unique_id, b AS train_start, e::INTEGER AS train_end, {r('list_sum(ys[b + 1:e])', 'sum_y', 3)}, {r('ns[b + 1]', 'first_x', 3)}, {r('list_sum(ys[e + 1:e + 3])', 'sum_test', 3)}, {r('ns[e + 1]', 'first_test_x', 3)} FROM c",
+)
+
 # --- Detection -------------------------------------------------------------------------------------------------------------------
 
 _DETECT = "SELECT unique_id, ds, cutoff, 1::INTEGER AS step, " + ", ".join(r(c, c) for c in ("y", "yhat", "residual", "score")) + ", {t} AS threshold, coalesce(score > {t}, false) AS is_anomaly, '{m}' AS score_method, '{h}' AS threshold_method, 'rolling:window={w},min_history=3' AS window_context, NULL::VARCHAR AS model FROM x"

@@ -80,6 +80,18 @@ def resolve_dataset_path(spark: SparkSession, key: str, data_dir: str | None = N
     raise FileNotFoundError(f"{key}: none of {[p for _, p in tried]}")
 
 
+def preview_dataset_path(spark: SparkSession, key: str, data_dir: str | None = None) -> tuple[str, str, bool]:
+    """(path, where it comes from, whether it is there) of the path that would be read, or of the first that was tried; raises for unknown keys alone."""
+    tried = dataset_paths(key, data_dir)
+    source, path = next((t for t in tried if _exists(spark, t[1])), tried[0])
+    return path, source, _exists(spark, path)
+
+
+def available_datasets(spark: SparkSession, data_dir: str | None = None) -> list[str]:
+    """Keys of the datasets whose files are there."""
+    return [key for key in list_datasets() if preview_dataset_path(spark, key, data_dir)[2]]
+
+
 def load_csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None, nrows: int | None = None, encoding: str = "UTF-8") -> DataFrame:
     """One CSV with a header. Without a schema all columns are text. `nrows` is a preview."""
     if not _exists(spark, path):
