@@ -245,3 +245,30 @@ def test_network_learns_and_repeats(curve):
     left = np.mean([(r["t"] - r["yhat"]) ** 2 for r in rows])
     line = np.column_stack([np.ones(150), x])
     assert left < 0.2 * np.mean((y - line @ np.linalg.lstsq(line, y, rcond=None)[0]) ** 2)
+
+
+ITERATED = [("linear-svr", support, "added", {})]
+
+
+@pytest.mark.parametrize(("key", "module", "step", "own"), ITERATED)
+def test_a_fit_goes_over_kept_windows(spark, monkeypatch, made, key, module, step, own):
+    seen, plans, run = spark.sparkContext.accumulator(0), [], getattr(module, step)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    def watched(rows, *rest):
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return run(rows, *rest)
+
+    monkeypatch.setattr(module, step, watched)
+    monkeypatch.setattr(support, "STEPS", 2)
+    source, model = made.mapInArrow(counted, made.schema), f"{key}-step-lag-global"
+    for rows in (lambda: backtest.forecast(source, model, 2, OPTIONS | own), lambda: backtest.cross_validation(source, model, 2, 5, 30, OPTIONS | own, n_windows=1)):
+        before = seen.value
+        assert rows().count() == 6
+        # What the panel is made of is read once, and no pass of the fit makes windows.
+        assert seen.value - before == made.count()
+    assert len(plans) > 2 and not any("Window" in p for p in plans)

@@ -54,12 +54,14 @@ class PanelEstimator(Estimator, _PanelParams, DefaultParamsReadable, DefaultPara
         key, horizon, p = self.asked()
         if get_spec(key).tier != "panel" or key.startswith(("adaboost-", "mlp-")):
             raise ValueError(f"{key} is no panel model that can be kept")
+        df = pm.kept_panel(df, p)
         numbers = pm.series_numbers(df)
         rows, features = pm.panel_rows(df, horizon, p, numbers=numbers)
         train = pm.training(rows, p, last_time(df))
         if train.isEmpty():
             raise ValueError("no series is long enough to train on")
         kind, state, inner, table = key.removesuffix("-step-lag-global"), {}, None, None
+        train = pm.kept_windows(kind, train, features)
         if kind in gram.KINDS:
             state = {"weights": gram.fit(kind, train, features, "y_target", p).tolist()}
         elif kind in support.KINDS:

@@ -26,12 +26,15 @@ from tidewise.functions.features import lag_steps, lag_vector_features
 from tidewise.models import adaboost, gram, neighbours, perceptron, support
 from tidewise.models.registry import get_spec
 from tidewise.operators import windows
+from tidewise.storage import cut
 
 KEYS = ["unique_id", "cutoff_ds", "origin", "step", "target_ds", "y_target", "window_end", "window_left"]
 #: The deepest trees that Spark's library grows; forests without a `max_depth` go down to it.
 TREE_DEPTH = 30
 #: Parts in which series are numbered.
 NUMBERED = 256
+#: Kinds whose fit goes over its windows again and again: these are made once and kept for the time of the fit.
+ITERATED = ("linear-svr",)
 
 
 def estimator(key: str, p: dict[str, Any]):  # noqa: ANN201
@@ -54,6 +57,18 @@ def estimator(key: str, p: dict[str, Any]):  # noqa: ANN201
     return RandomForestRegressor(numTrees=p["n_estimators"], maxDepth=TREE_DEPTH if p["max_depth"] is None else p["max_depth"], featureSubsetStrategy=share[0], subsamplingRate=share[1], seed=0, **own)
 
 
+def kept_panel(df: DataFrame, p: dict[str, Any]) -> DataFrame:
+    """The panel as the shared folder holds it, so that what it is made of is read once, however often windows are."""
+    return cut(df.select("unique_id", "ds", "y", *names(p["x_cols"])))
+
+
+def kept_windows(kind: str, train: DataFrame, features: list[str]) -> DataFrame:
+    """Training windows; of a kind in `ITERATED` their features and target as the shared folder holds them."""
+    if kind not in ITERATED:
+        return train
+    return cut(train.select(*(F.col(c).cast("double").alias(c) for c in [*features, "y_target"])))
+
+
 def series_numbers(df: DataFrame) -> DataFrame:
     """`unique_id, series_number`: a number for each series from 0, by parts of a hash and then by name; no task sees all of them."""
     ids = df.select("unique_id").distinct().withColumn("_part", F.pmod(F.xxhash64("unique_id"), F.lit(NUMBERED)))
@@ -124,6 +139,7 @@ def ml_pipeline(model: str, features: list[str], p: dict[str, Any]) -> Pipeline:
 def fitted(model: str, train: DataFrame, features: list[str], p: dict[str, Any]) -> Callable[[DataFrame], DataFrame]:
     """A function that adds `yhat` to windows."""
     kind = model.removesuffix("-step-lag-global")
+    train = kept_windows(kind, train, features)
     if kind in gram.KINDS:
         return linear(features, gram.fit(kind, train, features, "y_target", p))
     if kind == "knn":
@@ -141,6 +157,10 @@ def fitted(model: str, train: DataFrame, features: list[str], p: dict[str, Any])
 def panel_predict(df: DataFrame, model: str, cutoff, horizon: int, params: dict[str, Any] | None = None, max_train_size: int | None = None) -> DataFrame:  # noqa: ANN001
     """`unique_id, step, yhat` of series with a row at the cutoff, from a model fitted on what is known there; covariates may reach beyond it."""
     p = get_spec(model).parameters(params)
+    return _predicted(kept_panel(df, p), model, cutoff, horizon, p, max_train_size)
+
+
+def _predicted(df: DataFrame, model: str, cutoff, horizon: int, p: dict[str, Any], max_train_size: int | None = None) -> DataFrame:  # noqa: ANN001
     rows, features = panel_rows(df.withColumn("y", F.when(F.col("ds") <= F.lit(cutoff), F.col("y"))), horizon, p, max_train_size)
     train = training(rows, p, cutoff)
     if train.isEmpty():
@@ -150,6 +170,8 @@ def panel_predict(df: DataFrame, model: str, cutoff, horizon: int, params: dict[
 
 def panel_forecast(df: DataFrame, model: str, horizon: int, params: dict[str, Any] | None = None) -> DataFrame:
     """Forecasts after the common last time of all series; series that end elsewhere raise. With covariates, future rows hold theirs and no y."""
+    p = get_spec(model).parameters(params)
+    df = kept_panel(df, p)
     known = df.where(F.col("y").isNotNull())
     ends = known.groupBy("unique_id").agg(F.max("ds").alias("e"), F.sort_array(F.collect_list("ds")).alias("ds"))
     cutoffs = ends.select("e").distinct().limit(2).collect()
@@ -157,8 +179,8 @@ def panel_forecast(df: DataFrame, model: str, horizon: int, params: dict[str, An
         raise ValueError("a panel forecast needs one last time for all series")
     from tidewise.operators.backtest import future_times
 
-    rows = df if names(get_spec(model).parameters(params)["x_cols"]) else known
-    found = panel_predict(rows, model, cutoffs[0][0], horizon, params).join(ends, "unique_id")
+    rows = df if names(p["x_cols"]) else known
+    found = _predicted(rows, model, cutoffs[0][0], horizon, p).join(ends, "unique_id")
     return found.select("unique_id", future_times(F.col("ds"), F.size("ds"), F.col("step")).alias("ds"), F.col("e").alias("cutoff"), F.col("step").cast("int").alias("step"), "yhat", F.lit(model).alias("model"))
 
 
@@ -184,6 +206,7 @@ def panel_cross_validation(df: DataFrame, model: str, horizon: int, step_size: i
     others are fitted one cutoff after another.
     """
     p = get_spec(model).parameters(params)
+    df = kept_panel(df, p)
     cutoffs = cutoffs_of(df, horizon, step_size, min_train_size, n_windows)
     rows, features = panel_rows(df, horizon, p, max_train_size)
     kind = model.removesuffix("-step-lag-global")

@@ -17,6 +17,7 @@ from tidewise.models import registry as models
 from tidewise.operators import backtest, calendars, detection, hierarchy, intervals, leaderboard, prepare, reports, scan, windows
 from tidewise.sources import panels
 from tidewise.sources.panels import table
+from tidewise.storage import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -817,7 +818,8 @@ _GLOBAL = "-step-lag-global"
 
 
 def _aligned(p: DataFrame) -> DataFrame:
-    """The panel up to the last time that all its series have reached."""
+    """The panel up to the last time that all its series have reached; it is gathered once for both."""
+    p = cut(p)
     return p.where(F.col("ds") <= F.lit(p.groupBy("unique_id").agg(F.max("ds").alias("e")).agg(F.min("e")).first()[0]))
 
 
