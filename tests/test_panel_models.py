@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewise import api
-from tidewise.models import adaboost, neighbours, perceptron, support
+from tidewise.models import adaboost, gram, neighbours, perceptron, support
 from tidewise.models.fitted import PanelEstimator
 from tidewise.models import panel as pm
 from tidewise.operators import backtest
@@ -247,7 +247,7 @@ def test_network_learns_and_repeats(curve):
     assert left < 0.2 * np.mean((y - line @ np.linalg.lstsq(line, y, rcond=None)[0]) ** 2)
 
 
-ITERATED = [("linear-svr", support, "added", {})]
+ITERATED = [("linear-svr", support, "added", {}), ("quantile", gram, "gram", {})]
 
 
 @pytest.mark.parametrize(("key", "module", "step", "own"), ITERATED)
