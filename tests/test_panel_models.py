@@ -247,7 +247,7 @@ def test_network_learns_and_repeats(curve):
     assert left < 0.2 * np.mean((y - line @ np.linalg.lstsq(line, y, rcond=None)[0]) ** 2)
 
 
-ITERATED = [("linear-svr", support, "added", {}), ("quantile", gram, "gram", {}), ("mlp", perceptron, "added", {"hidden_layer_sizes": (4,), "max_iter": 2})]
+ITERATED = [("linear-svr", support, "added", {}), ("quantile", gram, "gram", {}), ("svr", support, "added", {"landmarks": 20}), ("kernel-ridge", support, "added", {"landmarks": 20}), ("mlp", perceptron, "added", {"hidden_layer_sizes": (4,), "max_iter": 2})]
 
 
 @pytest.mark.parametrize(("key", "module", "step", "own"), ITERATED)

@@ -34,7 +34,7 @@ TREE_DEPTH = 30
 #: Parts in which series are numbered.
 NUMBERED = 256
 #: Kinds whose fit goes over its windows again and again: these are made once and kept for the time of the fit.
-ITERATED = ("quantile", "linear-svr", "mlp")
+ITERATED = ("quantile", *support.KINDS, "mlp")
 
 
 def estimator(key: str, p: dict[str, Any]):  # noqa: ANN201
