@@ -285,3 +285,14 @@ def test_reports_count_what_models_refuse(spark, panel):
     found = {r["label"]: (r["row_count"], r["failure_count"]) for r in sweep.report().collect()}
     # Five cutoffs of two steps for each series; the first two hold 10 and 12 values, too few for the window.
     assert found == {"mean": (20, 0), "ssa": (12, 8)} and rows == {"mean": 20, "ssa": 12}
+
+
+def test_registry_validation_deals_kernels_in_one_step(panel):
+    keys = ["mean", "ar-ols", "fourier", "poly-trend", "ets", "gamma-lag", "kalman-trend", "theta-auto", "ensemble-mean", "ar-ols-lags"]
+    df = registry.validate_registry(panel(SERIES), 2, keys)
+    # However many kernels there are, one step of Python workers runs them.
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    found = {r["model"]: (r["n_series"], r["n_failed"], r["error"], r["n_not_finite"]) for r in df.collect()}
+    own = {k: registry.validate_registry(panel(SERIES), 2, [k]).first() for k in ("mean", "gamma-lag", "ar-ols")}
+    assert set(found) == set(keys)
+    assert all(found[k] == (r["n_series"], r["n_failed"], r["error"], r["n_not_finite"]) for k, r in own.items())

@@ -148,18 +148,16 @@ def validate_registry(df: DataFrame, horizon: int = 2, keys: list[str] | None =
 
     Series are gathered once and written to the shared folder; all models read them there, in one job.
     """
-    from functools import reduce
-
     from pyspark.sql import functions as F
 
     from tidewise.frames import series_arrays
-    from tidewise.operators.backtest import _forecasts
+    from tidewise.operators.backtest import local_forecasts
     from tidewise.storage import cut
 
-    rows = cut(series_arrays(df.where(F.col("y").isNotNull()), spread=True)).withColumn("train_start", F.lit(0)).withColumn("train_end", F.size("y"))
-    parts = [_forecasts(rows, k, horizon, (params or {}).get(k)).select(F.lit(k).alias("model"), "yhat", "error") for k in keys or [m for m in list_models(interface="local") if MODELS[m].tier != "xreg"]]
+    rows = cut(series_arrays(df.where(F.col("y").isNotNull()))).withColumn("train_start", F.lit(0)).withColumn("train_end", F.size("y"))
+    runs = {k: (params or {}).get(k) for k in keys or [m for m in list_models(interface="local") if MODELS[m].tier != "xreg"]}
     odd = F.exists("yhat", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    return reduce(DataFrame.unionByName, parts).groupBy("model").agg(F.count("*").alias("n_series"), F.sum(F.col("yhat").isNull().cast("long")).alias("n_failed"), F.max("error").alias("error"), F.sum(F.coalesce(odd, F.lit(False)).cast("long")).alias("n_not_finite"))
+    return local_forecasts(rows, runs, horizon).groupBy("model").agg(F.count("*").alias("n_series"), F.sum(F.col("yhat").isNull().cast("long")).alias("n_failed"), F.max("error").alias("error"), F.sum(F.coalesce(odd, F.lit(False)).cast("long")).alias("n_not_finite"))
 
 
 def search_models(spark: SparkSession, query: str) -> DataFrame:

@@ -25,6 +25,8 @@ from tidewise.models.registry import get_spec, require
 PREDICTIONS = "unique_id, ds, cutoff, step, y, yhat, model"
 #: Runs whose forecasts travel in one row.
 RUNS_TOGETHER = 16
+#: Kernels that run on a series one after another in a task, where many run on it.
+KERNELS_TOGETHER = 4
 
 
 def split_grid(df: DataFrame, horizon: int, step_size: int = 1, min_train_size: int = 1, max_train_size: int | None = None, limit: int | None = None, keep: str = "last", n: str = "_n") -> DataFrame:
@@ -96,29 +98,55 @@ def kernel_forecast(model: str, params: dict[str, Any] | None = None) -> Callabl
     raise ValueError(f"{model} is no function of one series' values")
 
 
+def _attempt(run: Callable[[np.ndarray, int], np.ndarray], values: list, horizon: int) -> tuple[list[float] | None, str | None]:
+    """A kernel's forecasts, or none and the reason for which it refuses the values."""
+    try:
+        y = np.array(values, dtype=float)
+        if np.isnan(y).any():
+            raise ValueError("the series has missing values")
+        return [float(x) for x in run(y, horizon)], None
+    except (ValueError, np.linalg.LinAlgError, ZeroDivisionError) as e:
+        return None, f"{type(e).__name__}: {e}"
+
+
 def _kernel_rows(df: DataFrame, model: str, horizon: int, params: dict[str, Any] | None) -> DataFrame:
     """`yhat` arrays for the slices of each row by a kernel; null where the kernel refuses the series, with its reason in `error`."""
     run = kernel_forecast(model, params)
 
     def forecast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, errors = [], []
-            for values, a, b in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("y", "train_start", "train_end")), strict=True):
-                try:
-                    y = np.array(values[a:b], dtype=float)
-                    if np.isnan(y).any():
-                        raise ValueError("the series has missing values")
-                    out.append([float(x) for x in run(y, horizon)])
-                    errors.append(None)
-                except (ValueError, np.linalg.LinAlgError, ZeroDivisionError) as e:
-                    out.append(None)
-                    errors.append(f"{type(e).__name__}: {e}")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.float64())), pa.array(errors, pa.string())], names=[*batch.schema.names, "yhat", "error"])
+            slices = zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("y", "train_start", "train_end")), strict=True)
+            found = [_attempt(run, values[a:b], horizon) for values, a, b in slices]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f for f, _ in found], pa.list_(pa.float64())), pa.array([e for _, e in found], pa.string())], names=[*batch.schema.names, "yhat", "error"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     return df.mapInArrow(forecast, f"{fields}, yhat array<double>, error string")
 
 
+def local_forecasts(rows: DataFrame, runs: Mapping[str, dict[str, Any] | None], horizon: int) -> DataFrame:
+    """`model, yhat, error` of many local models for each row of (unique_id, y, train_start, train_end).
+
+    Kernels are dealt to tasks by series and by groups of `KERNELS_TOGETHER` models, neighbours in the list to different groups, so that
+    few series with slow models keep all tasks busy, and the number of tasks does not grow with the models.
+    """
+    kernels = [m for m, params in runs.items() if not _members(m, params) and column_forecast(m, F.col("y"), horizon, params) is None]
+    parts = [_forecasts(rows, m, horizon, params).select(F.lit(m).alias("model"), "yhat", "error") for m, params in runs.items() if m not in kernels]
+    if kernels:
+        groups = -(-len(kernels) // KERNELS_TOGETHER)
+        own = {g: [(m, kernel_forecast(m, runs[m])) for m in kernels[g::groups]] for g in range(groups)}
+
+        def forecast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for values, a, b, group in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    found = [_attempt(run, values[a:b], horizon) for _, run in own[group]]
+                    yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in own[group]]), pa.array([f for f, _ in found], pa.list_(pa.float64())), pa.array([e for _, e in found], pa.string())], names=["model", "yhat", "error"])
+
+        tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = rows.withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).repartition(tasks, "unique_id", "_group")
+        parts.append(dealt.select("y", "train_start", "train_end", "_group").mapInArrow(forecast, "model string, yhat array<double>, error string"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _members(model: str, params: dict[str, Any] | None) -> tuple[str, ...] | None:
     """The members of an ensemble of column and kernel models, which run each in its own way; None for anything else."""
     if not model.startswith("ensemble-"):
