@@ -4,10 +4,11 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidewise.llm import repeats
-from tidewise.llm.suffixes import common_prefixes, joined, suffix_array
+from tidewise.llm.suffixes import common_prefixes, joined, suffix_array, suffixes_to
 
 
 def brute(texts, length):
@@ -40,6 +41,40 @@ def test_suffix_array_and_prefixes():
             assert shared[k] == next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
 
 
+@pytest.mark.parametrize("length", [1, 7, 8, 9, 33, 100])
+def test_suffixes_to_a_depth(length):
+    rng = np.random.default_rng(length)
+    for letters in (1, 2, 3, 200):
+        data = np.concatenate([rng.integers(0, letters, 150), np.tile(rng.integers(0, letters, 40), 6), rng.integers(0, letters, 150)]).astype(np.uint8)
+        every = np.arange(len(data) - length + 1)
+        for starts in (every, every[rng.random(len(every)) < 0.3], every[:0], every[-1:]):
+            rank, repeated = suffixes_to(data, starts, length)
+            strings = [data[i : i + length].tobytes() for i in starts]
+            assert [strings[k] for k in np.argsort(rank[starts], kind="stable")] == sorted(strings)
+            assert len(set(zip(strings, rank[starts].tolist(), strict=True))) == len(set(strings)) == len(set(rank[starts].tolist()))
+            assert repeated[starts].tolist() == [strings.count(x) > 1 for x in strings]
+
+
+def test_shards_sort_few_suffixes(monkeypatch):
+    """Segments of 430 bytes hold 31 strings of 400: rounds sort what they need of them, not all suffixes to the full depth."""
+    rng = np.random.default_rng(5)
+    bodies = []
+    for _ in range(40):
+        core = rng.integers(97, 123, 410)
+        bodies += [bytes([k]) * k + core.astype(np.uint8).tobytes() + bytes([k]) * (20 - k) for k in (0, 9, 20)]
+    cores = np.repeat(rng.integers(0, 1 << 60, 40), 3)
+    ids = np.arange(len(bodies))
+    table = pa.table({"doc_id": ids, "_text": ids, "core": cores, "n": np.ones_like(ids), "start": np.zeros(len(ids), np.int32), "piece": pa.array(bodies, pa.binary())})
+    # The shuffle brings a shard's rows in any order and in several chunks.
+    table = table.take(pa.array(rng.permutation(len(ids))))
+    table = pa.concat_tables([table.slice(0, 50), table.slice(50)])
+    sizes, sort = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda x, *a, **b: (sizes.append(len(x)), sort(x, *a, **b))[1])
+    found = repeats._shard(table, 400, None, 1)
+    assert {i: (list(a), list(b)) for i, a, b in zip(found[0], found[2], found[3], strict=True)} == {i: ([(0, 9, 20)[i % 3]], [(0, 9, 20)[i % 3] + 10]) for i in ids.tolist()}
+    assert sum(sizes) < 3 * sum(map(len, bodies))
+
+
 def test_merge_of_runs():
     rng = np.random.default_rng(4)
     runs = [np.unique(rng.integers(0, 60, 30)).astype(np.uint64) for _ in range(5)]
