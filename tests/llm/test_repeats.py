@@ -128,6 +128,14 @@ def test_empty_table(spark):
     assert repeats.repeat_report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_texts_without_strings(spark):
+    """All of a task's texts empty, null or short: parts of a batch without a byte or a segment."""
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([None, "", "", None, "a" * 399, "é" * 150])], "doc_id long, text string").repartition(6, "doc_id")
+    found = {r.doc_id: tuple(r)[1:] for r in repeats.repeat_report(docs).collect()}
+    empty = hashlib.sha256(b"").hexdigest()
+    assert found == {**{i: (0, 0, 0, empty) for i in range(4)}, 4: (399, 0, 0, hashlib.sha256(b"a" * 399).hexdigest()), 5: (300, 0, 0, hashlib.sha256("é".encode() * 150).hexdigest())}
+
+
 def test_report(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
