@@ -136,6 +136,19 @@ def test_texts_without_strings(spark):
     assert found == {**{i: (0, 0, 0, empty) for i in range(4)}, 4: (399, 0, 0, hashlib.sha256(b"a" * 399).hexdigest()), 5: (300, 0, 0, hashlib.sha256("é".encode() * 150).hexdigest())}
 
 
+@pytest.mark.parametrize("size", [399, 400, 450])
+def test_planted_passages(spark, size):
+    """A passage of over 50 words in two documents goes from 400 bytes on; n_removed tells, n_bytes is the input's length alone."""
+    rng = np.random.default_rng(size)
+    prose = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(n))
+    passage = prose(70)[:size]
+    assert len(passage.split()) > 50
+    bodies = [prose(n) for n in (5, 90, 20, 120, 8, 80)]
+    texts = [bodies[0] + "(" + passage + ")", bodies[1] + "[" + passage + "]" + bodies[2], *bodies[3:]]
+    found = {r.doc_id: (r.n_bytes, r.n_removed) for r in repeats.repeat_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert found == {i: (len(t), size if i < 2 and size >= 400 else 0) for i, t in enumerate(texts)}
+
+
 def test_report(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
